@@ -1,0 +1,78 @@
+"""Rendered log corpus: Spark logs derived from the ``events`` table.
+
+Each event becomes a block of one to four log lines chosen by
+``event_id % 24``; the job is ``'job_' || user_id``; lines of a job are ordered
+by (ts, event_id, position in block). The rendering is a pure function of the
+events, so any SQL engine can produce the same lines for a cross-check.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..operators.numbering import number_lines
+
+# FIXED VALUES: block templates by event_id % 24 ('@' = timestamp, '#' = event_id % 7).
+BLOCK_TEMPLATES: list[str] = [
+    "@ INFO SparkContext: Running Spark version 3.5.1 on Kubernetes",
+    "@ ERROR Executor: task hit a limit\njava.lang.OutOfMemoryError: Java heap space\n"
+    "\tat org.acme.Sort.grow(Sort.java:#)\n\tat org.acme.Sort.insert(Sort.java:1#)",
+    "@ ERROR ObjectStore: read failed\nAmazonS3Exception: AccessDenied (status 403)\n"
+    "\tat org.acme.Store.get(Store.java:2#)\nCaused by: java.io.IOException: denied",
+    "@ ERROR Scheduler: Lost executor # on host-#",
+    "@ ERROR ShuffleBlockFetcherIterator: cannot fetch block #\n\n\tat org.acme.Fetch.run(Fetch.java:3#)",
+    "@ WARN Client: slow call\njava.net.SocketTimeoutException: Read timed out",
+    "@ FATAL DiskStore: No space left on device",
+    "@ ERROR Driver: crash handler started",
+    "@ ERROR DAGScheduler: Stage # failed after 4 attempts",
+    "@ WARN Hive: metastore call slow",
+    "@ ERROR Closure: Task not serializable",
+    "org.apache.spark.sql.AnalysisException: column c# missing",
+    "@ ERROR Bridge: py4j.protocol.Py4JError: call failed",
+    "@ ERROR Tls: certificate check error",
+    "@ WARN Node: spot instance interrupt notice",
+    "@ WARN Client: Retrying task fetch, retry #",
+]
+OTHER_TEMPLATE = "@ INFO Job: step # done"
+BLOCK_MODULUS = 24
+TS_FORMAT = "yy/MM/dd HH:mm:ss"
+
+
+def _template(k):
+    expr = None
+    for i, t in enumerate(BLOCK_TEMPLATES):
+        expr = F.when(k == i, F.lit(t)) if expr is None else expr.when(k == i, F.lit(t))
+    return expr.otherwise(F.lit(OTHER_TEMPLATE))
+
+
+def render_blocks(events: DataFrame) -> DataFrame:
+    """One row per event line: job_id, ts, event_id, pos, value (unnumbered)."""
+    k = F.col("event_id") % BLOCK_MODULUS
+    block = F.replace(
+        F.replace(_template(k), F.lit("@"), F.date_format("ts", TS_FORMAT)),
+        F.lit("#"),
+        (F.col("event_id") % 7).cast("string"),
+    )
+    return events.select(
+        F.concat(F.lit("job_"), F.col("user_id").cast("string")).alias("job_id"),
+        "ts",
+        "event_id",
+        F.posexplode(F.split(block, "\n", -1)).alias("pos", "value"),
+    )
+
+
+def render_corpus(events: DataFrame, chunk_unit: str = "hour") -> DataFrame:
+    """``lines``: job_id, line_no, idx, value - numbered exactly per job.
+
+    Numbering is chunked by ``date_trunc(chunk_unit, ts)`` so a job with a huge
+    share of the events is spread over many tasks (see ``number_lines``).
+    """
+    blocks = render_blocks(events)
+    numbered = number_lines(
+        blocks,
+        keys=["job_id"],
+        chunk=F.date_trunc(chunk_unit, F.col("ts")),
+        order=[F.col("ts"), F.col("event_id"), F.col("pos")],
+    )
+    return numbered.select("job_id", "line_no", "idx", "value")
