@@ -160,7 +160,9 @@ snippet AS (
 primary_sig AS (SELECT * FROM ranked WHERE signal_rank = 1),
 summary AS (
   SELECT job_id, count(*) AS n_signals,
-         string_agg(label || 'x' || CAST(n AS VARCHAR), ',' ORDER BY signal_rank) AS signal_list
+         string_agg(label || 'x' || CAST(n AS VARCHAR), ',' ORDER BY signal_rank) AS signal_list,
+         string_agg('  [' || severity || '] ' || label || ' (' || category || '): ' || CAST(n AS VARCHAR)
+                    || ' occurrence(s)', chr(10) ORDER BY signal_rank) AS signal_lines
   FROM ranked GROUP BY job_id),
 analysis AS (
   SELECT c.job_id, c.platform, c.spark_version, c.total_log_lines, c.error_count, c.warn_count,
@@ -168,7 +170,8 @@ analysis AS (
          p.label AS primary_label, p.category AS primary_category, p.severity AS primary_severity,
          coalesce(sm.n_signals, 0) AS n_signals, coalesce(sm.signal_list, '') AS signal_list,
          coalesce(sn.raw_error_snippet, '') AS raw_error_snippet, coalesce(t.log_tail, '') AS log_tail,
-         p.evidence1 AS primary_evidence1, p.stack_trace AS primary_stack, p.evidence AS primary_evidence
+         p.evidence1 AS primary_evidence1, p.stack_trace AS primary_stack, p.evidence AS primary_evidence,
+         sm.signal_lines
   FROM ctx c LEFT JOIN primary_sig p USING (job_id) LEFT JOIN summary sm USING (job_id)
   LEFT JOIN snippet sn USING (job_id) LEFT JOIN tail t USING (job_id))"""
 
@@ -179,3 +182,26 @@ def with_corpus(body: str, extra_ctes: str = "") -> str:
     if extra_ctes:
         ctes += "," + extra_ctes
     return f"WITH {ctes}\n{body}"
+
+
+def text_lines_sql(table: str, key: str, text: str) -> str:
+    """CTE body: ``str.splitlines`` of a text column, numbered, with idx."""
+    brk = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]"
+    end = r"[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]$"
+    return f"""
+tl_parts AS (
+  SELECT CAST({key} AS VARCHAR) AS job_id,
+         CASE WHEN {text} = '' THEN []
+              ELSE list_slice(string_split_regex({text}, {q(brk)}), 1,
+                              len(string_split_regex({text}, {q(brk)}))
+                              - CASE WHEN regexp_matches({text}, {q(end)}) THEN 1 ELSE 0 END) END AS parts
+  FROM {table}),
+tl_raw AS (
+  SELECT job_id, UNNEST(parts) AS value, UNNEST(range(1, len(parts) + 1)) AS line_no FROM tl_parts),
+text_lines AS (
+  SELECT job_id, CAST(line_no AS BIGINT) AS line_no, value,
+         CASE WHEN {nonblank('value')} THEN CAST(
+           sum(CASE WHEN {nonblank('value')} THEN 1 ELSE 0 END)
+             OVER (PARTITION BY job_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+           AS BIGINT) END AS idx
+  FROM tl_raw)"""

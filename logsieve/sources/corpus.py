@@ -46,14 +46,19 @@ def _template(k):
     return expr.otherwise(F.lit(OTHER_TEMPLATE))
 
 
-def render_blocks(events: DataFrame) -> DataFrame:
-    """One row per event line: job_id, ts, event_id, pos, value (unnumbered)."""
+def block_text():
+    """The rendered block of an event row (lines joined by newlines)."""
     k = F.col("event_id") % BLOCK_MODULUS
-    block = F.replace(
+    return F.replace(
         F.replace(_template(k), F.lit("@"), F.date_format("ts", TS_FORMAT)),
         F.lit("#"),
         (F.col("event_id") % 7).cast("string"),
     )
+
+
+def render_blocks(events: DataFrame) -> DataFrame:
+    """One row per event line: job_id, ts, event_id, pos, value (unnumbered)."""
+    block = block_text()
     return events.select(
         F.concat(F.lit("job_"), F.col("user_id").cast("string")).alias("job_id"),
         "ts",
