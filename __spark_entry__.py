@@ -302,6 +302,34 @@ def q_triage_failures(spark, d):
     return t.filter("alert").select("job_id", "job_name", "category", "severity", "failure_signature")
 
 
+def _corpus_files(spark, d):
+    """The rendered corpus written as log files (one folder per job) in the
+    session's shared checkpoint folder; returns the folder."""
+    import uuid
+
+    from logsieve.session import scratch_path
+    base = scratch_path(spark, f"corpus_logs/{uuid.uuid4().hex}")
+    FS.write_log_files(_lines(spark, d), base)
+    return base
+
+
+def q_read_logs(spark, d):
+    return FS.read_logs(spark, _corpus_files(spark, d), glob="*.txt", job="dir").select(
+        "job_id", "line_no", "idx", "value")
+
+
+def q_watch_logs(spark, d):
+    import uuid
+
+    from logsieve.session import scratch_path
+    from logsieve.streaming.watch import watch_logs
+    src = _corpus_files(spark, d)
+    out = scratch_path(spark, f"watch_out/{uuid.uuid4().hex}")
+    q = watch_logs(spark, src, out, glob="*.txt", available_now=True, as_of=AS_OF, job="dir")
+    q.awaitTermination()
+    return spark.read.parquet(out).select("job_id", "recipient", "severity", "subject", "body")
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "number_lines": q_number_lines,
     "parse_lines": q_parse_lines,
@@ -343,6 +371,8 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "resolve_log_text": q_resolve_log_text,
     "enrich_notes": q_enrich_notes,
     "triage_failures": q_triage_failures,
+    "read_logs": q_read_logs,
+    "watch_logs": q_watch_logs,
 }
 
 
@@ -397,9 +427,173 @@ WHERE r <= {R.ERROR_SUBSET_LINES}"""),
                      "executors_lost, oom_events, shuffle_failures, task_retries, failed_stages, "
                      "primary_label, primary_category, primary_severity, n_signals, signal_list, "
                      "raw_error_snippet, log_tail FROM analysis"),
+        "rule_triage": W("SELECT * EXCLUDE (platform, spark_version) FROM triage", _triage_sql_ctes()),
+        "alert_gate": W("SELECT job_id, severity FROM gated", _triage_sql_ctes()),
+        "alert_text": W("SELECT job_id, severity, subject, body FROM alert_texts", _triage_sql_ctes()),
+        "alert_outbox": W("SELECT job_id, recipient, subject FROM outbox", _triage_sql_ctes()),
+        "triage_report": W("SELECT job_id, recipient, severity, subject, body FROM outbox", _triage_sql_ctes()),
+        "watch_logs": W("SELECT job_id, recipient, severity, subject, body FROM outbox", _triage_sql_ctes()),
+        "read_logs": W("SELECT job_id, line_no, idx, value FROM lines"),
+        "build_prompt": W(_prompt_sql()),
+        "lines_from_text": "WITH " + D.text_lines_sql("documents", "doc_id", "text")
+                           + "\nSELECT job_id, line_no, idx, value FROM text_lines",
+        "skip_tiny": f"""
+SELECT CAST(doc_id AS VARCHAR) AS job_id, length({D.strip('text')}) AS n_chars
+FROM documents WHERE length({D.strip('text')}) >= {R.MIN_LOG_CHARS}""",
+        "tail_bytes": f"""
+SELECT CAST(doc_id AS VARCHAR) AS job_id,
+       CASE WHEN octet_length(encode(text)) <= {R.TAIL_BYTES} THEN text END AS tail
+FROM documents""",
+        "job_from_path": r"""
+SELECT page_id,
+       CASE WHEN regexp_extract(name, '^(.+)\.[^.]+$', 1) = '' THEN name
+            ELSE regexp_extract(name, '^(.+)\.[^.]+$', 1) END AS job_id,
+       nullif(regexp_extract(url, '/([^/]+)/([^/]+)/([^/]+)/([^/]+)\.log$', 1), '') AS dag_id,
+       nullif(regexp_extract(url, '/([^/]+)/([^/]+)/([^/]+)/([^/]+)\.log$', 2), '') AS task_id,
+       nullif(regexp_extract(url, '/([^/]+)/([^/]+)/([^/]+)/([^/]+)\.log$', 3), '') AS execution_date,
+       nullif(regexp_extract(url, '/([^/]+)/([^/]+)/([^/]+)/([^/]+)\.log$', 4), '') AS try_number
+FROM (SELECT page_id, url, regexp_extract(url, '([^/]*)$', 1) AS name FROM pages)""",
+        "changed_files": f"""
+WITH l AS (SELECT 'job_' || CAST(user_id AS VARCHAR) AS path, max(ts) AS mtime FROM events GROUP BY 1),
+m AS (SELECT 'job_' || CAST(user_id AS VARCHAR) AS path, max(ts) AS mtime FROM events
+      WHERE ts < TIMESTAMP {D.q(MANIFEST_DATE)} GROUP BY 1)
+SELECT l.path, l.mtime FROM l LEFT JOIN m USING (path) WHERE m.mtime IS NULL OR m.mtime < l.mtime""",
+        "manifest": f"""
+WITH l AS (SELECT 'job_' || CAST(user_id AS VARCHAR) AS path, max(ts) AS mtime FROM events GROUP BY 1),
+m AS (SELECT 'job_' || CAST(user_id AS VARCHAR) AS path, max(ts) AS mtime FROM events
+      WHERE ts < TIMESTAMP {D.q(MANIFEST_DATE)} GROUP BY 1)
+SELECT path, max(mtime) AS mtime FROM (SELECT * FROM l UNION ALL SELECT * FROM m) GROUP BY path""",
+        "failure_context": "WITH " + _failure_ctes() + """
+SELECT failure_id, dag_id, task_id, run_id, execution_date, try_number, operator, hostname, log_url,
+       exception FROM fctx""",
+        "locate_logs": "WITH " + _failure_ctes() + "\nSELECT failure_id, log_path FROM flocated",
+        "resolve_log_text": "WITH " + _failure_ctes() + f"""
+SELECT l.failure_id,
+       coalesce(nullif(f.text, ''),
+                CASE WHEN l.exception <> '' THEN 'Airflow task failure — no log file found.' || chr(10)
+                     || 'DAG: ' || l.dag_id || ' | Task: ' || l.task_id || ' | Run: ' || l.run_id || chr(10)
+                     || 'Exception:' || chr(10) || l.exception END,
+                'Airflow task ' || l.dag_id || '.' || l.task_id || ' failed. No log available.') AS log_text
+FROM flocated l LEFT JOIN ffiles f ON f.path = l.log_path""",
     }
 
 
+def _triage_sql_ctes() -> str:
+    """rule triage, gate, alert texts over the ``analysis`` CTE."""
+    q = D.q
+    nl = "chr(10)"
+    steps = [f"  {i}. {x}" for i, x in enumerate(R.RULE_TRIAGE_MITIGATION, 1)]
+    fixes = [f"  {RP.BULLET} {x}" for x in R.RULE_TRIAGE_FIX]
+    cfg = [f"  {k} = {v}" for k, v in R.RULE_TRIAGE_CONFIG]
+    notes = dict(R.RULE_TRIAGE_NOTES)
+    body_parts = [
+        q(RP.BODY_TITLE), q(RP.BODY_RULE),
+        "'Job:         ' || job_id", "'Platform:    ' || platform", "'Spark:       ' || spark_version",
+        "'Severity:    ' || severity", "'Category:    ' || category", "'Confidence:  ' || confidence",
+        "'Time:        ' || timestamp",
+        "''", q(RP.BODY_SIGNATURE), "failure_signature", "''", q(RP.BODY_ROOT_CAUSE), "root_cause",
+        "''", q(RP.BODY_MITIGATION), *[q(x) for x in steps],
+        "''", q(RP.BODY_FIX), *[q(x) for x in fixes],
+        "''", q(RP.BODY_CONFIG), *[q(x) for x in cfg],
+        "''", q(RP.BODY_NOTES),
+        q("  Impact:   " + notes.get("impact", "N/A")),
+        q("  Resolution: " + notes.get("resolution", "N/A")),
+        q("  Prevention: " + notes.get("preventive_actions", "N/A")),
+        "''", f"{q('— ' + RP.DEFAULT_FOOTER + ' | ')} || timestamp",
+    ]
+    return f"""
+triage AS (
+  SELECT job_id, platform, spark_version,
+         coalesce(primary_category, 'Spark') AS category, 'High' AS confidence,
+         coalesce(primary_severity, 'HIGH') AS severity,
+         CASE WHEN primary_label IS NULL THEN 'Unknown' ELSE left(primary_evidence1, 100) END AS failure_signature,
+         {q(R.RULE_TRIAGE_ROOT_CAUSE)} AS root_cause,
+         {q("|".join(R.RULE_TRIAGE_MITIGATION))} AS immediate_mitigation,
+         {q("|".join(R.RULE_TRIAGE_FIX))} AS permanent_fix,
+         {q("|".join(R.RULE_TRIAGE_VERIFY))} AS verify_steps,
+         {q("|".join(k + "=" + v for k, v in R.RULE_TRIAGE_CONFIG))} AS spark_config_recommendations,
+         {q("|".join(k + "=" + v for k, v in R.RULE_TRIAGE_NOTES))} AS incident_notes,
+         'mock' AS model_used, CAST(0 AS BIGINT) AS tokens_used, {q(AS_OF)} AS timestamp
+  FROM analysis),
+gated AS (SELECT * FROM triage WHERE severity IN ('CRITICAL', 'HIGH')),
+alert_texts AS (
+  SELECT job_id, severity,
+         '[' || severity || '] Spark Job Failed: ' || job_id || ' | ' || category || ' | '
+           || left(failure_signature, 60) AS subject,
+         concat_ws({nl}, {", ".join(body_parts)}) AS body
+  FROM triage),
+recipients AS (
+  SELECT trim(UNNEST(string_split({q(R.DEFAULT_RECIPIENTS)}, ','))) AS recipient),
+outbox AS (
+  SELECT a.job_id, r.recipient, a.severity, a.subject, a.body
+  FROM alert_texts a JOIN gated g USING (job_id) CROSS JOIN recipients r)"""
+
+
+def _prompt_sql() -> str:
+    q = D.q
+    nl = "chr(10)"
+    return f"""
+SELECT job_id, concat_ws({nl},
+  {q(RP.PROMPT_HEADER)},
+  'Job Name:      ' || job_id, 'Platform:      ' || platform, 'Spark Version: ' || spark_version,
+  'Total Lines:   ' || total_log_lines, 'Error Count:   ' || error_count, 'Warn Count:    ' || warn_count,
+  'Executors Lost:' || executors_lost, 'OOM Events:    ' || oom_events,
+  'Shuffle Fails: ' || shuffle_failures,
+  'Failed Stages: ' || CASE WHEN failed_stages = '' THEN 'none' ELSE replace(failed_stages, ',', ', ') END,
+  'Task Retries:  ' || task_retries, '',
+  CASE WHEN primary_label IS NOT NULL THEN concat_ws({nl},
+    {q(RP.PROMPT_PRIMARY)}, 'Category: ' || primary_category, 'Pattern:  ' || primary_label,
+    'Severity: ' || primary_severity, 'Evidence lines:',
+    '  ' || replace(primary_evidence, {nl}, {nl} || '  '),
+    CASE WHEN length(primary_stack) > 0 THEN concat_ws({nl}, '', 'Stack trace:', left(primary_stack, {R.PROMPT_STACK_CHARS})) END,
+    '') END,
+  CASE WHEN n_signals > 0 THEN concat_ws({nl}, {q(RP.PROMPT_ALL)}, signal_lines, '') END,
+  {q(RP.PROMPT_EXCERPT)},
+  CASE WHEN raw_error_snippet = '' THEN '(none)' ELSE left(raw_error_snippet, {R.PROMPT_EXCERPT_CHARS}) END,
+  '', {q(RP.PROMPT_TAIL)},
+  CASE WHEN log_tail = '' THEN '(none)' ELSE right(log_tail, {R.PROMPT_TAIL_CHARS}) END,
+  '', {q(RP.PROMPT_CLOSE)}) AS prompt
+FROM analysis"""
+
+
+def _failure_ctes() -> str:
+    """failures rendered from error events, normalised; candidate paths; files."""
+    q = D.q
+    base = LOG_BASE
+    return f"""
+err AS (
+  SELECT event_id, user_id, ts, strftime(ts, '%Y-%m-%d %H:%M:%S') AS date,
+         replace(replace({D._template_case()}, '@', strftime(ts, '%y/%m/%d %H:%M:%S')),
+                 '#', CAST(event_id % 7 AS VARCHAR)) AS block
+  FROM events WHERE event_type = 'error'),
+fctx AS (
+  SELECT CAST(event_id AS VARCHAR) AS failure_id,
+         'dag_' || CAST(user_id % 10 AS VARCHAR) AS dag_id,
+         'task_' || CAST(event_id % 3 AS VARCHAR) AS task_id,
+         CASE WHEN event_id % 7 <> 0 THEN 'run_' || CAST(event_id AS VARCHAR) ELSE 'manual' END AS run_id,
+         date AS execution_date,
+         CAST(event_id % 3 + 1 AS INTEGER) AS try_number,
+         'SparkSubmitOperator' AS operator,
+         'worker-' || CAST(event_id % 4 AS VARCHAR) AS hostname,
+         'http://logs/' || CAST(event_id AS VARCHAR) AS log_url,
+         CASE WHEN event_id % 4 <> 0 THEN block ELSE '' END AS exception
+  FROM err),
+fcand AS (
+  SELECT *, {q(base)} || '/' || dag_id || '/' || task_id || '/' || regexp_replace(execution_date, '[:\\s]', '_', 'g')
+              || '/' || CAST(try_number AS VARCHAR) || '.log' AS c1,
+            {q(base)} || '/' || dag_id || '/' || task_id || '/' || regexp_replace(execution_date, '[:\\s]', '_', 'g')
+              || {q(AF.DATE_SUFFIX)} || '/' || CAST(try_number AS VARCHAR) || '.log' AS c2
+  FROM fctx),
+ffiles AS (
+  SELECT CASE WHEN CAST(failure_id AS BIGINT) % 3 = 0 THEN c1 ELSE c2 END AS path,
+         CASE WHEN CAST(failure_id AS BIGINT) % 11 = 0 THEN '' ELSE exception END AS text
+  FROM fcand WHERE CAST(failure_id AS BIGINT) % 3 <> 2),
+flocated AS (
+  SELECT f.*, CASE WHEN EXISTS (SELECT 1 FROM ffiles x WHERE x.path = f.c1) THEN f.c1
+                   WHEN EXISTS (SELECT 1 FROM ffiles x WHERE x.path = f.c2) THEN f.c2 END AS log_path
+  FROM fcand f)"""
+
+
 # --------------------------------------------------------------------------
 # Contract
 # --------------------------------------------------------------------------

@@ -47,11 +47,27 @@ def job_from_path(df: DataFrame, path_col: str = "path") -> DataFrame:
     })
 
 
+def job_column(path: Column, job: str = "stem") -> Column:
+    """Job key of a log file: 'stem' (file name without suffix), 'path' (the
+    file), or 'dir' (the parent folder; a ``key=value`` folder gives value),
+    for logs rolled into several files per job."""
+    if job == "stem":
+        return file_stem(path)
+    if job == "path":
+        return path
+    if job == "dir":
+        d = F.regexp_extract(path, r"([^/]+)/[^/]*$", 1)
+        return F.regexp_replace(d, r"^[^=]*=", "")
+    raise ValueError(f"unknown job key {job!r}")
+
+
 def read_logs(spark: SparkSession, path: str, glob: str = "*.log",
               job: str = "stem") -> DataFrame:
     """All log files below ``path`` matching ``glob`` as a lines table (S1):
-    job_id, path, line_no, idx, value. ``job`` is 'stem' (file name without
-    suffix) or 'path' (the full path)."""
+    job_id, path, line_no, idx, value (see ``job_column`` for ``job``).
+
+    Lines are numbered per job in (file path, position) order; with one file
+    per job that is the file's own line order."""
     raw = (
         spark.read.option("recursiveFileLookup", "true")
         .option("pathGlobFilter", glob)
@@ -63,9 +79,20 @@ def read_logs(spark: SparkSession, path: str, glob: str = "*.log",
             "value",
         )
     )
-    numbered = number_lines(raw, keys=["path"], chunk=F.col("_blk"), order=[F.col("_mid")])
-    job_id = file_stem(F.col("path")) if job == "stem" else F.col("path")
-    return numbered.select(job_id.alias("job_id"), "path", "line_no", "idx", "value")
+    raw = raw.withColumn("job_id", job_column(F.col("path"), job))
+    numbered = number_lines(raw, keys=["job_id"], chunk=F.struct("path", "_blk"), order=[F.col("_mid")])
+    return numbered.select("job_id", "path", "line_no", "idx", "value")
+
+
+def write_log_files(lines: DataFrame, out: str) -> None:
+    """Write a lines table as text log files: one folder per job
+    (``job_id=<job>``), lines in order. Range partitioning on (job, line)
+    lets a large job span several files, named in line order."""
+    (lines.select("job_id", "line_no", "value")
+     .repartitionByRange("job_id", "line_no")
+     .sortWithinPartitions("job_id", "line_no")
+     .select("job_id", "value")
+     .write.mode("overwrite").partitionBy("job_id").text(out))
 
 
 def file_listing(spark: SparkSession, path: str, glob: str = "*.log") -> DataFrame:
