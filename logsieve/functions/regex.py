@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 CASE_INSENSITIVE = "(?iUd)"
 CASE_SENSITIVE = "(?Ud)"
+# Python's str.isspace(): Unicode White_Space plus the separators \x1c-\x1f.
+WS = r"[\s\x1c-\x1f]"
+NON_WS = r"[^\s\x1c-\x1f]"
 
 
 def ci(pattern: str) -> str:
@@ -40,9 +43,9 @@ def py_strip(col: Column) -> Column:
 
     Spark's ``trim`` removes only spaces, so it is not used for log text.
     """
-    return F.regexp_replace(col, r"(?U)^\s+|\s+\z", "")
+    return F.regexp_replace(col, f"(?U)^{WS}+|{WS}+\\z", "")
 
 
 def is_blank(col: Column) -> Column:
     """True for a line with no non-whitespace character (``not line.strip()``)."""
-    return ~col.rlike(r"(?U)\S")
+    return ~col.rlike(f"(?U){NON_WS}")

@@ -12,6 +12,28 @@ from pyspark.sql import functions as F
 from ..functions import lines as L
 
 
+CONTEXT_FLAGS = ["_err", "_warn", "_version", "_platform", "_stage", "_lost", "_oom", "_shuffle", "_retry"]
+
+
+def with_context_flags(lines: DataFrame) -> DataFrame:
+    """Per-line job-context features (R7-R12), computed once per line; kept
+    when already present (annotated lines)."""
+    if "_err" in lines.columns:
+        return lines
+    v = F.col("value")
+    return lines.withColumns({
+        "_err": L.is_error(v),
+        "_warn": L.is_warn(v),
+        "_version": L.spark_version(v),
+        "_platform": L.platform(v),
+        "_stage": L.failed_stage(v),
+        "_lost": L.executor_lost(v),
+        "_oom": L.oom(v),
+        "_shuffle": L.shuffle_failure(v),
+        "_retry": L.task_retry(v),
+    })
+
+
 def level_stats(lines: DataFrame) -> DataFrame:
     """Lines per level (level found anywhere in the line), per job (A1)."""
     return (
@@ -41,7 +63,7 @@ def failed_stages(lines: DataFrame) -> DataFrame:
     and only that bounded set is collected per job.
     """
     stages = (
-        lines.select("job_id", "line_no", L.failed_stage(F.col("value")).alias("stage"))
+        with_context_flags(lines).select("job_id", "line_no", F.col("_stage").alias("stage"))
         .filter(F.col("stage").isNotNull())
         .groupBy("job_id", "stage")
         .agg(F.min("line_no").alias("first_line"))
@@ -59,18 +81,7 @@ def job_context(lines: DataFrame) -> DataFrame:
     ``total_log_lines`` counts non-blank lines, as the analysis reports it.
     Jobs with no failed stage get an empty list.
     """
-    v = F.col("value")
-    per_line = lines.select(
-        "job_id", "line_no", "idx",
-        L.is_error(v).alias("_err"),
-        L.is_warn(v).alias("_warn"),
-        L.spark_version(v).alias("_version"),
-        L.platform(v).alias("_platform"),
-        L.executor_lost(v).alias("_lost"),
-        L.oom(v).alias("_oom"),
-        L.shuffle_failure(v).alias("_shuffle"),
-        L.task_retry(v).alias("_retry"),
-    )
+    per_line = with_context_flags(lines)
     counters = per_line.groupBy("job_id").agg(
         F.coalesce(_first_by_line(F.col("_platform")), F.lit("unknown")).alias("platform"),
         F.coalesce(_first_by_line(F.col("_version")), F.lit("unknown")).alias("spark_version"),

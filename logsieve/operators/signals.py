@@ -58,9 +58,9 @@ def stack_traces(classified: DataFrame, firsts: DataFrame, window: int = R.STACK
         "job_id", "label",
         F.explode(F.sequence(F.col("first_idx") + 1, F.col("first_idx") + window)).alias("idx"),
     )
-    stack_lines = classified.filter(
-        F.col("idx").isNotNull() & is_stack_line(F.col("value"))
-    ).select("job_id", "idx", py_strip(F.col("value")).alias("frame"))
+    flag = F.col("_stack") if "_stack" in classified.columns else is_stack_line(F.col("value"))
+    stack_lines = classified.filter(F.col("idx").isNotNull() & flag).select(
+        "job_id", "idx", py_strip(F.col("value")).alias("frame"))
     m = probes.join(stack_lines, ["job_id", "idx"], "inner")
     w = Window.partitionBy(*SIGNAL_KEY).orderBy("idx")
     runs = m.withColumn("_run", F.col("idx") - F.row_number().over(w))

@@ -8,12 +8,14 @@ job by their aggregates.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules as R
 from ..operators.classify import classify, with_level_anywhere
-from ..operators.context import job_context
+from ..functions.lines import is_stack_line
+from ..operators.context import job_context, with_context_flags
 from ..operators.signals import error_snippet, primary_signal, rank_signals, signal_summary, signals
 from ..operators.tail import error_subset, log_tail
 
@@ -36,20 +38,36 @@ def subset_lines(lines: DataFrame, rules=None, n: int = R.ERROR_SUBSET_LINES) ->
     )
 
 
-def analyze_parts(lines: DataFrame, rules=None) -> dict[str, DataFrame]:
-    """The per-job pieces of an analysis, for reuse by other plans."""
-    classified = classify(lines, rules)
+def annotate(lines: DataFrame, rules=None) -> DataFrame:
+    """Every per-line feature the analysis needs, in one projection: rule
+    label / category / severity, job-context flags and the stack-line flag.
+    Each regex runs once per line."""
+    a = classify(lines, rules)
+    a = with_context_flags(a)
+    return a.withColumn("_stack", F.col("idx").isNotNull() & is_stack_line(F.col("value")))
+
+
+def analyze_parts(lines: DataFrame, rules=None, persist: bool = True) -> dict[str, DataFrame]:
+    """The per-job pieces of an analysis, for reuse by other plans.
+
+    The annotated lines feed six aggregates; they are persisted (memory, then
+    local disk) so the source is read, numbered and matched once. Lost cache
+    blocks are recomputed from lineage.
+    """
+    classified = annotate(lines, rules)
+    if persist:
+        classified = classified.persist(StorageLevel.MEMORY_AND_DISK)
     sigs = signals(classified)
     ranked = rank_signals(sigs)
     return {
         "classified": classified,
-        "context": job_context(lines),
+        "context": job_context(classified),
         "signals": sigs,
         "ranked": ranked,
         "primary": primary_signal(sigs),
         "snippet": error_snippet(ranked),
         "summary": signal_summary(ranked),
-        "tail": log_tail(lines),
+        "tail": log_tail(classified),
     }
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import rules as R
-from ..functions.regex import py_strip
+from ..functions.regex import WS, py_strip
 from ..operators.numbering import number_lines
 
 # Airflow task log layout: {base}/{dag_id}/{task_id}/{execution_date}/{try_number}.log
@@ -146,9 +146,9 @@ def skip_tiny_lines(lines: DataFrame, min_chars: int = R.MIN_LOG_CHARS) -> DataF
     bounds = lines.groupBy("job_id").agg(
         F.min(F.when(nb, F.col("line_no"))).alias("_first"),
         F.max(F.when(nb, F.col("line_no"))).alias("_last"),
-        F.min_by(F.length(F.regexp_extract("value", r"(?U)^(\s*)", 1)),
+        F.min_by(F.length(F.regexp_extract("value", f"(?U)^({WS}*)", 1)),
                  F.when(nb, F.col("line_no"))).alias("_lead"),
-        F.max_by(F.length(F.regexp_extract("value", r"(?U)(\s*)\z", 1)),
+        F.max_by(F.length(F.regexp_extract("value", f"(?U)({WS}*)\\z", 1)),
                  F.when(nb, F.col("line_no"))).alias("_trail"),
     ).filter(F.col("_first").isNotNull())
     inner = lines.join(bounds, "job_id").filter(

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.regex import NON_WS
+
 # FIXED VALUES: the line boundaries of Python's str.splitlines.
 LINE_BREAKS = r"\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085\u2028\u2029]"
 _ENDS_WITH_BREAK = r"[\n\r\u000b\u000c\u001c\u001d\u001e\u0085\u2028\u2029]\z"
@@ -30,12 +32,12 @@ def lines_from_text(df: DataFrame, job_col: str = "job_id", text_col: str = "tex
                    split_lines(F.col(text_col)).alias("_parts"))
     z = F.transform(F.col("_parts"), lambda x, i: F.struct((i + 1).cast("bigint").alias("line_no"), x.alias("value")))
     nonblank = F.transform(
-        F.filter(z, lambda s: s["value"].rlike(r"(?U)\S")),
+        F.filter(z, lambda s: s["value"].rlike(f"(?U){NON_WS}")),
         lambda s, j: F.struct(s["line_no"].alias("line_no"), s["value"].alias("value"),
                               (j + 1).cast("bigint").alias("idx")),
     )
     blank = F.transform(
-        F.filter(z, lambda s: ~s["value"].rlike(r"(?U)\S")),
+        F.filter(z, lambda s: ~s["value"].rlike(f"(?U){NON_WS}")),
         lambda s: F.struct(s["line_no"].alias("line_no"), s["value"].alias("value"),
                            F.lit(None).cast("bigint").alias("idx")),
     )

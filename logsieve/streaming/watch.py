@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import rules as R
+from ..functions.regex import is_blank
 from ..operators.classify import classify
 from ..operators.numbering import number_lines
 from ..plans.triage import triage_table
@@ -82,8 +83,8 @@ def watch_logs(spark: SparkSession, path: str, out: str, glob: str = "*.log",
 
 def running_signal_counts(lines_stream: DataFrame, rules=None) -> DataFrame:
     """Hits per (job, label) over a stream of lines (Z4), for update-mode
-    sinks: count and the first path seen. ``lines_stream`` has job_id, value."""
-    nb = lines_stream.withColumn("idx", F.when(F.col("value").rlike(r"(?U)\S"), F.lit(1)))
+    sinks: hit count and severity. ``lines_stream`` has job_id, value."""
+    nb = lines_stream.withColumn("idx", F.when(~is_blank(F.col("value")), F.lit(1)))
     c = classify(nb, rules).filter(F.col("label").isNotNull())
     return c.groupBy("job_id", "label").agg(
         F.count(F.lit(1)).alias("n"),
