@@ -102,7 +102,8 @@ def q_top_evidence(spark, d):
 
 
 def q_stack_traces(spark, d):
-    cl = _classified(spark, d)
+    from pyspark import StorageLevel
+    cl = _classified(spark, d).persist(StorageLevel.MEMORY_AND_DISK)
     firsts = S.hits(cl).groupBy("job_id", "label").agg(F.min("idx").alias("first_idx"))
     return S.stack_traces(cl, firsts)
 

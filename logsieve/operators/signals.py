@@ -9,6 +9,7 @@ evidence list stays a long table (``evidence``).
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,10 +73,23 @@ def stack_traces(classified: DataFrame, firsts: DataFrame, window: int = R.STACK
 
 
 def signals(classified: DataFrame, evidence_cap: int = R.EVIDENCE_CAP,
-            stack_window: int = R.STACK_WINDOW) -> DataFrame:
+            stack_window: int = R.STACK_WINDOW, persist: bool = True) -> DataFrame:
     """One row per (job, label) (A4): category, severity, sev_rank, n (hits),
     first_idx, evidence (first ``evidence_cap`` stripped lines) and the stack
-    trace of the first hit (NULL if none)."""
+    trace of the first hit (NULL if none).
+
+    Counts, evidence and stacks are three reads of the input; with
+    ``persist`` the narrow part they need (labelled and stack lines only) is
+    cached once instead of recomputing the input three times.
+    """
+    if persist:
+        flag = F.col("_stack") if "_stack" in classified.columns else is_stack_line(F.col("value"))
+        classified = (
+            classified.select("job_id", "idx", "value", "label", "category", "severity",
+                              (F.col("idx").isNotNull() & flag).alias("_stack"))
+            .filter(F.col("label").isNotNull() | F.col("_stack"))
+            .persist(StorageLevel.MEMORY_AND_DISK)
+        )
     h = hits(classified)
     counts = h.groupBy(*SIGNAL_KEY).agg(
         F.min_by(F.col("category"), F.col("idx")).alias("category"),

@@ -57,7 +57,7 @@ def analyze_parts(lines: DataFrame, rules=None, persist: bool = True) -> dict[st
     classified = annotate(lines, rules)
     if persist:
         classified = classified.persist(StorageLevel.MEMORY_AND_DISK)
-    sigs = signals(classified)
+    sigs = signals(classified, persist=not persist)
     ranked = rank_signals(sigs)
     return {
         "classified": classified,

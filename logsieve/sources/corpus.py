@@ -67,17 +67,31 @@ def render_blocks(events: DataFrame) -> DataFrame:
     )
 
 
-def render_corpus(events: DataFrame, chunk_unit: str = "hour") -> DataFrame:
+def time_chunk(events: DataFrame, rows_per_chunk: int = 1_000_000, ts: str = "ts"):
+    """A chunk column monotone in ``ts``: seconds since the first event, cut
+    into slices that hold ``rows_per_chunk`` events on average over the whole
+    table. A job with a third of all events is spread over many slices; a
+    small table is one slice. Needs one global (min, max, count) aggregate."""
+    st = events.agg(F.min(ts).alias("lo"), F.max(ts).alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    if st is None or st["n"] == 0 or st["lo"] is None:
+        return F.lit(0)
+    span = max(1, int((st["hi"] - st["lo"]).total_seconds()) + 1)
+    width = max(1, -(-span * rows_per_chunk // st["n"]))
+    lo = st["lo"].isoformat(sep=" ")
+    return F.floor(F.expr(f"timestampdiff(SECOND, TIMESTAMP_NTZ'{lo}', {ts})") / F.lit(width))
+
+
+def render_corpus(events: DataFrame, rows_per_chunk: int = 1_000_000) -> DataFrame:
     """``lines``: job_id, line_no, idx, value - numbered exactly per job.
 
-    Numbering is chunked by ``date_trunc(chunk_unit, ts)`` so a job with a huge
+    Numbering is chunked by time slices (``time_chunk``) so a job with a huge
     share of the events is spread over many tasks (see ``number_lines``).
     """
     blocks = render_blocks(events)
     numbered = number_lines(
         blocks,
         keys=["job_id"],
-        chunk=F.date_trunc(chunk_unit, F.col("ts")),
+        chunk=time_chunk(events, rows_per_chunk),
         order=[F.col("ts"), F.col("event_id"), F.col("pos")],
     )
     return numbered.select("job_id", "line_no", "idx", "value")
