@@ -468,6 +468,18 @@ SELECT path, max(mtime) AS mtime FROM (SELECT * FROM l UNION ALL SELECT * FROM m
 SELECT failure_id, dag_id, task_id, run_id, execution_date, try_number, operator, hostname, log_url,
        exception FROM fctx""",
         "locate_logs": "WITH " + _failure_ctes() + "\nSELECT failure_id, log_path FROM flocated",
+        "triage_failures": _failure_triage_sql("""
+SELECT t.job_id, r.dag_id || '.' || r.task_id AS job_name, t.category, t.severity, t.failure_signature
+FROM triage t JOIN resolved r ON r.failure_id = t.job_id
+WHERE t.severity IN ('HIGH', 'CRITICAL')"""),
+        "enrich_notes": _failure_triage_sql("""
+SELECT t.job_id, t.category, t.confidence, t.severity, t.failure_signature, t.root_cause,
+       t.immediate_mitigation, t.permanent_fix, t.verify_steps, t.spark_config_recommendations,
+       t.incident_notes || '|dag_id=' || r.dag_id || '|task_id=' || r.task_id || '|run_id=' || r.run_id
+         || '|execution_date=' || r.execution_date || '|try_number=' || CAST(r.try_number AS VARCHAR)
+         || '|operator=' || r.operator || '|airflow_log_url=' || r.log_url AS incident_notes,
+       t.model_used, t.tokens_used, t.timestamp
+FROM triage t JOIN resolved r ON r.failure_id = t.job_id"""),
         "resolve_log_text": "WITH " + _failure_ctes() + f"""
 SELECT l.failure_id,
        coalesce(nullif(f.text, ''),
@@ -595,6 +607,24 @@ flocated AS (
   FROM fcand f)"""
 
 
+def _failure_triage_sql(body: str) -> str:
+    """Analysis and rule triage over the resolved failure texts."""
+    resolved = """
+resolved AS (
+  SELECT l.failure_id, l.dag_id, l.task_id, l.run_id, l.execution_date, l.try_number, l.operator,
+         l.log_url,
+         coalesce(nullif(f.text, ''),
+                  CASE WHEN l.exception <> '' THEN 'Airflow task failure — no log file found.' || chr(10)
+                       || 'DAG: ' || l.dag_id || ' | Task: ' || l.task_id || ' | Run: ' || l.run_id || chr(10)
+                       || 'Exception:' || chr(10) || l.exception END,
+                  'Airflow task ' || l.dag_id || '.' || l.task_id || ' failed. No log available.') AS log_text
+  FROM flocated l LEFT JOIN ffiles f ON f.path = l.log_path)"""
+    ctes = (_failure_ctes() + "," + resolved + "," + D.text_lines_sql("resolved", "failure_id", "log_text")
+            + ",\nlines AS (SELECT job_id, line_no, idx, value FROM text_lines)," + D.analysis_ctes()
+            + "," + _triage_sql_ctes())
+    return "WITH " + ctes + "\n" + body
+
+
 # --------------------------------------------------------------------------
 # Contract
 # --------------------------------------------------------------------------
