@@ -331,6 +331,40 @@ def q_watch_logs(spark, d):
     return spark.read.parquet(out).select("job_id", "recipient", "severity", "subject", "body")
 
 
+def q_analyze_error_subset(spark, d):
+    return flat_analysis(analyze(_lines(spark, d), as_of=AS_OF, scope="error_subset"))
+
+
+def q_classify_documents(spark, d):
+    lines = lines_from_text(_t(spark, d, "documents"), "doc_id", "text")
+    return S.hits(C.classify(lines)).select("job_id", "line_no", "label", "category", "severity")
+
+
+def _turns(spark, d):
+    conv = _t(spark, d, "conversations")
+    return conv.select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("job_id"),
+                       "text")
+
+
+def q_analyze_conversations(spark, d):
+    return flat_analysis(analyze(lines_from_text(_turns(spark, d), "job_id", "text"), as_of=AS_OF))
+
+
+def q_stream_signal_counts(spark, d):
+    import uuid
+
+    from logsieve.streaming.watch import running_signal_counts, stream_logs
+    src = _corpus_files(spark, d)
+    name = "signal_counts_" + uuid.uuid4().hex[:12]
+    from logsieve.session import scratch_path
+    stream = stream_logs(spark, src, glob="*.txt").withColumn("job_id", FS.job_column(F.col("path"), "dir"))
+    q = (running_signal_counts(stream).writeStream.outputMode("complete").format("memory").queryName(name)
+         .option("checkpointLocation", scratch_path(spark, f"stream_counts/{name}"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.table(name).select("job_id", "label", "n", "severity")
+
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "number_lines": q_number_lines,
     "parse_lines": q_parse_lines,
@@ -374,6 +408,10 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "triage_failures": q_triage_failures,
     "read_logs": q_read_logs,
     "watch_logs": q_watch_logs,
+    "analyze_error_subset": q_analyze_error_subset,
+    "classify_documents": q_classify_documents,
+    "analyze_conversations": q_analyze_conversations,
+    "stream_signal_counts": q_stream_signal_counts,
 }
 
 
@@ -435,6 +473,18 @@ WHERE r <= {R.ERROR_SUBSET_LINES}"""),
         "triage_report": W("SELECT job_id, recipient, severity, subject, body FROM outbox", _triage_sql_ctes()),
         "watch_logs": W("SELECT job_id, recipient, severity, subject, body FROM outbox", _triage_sql_ctes()),
         "read_logs": W("SELECT job_id, line_no, idx, value FROM lines"),
+        "stream_signal_counts": W("SELECT job_id, label, count(*) AS n, any_value(severity) AS severity "
+                                  "FROM hits GROUP BY job_id, label"),
+        "analyze_error_subset": _error_subset_sql(),
+        "classify_documents": "WITH " + D.text_lines_sql("documents", "doc_id", "text")
+                              + ",\nlines AS (SELECT job_id, line_no, idx, value FROM text_lines),"
+                              + D.analysis_ctes()
+                              + "\nSELECT job_id, line_no, label, category, severity FROM hits",
+        "analyze_conversations": "WITH turns AS (SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR)"
+                                 " AS job_id, text FROM conversations),"
+                                 + D.text_lines_sql("turns", "job_id", "text")
+                                 + ",\nlines AS (SELECT job_id, line_no, idx, value FROM text_lines),"
+                                 + D.analysis_ctes() + "\n" + _FLAT_ANALYSIS_SELECT,
         "build_prompt": W(_prompt_sql()),
         "lines_from_text": "WITH " + D.text_lines_sql("documents", "doc_id", "text")
                            + "\nSELECT job_id, line_no, idx, value FROM text_lines",
@@ -607,6 +657,43 @@ flocated AS (
   FROM fcand f)"""
 
 
+_FLAT_ANALYSIS_SELECT = (
+    "SELECT job_id, platform, spark_version, total_log_lines, error_count, warn_count, "
+    "executors_lost, oom_events, shuffle_failures, task_retries, failed_stages, "
+    "primary_label, primary_category, primary_severity, n_signals, signal_list, "
+    "raw_error_snippet, log_tail FROM analysis")
+
+
+def _error_subset_sql() -> str:
+    """Analysis of the first 150 error lines per job (the Spark-path scope):
+    the analysis CTEs run again in a nested scope where ``lines`` is the
+    renumbered subset; tail and total come from all lines."""
+    sub = f"""
+sub_src AS (
+  SELECT job_id, CAST(k AS BIGINT) AS line_no, CAST(k AS BIGINT) AS idx, value FROM (
+    SELECT job_id, value, row_number() OVER (PARTITION BY job_id ORDER BY line_no) AS k
+    FROM (SELECT *, {_level_anywhere_sql()} AS level FROM labelled)
+    WHERE level IN ('ERROR', 'FATAL') OR label IS NOT NULL)
+  WHERE k <= {R.ERROR_SUBSET_LINES}),
+full_tail AS (
+  SELECT job_id, string_agg(value, chr(10) ORDER BY line_no) AS log_tail FROM (
+    SELECT job_id, line_no, value, row_number() OVER (PARTITION BY job_id ORDER BY line_no DESC) AS r
+    FROM lines) WHERE r <= {R.TAIL_LINES} GROUP BY job_id),
+totals AS (SELECT job_id, count(*) AS total FROM lines GROUP BY job_id)"""
+    inner = ("(WITH lines AS (SELECT * FROM sub_src)," + D.analysis_ctes() + "\nSELECT * FROM analysis)")
+    body = f"""
+SELECT t.job_id, coalesce(a.platform, 'unknown') AS platform,
+       coalesce(a.spark_version, 'unknown') AS spark_version, t.total AS total_log_lines,
+       coalesce(a.error_count, 0) AS error_count, coalesce(a.warn_count, 0) AS warn_count,
+       coalesce(a.executors_lost, 0) AS executors_lost, coalesce(a.oom_events, 0) AS oom_events,
+       coalesce(a.shuffle_failures, 0) AS shuffle_failures, coalesce(a.task_retries, 0) AS task_retries,
+       coalesce(a.failed_stages, '') AS failed_stages, a.primary_label, a.primary_category,
+       a.primary_severity, coalesce(a.n_signals, 0) AS n_signals, coalesce(a.signal_list, '') AS signal_list,
+       coalesce(a.raw_error_snippet, '') AS raw_error_snippet, coalesce(ft.log_tail, '') AS log_tail
+FROM totals t LEFT JOIN {inner} a USING (job_id) LEFT JOIN full_tail ft USING (job_id)"""
+    return D.with_corpus(body, sub)
+
+
 def _failure_triage_sql(body: str) -> str:
     """Analysis and rule triage over the resolved failure texts."""
     resolved = """
