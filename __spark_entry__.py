@@ -331,6 +331,10 @@ def q_watch_logs(spark, d):
     return spark.read.parquet(out).select("job_id", "recipient", "severity", "subject", "body")
 
 
+def q_tail_bytes_lines(spark, d):
+    return FS.tail_bytes_lines(_lines(spark, d))
+
+
 def q_analyze_error_subset(spark, d):
     return flat_analysis(analyze(_lines(spark, d), as_of=AS_OF, scope="error_subset"))
 
@@ -412,6 +416,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "classify_documents": q_classify_documents,
     "analyze_conversations": q_analyze_conversations,
     "stream_signal_counts": q_stream_signal_counts,
+    "tail_bytes_lines": q_tail_bytes_lines,
 }
 
 
@@ -476,6 +481,10 @@ WHERE r <= {R.ERROR_SUBSET_LINES}"""),
         "stream_signal_counts": W("SELECT job_id, label, count(*) AS n, any_value(severity) AS severity "
                                   "FROM hits GROUP BY job_id, label"),
         "analyze_error_subset": _error_subset_sql(),
+        "tail_bytes_lines": W(f"""
+SELECT job_id, CASE WHEN sum(octet_length(encode(value)) + 1) <= {R.TAIL_BYTES}
+                    THEN string_agg(value, chr(10) ORDER BY line_no) || chr(10) END AS text
+FROM lines GROUP BY job_id"""),
         "classify_documents": "WITH " + D.text_lines_sql("documents", "doc_id", "text")
                               + ",\nlines AS (SELECT job_id, line_no, idx, value FROM text_lines),"
                               + D.analysis_ctes()

@@ -122,11 +122,26 @@ def changed_files(listing: DataFrame, manifest: DataFrame) -> tuple[DataFrame, D
     return changed, new_manifest
 
 
+def decode_cut(b: Column) -> Column:
+    """Decode UTF-8 bytes whose start may cut a character: each leading
+    continuation byte (at most three) becomes U+FFFD, as Python's
+    ``errors="replace"`` does; the rest is whole characters."""
+    def cont(i):
+        x = F.conv(F.hex(F.substring(b, i, 1)), 16, 10).cast("int")
+        return (x >= 128) & (x < 192)
+
+    k = F.when(cont(1), F.when(cont(2), F.when(cont(3), F.lit(3)).otherwise(F.lit(2))).otherwise(F.lit(1))) \
+        .otherwise(F.lit(0))
+    rest = F.substring(b, k + 1, F.octet_length(b))
+    return F.concat(F.repeat(F.lit("\ufffd"), k), F.decode(rest, "UTF-8"))
+
+
 def tail_bytes(text: Column, max_bytes: int = R.TAIL_BYTES) -> Column:
     """The last ``max_bytes`` bytes of a text, decoded again as UTF-8 (S8);
     the first character may be cut and is then replaced."""
     b = F.encode(text, "UTF-8")
-    return F.decode(F.substring(b, -max_bytes, max_bytes), "UTF-8")
+    return F.when(F.octet_length(text) <= max_bytes, text).otherwise(
+        decode_cut(F.substring(b, -max_bytes, max_bytes)))
 
 
 def stripped_length(text: Column) -> Column:
@@ -159,3 +174,45 @@ def skip_tiny_lines(lines: DataFrame, min_chars: int = R.MIN_LOG_CHARS) -> DataF
          - F.max("_lead") - F.max("_trail")).alias("_len")
     ).filter(F.col("_len") >= min_chars)
     return lines.join(sizes.select("job_id"), "job_id", "left_semi")
+
+
+def tail_bytes_lines(lines: DataFrame, max_bytes: int = R.TAIL_BYTES,
+                     chunk_lines: int = 1 << 20) -> DataFrame:
+    """The last ``max_bytes`` bytes of each log held as a lines table (S8),
+    as text per job: ``job_id, text``.
+
+    The file is taken to be the lines, each ended by one newline. Bytes after
+    each line are a suffix sum, computed in two levels (running sums inside
+    chunks of ``chunk_lines`` lines, plus per-chunk offsets) so a huge log is
+    spread over many tasks. Only lines that reach into the last ``max_bytes``
+    are kept; the first of them is cut to its last bytes and decoded again
+    (a cut character becomes U+FFFD). What is gathered per job is bounded by
+    ``max_bytes``.
+    """
+    b = (F.octet_length("value") + F.lit(1)).cast("long")
+    df = lines.select("job_id", "line_no", "value", b.alias("_b"),
+                      F.floor((F.col("line_no") - 1) / F.lit(chunk_lines)).alias("_chunk"))
+    from pyspark.sql import Window
+    w = Window.partitionBy("job_id", "_chunk").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    local = df.withColumn("_cum", F.sum("_b").over(w))
+    sizes = local.groupBy("job_id", "_chunk").agg(F.max("_cum").alias("_cb"))
+    before = Window.partitionBy("job_id").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(
+        "job_id", "_chunk",
+        F.coalesce(F.sum("_cb").over(before), F.lit(0)).alias("_off"),
+        F.sum("_cb").over(Window.partitionBy("job_id")).alias("_total"),
+    )
+    j = local.join(offsets, ["job_id", "_chunk"])
+    after = F.col("_total") - F.col("_off") - F.col("_cum")        # bytes after this line
+    keep = F.lit(max_bytes) - after                                  # bytes of this line (+ newline) kept
+    cut = F.when(keep - 1 <= 0, F.lit("")).otherwise(
+        decode_cut(F.substring(F.encode("value", "UTF-8"), -(keep - 1), keep - 1)))
+    kept = j.filter(after < F.lit(max_bytes)).select(
+        "job_id", "line_no", F.when(keep >= F.col("_b"), F.col("value")).otherwise(cut).alias("value"))
+    return kept.groupBy("job_id").agg(
+        F.concat(
+            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "value"))),
+                                     lambda s: s["value"]), "\n"),
+            F.lit("\n"),
+        ).alias("text")
+    )

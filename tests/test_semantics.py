@@ -159,3 +159,14 @@ def test_failure_context_and_log_text(spark):
     assert res["1"] == "log text"
     assert res["2"] == "Airflow task d2.unknown failed. No log available."
     assert res["3"] == "Airflow task failure — no log file found.\nDAG: unknown | Task: unknown | Run: manual\nException:\nboom"
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from(list("ab é€\t")), max_size=12), min_size=1, max_size=12),
+       st.integers(min_value=1, max_value=40), st.integers(min_value=1, max_value=4))
+def test_tail_bytes_lines_match_python(spark, lines, max_bytes, chunk):
+    from logsieve.sources.files import tail_bytes_lines
+    df = spark.createDataFrame([("j", i + 1, v) for i, v in enumerate(lines)], "job_id string, line_no long, value string")
+    got = tail_bytes_lines(df, max_bytes, chunk_lines=chunk).first().text
+    raw = "".join(v + "\n" for v in lines).encode()
+    assert got == raw[-max_bytes:].decode("utf-8", errors="replace")
