@@ -153,3 +153,36 @@ def signal_summary(ranked: DataFrame) -> DataFrame:
         F.transform(F.array_sort(F.collect_list(s)),
                     lambda x: x.dropFields("signal_rank")).alias("all_signals")
     )
+
+
+SIGNAL_FIELDS = ["label", "category", "severity", "n", "first_idx", "evidence", "stack_trace"]
+
+
+def signal_rollup(sigs: DataFrame, n_signals: int = R.SNIPPET_SIGNALS,
+                  n_evidence: int = R.SNIPPET_EVIDENCE,
+                  stack_chars: int = R.SNIPPET_STACK_CHARS) -> DataFrame:
+    """Everything the analysis needs from the signals of a job, in one
+    aggregation: all_signals (rank order: severity, then first hit),
+    primary (rank 1, NULL if none) and raw_error_snippet (T1).
+
+    A job has at most one signal per rule, so the collected array is bounded
+    by the size of the rule table; the signals are read once.
+    """
+    ordered = F.array_sort(F.collect_list(F.struct(
+        F.col("sev_rank").alias("_rank"), F.col("first_idx").alias("_first"), *SIGNAL_FIELDS)))
+    g = sigs.groupBy("job_id").agg(ordered.alias("_s"))
+    strip = lambda x: F.struct(*[x[f].alias(f) for f in SIGNAL_FIELDS])
+    parts = F.transform(
+        F.slice(F.col("_s"), 1, n_signals),
+        lambda x: F.concat(
+            F.slice(x["evidence"], 1, n_evidence),
+            F.when(F.length(x["stack_trace"]) > 0, F.array(F.substring(x["stack_trace"], 1, stack_chars)))
+            .otherwise(F.array().cast("array<string>")),
+        ),
+    )
+    return g.select(
+        "job_id",
+        F.transform("_s", strip).alias("all_signals"),
+        strip(F.get(F.col("_s"), 0)).alias("primary"),
+        F.array_join(F.flatten(parts), "\n").alias("raw_error_snippet"),
+    )

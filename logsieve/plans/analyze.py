@@ -16,7 +16,8 @@ from .. import rules as R
 from ..operators.classify import classify, with_level_anywhere
 from ..functions.lines import is_stack_line
 from ..operators.context import job_context, with_context_flags
-from ..operators.signals import error_snippet, primary_signal, rank_signals, signal_summary, signals
+from ..operators.signals import (error_snippet, primary_signal, rank_signals, signal_rollup,
+                                 signal_summary, signals)
 from ..operators.tail import error_subset, log_tail
 
 CONTEXT_FIELDS = [
@@ -58,15 +59,11 @@ def analyze_parts(lines: DataFrame, rules=None, persist: bool = True) -> dict[st
     if persist:
         classified = classified.persist(StorageLevel.MEMORY_AND_DISK)
     sigs = signals(classified, persist=not persist)
-    ranked = rank_signals(sigs)
     return {
         "classified": classified,
         "context": job_context(classified),
         "signals": sigs,
-        "ranked": ranked,
-        "primary": primary_signal(sigs),
-        "snippet": error_snippet(ranked),
-        "summary": signal_summary(ranked),
+        "rollup": signal_rollup(sigs),
         "tail": log_tail(classified),
     }
 
@@ -107,12 +104,7 @@ def analyze(lines: DataFrame, rules=None, as_of: str = "1970-01-01T00:00:00",
     else:
         raise ValueError(f"unknown scope {scope!r}")
 
-    joined = (
-        ctx.join(parts["primary"], "job_id", "left")
-        .join(parts["summary"], "job_id", "left")
-        .join(parts["snippet"], "job_id", "left")
-        .join(tail, "job_id", "left")
-    )
+    joined = ctx.join(parts["rollup"], "job_id", "left").join(tail, "job_id", "left")
     return joined.select(
         "job_id",
         F.struct(
