@@ -12,10 +12,21 @@ LINE_BREAKS = r"\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085\u2028\u2029]"
 _ENDS_WITH_BREAK = r"[\n\r\u000b\u000c\u001c\u001d\u001e\u0085\u2028\u2029]\z"
 
 
+_OTHER_BREAKS = r"[\r\u000b\u000c\u001c\u001d\u001e\u0085\u2028\u2029]"
+
+
 def split_lines(text: Column) -> Column:
     """``text.splitlines()`` as an array: no empty piece after a final break,
-    and no lines at all for ''."""
-    parts = F.split(text, LINE_BREAKS, -1)
+    and no lines at all for ''. Texts with only '\n' breaks (the usual case)
+    take Java's single-character split; others the full break pattern."""
+    return _trim_pieces(text, _pieces(text))
+
+
+def _pieces(text: Column) -> Column:
+    return F.when(text.rlike(_OTHER_BREAKS), F.split(text, LINE_BREAKS, -1)).otherwise(F.split(text, "\n", -1))
+
+
+def _trim_pieces(text: Column, parts: Column) -> Column:
     n = F.size(parts) - F.when(text.rlike(_ENDS_WITH_BREAK), 1).otherwise(0)
     return F.when(text == "", F.array().cast("array<string>")).otherwise(F.slice(parts, 1, n))
 
@@ -28,16 +39,23 @@ def lines_from_text(df: DataFrame, job_col: str = "job_id", text_col: str = "tex
     the position, idx the position among non-blank lines. No shuffle.
     """
     keep = keep or []
+    # Split once, then trim the pieces in a second projection.
     df = df.select(F.col(job_col).cast("string").alias("job_id"), *keep,
-                   split_lines(F.col(text_col)).alias("_parts"))
-    z = F.transform(F.col("_parts"), lambda x, i: F.struct((i + 1).cast("bigint").alias("line_no"), x.alias("value")))
+                   F.col(text_col).alias("_text"), _pieces(F.col(text_col)).alias("_raw"))
+    df = df.select("job_id", *keep, _trim_pieces(F.col("_text"), F.col("_raw")).alias("_parts"))
+    df = df.select("job_id", *keep, F.transform(
+        F.col("_parts"),
+        lambda x, i: F.struct((i + 1).cast("bigint").alias("line_no"), x.alias("value"),
+                              x.rlike(f"(?U){NON_WS}").alias("nb")),
+    ).alias("_z"))
+    z = F.col("_z")
     nonblank = F.transform(
-        F.filter(z, lambda s: s["value"].rlike(f"(?U){NON_WS}")),
+        F.filter(z, lambda s: s["nb"]),
         lambda s, j: F.struct(s["line_no"].alias("line_no"), s["value"].alias("value"),
                               (j + 1).cast("bigint").alias("idx")),
     )
     blank = F.transform(
-        F.filter(z, lambda s: ~s["value"].rlike(f"(?U){NON_WS}")),
+        F.filter(z, lambda s: ~s["nb"]),
         lambda s: F.struct(s["line_no"].alias("line_no"), s["value"].alias("value"),
                            F.lit(None).cast("bigint").alias("idx")),
     )
