@@ -54,9 +54,12 @@ def is_warn(value: Column) -> Column:
 
 
 def spark_version(value: Column) -> Column:
-    """Version from the first match of the three forms, or NULL."""
+    """Version from the first match of the three forms, or NULL.
+
+    Every form contains the word 'spark', so the three extractions only run
+    on lines where a case-insensitive search for it succeeds."""
     p = R.SPARK_VERSION_PATTERN
-    return F.coalesce(*[first_group(value, p, k) for k in (1, 2, 3)])
+    return F.when(value.rlike(ci("spark")), F.coalesce(*[first_group(value, p, k) for k in (1, 2, 3)]))
 
 
 def platform(value: Column) -> Column:
