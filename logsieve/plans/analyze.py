@@ -48,6 +48,13 @@ def annotate(lines: DataFrame, rules=None) -> DataFrame:
     return a.withColumn("_stack", F.col("idx").isNotNull() & is_stack_line(F.col("value")))
 
 
+def release(df: DataFrame) -> None:
+    """Unpersist what ``analyze`` cached for ``df`` (call after its last
+    action; a long-running session otherwise keeps the blocks)."""
+    for c in getattr(df, "_logsieve_cached", []):
+        c.unpersist()
+
+
 def analyze_parts(lines: DataFrame, rules=None, persist: bool = True) -> dict[str, DataFrame]:
     """The per-job pieces of an analysis, for reuse by other plans.
 
@@ -105,7 +112,7 @@ def analyze(lines: DataFrame, rules=None, as_of: str = "1970-01-01T00:00:00",
         raise ValueError(f"unknown scope {scope!r}")
 
     joined = ctx.join(parts["rollup"], "job_id", "left").join(tail, "job_id", "left")
-    return joined.select(
+    out = joined.select(
         "job_id",
         F.struct(
             F.col("job_id").alias("job_name"), "platform", "spark_version", "total_log_lines",
@@ -120,6 +127,8 @@ def analyze(lines: DataFrame, rules=None, as_of: str = "1970-01-01T00:00:00",
         F.coalesce("log_tail", F.lit("")).alias("log_tail"),
         F.lit(as_of).alias("timestamp"),
     )
+    out._logsieve_cached = [parts["classified"]]
+    return out
 
 
 def flat_analysis(analysis: DataFrame) -> DataFrame:

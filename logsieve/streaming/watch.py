@@ -23,7 +23,7 @@ from ..operators.classify import classify
 from ..operators.numbering import number_lines
 from ..plans.triage import triage_table
 from ..operators import report as RP
-from ..plans.analyze import analyze
+from ..plans.analyze import analyze, release
 from ..session import scratch_path
 from ..sources.files import job_column, skip_tiny_lines
 
@@ -58,8 +58,10 @@ def triage_batch(lines: DataFrame, as_of: str, rules=None, recipients: str | Non
     kept = skip_tiny_lines(lines, min_chars)
     a = analyze(kept, rules, as_of=as_of)
     alerts = RP.alert_text(RP.alert_gate(triage_table(a), severities))
-    return RP.alert_outbox(alerts, recipients or R.DEFAULT_RECIPIENTS).select(
+    out = RP.alert_outbox(alerts, recipients or R.DEFAULT_RECIPIENTS).select(
         "job_id", "recipient", "severity", "subject", "body")
+    out._logsieve_cached = getattr(a, "_logsieve_cached", [])
+    return out
 
 
 def watch_logs(spark: SparkSession, path: str, out: str, glob: str = "*.log",
@@ -75,6 +77,7 @@ def watch_logs(spark: SparkSession, path: str, out: str, glob: str = "*.log",
         stamp = as_of or batch.sparkSession.sql("SELECT string(current_timestamp())").first()[0]
         rows = triage_batch(number_batch(batch, job), stamp, rules, recipients)
         rows.write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch_id={batch_id}")
+        release(rows)
 
     w = stream_logs(spark, path, glob).writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=interval)
