@@ -187,7 +187,7 @@ def _replies(spark, d):
     fenced JSON, JSON inside prose, a JSON list, keys missing or null, prose."""
     tri = RP.rule_triage(_analysis(spark, d))
     js = F.to_json(F.struct(*[c for c in RP.TRIAGE_COLUMNS if c not in ("job_id", "model_used", "tokens_used", "timestamp")]))
-    k = F.abs(F.hash("job_id")) % 7
+    k = F.regexp_extract("job_id", r"(\d+)$", 1).cast("bigint") % 7
     raw = (
         F.when(k == 0, js)
         .when(k == 1, F.concat(F.lit("```json\n"), js, F.lit("\n```")))
@@ -481,6 +481,42 @@ WHERE r <= {R.ERROR_SUBSET_LINES}"""),
         "stream_signal_counts": W("SELECT job_id, label, count(*) AS n, any_value(severity) AS severity "
                                   "FROM hits GROUP BY job_id, label"),
         "analyze_error_subset": _error_subset_sql(),
+        "analysis_json": W(f"""
+SELECT job_id, to_json({{
+  'job_context': {{'job_name': job_id, 'platform': platform, 'spark_version': spark_version,
+                  'total_log_lines': total_log_lines, 'error_count': error_count, 'warn_count': warn_count,
+                  'failed_stages': stage_list, 'executors_lost': executors_lost, 'oom_events': oom_events,
+                  'shuffle_failures': shuffle_failures, 'task_retries': task_retries,
+                  'duration_seconds': CAST(NULL AS DOUBLE), 'start_time': CAST(NULL AS VARCHAR),
+                  'end_time': CAST(NULL AS VARCHAR)}},
+  'primary_signal': primary_dict,
+  'all_signals': coalesce(signal_dicts, []),
+  'raw_error_snippet': raw_error_snippet,
+  'timestamp': {D.q(AS_OF)}}})::VARCHAR AS json
+FROM analysis"""),
+        "triage_json": W(f"""
+SELECT t.job_id, to_json({{
+  'category': t.category, 'confidence': t.confidence, 'severity': t.severity,
+  'failure_signature': t.failure_signature, 'root_cause': t.root_cause,
+  'immediate_mitigation': {_sql_list(R.RULE_TRIAGE_MITIGATION)}, 'permanent_fix': {_sql_list(R.RULE_TRIAGE_FIX)},
+  'verify_steps': {_sql_list(R.RULE_TRIAGE_VERIFY)},
+  'spark_config_recommendations': {_sql_map(R.RULE_TRIAGE_CONFIG)},
+  'incident_notes': {_sql_map(R.RULE_TRIAGE_NOTES)},
+  'model_used': t.model_used, 'tokens_used': t.tokens_used, 'timestamp': t.timestamp,
+  'job_context': {{'job_name': a.job_id, 'platform': a.platform, 'spark_version': a.spark_version,
+                  'total_log_lines': a.total_log_lines, 'error_count': a.error_count, 'warn_count': a.warn_count,
+                  'failed_stages': a.stage_list, 'executors_lost': a.executors_lost, 'oom_events': a.oom_events,
+                  'shuffle_failures': a.shuffle_failures, 'task_retries': a.task_retries}}}})::VARCHAR AS json
+FROM triage t JOIN analysis a USING (job_id)""", _triage_sql_ctes()),
+        "parse_response": _replies_sql(
+            "SELECT job_id, category, confidence, severity, failure_signature, root_cause, immediate_mitigation, "
+            "permanent_fix, verify_steps, spark_config_recommendations, incident_notes, model_used, tokens_used, "
+            "timestamp FROM reply_triage"),
+        "triage_defaults": _replies_sql(
+            "SELECT job_id, parsed, category, confidence, severity, failure_signature, "
+            "CASE WHEN parsed THEN n_fix_obj ELSE 1 END AS n_fix, "
+            "CASE WHEN NOT parsed THEN 3 WHEN incident_notes = '' THEN 0 "
+            "ELSE len(string_split(incident_notes, '|')) END AS n_notes FROM reply_triage"),
         "tail_bytes_lines": W(f"""
 SELECT job_id, CASE WHEN sum(octet_length(encode(value)) + 1) <= {R.TAIL_BYTES}
                     THEN string_agg(value, chr(10) ORDER BY line_no) || chr(10) END AS text
@@ -703,6 +739,90 @@ FROM totals t LEFT JOIN {inner} a USING (job_id) LEFT JOIN full_tail ft USING (j
     return D.with_corpus(body, sub)
 
 
+def _sql_list(xs) -> str:
+    return "[" + ", ".join(D.q(x) for x in xs) + "]"
+
+
+def _sql_map(kv) -> str:
+    return "MAP {" + ", ".join(f"{D.q(k)}: {D.q(v)}" for k, v in kv) + "}"
+
+
+def _replies_sql(body: str) -> str:
+    """The derived model replies and their parsing, over the rule triage."""
+    q = D.q
+
+    def arr(xs):
+        return "[" + ", ".join(q(x) for x in xs) + "]"
+
+    def mp(kv):
+        return "MAP {" + ", ".join(f"{q(k)}: {q(v)}" for k, v in kv) + "}"
+
+    strip = lambda c: D.strip(c)
+
+    def fmap(path):
+        return (f"array_to_string(list_transform(map_entries(CAST(json_extract(jt, '$.{path}') "
+                f"AS MAP(VARCHAR, VARCHAR))), lambda e: e.key || '=' || e.value), '|')")
+
+    def present(key):
+        return f"json_exists(jt, '$.{key}')"
+
+    def text(key, default):
+        return f"CASE WHEN {present(key)} THEN json_extract_string(jt, '$.{key}') ELSE {q(default)} END"
+
+    def lst(key):
+        return f"CASE WHEN {present(key)} THEN array_to_string(CAST(json_extract(jt, '$.{key}') AS VARCHAR[]), '|') ELSE '' END"
+
+    span = "regexp_extract(c, '(?s)(\\{.*\\})', 1)"
+    ctes = f"""
+replies AS (
+  SELECT job_id, failure_signature,
+         json_object('category', category, 'confidence', confidence, 'severity', severity,
+                     'failure_signature', failure_signature, 'root_cause', root_cause,
+                     'immediate_mitigation', {arr(R.RULE_TRIAGE_MITIGATION)},
+                     'permanent_fix', {arr(R.RULE_TRIAGE_FIX)}, 'verify_steps', {arr(R.RULE_TRIAGE_VERIFY)},
+                     'spark_config_recommendations', {mp(R.RULE_TRIAGE_CONFIG)},
+                     'incident_notes', {mp(R.RULE_TRIAGE_NOTES)})::VARCHAR AS js,
+         CAST(regexp_extract(job_id, '(\\d+)$', 1) AS BIGINT) % 7 AS k
+  FROM triage),
+raw_replies AS (
+  SELECT job_id, CAST(length(js) // 4 AS BIGINT) AS tokens,
+         CASE k WHEN 0 THEN js
+                WHEN 1 THEN '```json' || chr(10) || js || chr(10) || '```'
+                WHEN 2 THEN 'Here is the triage: ' || js || ' Thanks.'
+                WHEN 3 THEN '[' || js || ']'
+                WHEN 4 THEN '{{"category": "Infra", "severity": null, "permanent_fix": ["a", "b"]}}'
+                WHEN 5 THEN 'No JSON here, only prose about ' || failure_signature
+                ELSE '' END AS raw
+  FROM replies),
+cleaned AS (
+  SELECT job_id, tokens, {strip("replace(replace(" + strip("raw") + ", '```json', ''), '```', '')")} AS c
+  FROM raw_replies),
+parsed_replies AS (
+  SELECT job_id, tokens, c,
+         CASE WHEN json_valid(c) THEN CASE WHEN json_type(c) = 'OBJECT' THEN c END
+              WHEN json_valid({span}) AND json_type({span}) = 'OBJECT' THEN {span} END AS jt
+  FROM cleaned),
+reply_triage AS (
+  SELECT job_id, jt IS NOT NULL AS parsed,
+         CASE WHEN jt IS NOT NULL THEN {text("category", "Spark")} ELSE 'Spark' END AS category,
+         CASE WHEN jt IS NOT NULL THEN {text("confidence", "Medium")} ELSE 'Low' END AS confidence,
+         CASE WHEN jt IS NOT NULL THEN {text("severity", "HIGH")} ELSE 'HIGH' END AS severity,
+         CASE WHEN jt IS NOT NULL THEN {text("failure_signature", "Unknown failure")} ELSE left(c, 200) END AS failure_signature,
+         CASE WHEN jt IS NOT NULL THEN {text("root_cause", "")} ELSE left(c, 500) END AS root_cause,
+         CASE WHEN jt IS NOT NULL THEN {lst("immediate_mitigation")} ELSE {q("|".join(R.FALLBACK_MITIGATION))} END AS immediate_mitigation,
+         CASE WHEN jt IS NOT NULL THEN {lst("permanent_fix")} ELSE {q("|".join(R.FALLBACK_FIX))} END AS permanent_fix,
+         CASE WHEN jt IS NOT NULL THEN {lst("verify_steps")} ELSE {q("|".join(R.FALLBACK_VERIFY))} END AS verify_steps,
+         CASE WHEN jt IS NOT NULL AND {present("spark_config_recommendations")} THEN {fmap("spark_config_recommendations")} ELSE '' END
+           AS spark_config_recommendations,
+         CASE WHEN jt IS NULL THEN {q("|".join(k + "=" + v for k, v in R.FALLBACK_NOTES))}
+              WHEN {present("incident_notes")} THEN {fmap("incident_notes")} ELSE '' END AS incident_notes,
+         CASE WHEN jt IS NULL THEN 0 WHEN {present("permanent_fix")}
+              THEN len(CAST(json_extract(jt, '$.permanent_fix') AS VARCHAR[])) ELSE 0 END AS n_fix_obj,
+         'replay' AS model_used, tokens AS tokens_used, {q(AS_OF)} AS timestamp
+  FROM parsed_replies)"""
+    return D.with_corpus(body, _triage_sql_ctes() + "," + ctes)
+
+
 def _failure_triage_sql(body: str) -> str:
     """Analysis and rule triage over the resolved failure texts."""
     resolved = """

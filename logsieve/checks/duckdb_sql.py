@@ -98,7 +98,7 @@ ev_ranked AS (
 ev5 AS (
   SELECT job_id, label, string_agg(line, chr(10) ORDER BY rank) AS evidence,
          string_agg(CASE WHEN rank <= {R.SNIPPET_EVIDENCE} THEN line END, chr(10) ORDER BY rank) AS evidence2,
-         arg_min(line, rank) AS evidence1
+         arg_min(line, rank) AS evidence1, list(line ORDER BY rank) AS evidence_list
   FROM ev_ranked WHERE rank <= {R.EVIDENCE_CAP} GROUP BY job_id, label),
 probes AS (
   SELECT job_id, label, UNNEST(range(first_idx + 1, first_idx + {R.STACK_WINDOW} + 1)) AS p FROM sig),
@@ -116,12 +116,13 @@ stacks AS (
 signals AS (
   SELECT s.job_id, s.label, s.category, s.severity,
          list_position({SEV_ORDER}, s.severity) - 1 AS sev_rank, s.n, s.first_idx,
-         e.evidence, e.evidence2, e.evidence1, st.stack_trace
+         e.evidence, e.evidence2, e.evidence1, e.evidence_list, st.stack_trace
   FROM sig s LEFT JOIN ev5 e USING (job_id, label) LEFT JOIN stacks st USING (job_id, label)),
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY sev_rank, first_idx) AS signal_rank FROM signals),
 stages AS (
-  SELECT job_id, string_agg(stage, ',' ORDER BY first_line) AS failed_stages FROM (
+  SELECT job_id, string_agg(stage, ',' ORDER BY first_line) AS failed_stages,
+         list(stage ORDER BY first_line) AS stage_list FROM (
     SELECT job_id, stage, min(line_no) AS first_line FROM (
       SELECT job_id, line_no, regexp_extract(value, {q('(?i)' + R.STAGE_FAIL_PATTERN)}, 1) AS stage FROM lines)
     WHERE stage <> '' GROUP BY job_id, stage)
@@ -146,7 +147,9 @@ ctx0 AS (
          count(*) FILTER (WHERE regexp_matches(value, {q(R.TASK_RETRY_PATTERN)}, 'i')) AS task_retries
   FROM ctx_lines GROUP BY job_id),
 ctx AS (
-  SELECT c.*, coalesce(s.failed_stages, '') AS failed_stages FROM ctx0 c LEFT JOIN stages s USING (job_id)),
+  SELECT c.*, coalesce(s.failed_stages, '') AS failed_stages,
+         coalesce(s.stage_list, CAST([] AS VARCHAR[])) AS stage_list
+  FROM ctx0 c LEFT JOIN stages s USING (job_id)),
 tail AS (
   SELECT job_id, string_agg(value, chr(10) ORDER BY idx) AS log_tail FROM (
     SELECT job_id, idx, value, row_number() OVER (PARTITION BY job_id ORDER BY idx DESC) AS r
@@ -162,7 +165,10 @@ summary AS (
   SELECT job_id, count(*) AS n_signals,
          string_agg(label || 'x' || CAST(n AS VARCHAR), ',' ORDER BY signal_rank) AS signal_list,
          string_agg('  [' || severity || '] ' || label || ' (' || category || '): ' || CAST(n AS VARCHAR)
-                    || ' occurrence(s)', chr(10) ORDER BY signal_rank) AS signal_lines
+                    || ' occurrence(s)', chr(10) ORDER BY signal_rank) AS signal_lines,
+         list({{'category': category, 'pattern_matched': label, 'severity': severity,
+                'evidence_lines': evidence_list, 'stack_trace': stack_trace, 'occurrences': n}}
+              ORDER BY signal_rank) AS signal_dicts
   FROM ranked GROUP BY job_id),
 analysis AS (
   SELECT c.job_id, c.platform, c.spark_version, c.total_log_lines, c.error_count, c.warn_count,
@@ -171,7 +177,10 @@ analysis AS (
          coalesce(sm.n_signals, 0) AS n_signals, coalesce(sm.signal_list, '') AS signal_list,
          coalesce(sn.raw_error_snippet, '') AS raw_error_snippet, coalesce(t.log_tail, '') AS log_tail,
          p.evidence1 AS primary_evidence1, p.stack_trace AS primary_stack, p.evidence AS primary_evidence,
-         sm.signal_lines
+         sm.signal_lines, sm.signal_dicts, c.stage_list,
+         CASE WHEN p.label IS NOT NULL THEN {{'category': p.category, 'pattern_matched': p.label,
+           'severity': p.severity, 'evidence_lines': p.evidence_list, 'stack_trace': p.stack_trace,
+           'occurrences': p.n}} END AS primary_dict
   FROM ctx c LEFT JOIN primary_sig p USING (job_id) LEFT JOIN summary sm USING (job_id)
   LEFT JOIN snippet sn USING (job_id) LEFT JOIN tail t USING (job_id))"""
 

@@ -62,9 +62,10 @@ def classify_join(lines: DataFrame, rules: DataFrame) -> DataFrame:
     )
     hits = drop_blank(lines).join(F.broadcast(r), F.expr("value RLIKE _pattern"), "inner")
     best = F.min_by(F.struct("_label", "_category", "_severity"), F.col("_prio"))
+    # Matched pairs only are shuffled, keyed by line (unique keys: no skew).
     return (
-        hits.groupBy("job_id", "line_no", "idx", "value")
-        .agg(best.alias("_r"))
+        hits.groupBy("job_id", "line_no")
+        .agg(best.alias("_r"), F.any_value("idx").alias("idx"), F.any_value("value").alias("value"))
         .select("job_id", "line_no", "idx", "value",
                 F.col("_r._label").alias("label"),
                 F.col("_r._category").alias("category"),
