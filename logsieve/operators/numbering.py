@@ -10,8 +10,9 @@ levels instead:
 2. per (job, chunk) sizes are summed into offsets - a table of one row per
    chunk - and joined back on (job, chunk).
 
-The window and the aggregate share one exchange (hash on job + chunk), so the
-lines are shuffled once; only the small size table moves again.
+The lines are shuffled once (hash on job + chunk, for the window); the sizes
+are a partial aggregate of the same rows, so only the small size table moves
+otherwise.
 """
 
 from __future__ import annotations
@@ -42,9 +43,12 @@ def number_lines(
     local = df.withColumn("_rn", F.row_number().over(w)).withColumn(
         "_rnb", F.sum("_nb").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     )
-    # Same partitioning as the window: no second exchange of the lines.
-    sizes = local.groupBy(*keys, "_chunk").agg(
-        F.max("_rn").alias("_n"), F.max("_rnb").alias("_nnb")
+    # Chunk sizes from the unshuffled rows: a map-side partial aggregate, so
+    # only one small row per (task, key, chunk) moves. (Deriving them from the
+    # window output does not reuse its exchange: column pruning makes the two
+    # exchanges differ, and all lines would be shuffled twice.)
+    sizes = df.groupBy(*keys, "_chunk").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum("_nb").alias("_nnb")
     )
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
