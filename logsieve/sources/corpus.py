@@ -71,14 +71,14 @@ def time_chunk(events: DataFrame, rows_per_chunk: int = 1_000_000, ts: str = "ts
     """A chunk column monotone in ``ts``: seconds since the first event, cut
     into slices that hold ``rows_per_chunk`` events on average over the whole
     table. A job with a third of all events is spread over many slices; a
-    small table is one slice. Needs one global (min, max, count) aggregate."""
-    st = events.agg(F.min(ts).alias("lo"), F.max(ts).alias("hi"), F.count(F.lit(1)).alias("n")).first()
-    if st is None or st["n"] == 0 or st["lo"] is None:
-        return F.lit(0)
-    span = max(1, int((st["hi"] - st["lo"]).total_seconds()) + 1)
-    width = max(1, -(-span * rows_per_chunk // st["n"]))
-    lo = st["lo"].isoformat(sep=" ")
-    return F.floor(F.expr(f"timestampdiff(SECOND, TIMESTAMP_NTZ'{lo}', {ts})") / F.lit(width))
+    small table is one slice. The global (min, max, count) is a scalar
+    subquery of the same plan: one partial aggregate, no driver round trip."""
+    st = events.agg(F.struct(F.min(ts).alias("lo"), F.max(ts).alias("hi"),
+                             F.count(F.lit(1)).alias("n")).alias("s")).scalar()
+    since = F.timestamp_diff("SECOND", st["lo"], F.col(ts))
+    span = F.timestamp_diff("SECOND", st["lo"], st["hi"]) + 1
+    width = F.greatest(F.lit(1), F.ceil(span * F.lit(rows_per_chunk) / F.greatest(st["n"], F.lit(1))))
+    return F.floor(since / width)
 
 
 def render_corpus(events: DataFrame, rows_per_chunk: int = 1_000_000) -> DataFrame:
