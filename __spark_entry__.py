@@ -208,7 +208,8 @@ def q_parse_response(spark, d):
 def q_triage_defaults(spark, d):
     p = RP.parse_response(_replies(spark, d), as_of=AS_OF)
     return p.select("job_id", "parsed", "category", "confidence", "severity", "failure_signature",
-                    F.size("permanent_fix").alias("n_fix"), F.size("incident_notes").alias("n_notes"))
+                    F.size("permanent_fix").cast("bigint").alias("n_fix"),
+                    F.size("incident_notes").cast("bigint").alias("n_notes"))
 
 
 def q_analysis_json(spark, d):

@@ -115,7 +115,7 @@ stacks AS (
   GROUP BY job_id, label),
 signals AS (
   SELECT s.job_id, s.label, s.category, s.severity,
-         list_position({SEV_ORDER}, s.severity) - 1 AS sev_rank, s.n, s.first_idx,
+         CAST(list_position({SEV_ORDER}, s.severity) - 1 AS BIGINT) AS sev_rank, s.n, s.first_idx,
          e.evidence, e.evidence2, e.evidence1, e.evidence_list, st.stack_trace
   FROM sig s LEFT JOIN ev5 e USING (job_id, label) LEFT JOIN stacks st USING (job_id, label)),
 ranked AS (

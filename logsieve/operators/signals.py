@@ -36,7 +36,7 @@ def top_evidence(classified: DataFrame, n: int = R.EVIDENCE_CAP) -> DataFrame:
     return (
         hits(classified)
         .select("job_id", "label", "idx", "value")
-        .withColumn("rank", F.row_number().over(w))
+        .withColumn("rank", F.row_number().over(w).cast("bigint"))
         .filter(F.col("rank") <= n)
         .select("job_id", "label", "rank", "idx", py_strip(F.col("value")).alias("line"))
     )
@@ -113,7 +113,7 @@ def signals(classified: DataFrame, evidence_cap: int = R.EVIDENCE_CAP,
 def rank_signals(sigs: DataFrame) -> DataFrame:
     """Signal rank per job: severity first, then first appearance."""
     w = Window.partitionBy("job_id").orderBy("sev_rank", "first_idx")
-    return sigs.withColumn("signal_rank", F.row_number().over(w))
+    return sigs.withColumn("signal_rank", F.row_number().over(w).cast("bigint"))
 
 
 def primary_signal(sigs: DataFrame) -> DataFrame:

@@ -145,7 +145,7 @@ def tail_bytes(text: Column, max_bytes: int = R.TAIL_BYTES) -> Column:
 
 
 def stripped_length(text: Column) -> Column:
-    return F.length(py_strip(text))
+    return F.length(py_strip(text)).cast("bigint")
 
 
 def skip_tiny(df: DataFrame, text_col: str = "text", min_chars: int = R.MIN_LOG_CHARS) -> DataFrame:
