@@ -38,7 +38,6 @@ def triage_failures(failures: DataFrame, files: DataFrame, base: str, as_of: str
     tri = RP.enrich_notes(tri, ctx_k, on="job_id")
     names = ctx_k.select("job_id", F.concat_ws(".", "dag_id", "task_id").alias("job_name"))
     gate = list(dict.fromkeys(list(notify) + R.DEFAULT_ALERT_SEVERITIES))
-    return (
-        tri.join(names, "job_id", "left")
-        .withColumn("alert", F.col("severity").isin(gate))
-    )
+    out = tri.join(names, "job_id", "left").withColumn("alert", F.col("severity").isin(gate))
+    out._logsieve_cached = getattr(a, "_logsieve_cached", [])  # see analyze.release
+    return out

@@ -39,5 +39,7 @@ def triage_report(lines: DataFrame, rules=None, as_of: str = "1970-01-01T00:00:0
     tri = triage_table(a, replies, as_of)
     gated = RP.alert_gate(tri, severities)
     alerts = RP.alert_text(gated, footer)
-    out = RP.alert_outbox(alerts, recipients or R.DEFAULT_RECIPIENTS)
-    return out.select("job_id", "recipient", "severity", "subject", "body")
+    out = RP.alert_outbox(alerts, recipients or R.DEFAULT_RECIPIENTS).select(
+        "job_id", "recipient", "severity", "subject", "body")
+    out._logsieve_cached = getattr(a, "_logsieve_cached", [])  # see analyze.release
+    return out

@@ -170,3 +170,48 @@ def test_tail_bytes_lines_match_python(spark, lines, max_bytes, chunk):
     got = tail_bytes_lines(df, max_bytes, chunk_lines=chunk).first().text
     raw = "".join(v + "\n" for v in lines).encode()
     assert got == raw[-max_bytes:].decode("utf-8", errors="replace")
+
+
+def test_classify_join_equals_case(spark, data_dir):
+    from logsieve.operators.classify import classify, classify_join, rule_table
+    from logsieve.sources.files import read_logs
+    lines = read_logs(spark, data_dir)
+    a = {(r.job_id, r.line_no, r.label) for r in classify(lines).filter("label IS NOT NULL").collect()}
+    b = {(r.job_id, r.line_no, r.label) for r in classify_join(lines, rule_table(spark)).collect()}
+    assert a == b and len(a) > 10
+
+
+def test_custom_rule_table_first_match_wins(spark):
+    from logsieve.operators.classify import classify
+    from logsieve.rules import rules_df
+    rules = rules_df(spark, [(0, "disk", "Infra", "HIGH", "Disk"), (1, "full", "Infra", "LOW", "Full")])
+    df = spark.createDataFrame([("j", 1, 1, "DISK is full"), ("j", 2, 2, "tank full"), ("j", 3, None, "   ")],
+                               "job_id string, line_no long, idx long, value string")
+    got = {r.line_no: r.label for r in classify(df, rules).collect()}
+    assert got == {1: "Disk", 2: "Full", 3: None}
+
+
+def test_skip_tiny_lines_matches_python(spark):
+    from logsieve.sources.files import skip_tiny_lines
+    texts = {"a": "  \n\n  x" + "y" * 40 + "  \n  z  \n\n", "b": "\n\n" + "q" * 49 + "\n\n", "c": "  " + "w" * 50 + " ",
+             "d": "\n \n", "e": "a\n" * 30}
+    df = spark.createDataFrame(list(texts.items()), "job_id string, text string")
+    kept = {r.job_id for r in skip_tiny_lines(lines_from_text(df)).select("job_id").distinct().collect()}
+    assert kept == {k for k, t in texts.items() if len("\n".join(t.splitlines()).strip()) >= 50}
+
+
+def test_changed_files_and_manifest(spark):
+    from logsieve.sources.files import changed_files
+    listing = spark.createDataFrame([("a", 5), ("b", 3), ("c", 1)], "path string, mtime long")
+    manifest = spark.createDataFrame([("a", 5), ("b", 2), ("d", 9)], "path string, mtime long")
+    changed, new = changed_files(listing, manifest)
+    assert {r.path for r in changed.collect()} == {"b", "c"}
+    assert {(r.path, r.mtime) for r in new.collect()} == {("a", 5), ("b", 3), ("c", 1), ("d", 9)}
+
+
+def test_corpus_numbering_independent_of_chunking(spark):
+    from logsieve.sources.corpus import render_corpus
+    ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    a = render_corpus(ev)
+    b = render_corpus(ev, rows_per_chunk=3)
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
