@@ -694,9 +694,12 @@ fcand AS (
               || {q(AF.DATE_SUFFIX)} || '/' || CAST(try_number AS VARCHAR) || '.log' AS c2
   FROM fctx),
 ffiles AS (
-  SELECT CASE WHEN CAST(failure_id AS BIGINT) % 3 = 0 THEN c1 ELSE c2 END AS path,
+  SELECT CASE CAST(failure_id AS BIGINT) % 3 WHEN 0 THEN c1 WHEN 1 THEN c2
+              ELSE {q(base)} || '/' || dag_id || '/' || task_id || '/'
+                   || regexp_replace(execution_date, '[:\\s]', '_', 'g') || '/'
+                   || CAST(try_number + 1 AS VARCHAR) || '.log' END AS path,
          CASE WHEN CAST(failure_id AS BIGINT) % 11 = 0 THEN '' ELSE exception END AS text
-  FROM fcand WHERE CAST(failure_id AS BIGINT) % 3 <> 2),
+  FROM fcand),
 flocated AS (
   SELECT f.*, CASE WHEN EXISTS (SELECT 1 FROM ffiles x WHERE x.path = f.c1) THEN f.c1
                    WHEN EXISTS (SELECT 1 FROM ffiles x WHERE x.path = f.c2) THEN f.c2 END AS log_path

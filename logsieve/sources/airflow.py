@@ -59,10 +59,11 @@ def failure_context(failures: DataFrame, as_of: str, keep: list[str] | None = No
     )
 
 
-def candidate_paths(base: str) -> F.Column:
+def candidate_paths(base: str, try_number: F.Column | None = None) -> F.Column:
     """The two places a task log may be, in order."""
     safe = F.regexp_replace(F.col("execution_date"), r"(?U)[:\s]", "_")
-    tail = F.concat(F.col("try_number").cast("string"), F.lit(".log"))
+    tn = F.col("try_number") if try_number is None else try_number
+    tail = F.concat(tn.cast("string"), F.lit(".log"))
 
     def path(date):
         return F.concat_ws("/", F.lit(base.rstrip("/")), F.col("dag_id"), F.col("task_id"), date, tail)
@@ -140,11 +141,15 @@ def render_failures(events: DataFrame) -> DataFrame:
 
 
 def render_log_files(contexts: DataFrame, base: str) -> DataFrame:
-    """Files (path, text) for contexts: a third at the first candidate path, a
-    third at the second, a third missing; every eleventh file is empty."""
+    """One log file (path, text) per context: a third at the first candidate
+    path, a third at the second, and a third under the next try number (a
+    later attempt's log, which the locator must not take); every eleventh
+    file is empty."""
     k = F.col("failure_id").cast("bigint")
-    c = contexts.select("*", candidate_paths(base).alias("_c"))
-    return c.filter(k % 3 != 2).select(
-        F.when(k % 3 == 0, F.col("_c")[0]["path"]).otherwise(F.col("_c")[1]["path"]).alias("path"),
+    c = contexts.select("*", candidate_paths(base).alias("_c"),
+                        candidate_paths(base, F.col("try_number") + 1)[0]["path"].alias("_later"))
+    return c.select(
+        F.when(k % 3 == 0, F.col("_c")[0]["path"]).when(k % 3 == 1, F.col("_c")[1]["path"])
+        .otherwise(F.col("_later")).alias("path"),
         F.when(k % 11 == 0, F.lit("")).otherwise(F.coalesce("exception", F.lit(""))).alias("text"),
     )
