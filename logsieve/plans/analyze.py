@@ -19,6 +19,7 @@ from ..operators.context import job_context, with_context_flags
 from ..operators.signals import (error_snippet, primary_signal, rank_signals, signal_rollup,
                                  signal_summary, signals)
 from ..operators.tail import error_subset, log_tail
+from ..session import ensure_checkpoint_dir
 
 CONTEXT_FIELDS = [
     "job_name", "platform", "spark_version", "total_log_lines", "error_count", "warn_count",
@@ -55,17 +56,24 @@ def release(df: DataFrame) -> None:
         c.unpersist()
 
 
-def analyze_parts(lines: DataFrame, rules=None, persist: bool = True) -> dict[str, DataFrame]:
+def analyze_parts(lines: DataFrame, rules=None, materialize: str = "persist") -> dict[str, DataFrame]:
     """The per-job pieces of an analysis, for reuse by other plans.
 
-    The annotated lines feed six aggregates; they are persisted (memory, then
-    local disk) so the source is read, numbered and matched once. Lost cache
-    blocks are recomputed from lineage.
+    The annotated lines feed several aggregates, so they are materialised once:
+    ``"persist"`` caches them (memory, then local disk; lost blocks are
+    recomputed from lineage), ``"checkpoint"`` writes them to the shared
+    checkpoint folder of the session (cuts lineage: executor loss costs a
+    re-read, not a recomputation), ``"none"`` recomputes per aggregate.
     """
     classified = annotate(lines, rules)
-    if persist:
+    if materialize == "persist":
         classified = classified.persist(StorageLevel.MEMORY_AND_DISK)
-    sigs = signals(classified, persist=not persist)
+    elif materialize == "checkpoint":
+        ensure_checkpoint_dir(classified.sparkSession)
+        classified = classified.checkpoint(eager=True)
+    elif materialize != "none":
+        raise ValueError(f"unknown materialize {materialize!r}")
+    sigs = signals(classified, persist=materialize == "none")
     return {
         "classified": classified,
         "context": job_context(classified),
@@ -76,7 +84,7 @@ def analyze_parts(lines: DataFrame, rules=None, persist: bool = True) -> dict[st
 
 
 def analyze(lines: DataFrame, rules=None, as_of: str = "1970-01-01T00:00:00",
-            scope: str = "full") -> DataFrame:
+            scope: str = "full", materialize: str = "persist") -> DataFrame:
     """One row per job: job_id, job_context (struct), primary_signal (struct or
     NULL), all_signals (array, rank order), raw_error_snippet, log_tail,
     timestamp.
@@ -86,11 +94,11 @@ def analyze(lines: DataFrame, rules=None, as_of: str = "1970-01-01T00:00:00",
     tail keeps blank lines and the total counts all lines.
     """
     if scope == "full":
-        parts = analyze_parts(lines, rules)
+        parts = analyze_parts(lines, rules, materialize)
         tail = parts["tail"]
         ctx = parts["context"]
     elif scope == "error_subset":
-        parts = analyze_parts(subset_lines(lines, rules), rules)
+        parts = analyze_parts(subset_lines(lines, rules), rules, materialize)
         tail = log_tail(lines, blank=True)
         totals = lines.groupBy("job_id").agg(F.count(F.lit(1)).alias("_total"))
         # Jobs with no error line still get a context row.
@@ -127,7 +135,7 @@ def analyze(lines: DataFrame, rules=None, as_of: str = "1970-01-01T00:00:00",
         F.coalesce("log_tail", F.lit("")).alias("log_tail"),
         F.lit(as_of).alias("timestamp"),
     )
-    out._logsieve_cached = [parts["classified"]]
+    out._logsieve_cached = [parts["classified"]] if materialize == "persist" else []
     return out
 
 

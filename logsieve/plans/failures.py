@@ -7,6 +7,7 @@ notes enriched with the context (T6) -> alert flag (R14).
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +28,8 @@ def triage_failures(failures: DataFrame, files: DataFrame, base: str, as_of: str
     listing. The callback forces an alert when the severity is in ``notify``,
     so the gate is that set together with the default alert severities.
     """
-    ctx = AF.failure_context(failures, as_of, keep=[key])
+    # One row per failure, read by three steps below: persisted once.
+    ctx = AF.failure_context(failures, as_of, keep=[key]).persist(StorageLevel.MEMORY_AND_DISK)
     located = AF.locate_logs(ctx, files, base, key=key)
     f = files.select("path", tail_bytes(F.col("text")).alias("text"))
     texts = AF.resolve_log_text(located, f)
@@ -39,5 +41,5 @@ def triage_failures(failures: DataFrame, files: DataFrame, base: str, as_of: str
     names = ctx_k.select("job_id", F.concat_ws(".", "dag_id", "task_id").alias("job_name"))
     gate = list(dict.fromkeys(list(notify) + R.DEFAULT_ALERT_SEVERITIES))
     out = tri.join(names, "job_id", "left").withColumn("alert", F.col("severity").isin(gate))
-    out._logsieve_cached = getattr(a, "_logsieve_cached", [])  # see analyze.release
+    out._logsieve_cached = getattr(a, "_logsieve_cached", []) + [ctx]  # see analyze.release
     return out

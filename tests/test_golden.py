@@ -92,3 +92,12 @@ def test_error_subset_scope(spark, data_dir):
     assert c["spark_version"] == "unknown"
     assert c["platform"] == "yarn"
     assert all(s["stack_trace"] is None for s in r["all_signals"])
+
+
+@pytest.mark.parametrize("mode", ["checkpoint", "none"])
+def test_materialize_modes_agree(spark, mode):
+    df = spark.createDataFrame([(g[0], g[1]) for g in GOLDEN], ["job_id", "text"])
+    lines = lines_from_text(df)
+    base = sorted(map(str, analyze(lines, as_of="t").collect()))
+    other = sorted(map(str, analyze(lines, as_of="t", materialize=mode).collect()))
+    assert base == other
