@@ -129,7 +129,7 @@ def q_log_tail(spark, d):
 
 
 def q_error_snippet(spark, d):
-    return S.error_snippet(S.rank_signals(S.signals(_classified(spark, d))))
+    return S.error_snippet(S.signals(_classified(spark, d)))
 
 
 def q_analyze(spark, d):

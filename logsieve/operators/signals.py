@@ -125,34 +125,13 @@ def primary_signal(sigs: DataFrame) -> DataFrame:
     )
 
 
-def error_snippet(ranked: DataFrame, n_signals: int = R.SNIPPET_SIGNALS,
+def error_snippet(sigs: DataFrame, n_signals: int = R.SNIPPET_SIGNALS,
                   n_evidence: int = R.SNIPPET_EVIDENCE,
                   stack_chars: int = R.SNIPPET_STACK_CHARS) -> DataFrame:
     """Concise snippet per job (T1): for the top signals, their first evidence
-    lines then the stack cut to ``stack_chars``; joined with newlines."""
-    top = ranked.filter(F.col("signal_rank") <= n_signals).select(
-        "job_id", "signal_rank",
-        F.concat(
-            F.slice(F.col("evidence"), 1, n_evidence),
-            F.when(F.length("stack_trace") > 0,
-                   F.array(F.substring("stack_trace", 1, stack_chars)))
-            .otherwise(F.array().cast("array<string>")),
-        ).alias("parts"),
-    )
-    return top.groupBy("job_id").agg(
-        F.array_join(F.flatten(_ordered(F.collect_list(F.struct("signal_rank", "parts")), "parts")), "\n")
-        .alias("raw_error_snippet")
-    )
-
-
-def signal_summary(ranked: DataFrame) -> DataFrame:
-    """All signals of a job in rank order, as an array of structs (bounded by
-    the number of rules)."""
-    s = F.struct("signal_rank", "label", "category", "severity", "n", "first_idx", "evidence", "stack_trace")
-    return ranked.groupBy("job_id").agg(
-        F.transform(F.array_sort(F.collect_list(s)),
-                    lambda x: x.dropFields("signal_rank")).alias("all_signals")
-    )
+    lines then the stack cut to ``stack_chars``; joined with newlines. Jobs
+    without signals have no row."""
+    return signal_rollup(sigs, n_signals, n_evidence, stack_chars).select("job_id", "raw_error_snippet")
 
 
 SIGNAL_FIELDS = ["label", "category", "severity", "n", "first_idx", "evidence", "stack_trace"]

@@ -16,8 +16,7 @@ from .. import rules as R
 from ..operators.classify import classify, with_level_anywhere
 from ..functions.lines import is_stack_line
 from ..operators.context import job_context, with_context_flags
-from ..operators.signals import (error_snippet, primary_signal, rank_signals, signal_rollup,
-                                 signal_summary, signals)
+from ..operators.signals import signal_rollup, signals
 from ..operators.tail import error_subset, log_tail
 from ..session import ensure_checkpoint_dir
 

@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.regex import py_strip  # noqa: F401  (kept for callers)
 from .corpus import block_text
 
 TI_TYPE = T.StructType([
