@@ -71,14 +71,20 @@ def time_chunk(events: DataFrame, rows_per_chunk: int = 1_000_000, ts: str = "ts
     """A chunk column monotone in ``ts``: seconds since the first event, cut
     into slices that hold ``rows_per_chunk`` events on average over the whole
     table. A job with a third of all events is spread over many slices; a
-    small table is one slice. The global (min, max, count) is a scalar
-    subquery of the same plan: one partial aggregate, no driver round trip."""
-    st = events.agg(F.struct(F.min(ts).alias("lo"), F.max(ts).alias("hi"),
-                             F.count(F.lit(1)).alias("n")).alias("s")).scalar()
-    since = F.timestamp_diff("SECOND", st["lo"], F.col(ts))
-    span = F.timestamp_diff("SECOND", st["lo"], st["hi"]) + 1
-    width = F.greatest(F.lit(1), F.ceil(span * F.lit(rows_per_chunk) / F.greatest(st["n"], F.lit(1))))
-    return F.floor(since / width)
+    small table is one slice.
+
+    The start and width come from one global aggregate over the ``ts``
+    column, run once here (a one-row result). As a scalar subquery Spark
+    planned a separate scan for every reference to it."""
+    lo, hi, n = F.min(ts), F.max(ts), F.count(F.lit(1))
+    span = F.timestamp_diff("SECOND", lo, hi) + 1
+    width = F.greatest(F.lit(1), F.ceil(span * F.lit(rows_per_chunk) / F.greatest(n, F.lit(1))))
+    st = events.agg(lo.alias("lo"), width.cast("long").alias("width")).first()
+    if st is None or st["lo"] is None:
+        return F.lit(0).cast("long")
+    # Any start keeps the column monotone; the NTZ literal keeps it exact.
+    since = F.timestamp_diff("SECOND", F.expr(f"TIMESTAMP_NTZ'{st['lo'].isoformat(sep=' ')}'"), F.col(ts))
+    return F.floor(since / F.lit(int(st["width"])))
 
 
 def render_corpus(events: DataFrame, rows_per_chunk: int = 1_000_000) -> DataFrame:
