@@ -332,6 +332,18 @@ def q_watch_logs(spark, d):
     return spark.read.parquet(out).select("job_id", "recipient", "severity", "subject", "body")
 
 
+def q_rescan_logs(spark, d):
+    """First scan of the corpus log files against an empty manifest: every
+    file is new, so every line comes back (later scans return changes only)."""
+    import uuid
+
+    from logsieve.session import scratch_path
+    from logsieve.streaming.rescan import rescan
+    src = _corpus_files(spark, d)
+    lines, _ = rescan(spark, src, scratch_path(spark, f"manifest/{uuid.uuid4().hex}"), glob="*.txt", job="dir")
+    return lines.select("job_id", "line_no", "idx", "value")
+
+
 def q_tail_bytes_lines(spark, d):
     return FS.tail_bytes_lines(_lines(spark, d))
 
@@ -418,6 +430,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "analyze_conversations": q_analyze_conversations,
     "stream_signal_counts": q_stream_signal_counts,
     "tail_bytes_lines": q_tail_bytes_lines,
+    "rescan_logs": q_rescan_logs,
 }
 
 
@@ -479,6 +492,7 @@ WHERE r <= {R.ERROR_SUBSET_LINES}"""),
         "triage_report": W("SELECT job_id, recipient, severity, subject, body FROM outbox", _triage_sql_ctes()),
         "watch_logs": W("SELECT job_id, recipient, severity, subject, body FROM outbox", _triage_sql_ctes()),
         "read_logs": W("SELECT job_id, line_no, idx, value FROM lines"),
+        "rescan_logs": W("SELECT job_id, line_no, idx, value FROM lines"),
         "stream_signal_counts": W("SELECT job_id, label, count(*) AS n, any_value(severity) AS severity "
                                   "FROM hits GROUP BY job_id, label"),
         "analyze_error_subset": _error_subset_sql(),

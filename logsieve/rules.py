@@ -102,7 +102,6 @@ FALLBACK_NOTES = [
     ("resolution", "Under investigation"),
     ("preventive_actions", "TBD"),
 ]
-DEFAULT_MODEL = "claude-opus-4-5"
 
 RULES_SCHEMA = T.StructType([
     T.StructField("prio", T.IntegerType(), False),

@@ -61,7 +61,7 @@ def job_column(path: Column, job: str = "stem") -> Column:
     raise ValueError(f"unknown job key {job!r}")
 
 
-def read_logs(spark: SparkSession, path: str, glob: str = "*.log",
+def read_logs(spark: SparkSession, path: str | list[str], glob: str = "*.log",
               job: str = "stem") -> DataFrame:
     """All log files below ``path`` matching ``glob`` as a lines table (S1):
     job_id, path, line_no, idx, value (see ``job_column`` for ``job``).
@@ -71,7 +71,7 @@ def read_logs(spark: SparkSession, path: str, glob: str = "*.log",
     raw = (
         spark.read.option("recursiveFileLookup", "true")
         .option("pathGlobFilter", glob)
-        .text(path)
+        .text(path if isinstance(path, str) else list(path))
         .select(
             F.col("_metadata.file_path").alias("path"),
             F.col("_metadata.file_block_start").alias("_blk"),
