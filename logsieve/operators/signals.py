@@ -63,13 +63,13 @@ def stack_traces(classified: DataFrame, firsts: DataFrame, window: int = R.STACK
     stack_lines = classified.filter(F.col("idx").isNotNull() & flag).select(
         "job_id", "idx", py_strip(F.col("value")).alias("frame"))
     m = probes.join(stack_lines, ["job_id", "idx"], "inner")
-    w = Window.partitionBy(*SIGNAL_KEY).orderBy("idx")
-    runs = m.withColumn("_run", F.col("idx") - F.row_number().over(w))
-    first_run = runs.withColumn("_first", F.min("_run").over(Window.partitionBy(*SIGNAL_KEY))) \
-        .filter(F.col("_run") == F.col("_first"))
-    return first_run.groupBy(*SIGNAL_KEY).agg(
-        F.array_join(_ordered(F.collect_list(F.struct("idx", "frame")), "frame"), "\n").alias("stack_trace")
-    )
+    # At most `window` matches per signal: collect them in position order and
+    # keep the first run of consecutive positions. Positions strictly increase,
+    # so idx == first + i holds exactly up to the first gap.
+    found = m.groupBy(*SIGNAL_KEY).agg(F.array_sort(F.collect_list(F.struct("idx", "frame"))).alias("_m"))
+    first_run = F.filter("_m", lambda x, i: x["idx"] == F.get(F.col("_m"), 0)["idx"] + i)
+    return found.select(*SIGNAL_KEY, F.array_join(F.transform(first_run, lambda x: x["frame"]), "\n")
+                        .alias("stack_trace"))
 
 
 def signals(classified: DataFrame, evidence_cap: int = R.EVIDENCE_CAP,

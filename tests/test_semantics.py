@@ -215,3 +215,41 @@ def test_corpus_numbering_independent_of_chunking(spark):
     a = render_corpus(ev)
     b = render_corpus(ev, rows_per_chunk=3)
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+_KINDS = ["\tat a.B.c(D.java:1)", "Caused by: x", "plain text", "", "   ",
+          "java.lang.OutOfMemoryError: heap", "Lost executor 3", "\tat java.base/x.Y(Z.java:1)"]
+
+
+def _python_stacks(text):
+    """The stack rule in plain Python: for the first hit of each label, look
+    at the next 20 non-blank lines, skip to the first stack line and take the
+    contiguous run of stack lines."""
+    import re
+    entries = [ln for ln in text.splitlines() if ln.strip()]
+    labels = {"java.lang.OutOfMemoryError: heap": "OOM/Memory", "Lost executor 3": "ExecutorLost"}
+    is_stack = lambda s: bool(re.match(r"^\s+at\s+[\w.$<>]+\(", s)) or "Caused by:" in s
+    out = {}
+    for i, e in enumerate(entries):
+        lab = labels.get(e)
+        if lab and lab not in out:
+            run = []
+            for x in entries[i + 1:i + 21]:
+                if is_stack(x):
+                    run.append(x.strip())
+                elif run:
+                    break
+            out[lab] = "\n".join(run) or None
+    return out
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(_KINDS), min_size=1, max_size=40), min_size=1, max_size=4))
+def test_stack_rule_matches_brute_force(spark, logs):
+    from logsieve import analyze
+    texts = ["\n".join(x) for x in logs]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "job_id string, text string")
+    rows = analyze(lines_from_text(df), as_of="t", materialize="none").collect()
+    got = {r.job_id: {s.label: s.stack_trace for s in r.all_signals} for r in rows}
+    for i, t in enumerate(texts):
+        assert got.get(str(i), {}) == _python_stacks(t)
