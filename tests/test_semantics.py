@@ -46,7 +46,7 @@ def test_stack_lines_and_platform(spark):
 texts = st.text(alphabet=st.sampled_from(list("ab \t\n\r\x0b\x0c\x1c\x85 é")), max_size=30)
 
 
-@settings(max_examples=60, deadline=None)
+@settings(max_examples=30, deadline=None)
 @given(st.lists(texts, min_size=1, max_size=8))
 def test_splitlines_and_strip_match_python(spark, xs):
     df = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "id long, t string")
@@ -56,7 +56,7 @@ def test_splitlines_and_strip_match_python(spark, xs):
         assert r.s == xs[r.id].strip()
 
 
-@settings(max_examples=40, deadline=None)
+@settings(max_examples=20, deadline=None)
 @given(st.lists(texts, min_size=1, max_size=5))
 def test_lines_from_text_numbering(spark, xs):
     df = spark.createDataFrame([(str(i), x) for i, x in enumerate(xs)], "job_id string, text string")
@@ -161,7 +161,7 @@ def test_failure_context_and_log_text(spark):
     assert res["3"] == "Airflow task failure — no log file found.\nDAG: unknown | Task: unknown | Run: manual\nException:\nboom"
 
 
-@settings(max_examples=40, deadline=None)
+@settings(max_examples=20, deadline=None)
 @given(st.lists(st.text(alphabet=st.sampled_from(list("ab é€\t")), max_size=12), min_size=1, max_size=12),
        st.integers(min_value=1, max_value=40), st.integers(min_value=1, max_value=4))
 def test_tail_bytes_lines_match_python(spark, lines, max_bytes, chunk):
@@ -243,7 +243,7 @@ def _python_stacks(text):
     return out
 
 
-@settings(max_examples=25, deadline=None)
+@settings(max_examples=15, deadline=None)
 @given(st.lists(st.lists(st.sampled_from(_KINDS), min_size=1, max_size=40), min_size=1, max_size=4))
 def test_stack_rule_matches_brute_force(spark, logs):
     from logsieve import analyze
