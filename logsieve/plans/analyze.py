@@ -82,8 +82,23 @@ def analyze_parts(lines: DataFrame, rules=None, materialize: str = "persist") ->
     }
 
 
+def _with_all_jobs(ctx: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Context rows for every listed job; a job without lines (an empty log)
+    gets zero counters, 'unknown' version and platform, no failed stages."""
+    zero = F.lit(0).cast("bigint")
+    return jobs.select(F.col("job_id").cast("string")).distinct().join(ctx, "job_id", "left").select(
+        "job_id",
+        F.coalesce("platform", F.lit("unknown")).alias("platform"),
+        F.coalesce("spark_version", F.lit("unknown")).alias("spark_version"),
+        *[F.coalesce(c, zero).alias(c) for c in ("total_log_lines", "error_count", "warn_count")],
+        F.coalesce("failed_stages", F.array().cast("array<string>")).alias("failed_stages"),
+        *[F.coalesce(c, zero).alias(c) for c in ("executors_lost", "oom_events", "shuffle_failures",
+                                                 "task_retries")],
+    )
+
+
 def analyze(lines: DataFrame, rules=None, as_of: str = "1970-01-01T00:00:00",
-            scope: str = "full", materialize: str = "persist") -> DataFrame:
+            scope: str = "full", materialize: str = "persist", jobs: DataFrame | None = None) -> DataFrame:
     """One row per job: job_id, job_context (struct), primary_signal (struct or
     NULL), all_signals (array, rank order), raw_error_snippet, log_tail,
     timestamp.
@@ -91,6 +106,9 @@ def analyze(lines: DataFrame, rules=None, as_of: str = "1970-01-01T00:00:00",
     ``scope="full"`` triages every line (canonical). ``scope="error_subset"``
     reproduces the Spark path: only the first 150 error lines are triaged, the
     tail keeps blank lines and the total counts all lines.
+
+    Jobs come from the lines; pass ``jobs`` (a table with job_id) to keep jobs
+    whose log has no lines at all, as an empty log is still analysed.
     """
     if scope == "full":
         parts = analyze_parts(lines, rules, materialize)
@@ -117,6 +135,8 @@ def analyze(lines: DataFrame, rules=None, as_of: str = "1970-01-01T00:00:00",
         )
     else:
         raise ValueError(f"unknown scope {scope!r}")
+    if jobs is not None:
+        ctx = _with_all_jobs(ctx, jobs)
 
     joined = ctx.join(parts["rollup"], "job_id", "left").join(tail, "job_id", "left")
     out = joined.select(

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from logsieve import analyze, lines_from_text
 from logsieve.sources.files import read_logs
-from tests.fixtures import FILE_GOLDEN, GOLDEN
+from tests.fixtures import FILE_GOLDEN, GOLDEN, OOM_LOG as OOM_TEXT
 
 
 def _check(row, exp):
@@ -101,3 +101,14 @@ def test_materialize_modes_agree(spark, mode):
     base = sorted(map(str, analyze(lines, as_of="t").collect()))
     other = sorted(map(str, analyze(lines, as_of="t", materialize=mode).collect()))
     assert base == other
+
+
+def test_empty_log_is_kept_when_jobs_are_given(spark):
+    df = spark.createDataFrame([("empty", ""), ("blank", "\n  \n"), ("oom", OOM_TEXT)], ["job_id", "text"])
+    rows = {r.job_id: r for r in analyze(lines_from_text(df), as_of="t", jobs=df).collect()}
+    assert set(rows) == {"empty", "blank", "oom"}
+    for j in ("empty", "blank"):
+        c = rows[j]["job_context"]
+        assert c["total_log_lines"] == 0 and c["platform"] == "unknown" and list(c["failed_stages"]) == []
+        assert rows[j]["primary_signal"] is None and rows[j]["log_tail"] == "" and rows[j]["all_signals"] == []
+    assert rows["oom"]["primary_signal"]["label"] == "OOM/Memory"
