@@ -5,7 +5,7 @@ of the corpus, so no window ever spans a whole job. Lines are numbered in two
 levels instead:
 
 1. rows are cut into *chunks* by a column that is monotone in the line order
-   (an input split, an hour of timestamps, a block of positions) and numbered
+   (an input split, a time slice, a block of positions) and numbered
    inside each (job, chunk) with ``row_number``;
 2. per (job, chunk) sizes are summed into offsets - a table of one row per
    chunk - and joined back on (job, chunk).
