@@ -39,8 +39,9 @@ def classify(lines: DataFrame, rules=None) -> DataFrame:
 
     Only non-blank lines are classified; no match gives NULLs.
     """
-    pos = F.when(F.col("idx").isNotNull(), classify_prio(F.col("value"), rules))
-    return lines.withColumn("_rule", pos).withColumns(classify_columns(F.col("_rule"), rules)).drop("_rule")
+    rl = R.rule_list(rules)  # a rule DataFrame is collected once, here
+    pos = F.when(F.col("idx").isNotNull(), classify_prio(F.col("value"), rl))
+    return lines.withColumn("_rule", pos).withColumns(classify_columns(F.col("_rule"), rl)).drop("_rule")
 
 
 def classify_join(lines: DataFrame, rules: DataFrame) -> DataFrame:
