@@ -253,3 +253,17 @@ def test_stack_rule_matches_brute_force(spark, logs):
     got = {r.job_id: {s.label: s.stack_trace for s in r.all_signals} for r in rows}
     for i, t in enumerate(texts):
         assert got.get(str(i), {}) == _python_stacks(t)
+
+
+def test_triage_report_with_model_replies(spark):
+    from logsieve import triage_report
+    from tests.fixtures import CLEAN_LOG, OOM_LOG
+    logs = spark.createDataFrame([("oom", OOM_LOG), ("clean", CLEAN_LOG)], ["job_id", "text"])
+    reply = '```json\n{"category": "Infra", "severity": "MEDIUM", "failure_signature": "x"}\n```'
+    replies = spark.createDataFrame([("oom", '{"category": "Data", "severity": "CRITICAL", "failure_signature": "OOM in stage 3"}', "m", 10),
+                                     ("clean", reply, "m", 5)], "job_id string, raw string, model string, tokens long")
+    rows = triage_report(lines_from_text(logs), as_of="T", replies=replies, recipients="a@x, b@y").collect()
+    got = {(r.job_id, r.recipient, r.severity) for r in rows}
+    assert got == {("oom", "a@x", "CRITICAL"), ("oom", "b@y", "CRITICAL")}     # MEDIUM is gated out
+    assert rows[0].subject == "[CRITICAL] Spark Job Failed: oom | Data | OOM in stage 3"
+    assert "Platform:    yarn" in rows[0].body and "Spark:       3.4.1" in rows[0].body
