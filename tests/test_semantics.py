@@ -210,8 +210,14 @@ def test_changed_files_and_manifest(spark):
 
 
 def test_corpus_numbering_independent_of_chunking(spark):
+    import os
+
+    import pytest
     from logsieve.sources.corpus import render_corpus
-    ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    path = "/root/testdata/sf0.001/events.parquet"
+    if not os.path.exists(path):
+        pytest.skip("test tables not present")
+    ev = spark.read.parquet(path)
     a = render_corpus(ev)
     b = render_corpus(ev, rows_per_chunk=3)
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
