@@ -8,24 +8,29 @@ type 'error'. Column names match the DuckDB statements in ``oracle_sql``.
 
 from __future__ import annotations
 
+import os
+import sys
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logsieve import rules as R
-from logsieve.checks import duckdb_sql as D
-from logsieve.operators import classify as C
-from logsieve.operators import context as X
-from logsieve.operators import signals as S
-from logsieve.operators import tail as TL
-from logsieve.operators import report as RP
-from logsieve.plans.analyze import analyze, flat_analysis
-from logsieve.plans.triage import triage_report, triage_table
-from logsieve.sources import airflow as AF
-from logsieve.sources import files as FS
-from logsieve.sources.corpus import render_corpus
-from logsieve.sources.text import lines_from_text
+# The package sits next to this file; make it importable from any working folder.
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
+from logsieve import rules as R  # noqa: E402
+from logsieve.checks import duckdb_sql as D  # noqa: E402
+from logsieve.operators import classify as C  # noqa: E402
+from logsieve.operators import context as X  # noqa: E402
+from logsieve.operators import signals as S  # noqa: E402
+from logsieve.operators import tail as TL  # noqa: E402
+from logsieve.operators import report as RP  # noqa: E402
+from logsieve.plans.analyze import analyze, flat_analysis  # noqa: E402
+from logsieve.plans.triage import triage_report, triage_table  # noqa: E402
+from logsieve.sources import airflow as AF  # noqa: E402
+from logsieve.sources import files as FS  # noqa: E402
+from logsieve.sources.corpus import render_corpus  # noqa: E402
+from logsieve.sources.text import lines_from_text  # noqa: E402
 
 AS_OF = "2024-02-01T00:00:00"
 # Split date of the watched-files fixture: the manifest holds what was seen before it.
