@@ -35,3 +35,16 @@ def test_watch_restart_processes_only_new_files(spark, data_dir):
     for r in rows:
         by_batch.setdefault(r.batch_id, set()).add(r.job_id)
     assert sorted(by_batch.values(), key=sorted) == [{"kafka_timeout"}, {"oom_sample"}]
+
+
+def test_watch_skips_tiny_logs(spark, data_dir):
+    import os
+    import shutil
+    src = tempfile.mkdtemp(prefix="watch-src-")
+    out = tempfile.mkdtemp(prefix="watch-out-")
+    shutil.copy(os.path.join(data_dir, "kafka_timeout.log"), src)
+    with open(os.path.join(src, "tiny.log"), "w") as f:
+        f.write("\n  ERROR OutOfMemoryError  \n\n")        # 24 characters once stripped
+    watch_logs(spark, src, out, checkpoint=tempfile.mkdtemp(prefix="watch-ckpt-"),
+               available_now=True, as_of="T").awaitTermination()
+    assert {r.job_id for r in spark.read.parquet(out).select("job_id").collect()} == {"kafka_timeout"}
