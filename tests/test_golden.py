@@ -112,3 +112,16 @@ def test_empty_log_is_kept_when_jobs_are_given(spark):
         assert c["total_log_lines"] == 0 and c["platform"] == "unknown" and list(c["failed_stages"]) == []
         assert rows[j]["primary_signal"] is None and rows[j]["log_tail"] == "" and rows[j]["all_signals"] == []
     assert rows["oom"]["primary_signal"]["label"] == "OOM/Memory"
+
+
+def test_undecodable_bytes_are_replaced(spark):
+    import os
+    import tempfile
+    d = tempfile.mkdtemp(prefix="bytes-")
+    raw = b"ok line\nbad \xff\xfe bytes ERROR OutOfMemoryError\n\xe2\x82 cut\n"
+    with open(os.path.join(d, "x.log"), "wb") as f:
+        f.write(raw)
+    got = [r.value for r in read_logs(spark, d).orderBy("line_no").collect()]
+    assert got == raw.decode("utf-8", errors="replace").splitlines()
+    a = analyze(read_logs(spark, d)).collect()[0]
+    assert [s.label for s in a.all_signals] == ["OOM/Memory"]
