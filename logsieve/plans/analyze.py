@@ -115,6 +115,13 @@ def analyze(lines: DataFrame, rules=None, as_of: str = "1970-01-01T00:00:00",
         tail = parts["tail"]
         ctx = parts["context"]
     elif scope == "error_subset":
+        # The source feeds three reads here (subset, tail, totals).
+        if materialize == "persist":
+            lines = lines.select("job_id", "line_no", "idx", "value").persist(StorageLevel.MEMORY_AND_DISK)
+        elif materialize == "checkpoint":
+            ensure_checkpoint_dir(lines.sparkSession)
+            lines = lines.select("job_id", "line_no", "idx", "value").checkpoint(eager=True)
+        source = lines
         parts = analyze_parts(subset_lines(lines, rules), rules, materialize)
         tail = log_tail(lines, blank=True)
         totals = lines.groupBy("job_id").agg(F.count(F.lit(1)).alias("_total"))
@@ -155,6 +162,8 @@ def analyze(lines: DataFrame, rules=None, as_of: str = "1970-01-01T00:00:00",
         F.lit(as_of).alias("timestamp"),
     )
     out._logsieve_cached = [parts["classified"]] if materialize == "persist" else []
+    if scope == "error_subset" and materialize == "persist":
+        out._logsieve_cached.append(source)
     return out
 
 
