@@ -67,6 +67,11 @@ def render_blocks(events: DataFrame) -> DataFrame:
     )
 
 
+# Chunk statistics per logical plan. The width only sizes chunks: a stale
+# entry (files changed under the same path) can change task sizes, never results.
+_CHUNK_STATS: dict = {}
+
+
 def time_chunk(events: DataFrame, rows_per_chunk: int = 1_000_000, ts: str = "ts"):
     """A chunk column monotone in ``ts``: seconds since the first event, cut
     into slices that hold ``rows_per_chunk`` events on average over the whole
@@ -76,10 +81,16 @@ def time_chunk(events: DataFrame, rows_per_chunk: int = 1_000_000, ts: str = "ts
     The start and width come from one global aggregate over the ``ts``
     column, run once here (a one-row result). As a scalar subquery Spark
     planned a separate scan for every reference to it."""
-    lo, hi, n = F.min(ts), F.max(ts), F.count(F.lit(1))
-    span = F.timestamp_diff("SECOND", lo, hi) + 1
-    width = F.greatest(F.lit(1), F.ceil(span * F.lit(rows_per_chunk) / F.greatest(n, F.lit(1))))
-    st = events.agg(lo.alias("lo"), width.cast("long").alias("width")).first()
+    key = (events.semanticHash(), rows_per_chunk, ts)
+    st = _CHUNK_STATS.get(key)
+    if st is None:
+        lo, hi, n = F.min(ts), F.max(ts), F.count(F.lit(1))
+        span = F.timestamp_diff("SECOND", lo, hi) + 1
+        width = F.greatest(F.lit(1), F.ceil(span * F.lit(rows_per_chunk) / F.greatest(n, F.lit(1))))
+        st = events.agg(lo.alias("lo"), width.cast("long").alias("width")).first()
+        if len(_CHUNK_STATS) > 256:
+            _CHUNK_STATS.clear()
+        _CHUNK_STATS[key] = st
     if st is None or st["lo"] is None:
         return F.lit(0).cast("long")
     # Any start keeps the column monotone; the NTZ literal keeps it exact.
