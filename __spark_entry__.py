@@ -873,10 +873,19 @@ def entry(spark: SparkSession) -> DataFrame:
     return _QUERIES["triage_report"](spark, "/root/testdata/sf0.001")
 
 
+def _training_data() -> tuple[dict, dict]:
+    """Queries and statements of the training-data operators, if that subpackage is there."""
+    try:
+        from logsieve.llm import queries as L
+    except ImportError:
+        return {}, {}
+    return L.QUERIES, L.ORACLES
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return {**_QUERIES, **_training_data()[0]}
 
 
 def oracle_sql() -> dict[str, str]:
     o = _oracles()
-    return {k: v for k, v in o.items() if k in _QUERIES}
+    return {**{k: v for k, v in o.items() if k in _QUERIES}, **_training_data()[1]}
