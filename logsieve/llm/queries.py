@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logsieve.llm import chat_format as CF
 from logsieve.llm import decontaminate as DC
 from logsieve.llm import packing as PK
+from logsieve.llm import pii as PI
+from logsieve.llm import quality_rules as QR
 from logsieve.llm import simhash as SH
 
 
@@ -31,6 +34,23 @@ def packed(docs: DataFrame) -> DataFrame:
                          "sequence_id", "offset")
 
 
+def op3_chat_format(spark, d):
+    probe = spark.createDataFrame([(-1, 0, "user", CF.PROBE), (-1, 1, "assistant", CF.PROBE)],
+                                  "conv_id long, turn long, role string, text string")
+    rows = _t(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    return CF.digests(CF.format_chats(rows.unionByName(probe)))
+
+
+def op6_pii(spark, d):
+    return PI.digests(PI.find_pii(_t(spark, d, "documents").select("doc_id", "text")))
+
+
+def op8_quality_rules(spark, d):
+    judged = QR.quality_rules(_t(spark, d, "documents").select("doc_id", "text"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                         "base_failed", "kept")
+
+
 def op9_simhash_dedup(spark, d):
     return SH.near_duplicates(_t(spark, d, "documents")).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -49,5 +69,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None)
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op9_simhash_dedup, op10_decontamination)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (
+    op2_packing, op3_chat_format, op6_pii, op8_quality_rules, op9_simhash_dedup, op10_decontamination)}
+ORACLES: dict[str, str] = {"op3_chat_format": CF.duckdb_sql(), "op8_quality_rules": QR.duckdb_sql()}
