@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 
 from logsieve.llm import chat_format as CF
 from logsieve.llm import decontaminate as DC
+from logsieve.llm import html_extract as HX
+from logsieve.llm import license_scan as LS
 from logsieve.llm import packing as PK
 from logsieve.llm import pii as PI
+from logsieve.llm import quality_classifier as QC
 from logsieve.llm import quality_rules as QR
 from logsieve.llm import simhash as SH
+from logsieve.llm import toxicity as TX
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -24,6 +28,10 @@ def tokenizer_files() -> dict[str, str]:
     return {"vocab": P.path("byte_bpe_50k.json"), "ranks": P.path("byte_bpe_50k.tiktoken"), "pattern": P.PATTERN}
 
 
+def op1_license_scan(spark, d):
+    return LS.scan(_t(spark, d, "documents").select("doc_id", "text"), LS.known_licenses(spark))
+
+
 def op2_packing(spark, d):
     return packed(_t(spark, d, "documents"))
 
@@ -41,10 +49,28 @@ def op3_chat_format(spark, d):
     return CF.digests(CF.format_chats(rows.unionByName(probe)))
 
 
+def op4_html_extraction(spark, d):
+    found = HX.extract(_t(spark, d, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op5_quality_classifier(spark, d):
+    docs = _t(spark, d, "documents").select("doc_id", "text")
+    model = QC.fit(QC.training_rows(docs, _t(spark, d, "labels")))
+    return QC.score(docs, model).select("doc_id", QC.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op6_pii(spark, d):
     return PI.digests(PI.find_pii(_t(spark, d, "documents").select("doc_id", "text")))
 
 
+def op7_toxicity(spark, d):
+    docs = _t(spark, d, "documents").select("doc_id", "text")
+    labels = _t(spark, d, "labels")
+    model = TX.fit(TX.training_rows(docs, labels), TX.toxic_share(labels))
+    return TX.severity(docs, model).select("doc_id", "toxic_probability", "expected_severity", "grade", "toxic")
+
+
 def op8_quality_rules(spark, d):
     judged = QR.quality_rules(_t(spark, d, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -69,6 +95,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None)
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
+def pipeline(spark, d):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, d)
+
+
 QUERIES = {f.__name__: f for f in (
-    op2_packing, op3_chat_format, op6_pii, op8_quality_rules, op9_simhash_dedup, op10_decontamination)}
-ORACLES: dict[str, str] = {"op3_chat_format": CF.duckdb_sql(), "op8_quality_rules": QR.duckdb_sql()}
+    op1_license_scan, op2_packing, op3_chat_format, op4_html_extraction, op5_quality_classifier, op6_pii, op7_toxicity, op8_quality_rules, op9_simhash_dedup, op10_decontamination,
+    pipeline)}
+ORACLES: dict[str, str] = {"op1_license_scan": LS.duckdb_sql(), "op3_chat_format": CF.duckdb_sql(), "op8_quality_rules": QR.duckdb_sql()}

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logsieve.llm.common import cut
+from logsieve.llm.common import cut, free_names
 
 SEED = 42
 SHINGLE = 3
@@ -250,6 +250,23 @@ def connected(edges: DataFrame, a: str = "fp", b: str = "to") -> DataFrame:
             return labels
 
 
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """``docs`` with one row of each near-duplicate group: the one of the smallest id, then of the smallest text hash.
+
+    Rows are told apart by (id, 64-bit text hash); only if some are equal in both are whole rows compared by
+    that key. The keys of the rows that go are anti-joined; texts are shuffled only if these keys are too many to broadcast.
+    """
+    key, h = free_names(["_key", "_h"], docs.columns)
+    keyed = docs.withColumn(key, F.struct(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("h")))
+    found = cut(near_duplicates(keyed, key, text_col, **how).select(F.col(key).alias("k"), F.col("component_id").alias("head")))
+    gone = found.where("k <> head").select(F.col("k.id").alias("gone_id"), F.col("k.h").alias("gone_h")).distinct()
+    named = docs.withColumn(h, F.xxhash64(F.col(f"`{text_col}`")))
+    left = named.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("gone_id")) & (F.col(h) == F.col("gone_h")), "left_anti")
+    if not found.where("k = head").groupBy("k").count().where("count > 1").isEmpty():
+        left = left.dropDuplicates([id_col, h])
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                     bits: int = MAX_BITS, shard_size: int = SHARD_SIZE) -> DataFrame:
     """(id_col, fp, component_id) for every row: the smallest id its fingerprint reaches."""
