@@ -29,13 +29,15 @@ from logsieve.plans.analyze import analyze, flat_analysis  # noqa: E402
 from logsieve.plans.triage import triage_report, triage_table  # noqa: E402
 from logsieve.sources import airflow as AF  # noqa: E402
 from logsieve.sources import files as FS  # noqa: E402
-from logsieve.sources.corpus import render_corpus  # noqa: E402
+from logsieve.sources.corpus import render_blocks, render_corpus  # noqa: E402
 from logsieve.sources.text import lines_from_text  # noqa: E402
 
 AS_OF = "2024-02-01T00:00:00"
 # Split date of the watched-files fixture: the manifest holds what was seen before it.
 MANIFEST_DATE = "2024-01-15 00:00:00"
 LOG_BASE = "/logs"
+# Cut of tail_bytes_cut: most documents are longer.
+CUT_BYTES = 1001
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -77,11 +79,11 @@ def q_classify_join(spark, d):
 
 
 def q_level_stats(spark, d):
-    return X.level_stats(_lines(spark, d))
+    return X.level_stats(render_blocks(_t(spark, d, "events")))
 
 
 def q_line_totals(spark, d):
-    return X.line_totals(_lines(spark, d))
+    return X.line_totals(render_blocks(_t(spark, d, "events")))
 
 
 def q_job_context(spark, d):
@@ -95,7 +97,23 @@ def q_failed_stages(spark, d):
 
 
 def q_signals(spark, d):
-    return S.signals(_classified(spark, d)).withColumn("evidence", F.array_join("evidence", "\n"))
+    return S.signals(_classified(spark, d), evidence_cap=None).withColumn("evidence", F.array_join("evidence", "\n"))
+
+
+# User rules: one of an unknown severity before the default ones, and one that hits document text.
+USER_RULES = [(-2, "task hit a limit|no space left", "Own", "INFO", "own limit"), (-1, "licen[cs]e|copyright", "Own", "LOW", "own license"),
+              *R.DEFAULT_RULES]
+
+
+def q_signals_user_rules(spark, d):
+    return S.rank_signals(S.signals(C.classify(_lines(spark, d), USER_RULES), evidence_cap=None)).select(
+        "job_id", "label", "severity", "sev_rank", "signal_rank", "n", F.array_join("evidence", "\n").alias("evidence"))
+
+
+def q_classify_join_user_rules(spark, d):
+    lines = lines_from_text(_t(spark, d, "documents"), "doc_id", "text")
+    return C.classify_join(lines, C.rule_table(spark, USER_RULES), block=4).select(
+        "job_id", "line_no", "label", "category", "severity")
 
 
 def q_evidence(spark, d):
@@ -138,11 +156,11 @@ def q_error_snippet(spark, d):
 
 
 def q_analyze(spark, d):
-    return flat_analysis(analyze(_lines(spark, d), as_of=AS_OF))
+    return flat_analysis(analyze(_lines(spark, d), as_of=AS_OF, evidence_cap=R.EVIDENCE_CAP))
 
 
-def _analysis(spark, d):
-    return analyze(_lines(spark, d), as_of=AS_OF)
+def _analysis(spark, d, evidence_cap=R.EVIDENCE_CAP):
+    return analyze(_lines(spark, d), as_of=AS_OF, evidence_cap=evidence_cap)
 
 
 def _flat_triage(df):
@@ -218,7 +236,7 @@ def q_triage_defaults(spark, d):
 
 
 def q_analysis_json(spark, d):
-    return RP.analysis_json(_analysis(spark, d))
+    return RP.analysis_json(_analysis(spark, d, None))
 
 
 def q_triage_json(spark, d):
@@ -243,6 +261,18 @@ def q_tail_bytes(spark, d):
                        FS.tail_bytes(F.col("text")).alias("tail"))
 
 
+def q_tail_bytes_cut(spark, d):
+    docs = _t(spark, d, "documents")
+    return docs.select(F.col("doc_id").cast("string").alias("job_id"),
+                       FS.tail_bytes(F.col("text"), CUT_BYTES).alias("tail"))
+
+
+def q_job_from_task_path(spark, d):
+    files = AF.render_log_files(_contexts(spark, d), LOG_BASE)
+    return FS.job_from_path(files.select("path"), "path").select(
+        "path", "job_id", "dag_id", "task_id", "execution_date", "try_number", "airflow_job")
+
+
 def q_job_from_path(spark, d):
     pages = _t(spark, d, "pages")
     return FS.job_from_path(pages.select("page_id", F.col("url").alias("path")), "path").select(
@@ -309,13 +339,17 @@ def q_triage_failures(spark, d):
     return t.filter("alert").select("job_id", "job_name", "category", "severity", "failure_signature")
 
 
-def _corpus_files(spark, d):
-    """The rendered corpus written as log files (one folder per job) in the
-    session's shared checkpoint folder; returns the folder."""
+def _scratch(spark, name):
     import uuid
 
     from logsieve.session import scratch_path
-    base = scratch_path(spark, f"corpus_logs/{uuid.uuid4().hex}")
+    return scratch_path(spark, f"{name}/{uuid.uuid4().hex}")
+
+
+def _corpus_files(spark, d):
+    """The rendered corpus written as log files (one folder per job) in the
+    session's shared checkpoint folder; returns the folder."""
+    base = _scratch(spark, "corpus_logs")
     FS.write_log_files(_lines(spark, d), base)
     return base
 
@@ -325,28 +359,43 @@ def q_read_logs(spark, d):
         "job_id", "line_no", "idx", "value")
 
 
-def q_watch_logs(spark, d):
-    import uuid
+def q_analyze_files(spark, d):
+    """Every file is a log of its own: the corpus as one file per job, in folders with blanks and
+    brackets in their names; one task writes several jobs, so file names repeat across folders."""
+    base, keys = _scratch(spark, "task_logs"), ["dag", "job_id"]
+    lines = _lines(spark, d).withColumn("dag", F.concat(F.lit("dag [x] "), F.length("job_id").cast("string")))
+    (lines.repartition(4, "job_id").sortWithinPartitions(*keys, "line_no").select(*keys, "value")
+     .write.partitionBy(*keys).text(base))
+    a = flat_analysis(analyze(FS.read_logs(spark, base, glob="*.txt"), as_of=AS_OF, evidence_cap=R.EVIDENCE_CAP))
+    return a.withColumn("job_id", F.regexp_extract("job_id", "/dag=dag [^/]*/job_id=([^/]+)/[^/]+$", 1))
 
-    from logsieve.session import scratch_path
-    from logsieve.streaming.watch import watch_logs
-    src = _corpus_files(spark, d)
-    out = scratch_path(spark, f"watch_out/{uuid.uuid4().hex}")
+
+def q_watch_logs(spark, d):
+    from logsieve.streaming.watch import read_outbox, watch_logs
+    src, out = _corpus_files(spark, d), _scratch(spark, "watch_out")
     q = watch_logs(spark, src, out, glob="*.txt", available_now=True, as_of=AS_OF, job="dir")
     q.awaitTermination()
-    return spark.read.parquet(out).select("job_id", "recipient", "severity", "subject", "body")
+    return read_outbox(spark, out)
 
 
 def q_rescan_logs(spark, d):
     """First scan of the corpus log files against an empty manifest: every
     file is new, so every line comes back (later scans return changes only)."""
-    import uuid
-
-    from logsieve.session import scratch_path
     from logsieve.streaming.rescan import rescan
-    src = _corpus_files(spark, d)
-    lines, _ = rescan(spark, src, scratch_path(spark, f"manifest/{uuid.uuid4().hex}"), glob="*.txt", job="dir")
-    return lines.select("job_id", "line_no", "idx", "value")
+    scan = rescan(spark, _corpus_files(spark, d), _scratch(spark, "manifest"), glob="*.txt", job="dir")
+    return scan.lines.select("job_id", "line_no", "idx", "value")
+
+
+def q_rescan_alerts(spark, d):
+    """Two scheduled runs over a folder that grows: the first finds the logs of users with even ids, the
+    second only what came after it; its alerts are returned."""
+    from logsieve.streaming.rescan import rescan_to_outbox
+    base, manifest, out = (_scratch(spark, x) for x in ("grown_logs", "manifest", "rescan_out"))
+    events = _t(spark, d, "events")
+    for part in (0, 1):
+        FS.write_log_files(render_corpus(events.where(F.col("user_id") % 2 == part)), base, mode="append")
+        version = rescan_to_outbox(spark, base, manifest, out, glob="*.txt", job="dir", as_of=AS_OF)
+    return spark.read.parquet(f"{out}/scan={version}").select("job_id", "recipient", "severity", "subject", "body")
 
 
 def q_tail_bytes_lines(spark, d):
@@ -373,18 +422,11 @@ def q_analyze_conversations(spark, d):
 
 
 def q_stream_signal_counts(spark, d):
-    import uuid
-
-    from logsieve.streaming.watch import running_signal_counts, stream_logs
-    src = _corpus_files(spark, d)
-    name = "signal_counts_" + uuid.uuid4().hex[:12]
-    from logsieve.session import scratch_path
-    stream = stream_logs(spark, src, glob="*.txt").withColumn("job_id", FS.job_column(F.col("path"), "dir"))
-    q = (running_signal_counts(stream).writeStream.outputMode("complete").format("memory").queryName(name)
-         .option("checkpointLocation", scratch_path(spark, f"stream_counts/{name}"))
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.table(name).select("job_id", "label", "n", "severity")
+    from logsieve.streaming import watch as WT
+    src, out = _corpus_files(spark, d), _scratch(spark, "signal_counts")
+    stream = WT.stream_logs(spark, src, glob="*.txt").withColumn("job_id", FS.job_column(FS.file_path(F.col("path")), "dir"))
+    WT.write_signal_counts(WT.running_signal_counts(stream), out, available_now=True).awaitTermination()
+    return WT.latest_signal_counts(spark, out)
 
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -436,6 +478,12 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_signal_counts": q_stream_signal_counts,
     "tail_bytes_lines": q_tail_bytes_lines,
     "rescan_logs": q_rescan_logs,
+    "rescan_alerts": q_rescan_alerts,
+    "analyze_files": q_analyze_files,
+    "signals_user_rules": q_signals_user_rules,
+    "classify_join_user_rules": q_classify_join_user_rules,
+    "tail_bytes_cut": q_tail_bytes_cut,
+    "job_from_task_path": q_job_from_task_path,
 }
 
 
@@ -470,8 +518,28 @@ FROM lines WHERE idx IS NOT NULL"""),
         "job_context": W("SELECT job_id, platform, spark_version, total_log_lines, error_count, warn_count, "
                          "failed_stages, executors_lost, oom_events, shuffle_failures, task_retries FROM ctx"),
         "failed_stages": W("SELECT job_id, failed_stages FROM stages"),
-        "signals": W("SELECT job_id, label, category, severity, sev_rank, n, first_idx, evidence, stack_trace "
-                     "FROM signals"),
+        "signals": W("SELECT job_id, label, category, severity, sev_rank, n, first_idx, "
+                     "array_to_string(evidence_list, chr(10)) AS evidence, stack_trace FROM signals"),
+        "signals_user_rules": W("SELECT job_id, label, severity, sev_rank, signal_rank, n, "
+                                "array_to_string(evidence_list, chr(10)) AS evidence FROM ranked", rules=USER_RULES),
+        "classify_join_user_rules": "WITH " + D.text_lines_sql("documents", "doc_id", "text")
+                                    + ",\nlines AS (SELECT job_id, line_no, idx, value FROM text_lines),"
+                                    + D.analysis_ctes(USER_RULES)
+                                    + "\nSELECT job_id, line_no, label, category, severity FROM hits",
+        "rescan_alerts": W("SELECT o.job_id, recipient, severity, subject, body FROM outbox o "
+                           "WHERE CAST(substr(o.job_id, 5) AS BIGINT) % 2 = 1", _triage_sql_ctes()),
+        "analyze_files": W(_FLAT_ANALYSIS_SELECT),
+        "tail_bytes_cut": f"""
+WITH s AS (SELECT doc_id, text, right(text, {CUT_BYTES}) AS r FROM documents WHERE octet_length(encode(text)) > {CUT_BYTES}),
+c AS (SELECT doc_id, unnest(range(1, length(r) + 1)) AS i, unnest(string_split(r, '')) AS ch FROM s),
+b AS (SELECT doc_id, i, ch, sum(octet_length(encode(ch))) OVER (PARTITION BY doc_id ORDER BY i DESC) AS after FROM c),
+t AS (SELECT doc_id, string_agg(ch, '' ORDER BY i) AS tail, max(after) AS n FROM b WHERE after <= {CUT_BYTES} GROUP BY doc_id)
+SELECT CAST(doc_id AS VARCHAR) AS job_id, repeat(chr(65533), CAST({CUT_BYTES} - n AS INTEGER)) || tail AS tail FROM t
+UNION ALL SELECT CAST(doc_id AS VARCHAR), text FROM documents WHERE octet_length(encode(text)) <= {CUT_BYTES}""",
+        "job_from_task_path": "WITH " + _failure_ctes() + """
+SELECT path, parts[-1][:-5] AS job_id, parts[-4] AS dag_id, parts[-3] AS task_id, parts[-2] AS execution_date,
+       parts[-1][:-5] AS try_number, parts[-4] || '.' || parts[-3] AS airflow_job
+FROM (SELECT path, string_split(path, '/') AS parts FROM ffiles)""",
         "evidence": W(f"SELECT job_id, label, idx, {D.strip('value')} AS line FROM hits"),
         "top_evidence": W(f"SELECT job_id, label, rank, idx, line FROM ev_ranked WHERE rank <= {R.EVIDENCE_CAP}"),
         "stack_traces": W("SELECT job_id, label, stack_trace FROM stacks"),
@@ -526,7 +594,9 @@ SELECT t.job_id, to_json({{
   'job_context': {{'job_name': a.job_id, 'platform': a.platform, 'spark_version': a.spark_version,
                   'total_log_lines': a.total_log_lines, 'error_count': a.error_count, 'warn_count': a.warn_count,
                   'failed_stages': a.stage_list, 'executors_lost': a.executors_lost, 'oom_events': a.oom_events,
-                  'shuffle_failures': a.shuffle_failures, 'task_retries': a.task_retries}}}})::VARCHAR AS json
+                  'shuffle_failures': a.shuffle_failures, 'task_retries': a.task_retries,
+                  'duration_seconds': CAST(NULL AS DOUBLE), 'start_time': CAST(NULL AS VARCHAR),
+                  'end_time': CAST(NULL AS VARCHAR)}}}})::VARCHAR AS json
 FROM triage t JOIN analysis a USING (job_id)""", _triage_sql_ctes()),
         "parse_response": _replies_sql(
             "SELECT job_id, category, confidence, severity, failure_signature, root_cause, immediate_mitigation, "

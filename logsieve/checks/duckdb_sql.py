@@ -22,9 +22,9 @@ def _template_case() -> str:
     return f"CASE event_id % 24 {whens} ELSE {q(OTHER_TEMPLATE)} END"
 
 
-def _rule_case(col: str = "value") -> str:
+def _rule_case(col: str = "value", rules=R.DEFAULT_RULES) -> str:
     whens = " ".join(
-        f"WHEN regexp_matches({col}, {q(p)}, 'i') THEN {i}" for i, (_, p, _, _, _) in enumerate(R.DEFAULT_RULES)
+        f"WHEN regexp_matches({col}, {q(p)}, 'i') THEN {i}" for i, (_, p, _, _, _) in enumerate(rules)
     )
     return f"CASE {whens} END"
 
@@ -33,10 +33,7 @@ def _arr(vals) -> str:
     return "[" + ", ".join(q(v) for v in vals) + "]"
 
 
-LABELS = _arr([r[4] for r in R.DEFAULT_RULES])
-CATEGORIES = _arr([r[2] for r in R.DEFAULT_RULES])
-SEVERITIES = _arr([r[3] for r in R.DEFAULT_RULES])
-SEV_ORDER = _arr(R.SEVERITY_ORDER)
+SEV_RANKS = " ".join(f"WHEN {q(s)} THEN {i}" for i, s in enumerate(R.SEVERITY_ORDER))
 STRIP = "regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
 NONBLANK = "regexp_matches({c}, '\\S')"
 
@@ -73,18 +70,21 @@ lines AS (
   FROM raw_lines)"""
 
 
-def analysis_ctes() -> str:
-    """CTEs over ``lines``: classified, hits, sig, ev5, stacks, ranked, ctx, stages, tail, snippet."""
+def analysis_ctes(rules=R.DEFAULT_RULES) -> str:
+    """CTEs over ``lines``: classified, hits, sig, ev, stacks, ranked, ctx, stages, tail, snippet.
+
+    ``ev`` has the first lines as ``evidence`` and every line as ``evidence_list``."""
+    labels, categories, severities = (_arr([r[k] for r in rules]) for k in (4, 2, 3))
     sp = R.STACK_FRAME_PATTERN
     vp = R.SPARK_VERSION_PATTERN
     pp = R.PLATFORM_PATTERN
     return f"""
 classified AS (
-  SELECT *, CASE WHEN idx IS NOT NULL THEN {_rule_case()} END AS rule_pos FROM lines),
+  SELECT *, CASE WHEN idx IS NOT NULL THEN {_rule_case("value", rules)} END AS rule_pos FROM lines),
 labelled AS (
   SELECT job_id, line_no, idx, value,
-         {LABELS}[rule_pos + 1] AS label, {CATEGORIES}[rule_pos + 1] AS category,
-         {SEVERITIES}[rule_pos + 1] AS severity
+         {labels}[rule_pos + 1] AS label, {categories}[rule_pos + 1] AS category,
+         {severities}[rule_pos + 1] AS severity
   FROM classified),
 hits AS (SELECT * FROM labelled WHERE label IS NOT NULL),
 sig AS (
@@ -95,11 +95,11 @@ ev_ranked AS (
   SELECT job_id, label, idx, {strip('value')} AS line,
          row_number() OVER (PARTITION BY job_id, label ORDER BY idx) AS rank
   FROM hits),
-ev5 AS (
-  SELECT job_id, label, string_agg(line, chr(10) ORDER BY rank) AS evidence,
+ev AS (
+  SELECT job_id, label, string_agg(CASE WHEN rank <= {R.EVIDENCE_CAP} THEN line END, chr(10) ORDER BY rank) AS evidence,
          string_agg(CASE WHEN rank <= {R.SNIPPET_EVIDENCE} THEN line END, chr(10) ORDER BY rank) AS evidence2,
          arg_min(line, rank) AS evidence1, list(line ORDER BY rank) AS evidence_list
-  FROM ev_ranked WHERE rank <= {R.EVIDENCE_CAP} GROUP BY job_id, label),
+  FROM ev_ranked GROUP BY job_id, label),
 probes AS (
   SELECT job_id, label, UNNEST(range(first_idx + 1, first_idx + {R.STACK_WINDOW} + 1)) AS p FROM sig),
 stack_lines AS (
@@ -115,9 +115,9 @@ stacks AS (
   GROUP BY job_id, label),
 signals AS (
   SELECT s.job_id, s.label, s.category, s.severity,
-         CAST(list_position({SEV_ORDER}, s.severity) - 1 AS BIGINT) AS sev_rank, s.n, s.first_idx,
+         CAST(CASE s.severity {SEV_RANKS} ELSE {len(R.SEVERITY_ORDER)} END AS BIGINT) AS sev_rank, s.n, s.first_idx,
          e.evidence, e.evidence2, e.evidence1, e.evidence_list, st.stack_trace
-  FROM sig s LEFT JOIN ev5 e USING (job_id, label) LEFT JOIN stacks st USING (job_id, label)),
+  FROM sig s LEFT JOIN ev e USING (job_id, label) LEFT JOIN stacks st USING (job_id, label)),
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY sev_rank, first_idx) AS signal_rank FROM signals),
 stages AS (
@@ -167,7 +167,7 @@ summary AS (
          string_agg('  [' || severity || '] ' || label || ' (' || category || '): ' || CAST(n AS VARCHAR)
                     || ' occurrence(s)', chr(10) ORDER BY signal_rank) AS signal_lines,
          list({{'category': category, 'pattern_matched': label, 'severity': severity,
-                'evidence_lines': evidence_list, 'stack_trace': stack_trace, 'occurrences': n}}
+                'evidence_lines': evidence_list, 'stack_trace': stack_trace}}
               ORDER BY signal_rank) AS signal_dicts
   FROM ranked GROUP BY job_id),
 analysis AS (
@@ -179,15 +179,14 @@ analysis AS (
          p.evidence1 AS primary_evidence1, p.stack_trace AS primary_stack, p.evidence AS primary_evidence,
          sm.signal_lines, sm.signal_dicts, c.stage_list,
          CASE WHEN p.label IS NOT NULL THEN {{'category': p.category, 'pattern_matched': p.label,
-           'severity': p.severity, 'evidence_lines': p.evidence_list, 'stack_trace': p.stack_trace,
-           'occurrences': p.n}} END AS primary_dict
+           'severity': p.severity, 'evidence_lines': p.evidence_list, 'stack_trace': p.stack_trace}} END AS primary_dict
   FROM ctx c LEFT JOIN primary_sig p USING (job_id) LEFT JOIN summary sm USING (job_id)
   LEFT JOIN snippet sn USING (job_id) LEFT JOIN tail t USING (job_id))"""
 
 
-def with_corpus(body: str, extra_ctes: str = "") -> str:
+def with_corpus(body: str, extra_ctes: str = "", rules=R.DEFAULT_RULES) -> str:
     """A statement over the rendered corpus with all analysis CTEs available."""
-    ctes = corpus_ctes() + "," + analysis_ctes()
+    ctes = corpus_ctes() + "," + analysis_ctes(rules)
     if extra_ctes:
         ctes += "," + extra_ctes
     return f"WITH {ctes}\n{body}"

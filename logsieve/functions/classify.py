@@ -40,5 +40,7 @@ def classify_columns(pos: Column, rules=None) -> dict[str, Column]:
 
 
 def severity_rank(severity: Column) -> Column:
-    """0 for CRITICAL ... 3 for LOW; NULL for anything else."""
-    return F.array_position(F.array(*[F.lit(s) for s in R.SEVERITY_ORDER]), severity) - F.lit(1)
+    """0 for CRITICAL ... 3 for LOW; one past the last for anything else, so that a
+    user rule of an unknown severity never outranks a known one."""
+    at = F.coalesce(F.array_position(F.array(*[F.lit(s) for s in R.SEVERITY_ORDER]), severity), F.lit(0))
+    return F.when(at == 0, F.lit(len(R.SEVERITY_ORDER))).otherwise(at - 1).cast("bigint")

@@ -12,10 +12,9 @@ from pyspark.sql import functions as F
 from .. import rules as R
 from ..functions.classify import classify_columns, classify_prio
 from ..functions.lines import level_anywhere, parsed_fields
-from ..functions.regex import ci
 
-# Rule tables above this many rows are not broadcast by classify_join.
-MAX_BROADCAST_RULES = 100_000
+#: Rules compiled into one CASE.
+RULE_BLOCK = 500
 
 
 def drop_blank(lines: DataFrame) -> DataFrame:
@@ -44,34 +43,38 @@ def classify(lines: DataFrame, rules=None) -> DataFrame:
     return lines.withColumn("_rule", pos).withColumns(classify_columns(F.col("_rule"), rl)).drop("_rule")
 
 
-def classify_join(lines: DataFrame, rules: DataFrame) -> DataFrame:
-    """Classification against a rule *table* (R5, table form).
+def classify_join(lines: DataFrame, rules: DataFrame, block: int = RULE_BLOCK) -> DataFrame:
+    """Classification against a rule *table* of any size (R5, table form).
 
-    The rule table is broadcast after a size check and joined on
-    ``value RLIKE pattern``; the first rule per line wins by ``prio``. Only
-    matched lines come back, one row each, with label, category, severity.
+    Rules are taken in blocks by ``prio``; a block is compiled into one CASE of literal patterns (each
+    compiled once per task), and a line that no block before matched goes on to the next. Nothing is
+    joined, broadcast or shuffled. Only matched lines come back, with label, category, severity.
     """
-    n_rules = rules.count()
-    if n_rules > MAX_BROADCAST_RULES:
-        raise ValueError(f"rule table has {n_rules} rows; above {MAX_BROADCAST_RULES} it is not broadcast")
-    r = rules.select(
-        F.col("prio").alias("_prio"),
-        F.concat(F.lit(ci("")), F.col("pattern")).alias("_pattern"),
-        F.col("label").alias("_label"),
-        F.col("category").alias("_category"),
-        F.col("severity").alias("_severity"),
-    )
-    hits = drop_blank(lines).join(F.broadcast(r), F.expr("value RLIKE _pattern"), "inner")
-    best = F.min_by(F.struct("_label", "_category", "_severity"), F.col("_prio"))
-    # Matched pairs only are shuffled, keyed by line (unique keys: no skew).
-    return (
-        hits.groupBy("job_id", "line_no")
-        .agg(best.alias("_r"), F.any_value("idx").alias("idx"), F.any_value("value").alias("value"))
-        .select("job_id", "line_no", "idx", "value",
-                F.col("_r._label").alias("label"),
-                F.col("_r._category").alias("category"),
-                F.col("_r._severity").alias("severity"))
-    )
+    out = drop_blank(lines).withColumn("_r", F.lit(None).cast("struct<label:string,category:string,severity:string>"))
+    for rl in _rule_blocks(rules, block):
+        pos = classify_prio(F.col("value"), rl)
+        found = F.get(F.transform(F.array(pos), _rule_struct(rl)), F.lit(0))
+        out = out.withColumn("_r", F.coalesce("_r", found))
+    return out.where(F.col("_r").isNotNull()).select(
+        "job_id", "line_no", "idx", "value", "_r.label", "_r.category", "_r.severity")
+
+
+def _rule_struct(rl: list):
+    def struct(pos):
+        return F.when(pos.isNotNull(), F.struct(*[c.alias(k) for k, c in classify_columns(pos, rl).items()]))
+    return struct
+
+
+def _rule_blocks(rules: DataFrame, block: int):
+    """Lists of at most ``block`` rules in order of prio; partitions come to the driver one at a time."""
+    part: list[tuple] = []
+    for r in rules.select("prio", "pattern", "category", "severity", "label").orderBy("prio").toLocalIterator():
+        part.append(tuple(r))
+        if len(part) == block:
+            yield part
+            part = []
+    if part:
+        yield part
 
 
 def rule_table(spark, rules=None) -> DataFrame:

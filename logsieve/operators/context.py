@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lines as L
+from ..functions.regex import is_blank
 
 
 CONTEXT_FLAGS = ["_err", "_warn", "_version", "_platform", "_stage", "_lost", "_oom", "_shuffle", "_retry"]
@@ -44,18 +45,13 @@ def level_stats(lines: DataFrame) -> DataFrame:
 
 
 def line_totals(lines: DataFrame) -> DataFrame:
-    """Total lines (blank included) and non-blank lines per job (A2)."""
+    """Total lines (blank included) and non-blank lines per job (A2). Lines need no numbers."""
     return lines.groupBy("job_id").agg(
         F.count(F.lit(1)).alias("total_lines"),
-        F.count("idx").alias("nonblank_lines"),
+        F.count_if(~is_blank(F.col("value"))).alias("nonblank_lines"),
     )
 
 
-def _first_by_line(col):
-    """Value of ``col`` on the earliest line where it is not NULL."""
-    return F.min_by(col, F.when(col.isNotNull(), F.col("line_no")))
-
-
 def failed_stages(lines: DataFrame) -> DataFrame:
     """Distinct failed stage ids per job, in first-seen order (A3).
 
@@ -79,23 +75,28 @@ def job_context(lines: DataFrame) -> DataFrame:
     """One row per job: counters, first version and platform, failed stages.
 
     ``total_log_lines`` counts non-blank lines, as the analysis reports it.
-    Jobs with no failed stage get an empty list.
+    Jobs with no failed stage get an empty list. The lines are read once: a first
+    aggregate by (job, stage named on the line) gives one row per stage, a second
+    sums them up per job. Lines with a ``job_name`` column keep it.
     """
     per_line = with_context_flags(lines)
-    counters = per_line.groupBy("job_id").agg(
-        F.coalesce(_first_by_line(F.col("_platform")), F.lit("unknown")).alias("platform"),
-        F.coalesce(_first_by_line(F.col("_version")), F.lit("unknown")).alias("spark_version"),
-        F.count("idx").alias("total_log_lines"),
-        F.count_if("_err").alias("error_count"),
-        F.count_if("_warn").alias("warn_count"),
-        F.count_if("_lost").alias("executors_lost"),
-        F.count_if("_oom").alias("oom_events"),
-        F.count_if("_shuffle").alias("shuffle_failures"),
-        F.count_if("_retry").alias("task_retries"),
-    )
-    stages = failed_stages(lines)
-    return counters.join(stages, "job_id", "left").select(
-        "job_id", "platform", "spark_version", "total_log_lines", "error_count", "warn_count",
-        F.coalesce(F.col("failed_stages"), F.array().cast("array<string>")).alias("failed_stages"),
-        "executors_lost", "oom_events", "shuffle_failures", "task_retries",
+    named = "job_name" in lines.columns
+    first = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct("line_no", c))).alias(c)
+    flags = ["_err", "_warn", "_lost", "_oom", "_shuffle", "_retry"]
+    by_stage = per_line.groupBy("job_id", "_stage").agg(
+        first("_platform"), first("_version"), F.count("idx").alias("_n"), F.min("line_no").alias("_first"),
+        *[F.count_if(c).alias(c) for c in flags], *([F.min("job_name").alias("job_name")] if named else []))
+    stages = F.array_sort(F.collect_list(F.when(F.col("_stage").isNotNull(), F.struct("_first", "_stage"))))
+    return by_stage.groupBy("job_id").agg(
+        F.coalesce(F.min("_platform")["_platform"], F.lit("unknown")).alias("platform"),
+        F.coalesce(F.min("_version")["_version"], F.lit("unknown")).alias("spark_version"),
+        F.sum("_n").alias("total_log_lines"),
+        F.sum("_err").alias("error_count"),
+        F.sum("_warn").alias("warn_count"),
+        F.transform(stages, lambda s: s["_stage"]).alias("failed_stages"),
+        F.sum("_lost").alias("executors_lost"),
+        F.sum("_oom").alias("oom_events"),
+        F.sum("_shuffle").alias("shuffle_failures"),
+        F.sum("_retry").alias("task_retries"),
+        *([F.min("job_name").alias("job_name")] if named else []),
     )

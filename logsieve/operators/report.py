@@ -24,14 +24,14 @@ TRIAGE_COLUMNS = [
 ]
 
 # FIXED VALUES: alert body texts.
-BODY_TITLE = "\U0001F6A8 SPARK JOB FAILURE ALERT"
+BODY_TITLE = "🚨 SPARK JOB FAILURE ALERT"
 BODY_RULE = "=" * 60
-BODY_SIGNATURE = "\U0001F50D FAILURE SIGNATURE"
-BODY_ROOT_CAUSE = "\U0001F50E ROOT CAUSE"
-BODY_MITIGATION = "\U0001F6E0  IMMEDIATE MITIGATION"
-BODY_FIX = "\U0001F9F1 PERMANENT FIX"
+BODY_SIGNATURE = "🔍 FAILURE SIGNATURE"
+BODY_ROOT_CAUSE = "🔎 ROOT CAUSE"
+BODY_MITIGATION = "🛠  IMMEDIATE MITIGATION"
+BODY_FIX = "🧱 PERMANENT FIX"
 BODY_CONFIG = "⚙️  SPARK CONFIG RECOMMENDATIONS"
-BODY_NOTES = "\U0001F4CC INCIDENT NOTES"
+BODY_NOTES = "📌 INCIDENT NOTES"
 BULLET = "•"
 DEFAULT_FOOTER = "logsieve"
 
@@ -98,8 +98,8 @@ def rule_triage(analysis: DataFrame, keep: list | None = None) -> DataFrame:
 # --------------------------------------------------------------------------
 
 def alert_gate(triage: DataFrame, severities=None, force: Column | bool = False) -> DataFrame:
-    """Triage rows that alert (R14): ``force`` or severity in the set."""
-    sev = list(severities or R.DEFAULT_ALERT_SEVERITIES)
+    """Triage rows that alert (R14): ``force`` or severity in the set (an empty set: none)."""
+    sev = list(R.DEFAULT_ALERT_SEVERITIES if severities is None else severities)
     f = force if isinstance(force, Column) else F.lit(bool(force))
     return triage.filter(f | F.col("severity").isin(sev))
 
@@ -174,11 +174,13 @@ def alert_body(job: Column | None = None, platform: Column | None = None,
 
 def alert_text(triage_with_ctx: DataFrame, footer: str = DEFAULT_FOOTER) -> DataFrame:
     """Subject and body per triage row; needs job_id, platform, spark_version
-    next to the triage columns (T7, T8)."""
+    next to the triage columns (T7, T8). Texts name the job by ``job_name`` if there is one."""
+    named = "job_name" in triage_with_ctx.columns
+    name = F.coalesce("job_name", "job_id") if named else F.col("job_id")
     return triage_with_ctx.select(
         "job_id", "severity",
-        alert_subject(F.col("job_id")).alias("subject"),
-        alert_body(F.col("job_id"), F.col("platform"), F.col("spark_version"), footer).alias("body"),
+        alert_subject(name).alias("subject"),
+        alert_body(name, F.col("platform"), F.col("spark_version"), footer).alias("body"),
     )
 
 
@@ -276,7 +278,7 @@ def _is_object(v: Column) -> Column:
     return F.schema_of_variant(v).startswith("OBJECT")
 
 
-def parse_response(replies: DataFrame, as_of: str = "1970-01-01T00:00:00") -> DataFrame:
+def parse_response(replies: DataFrame, as_of: str) -> DataFrame:
     """Model replies (job_id, raw, model, tokens) to triage rows.
 
     Parse the cleaned reply as a JSON object; else the span from the first
@@ -372,22 +374,36 @@ def enrich_notes(triage: DataFrame, contexts: DataFrame, on: str = "job_id") ->
     ).drop("_ctx_notes")
 
 
+def _context_dict(c: Column) -> Column:
+    """The 14 keys of a serialised job context; three of them are always null."""
+    return F.struct(
+        *[c[f].alias(f) for f in ("job_name", "platform", "spark_version", "total_log_lines",
+                                   "error_count", "warn_count", "failed_stages", "executors_lost",
+                                   "oom_events", "shuffle_failures", "task_retries")],
+        F.lit(None).cast("double").alias("duration_seconds"),
+        F.lit(None).cast("string").alias("start_time"),
+        F.lit(None).cast("string").alias("end_time"),
+    )
+
+
+_KEEP_NULLS = {"ignoreNullFields": "false"}
+
+
 def triage_json(triage: DataFrame, analysis: DataFrame | None = None) -> DataFrame:
-    """Serialised triage records (K2): 13 keys, plus job_context when the
-    analysis is given."""
+    """Serialised triage records (K2): 13 keys, plus job_context with its 14
+    when the analysis is given. Keys whose value is null stay."""
     cols = [c for c in TRIAGE_COLUMNS if c != "job_id"]
     if analysis is None:
-        return triage.select("job_id", F.to_json(F.struct(*cols)).alias("json"))
-    j = triage.join(analysis.select("job_id", "job_context"), "job_id", "left")
-    return j.select("job_id", F.to_json(F.struct(*cols, "job_context"),
-                                        {"ignoreNullFields": "false"}).alias("json"))
+        return triage.select("job_id", F.to_json(F.struct(*cols), _KEEP_NULLS).alias("json"))
+    j = triage.join(analysis.select("job_id", _context_dict(F.col("job_context")).alias("job_context")), "job_id", "left")
+    return j.select("job_id", F.to_json(F.struct(*cols, "job_context"), _KEEP_NULLS).alias("json"))
 
 
 def _signal_dict(s: Column) -> Column:
     return F.struct(
         s["category"].alias("category"), s["label"].alias("pattern_matched"),
         s["severity"].alias("severity"), s["evidence"].alias("evidence_lines"),
-        s["stack_trace"].alias("stack_trace"), s["n"].alias("occurrences"),
+        s["stack_trace"].alias("stack_trace"),
     )
 
 
@@ -395,28 +411,19 @@ def analysis_json(analysis: DataFrame) -> DataFrame:
     """Serialised analysis (K1): job_context, primary_signal (null if none),
     all_signals, raw_error_snippet, timestamp; log_tail left out.
 
-    Signals carry their first evidence lines (capped) plus the hit count as
-    ``occurrences``; the complete evidence list is the ``evidence`` table.
+    A signal has the evidence lines that the analysis holds: all of them unless
+    ``analyze`` was given an ``evidence_cap``.
     """
-    c = F.col("job_context")
-    ctx = F.struct(
-        *[c[f].alias(f) for f in ("job_name", "platform", "spark_version", "total_log_lines",
-                                   "error_count", "warn_count", "failed_stages", "executors_lost",
-                                   "oom_events", "shuffle_failures", "task_retries")],
-        F.lit(None).cast("double").alias("duration_seconds"),
-        F.lit(None).cast("string").alias("start_time"),
-        F.lit(None).cast("string").alias("end_time"),
-    )
     p = F.col("primary_signal")
     return analysis.select(
         "job_id",
         F.to_json(
             F.struct(
-                ctx.alias("job_context"),
+                _context_dict(F.col("job_context")).alias("job_context"),
                 F.when(p.isNotNull(), _signal_dict(p)).alias("primary_signal"),
                 F.transform("all_signals", _signal_dict).alias("all_signals"),
                 "raw_error_snippet", "timestamp",
             ),
-            {"ignoreNullFields": "false"},
+            _KEEP_NULLS,
         ).alias("json"),
     )

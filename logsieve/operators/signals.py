@@ -1,8 +1,8 @@
 """Failure signals per (job, label): counts, evidence, stacks, ranking.
 
 Input is a *classified* lines table (job_id, line_no, idx, value, label,
-category, severity). Bounded outputs only: evidence arrays hold the first
-``EVIDENCE_CAP`` lines (top-k with a partial, map-side group limit), stacks
+category, severity). Evidence arrays hold the first lines up to a cap that the
+caller sets (top-k with a partial, map-side group limit) or, with the cap None, every line; stacks
 come from at most ``STACK_WINDOW`` lines after the first hit, and the full
 evidence list stays a long table (``evidence``).
 """
@@ -30,14 +30,14 @@ def evidence(classified: DataFrame) -> DataFrame:
     return hits(classified).select("job_id", "label", "idx", py_strip(F.col("value")).alias("line"))
 
 
-def top_evidence(classified: DataFrame, n: int = R.EVIDENCE_CAP) -> DataFrame:
-    """First ``n`` evidence lines per (job, label) as rows with their rank."""
+def top_evidence(classified: DataFrame, n: int | None = R.EVIDENCE_CAP) -> DataFrame:
+    """First ``n`` evidence lines (None: all) per (job, label) as rows with their rank."""
     w = Window.partitionBy(*SIGNAL_KEY).orderBy("idx")
     return (
         hits(classified)
         .select("job_id", "label", "idx", "value")
         .withColumn("rank", F.row_number().over(w).cast("bigint"))
-        .filter(F.col("rank") <= n)
+        .filter(F.lit(True) if n is None else F.col("rank") <= n)
         .select("job_id", "label", "rank", "idx", py_strip(F.col("value")).alias("line"))
     )
 
@@ -72,16 +72,17 @@ def stack_traces(classified: DataFrame, firsts: DataFrame, window: int = R.STACK
                         .alias("stack_trace"))
 
 
-def signals(classified: DataFrame, evidence_cap: int = R.EVIDENCE_CAP,
+def signals(classified: DataFrame, evidence_cap: int | None = R.EVIDENCE_CAP,
             stack_window: int = R.STACK_WINDOW, persist: bool = True) -> DataFrame:
     """One row per (job, label) (A4): category, severity, sev_rank, n (hits),
     first_idx, evidence (first ``evidence_cap`` stripped lines) and the stack
-    trace of the first hit (NULL if none).
+    trace of the first hit (NULL if none). ``evidence_cap=None`` keeps every evidence line.
 
     Counts, evidence and stacks are three reads of the input; with
     ``persist`` the narrow part they need (labelled and stack lines only) is
     cached once instead of recomputing the input three times.
     """
+    cached = []
     if persist:
         flag = F.col("_stack") if "_stack" in classified.columns else is_stack_line(F.col("value"))
         classified = (
@@ -90,6 +91,7 @@ def signals(classified: DataFrame, evidence_cap: int = R.EVIDENCE_CAP,
             .filter(F.col("label").isNotNull() | F.col("_stack"))
             .persist(StorageLevel.MEMORY_AND_DISK)
         )
+        cached = [classified]
     h = hits(classified)
     counts = h.groupBy(*SIGNAL_KEY).agg(
         F.min_by(F.col("category"), F.col("idx")).alias("category"),
@@ -97,17 +99,22 @@ def signals(classified: DataFrame, evidence_cap: int = R.EVIDENCE_CAP,
         F.count(F.lit(1)).alias("n"),
         F.min("idx").alias("first_idx"),
     )
-    ev = top_evidence(classified, evidence_cap).groupBy(*SIGNAL_KEY).agg(
-        _ordered(F.collect_list(F.struct("rank", "line")), "line").alias("evidence")
-    )
+    if evidence_cap is None:
+        ev = evidence(classified).groupBy(*SIGNAL_KEY).agg(
+            _ordered(F.collect_list(F.struct("idx", "line")), "line").alias("evidence"))
+    else:
+        ev = top_evidence(classified, evidence_cap).groupBy(*SIGNAL_KEY).agg(
+            _ordered(F.collect_list(F.struct("rank", "line")), "line").alias("evidence"))
     st = stack_traces(classified, counts.select("job_id", "label", "first_idx"), stack_window)
-    return (
+    out = (
         counts.join(ev, SIGNAL_KEY, "left")
         .join(st, SIGNAL_KEY, "left")
         .select("job_id", "label", "category", "severity",
                 severity_rank(F.col("severity")).alias("sev_rank"),
                 "n", "first_idx", "evidence", "stack_trace")
     )
+    out._logsieve_cached = cached  # see plans.analyze.release
+    return out
 
 
 def rank_signals(sigs: DataFrame) -> DataFrame:

@@ -55,7 +55,15 @@ def release(df: DataFrame) -> None:
         c.unpersist()
 
 
-def analyze_parts(lines: DataFrame, rules=None, materialize: str = "persist") -> dict[str, DataFrame]:
+def handing_on(out: DataFrame, *sources: DataFrame) -> DataFrame:
+    """``out``, with which ``release`` frees what the frames it was derived from have cached."""
+    out._logsieve_cached = [c for s in sources for c in getattr(s, "_logsieve_cached", [])]
+    return out
+
+
+def analyze_parts(lines: DataFrame, rules=None, materialize: str = "persist", evidence_cap: int | None = None,
+                  stack_window: int = R.STACK_WINDOW, tail_lines: int = R.TAIL_LINES, snippet_signals: int = R.SNIPPET_SIGNALS,
+                  snippet_evidence: int = R.SNIPPET_EVIDENCE, snippet_stack_chars: int = R.SNIPPET_STACK_CHARS) -> dict[str, DataFrame]:
     """The per-job pieces of an analysis, for reuse by other plans.
 
     The annotated lines feed several aggregates, so they are materialised once:
@@ -72,13 +80,13 @@ def analyze_parts(lines: DataFrame, rules=None, materialize: str = "persist") ->
         classified = classified.checkpoint(eager=True)
     elif materialize != "none":
         raise ValueError(f"unknown materialize {materialize!r}")
-    sigs = signals(classified, persist=materialize == "none")
+    sigs = signals(classified, evidence_cap, stack_window, persist=materialize == "none")
     return {
         "classified": classified,
         "context": job_context(classified),
         "signals": sigs,
-        "rollup": signal_rollup(sigs),
-        "tail": log_tail(classified),
+        "rollup": signal_rollup(sigs, snippet_signals, snippet_evidence, snippet_stack_chars),
+        "tail": log_tail(classified, tail_lines),
     }
 
 
@@ -94,11 +102,12 @@ def _with_all_jobs(ctx: DataFrame, jobs: DataFrame) -> DataFrame:
         F.coalesce("failed_stages", F.array().cast("array<string>")).alias("failed_stages"),
         *[F.coalesce(c, zero).alias(c) for c in ("executors_lost", "oom_events", "shuffle_failures",
                                                  "task_retries")],
+        *(["job_name"] if "job_name" in ctx.columns else []),
     )
 
 
-def analyze(lines: DataFrame, rules=None, as_of: str = "1970-01-01T00:00:00",
-            scope: str = "full", materialize: str = "persist", jobs: DataFrame | None = None) -> DataFrame:
+def analyze(lines: DataFrame, rules=None, *, as_of: str, scope: str = "full", materialize: str = "persist",
+            jobs: DataFrame | None = None, error_lines: int = R.ERROR_SUBSET_LINES, **limits) -> DataFrame:
     """One row per job: job_id, job_context (struct), primary_signal (struct or
     NULL), all_signals (array, rank order), raw_error_snippet, log_tail,
     timestamp.
@@ -107,24 +116,29 @@ def analyze(lines: DataFrame, rules=None, as_of: str = "1970-01-01T00:00:00",
     reproduces the Spark path: only the first 150 error lines are triaged, the
     tail keeps blank lines and the total counts all lines.
 
+    The time stamp ``as_of`` is the caller's. A ``job_name`` column of the lines (as ``read_logs`` gives)
+    becomes the name in ``job_context``; else the job id is. ``limits`` are those of ``analyze_parts``: evidence
+    lines per signal (``evidence_cap``; all by default), stack window, tail lines and snippet sizes.
+
     Jobs come from the lines; pass ``jobs`` (a table with job_id) to keep jobs
     whose log has no lines at all, as an empty log is still analysed.
     """
     if scope == "full":
-        parts = analyze_parts(lines, rules, materialize)
+        parts = analyze_parts(lines, rules, materialize, **limits)
         tail = parts["tail"]
         ctx = parts["context"]
     elif scope == "error_subset":
         # The source feeds three reads here (subset, tail, totals).
         if materialize == "persist":
-            lines = lines.select("job_id", "line_no", "idx", "value").persist(StorageLevel.MEMORY_AND_DISK)
+            lines = lines.select(*[c for c in lines.columns if c in ("job_id", "job_name", "line_no", "idx", "value")]).persist(StorageLevel.MEMORY_AND_DISK)
         elif materialize == "checkpoint":
             ensure_checkpoint_dir(lines.sparkSession)
-            lines = lines.select("job_id", "line_no", "idx", "value").checkpoint(eager=True)
+            lines = lines.select(*[c for c in lines.columns if c in ("job_id", "job_name", "line_no", "idx", "value")]).checkpoint(eager=True)
         source = lines
-        parts = analyze_parts(subset_lines(lines, rules), rules, materialize)
-        tail = log_tail(lines, blank=True)
-        totals = lines.groupBy("job_id").agg(F.count(F.lit(1)).alias("_total"))
+        parts = analyze_parts(subset_lines(lines, rules, error_lines), rules, materialize, **limits)
+        tail = log_tail(lines, limits.get("tail_lines", R.TAIL_LINES), blank=True)
+        named = ["job_name"] if "job_name" in lines.columns else []
+        totals = lines.groupBy("job_id").agg(F.count(F.lit(1)).alias("_total"), *[F.min(c).alias(c) for c in named])
         # Jobs with no error line still get a context row.
         ctx = (
             totals.join(parts["context"], "job_id", "left")
@@ -138,6 +152,7 @@ def analyze(lines: DataFrame, rules=None, as_of: str = "1970-01-01T00:00:00",
                 F.coalesce("failed_stages", F.array().cast("array<string>")).alias("failed_stages"),
                 *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in
                   ("executors_lost", "oom_events", "shuffle_failures", "task_retries")],
+                *named,
             )
         )
     else:
@@ -149,7 +164,7 @@ def analyze(lines: DataFrame, rules=None, as_of: str = "1970-01-01T00:00:00",
     out = joined.select(
         "job_id",
         F.struct(
-            F.col("job_id").alias("job_name"), "platform", "spark_version", "total_log_lines",
+            (F.coalesce("job_name", "job_id") if "job_name" in ctx.columns else F.col("job_id")).alias("job_name"), "platform", "spark_version", "total_log_lines",
             "error_count", "warn_count", "failed_stages", "executors_lost", "oom_events",
             "shuffle_failures", "task_retries",
         ).alias("job_context"),
@@ -161,7 +176,7 @@ def analyze(lines: DataFrame, rules=None, as_of: str = "1970-01-01T00:00:00",
         F.coalesce("log_tail", F.lit("")).alias("log_tail"),
         F.lit(as_of).alias("timestamp"),
     )
-    out._logsieve_cached = [parts["classified"]] if materialize == "persist" else []
+    out._logsieve_cached = [parts["classified"]] if materialize == "persist" else list(parts["signals"]._logsieve_cached)
     if scope == "error_subset" and materialize == "persist":
         out._logsieve_cached.append(source)
     return out
@@ -170,7 +185,7 @@ def analyze(lines: DataFrame, rules=None, as_of: str = "1970-01-01T00:00:00",
 def flat_analysis(analysis: DataFrame) -> DataFrame:
     """Scalar columns of an analysis row (for tables, SQL and cross-checks)."""
     c = "job_context"
-    return analysis.select(
+    return handing_on(analysis.select(
         "job_id",
         *[F.col(f"{c}.{f}").alias(f) for f in CONTEXT_FIELDS if f not in ("job_name", "failed_stages")],
         F.array_join(F.col(f"{c}.failed_stages"), ",").alias("failed_stages"),
@@ -181,4 +196,4 @@ def flat_analysis(analysis: DataFrame) -> DataFrame:
         F.array_join(F.transform("all_signals", lambda s: F.concat(s["label"], F.lit("x"), s["n"].cast("string"))), ",").alias("signal_list"),
         "raw_error_snippet",
         "log_tail",
-    )
+    ), analysis)

@@ -16,7 +16,7 @@ from ..operators import report as RP
 from ..sources import airflow as AF
 from ..sources.files import tail_bytes
 from ..sources.text import lines_from_text
-from .analyze import analyze
+from .analyze import analyze, handing_on
 
 
 def triage_failures(failures: DataFrame, files: DataFrame, base: str, as_of: str,
@@ -34,12 +34,12 @@ def triage_failures(failures: DataFrame, files: DataFrame, base: str, as_of: str
     f = files.select("path", tail_bytes(F.col("text")).alias("text"))
     texts = AF.resolve_log_text(located, f)
     lines = lines_from_text(texts, key, "log_text")
-    a = analyze(lines, rules, as_of=as_of)
+    a = analyze(lines, rules, as_of=as_of, evidence_cap=R.EVIDENCE_CAP)
     tri = RP.rule_triage(a)
     ctx_k = ctx.withColumnRenamed(key, "job_id")
     tri = RP.enrich_notes(tri, ctx_k, on="job_id")
     names = ctx_k.select("job_id", F.concat_ws(".", "dag_id", "task_id").alias("job_name"))
     gate = list(dict.fromkeys(list(notify) + R.DEFAULT_ALERT_SEVERITIES))
     out = tri.join(names, "job_id", "left").withColumn("alert", F.col("severity").isin(gate))
-    out._logsieve_cached = getattr(a, "_logsieve_cached", []) + [ctx]  # see analyze.release
-    return out
+    ctx._logsieve_cached = [ctx]
+    return handing_on(out, a, ctx)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -34,32 +33,37 @@ def get_session(master: str | None = None, app_name: str = "logsieve",
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)
-    spark = b.getOrCreate()
-    ensure_checkpoint_dir(spark)
-    return spark
+    return b.getOrCreate()
 
 
 def checkpoint_dir(spark: SparkSession) -> str | None:
-    """The shared checkpoint folder the cluster names, if any."""
-    d = spark.sparkContext.getCheckpointDir()
-    if d:
-        return d
-    return spark.conf.get("spark.checkpoint.dir", None) or None
+    """The shared checkpoint folder in use, or the one that the cluster names, if any."""
+    return spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or None
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the configured checkpoint folder; only when none is set (local
-    tests) fall back to a fresh local folder."""
-    d = checkpoint_dir(spark)
-    if not d:
-        d = tempfile.mkdtemp(prefix="logsieve-ckpt-")
-        spark.sparkContext.setCheckpointDir(d)
-    else:
-        spark.sparkContext.setCheckpointDir(d)
-    return spark.sparkContext.getCheckpointDir() or d
+    """The checkpoint folder in use; else the configured one is taken into use.
+
+    Without either, a local master gets a fresh local folder. A cluster gets an error: its
+    executors would each write to their own disk.
+    """
+    sc = spark.sparkContext
+    have = sc.getCheckpointDir()
+    if have:
+        return have
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="logsieve-ckpt-")
+    sc.setCheckpointDir(named)
+    return sc.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A sub-folder of the shared checkpoint folder for written tables."""
-    base = ensure_checkpoint_dir(spark)
-    return os.path.join(base, name) if "://" not in base else base.rstrip("/") + "/" + name
+    """A sub-folder of the shared checkpoint folder for written tables. It is removed when
+    the session's JVM ends."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}"
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+    return path

@@ -28,6 +28,17 @@ def file_stem(path: Column) -> Column:
     return F.when(stem == "", name).otherwise(stem)
 
 
+def file_path(uri: Column) -> Column:
+    """The plain name of a file from its URI form (``_metadata.file_path``): escapes are decoded,
+    and ``file:`` with any number of slashes is dropped."""
+    return plain_path(F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B"))))
+
+
+def plain_path(path: Column) -> Column:
+    """A path without ``file:`` and its slashes, so that both ways Spark writes one are equal."""
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
 def job_from_path(df: DataFrame, path_col: str = "path") -> DataFrame:
     """Add job_id (file stem) and the Airflow layout fields (S6): dag_id,
     task_id, execution_date, try_number (NULL when the path does not follow
@@ -47,10 +58,11 @@ def job_from_path(df: DataFrame, path_col: str = "path") -> DataFrame:
     })
 
 
-def job_column(path: Column, job: str = "stem") -> Column:
-    """Job key of a log file: 'stem' (file name without suffix), 'path' (the
-    file), or 'dir' (the parent folder; a ``key=value`` folder gives value),
-    for logs rolled into several files per job."""
+def job_column(path: Column, job: str = "path") -> Column:
+    """Job key of a log file: 'path' (the file: every file is a log of its own,
+    whatever its name), 'dir' (the parent folder; a ``key=value`` folder gives
+    value, for logs rolled into several files per job), or 'stem' (the file name without
+    suffix, which makes one job of equally named files)."""
     if job == "stem":
         return file_stem(path)
     if job == "path":
@@ -61,30 +73,46 @@ def job_column(path: Column, job: str = "stem") -> Column:
     raise ValueError(f"unknown job key {job!r}")
 
 
+def job_name(job_id: Column, path: Column, job: str) -> Column:
+    """What a job is called: the stem of its file; of several files, the job key."""
+    return file_stem(path) if job == "path" else job_id
+
+
+LINE_COLUMNS = ["job_id", "job_name", "path", "line_no", "idx", "value"]
+LINE_SCHEMA = "job_id string, job_name string, path string, line_no bigint, idx bigint, value string"
+
+
+def number_files(raw: DataFrame, job: str = "path", only: DataFrame | None = None) -> DataFrame:
+    """A lines table from rows (path, blk, mid, value) as a text reader gives them.
+    ``only``: the job_ids to keep; other rows go before lines are numbered."""
+    raw = raw.withColumn("job_id", job_column(F.col("path"), job))
+    if only is not None:
+        raw = raw.join(only, "job_id", "left_semi")
+    numbered = number_lines(raw, keys=["job_id"], chunk=F.struct("path", "blk"), order=[F.col("mid")])
+    return numbered.withColumn("job_name", job_name(F.col("job_id"), F.col("path"), job)).select(*LINE_COLUMNS)
+
+
 def read_logs(spark: SparkSession, path: str | list[str], glob: str = "*.log",
-              job: str = "stem") -> DataFrame:
+              job: str = "path", modified_after: str | None = None, only: DataFrame | None = None) -> DataFrame:
     """All log files below ``path`` matching ``glob`` as a lines table (S1):
-    job_id, path, line_no, idx, value (see ``job_column`` for ``job``).
+    job_id, job_name, path, line_no, idx, value (see ``job_column`` for ``job``). Paths
+    and names are plain, not URI-escaped. ``modified_after`` prunes older files at listing;
+    ``only`` (job_id) keeps the jobs named there.
 
     Lines are numbered per job in (file path, position) order; with one file
     per job that is the file's own line order."""
-    raw = (
-        spark.read.option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", glob)
-        .text(path if isinstance(path, str) else list(path))
-        .select(
-            F.col("_metadata.file_path").alias("path"),
-            F.col("_metadata.file_block_start").alias("_blk"),
-            F.monotonically_increasing_id().alias("_mid"),
-            "value",
-        )
-    )
-    raw = raw.withColumn("job_id", job_column(F.col("path"), job))
-    numbered = number_lines(raw, keys=["job_id"], chunk=F.struct("path", "_blk"), order=[F.col("_mid")])
-    return numbered.select("job_id", "path", "line_no", "idx", "value")
-
-
-def write_log_files(lines: DataFrame, out: str) -> None:
+    r = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+    if modified_after:
+        r = r.option("modifiedAfter", modified_after)
+    return number_files(r.text(path if isinstance(path, str) else list(path)).select(
+        file_path(F.col("_metadata.file_path")).alias("path"),
+        F.col("_metadata.file_block_start").alias("blk"),
+        F.monotonically_increasing_id().alias("mid"),
+        "value",
+    ), job, only)
+
+
+def write_log_files(lines: DataFrame, out: str, mode: str = "overwrite") -> None:
     """Write a lines table as text log files: one folder per job
     (``job_id=<job>``), lines in order. Range partitioning on (job, line)
     lets a large job span several files, named in line order."""
@@ -92,7 +120,7 @@ def write_log_files(lines: DataFrame, out: str) -> None:
      .repartitionByRange("job_id", "line_no")
      .sortWithinPartitions("job_id", "line_no")
      .select("job_id", "value")
-     .write.mode("overwrite").partitionBy("job_id").text(out))
+     .write.mode(mode).partitionBy("job_id").text(out))
 
 
 def file_listing(spark: SparkSession, path: str, glob: str = "*.log") -> DataFrame:
@@ -101,7 +129,8 @@ def file_listing(spark: SparkSession, path: str, glob: str = "*.log") -> DataFra
     return (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true")
         .option("pathGlobFilter", glob).load(path)
-        .select("path", F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
+        .select(plain_path(F.col("path")).alias("path"), F.col("modificationTime").alias("mtime"),
+                F.col("length").alias("size"))
     )
 
 

@@ -1,31 +1,36 @@
 """Watching a log folder with Structured Streaming.
 
 New files are picked up by the file stream source; each micro-batch holds
-whole files, so ``foreachBatch`` can run the batch triage on it unchanged and
-write the outbox rows of that batch under ``batch_id=N`` (overwritten on a
-replay, so a retried batch does not duplicate alerts). Offsets and the sink
-commit log live in the checkpoint folder, so a restarted or failed driver
-resumes where it stopped. Files that change under a known path are not
-re-read by the file source; the manifest job (``changed_files``) covers
-that case.
+whole files, so ``foreachBatch`` can run the batch triage on it unchanged. The
+outbox rows of a batch are written under ``run=<query id>/batch_id=N``: overwritten
+when that batch is replayed, so a retry does not duplicate alerts, and never by another
+run. Offsets and the sink commit log live in the checkpoint folder, by default a folder
+beside the output, so a restarted watch resumes where it stopped. Files that change under a
+known path are not re-read by the file source; the manifest job (``rescan``) covers that case.
+
+A batch that fails is triaged again file by file: a log that cannot be read or triaged becomes a
+row (path, error) under ``_errors``, and the others are reported as ever.
 """
 
 from __future__ import annotations
 
-import uuid
+import json
+import re
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import rules as R
+from ..functions.classify import severity_rank
 from ..functions.regex import is_blank
+from ..operators import report as RP
 from ..operators.classify import classify
-from ..operators.numbering import number_lines
+from ..plans.analyze import analyze, handing_on, release
 from ..plans.triage import triage_table
-from ..operators import report as RP
-from ..plans.analyze import analyze, release
-from ..session import scratch_path
-from ..sources.files import job_column, skip_tiny_lines
+from ..sources.files import file_path, number_files, read_logs, skip_tiny_lines
+
+OUTBOX = ["job_id", "recipient", "severity", "subject", "body"]
 
 
 def stream_logs(spark: SparkSession, path: str, glob: str = "*.log",
@@ -43,12 +48,10 @@ def stream_logs(spark: SparkSession, path: str, glob: str = "*.log",
     )
 
 
-def number_batch(batch: DataFrame, job: str = "stem") -> DataFrame:
+def number_batch(batch: DataFrame, job: str = "path") -> DataFrame:
     """Lines table of one micro-batch: files numbered exactly, per job."""
-    raw = batch.select("path", "blk", F.monotonically_increasing_id().alias("_mid"), "value")
-    raw = raw.withColumn("job_id", job_column(F.col("path"), job))
-    numbered = number_lines(raw, keys=["job_id"], chunk=F.struct("path", "blk"), order=[F.col("_mid")])
-    return numbered.select("job_id", "path", "line_no", "idx", "value")
+    return number_files(batch.select(file_path(F.col("path")).alias("path"), "blk",
+                                     F.monotonically_increasing_id().alias("mid"), "value"), job)
 
 
 def triage_batch(lines: DataFrame, as_of: str, rules=None, recipients: str | None = None,
@@ -56,40 +59,109 @@ def triage_batch(lines: DataFrame, as_of: str, rules=None, recipients: str | Non
     """Outbox rows for the logs of one batch: skip tiny logs, analyse, rule
     triage, gate, texts, recipients (Z2)."""
     kept = skip_tiny_lines(lines, min_chars)
-    a = analyze(kept, rules, as_of=as_of)
+    a = analyze(kept, rules, as_of=as_of, evidence_cap=R.EVIDENCE_CAP)
     alerts = RP.alert_text(RP.alert_gate(triage_table(a), severities))
-    out = RP.alert_outbox(alerts, recipients or R.DEFAULT_RECIPIENTS).select(
-        "job_id", "recipient", "severity", "subject", "body")
-    out._logsieve_cached = getattr(a, "_logsieve_cached", [])
-    return out
+    return handing_on(RP.alert_outbox(alerts, recipients or R.DEFAULT_RECIPIENTS).select(*OUTBOX), a)
+
+
+def utc_now(spark: SparkSession) -> str:
+    """The time as a UTC ISO stamp."""
+    return spark.sql("SELECT date_format(to_utc_timestamp(current_timestamp(), current_timezone()), "
+                     "\"yyyy-MM-dd'T'HH:mm:ss.SSSSSS\")").first()[0]
+
+
+def query_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that a streaming query keeps over restarts, from its checkpoint."""
+    return json.loads(spark.read.text(f"{checkpoint.rstrip('/')}/metadata").first()[0])["id"]
+
+
+def batch_files(spark: SparkSession, checkpoint: str, batch_id: int) -> list[str]:
+    """The plain names of the files of one micro-batch, from the source's log in the checkpoint."""
+    entry = F.from_json("value", "path string, batchId long")
+    rows = spark.read.text(f"{checkpoint.rstrip('/')}/sources/0").where(F.col("value").startswith("{")).select(entry.alias("e"))
+    return sorted({unquote(r.path) for r in rows.where(F.col("e.batchId") == batch_id).select("e.path").collect()})
 
 
 def watch_logs(spark: SparkSession, path: str, out: str, glob: str = "*.log",
                checkpoint: str | None = None, interval: str = "30 seconds",
-               available_now: bool = False, as_of: str | None = None, job: str = "stem",
-               rules=None, recipients: str | None = None):
+               available_now: bool = False, as_of: str | None = None, job: str = "path",
+               rules=None, recipients: str | None = None, severities=None):
     """Start the watch: every ``interval`` (or once over what is there with
     ``available_now``) triage the new files and append alerts under ``out``.
-    Returns the StreamingQuery."""
-    checkpoint = checkpoint or scratch_path(spark, f"watch_logs/{uuid.uuid4().hex}")
-
-    def run(batch: DataFrame, batch_id: int):
-        stamp = as_of or batch.sparkSession.sql("SELECT string(current_timestamp())").first()[0]
-        rows = triage_batch(number_batch(batch, job), stamp, rules, recipients)
-        rows.write.mode("overwrite").parquet(f"{out.rstrip('/')}/batch_id={batch_id}")
-        release(rows)
+    The checkpoint is ``out/_checkpoint`` unless given, so a new start on the same output
+    goes on where the last one stopped. Returns the StreamingQuery."""
+    out = out.rstrip("/")
+    checkpoint = checkpoint or f"{out}/_checkpoint"
+
+    def write(lines: DataFrame, stamp: str, target: str) -> None:
+        rows = triage_batch(lines, stamp, rules, recipients, severities)
+        try:
+            rows.write.mode("overwrite").parquet(target)
+        finally:
+            release(rows)
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        stamp, where = as_of or utc_now(session), f"run={query_id(session, checkpoint)}/batch_id={batch_id}"
+        try:
+            write(number_batch(batch, job), stamp, f"{out}/{where}")
+        except Exception:
+            files = batch_files(session, checkpoint, batch_id)
+            if not files:
+                raise
+            one_by_one(session, files, stamp, where)
+
+    def one_by_one(session: SparkSession, files: list[str], stamp: str, where: str) -> None:
+        """Each file of a failed batch on its own; job keys that span files keep to the file here."""
+        failed = []
+        for i, name in enumerate(files):
+            try:
+                one = read_logs(session, re.sub(r"([\\\[\]{}*?])", r"\\\1", name), "*", job)
+                write(one, stamp, f"{out}/{where}/file={i}")
+            except Exception as e:  # this log's fault becomes a row; the watch goes on
+                failed.append((name, f"{type(e).__name__}: {e}"[:2000], stamp))
+        session.createDataFrame(failed, "path string, error string, timestamp string").write.mode("overwrite").parquet(
+            f"{out}/_errors/{where}")
 
     w = stream_logs(spark, path, glob).writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=interval)
     return w.start()
 
 
+def read_outbox(spark: SparkSession, out: str) -> DataFrame:
+    """All alerts that the watch has written under ``out``."""
+    return spark.read.schema("job_id string, recipient string, severity string, subject string, body string").option(
+        "recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(f"{out.rstrip('/')}")
+
+
 def running_signal_counts(lines_stream: DataFrame, rules=None) -> DataFrame:
     """Hits per (job, label) over a stream of lines (Z4), for update-mode
-    sinks: hit count and severity. ``lines_stream`` has job_id, value."""
+    sinks: hit count and severity (the worst, if rules of one label differ).
+    ``lines_stream`` has job_id, value."""
     nb = lines_stream.withColumn("idx", F.when(~is_blank(F.col("value")), F.lit(1)))
     c = classify(nb, rules).filter(F.col("label").isNotNull())
     return c.groupBy("job_id", "label").agg(
         F.count(F.lit(1)).alias("n"),
-        F.first("severity").alias("severity"),
+        F.min_by("severity", F.struct(severity_rank(F.col("severity")), F.col("severity"))).alias("severity"),
     )
+
+
+def write_signal_counts(counts: DataFrame, out: str, checkpoint: str | None = None, interval: str = "30 seconds",
+                        available_now: bool = False):
+    """Keep the running counts as a table under ``out``: every batch adds the rows that it changed (update
+    mode), so nothing is gathered on the driver. Read it with ``latest_signal_counts``."""
+    out = out.rstrip("/")
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
+    w = counts.writeStream.outputMode("update").foreachBatch(run).option("checkpointLocation", checkpoint or f"{out}/_checkpoint")
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=interval)
+    return w.start()
+
+
+def latest_signal_counts(spark: SparkSession, out: str) -> DataFrame:
+    """The last state of every (job, label) from ``write_signal_counts``."""
+    rows = spark.read.parquet(out)
+    return rows.groupBy("job_id", "label").agg(F.max_by(F.struct("n", "severity"), "batch_id").alias("s")).select(
+        "job_id", "label", "s.n", "s.severity")

@@ -57,7 +57,7 @@ def test_tail_is_last_nonblank_lines(text_analysis):
 
 
 def test_file_golden(spark, data_dir):
-    rows = analyze(read_logs(spark, data_dir), as_of="2024-01-01T00:00:00").collect()
+    rows = analyze(read_logs(spark, data_dir, job="stem"), as_of="2024-01-01T00:00:00").collect()
     by = {r["job_id"]: r for r in rows}
     assert set(by) == set(FILE_GOLDEN)
     for job, exp in FILE_GOLDEN.items():
@@ -70,7 +70,7 @@ def test_file_numbering_many_splits(spark, data_dir):
     spark.conf.set("spark.sql.files.openCostInBytes", "0")
     try:
         assert spark.read.text(data_dir).rdd.getNumPartitions() > 3
-        got = sorted((r.job_id, r.line_no, r.value) for r in read_logs(spark, data_dir).collect())
+        got = sorted((r.job_id, r.line_no, r.value) for r in read_logs(spark, data_dir, job="stem").collect())
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
@@ -85,7 +85,7 @@ def test_file_numbering_many_splits(spark, data_dir):
 
 def test_error_subset_scope(spark, data_dir):
     """The Spark-path scope: first 150 error lines, version lost, stacks lost."""
-    a = analyze(read_logs(spark, data_dir), scope="error_subset").filter(F.col("job_id") == "oom_sample")
+    a = analyze(read_logs(spark, data_dir, job="stem"), as_of="t", scope="error_subset").filter(F.col("job_id") == "oom_sample")
     r = a.collect()[0]
     c = r["job_context"]
     assert c["total_log_lines"] == 19
@@ -123,5 +123,5 @@ def test_undecodable_bytes_are_replaced(spark):
         f.write(raw)
     got = [r.value for r in read_logs(spark, d).orderBy("line_no").collect()]
     assert got == raw.decode("utf-8", errors="replace").splitlines()
-    a = analyze(read_logs(spark, d)).collect()[0]
+    a = analyze(read_logs(spark, d), as_of="t").collect()[0]
     assert [s.label for s in a.all_signals] == ["OOM/Memory"]

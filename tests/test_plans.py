@@ -9,7 +9,7 @@ import __spark_entry__ as E
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.exists(SF), reason="test tables not present")
-STREAMING = {"watch_logs", "stream_signal_counts", "read_logs", "rescan_logs"}
+STREAMING = {"watch_logs", "stream_signal_counts", "read_logs", "rescan_logs", "rescan_alerts"}
 
 
 def _plan(spark, name):
@@ -18,13 +18,17 @@ def _plan(spark, name):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - STREAMING))
+@pytest.mark.parametrize("name", sorted(set(E._QUERIES) - STREAMING))
 def test_no_python_no_cartesian_no_nested_loop(spark, name):
     p = _plan(spark, name)
     for op in ("BatchEvalPython", "ArrowEvalPython", "PythonUDF", "CartesianProduct", "FlatMapGroupsInPandas"):
         assert op not in p, f"{name} plans {op}"
-    if name != "classify_join":            # the rule table is the one nested-loop join
-        assert "BroadcastNestedLoopJoin" not in p, name
+    assert "BroadcastNestedLoopJoin" not in p, name
+
+
+def test_level_stats_needs_no_numbers(spark):
+    p = _plan(spark, "level_stats")
+    assert p.count("FileScan parquet") == 1 and "Window" not in p
 
 
 def test_corpus_scan_is_pruned(spark):

@@ -7,11 +7,14 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from logsieve import rules as R
 from logsieve.functions.lines import is_stack_line, parsed_fields, platform
 from logsieve.functions.regex import py_strip
 from logsieve.operators import report as RP
 from logsieve.sources.airflow import failure_context, locate_logs, resolve_log_text
 from logsieve.sources.files import file_stem, tail_bytes
+from logsieve.plans.analyze import analyze
+from logsieve.plans.triage import triage_report
 from logsieve.sources.text import lines_from_text, split_lines
 
 EDGE = [
@@ -85,7 +88,7 @@ def test_file_stem_and_tail_bytes(spark):
 
 def _triage(spark, raws):
     df = spark.createDataFrame([(str(i), r, "m", 7) for i, r in enumerate(raws)], "job_id string, raw string, model string, tokens long")
-    p = RP.parse_response(df).withColumn("cfg_keys", F.map_keys("spark_config_recommendations"))
+    p = RP.parse_response(df, as_of="T").withColumn("cfg_keys", F.map_keys("spark_config_recommendations"))
     return {r.job_id: r for r in p.collect()}
 
 
@@ -112,6 +115,7 @@ def test_alert_gate_and_texts(spark):
     df = spark.createDataFrame(rows, ["job_id", "severity"])
     assert {r.job_id for r in RP.alert_gate(df).collect()} == {"j", "k"}
     assert {r.job_id for r in RP.alert_gate(df, force=True).collect()} == {"j", "k", "l", "m"}
+    assert RP.alert_gate(df, severities=[]).collect() == []
     tri = spark.createDataFrame(
         [("test_email_job", "Spark", "High", "CRITICAL", "OutOfMemoryError: GC overhead limit exceeded",
           "Executor ran out of heap memory during shuffle stage.",
@@ -273,3 +277,48 @@ def test_triage_report_with_model_replies(spark):
     assert got == {("oom", "a@x", "CRITICAL"), ("oom", "b@y", "CRITICAL")}     # MEDIUM is gated out
     assert rows[0].subject == "[CRITICAL] Spark Job Failed: oom | Data | OOM in stage 3"
     assert "Platform:    yarn" in rows[0].body and "Spark:       3.4.1" in rows[0].body
+
+
+def test_all_evidence_is_kept_and_evidence_n_is_honoured(spark):
+    import json
+    text = "\n".join(f"24/01/01 00:00:0{i} ERROR Executor: java.lang.OutOfMemoryError: Java heap space {i}" for i in range(9))
+    a = analyze(lines_from_text(spark.createDataFrame([("j", text)], "job_id string, text string")), as_of="T")
+    record = json.loads(RP.analysis_json(a).first().json)
+    assert len(record["primary_signal"]["evidence_lines"]) == 9
+    assert set(record["primary_signal"]) == {"category", "pattern_matched", "severity", "evidence_lines", "stack_trace"}
+    prompt = RP.build_prompt(a, evidence_n=8).first().prompt
+    assert [f"space {i}" in prompt.split("=== ALL")[0] for i in range(9)] == [True] * 8 + [False]
+    capped = analyze(lines_from_text(spark.createDataFrame([("j", text)], "job_id string, text string")), as_of="T", evidence_cap=2, tail_lines=3)
+    row = capped.first()
+    assert len(row.primary_signal.evidence) == 2 and len(row.log_tail.split("\n")) == 3
+
+
+def test_unknown_severity_ranks_last(spark):
+    text = "a HINT here\n24/01/01 00:00:00 ERROR Executor: java.lang.OutOfMemoryError: Java heap space"
+    rules = [(-1, "HINT", "Own", "INFO", "own")] + R.DEFAULT_RULES
+    a = analyze(lines_from_text(spark.createDataFrame([("j", text)], "job_id string, text string")), rules, as_of="T").first()
+    assert a.primary_signal.severity == "CRITICAL" and [s.severity for s in a.all_signals][-1] == "INFO"
+
+
+def test_triage_json_keeps_nulls_and_all_context_keys(spark):
+    import json
+    text = "24/01/01 00:00:00 ERROR Executor: java.lang.OutOfMemoryError: Java heap space"
+    a = analyze(lines_from_text(spark.createDataFrame([("j", text)], "job_id string, text string")), as_of="T")
+    t = RP.rule_triage(a).withColumn("severity", F.lit(None).cast("string"))
+    alone, full = json.loads(RP.triage_json(t).first().json), json.loads(RP.triage_json(t, a).first().json)
+    assert len(alone) == 13 and alone["severity"] is None and set(full) == {*alone, "job_context"}
+    assert set(full["job_context"]) == {"job_name", "platform", "spark_version", "total_log_lines", "error_count", "warn_count", "failed_stages",
+                                        "executors_lost", "oom_events", "shuffle_failures", "task_retries", "duration_seconds", "start_time", "end_time"}
+
+
+def test_caches_are_handed_on(spark):
+    from logsieve.plans.analyze import flat_analysis, release
+    lines = lines_from_text(spark.createDataFrame([("j", "ERROR x")], "job_id string, text string"))
+    for df in (triage_report(lines, as_of="T", only_failed=True), flat_analysis(analyze(lines, as_of="T"))):
+        assert len(df._logsieve_cached) == 1
+        release(df)
+
+
+def test_checkpoint_folder_does_not_nest(spark):
+    from logsieve.session import ensure_checkpoint_dir
+    assert ensure_checkpoint_dir(spark) == ensure_checkpoint_dir(spark)

@@ -1,50 +1,80 @@
-"""Stream equals batch: the watch over a folder gives the batch report."""
+"""Stream equals batch: the watch over a folder gives the batch report; nothing is lost or merged."""
 
+import os
+import shutil
 import tempfile
 from collections import Counter
 
 from logsieve import triage_report
 from logsieve.sources.files import read_logs
-from logsieve.streaming.watch import watch_logs
+from logsieve.streaming.watch import read_outbox, watch_logs
+
+FAIL = "24/01/01 00:00:00 ERROR Executor: java.lang.OutOfMemoryError: Java heap space in task\n"
+
+
+def run(spark, src, out, **how):
+    watch_logs(spark, src, out, available_now=True, as_of="T", **how).awaitTermination()
+    return read_outbox(spark, out)
+
+
+def put(folder, name, text):
+    path = os.path.join(folder, name)
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    with open(path, "wb" if isinstance(text, bytes) else "w") as f:
+        f.write(text)
+    return path
 
 
 def test_watch_equals_batch(spark, data_dir):
     out = tempfile.mkdtemp(prefix="watch-out-")
-    ckpt = tempfile.mkdtemp(prefix="watch-ckpt-")
-    q = watch_logs(spark, data_dir, out, checkpoint=ckpt, available_now=True, as_of="T")
-    q.awaitTermination()
-    streamed = Counter(tuple(r) for r in spark.read.parquet(out)
-                       .select("job_id", "recipient", "severity", "subject", "body").collect())
+    streamed = Counter(tuple(r) for r in run(spark, data_dir, out).collect())
     batch = Counter(tuple(r) for r in triage_report(read_logs(spark, data_dir), as_of="T")
                     .select("job_id", "recipient", "severity", "subject", "body").collect())
     assert streamed == batch and len(batch) == 6      # 3 logs x 2 recipients, all CRITICAL/HIGH
 
 
-def test_watch_restart_processes_only_new_files(spark, data_dir):
-    import os
-    import shutil
-    src = tempfile.mkdtemp(prefix="watch-src-")
-    out = tempfile.mkdtemp(prefix="watch-out-")
-    ckpt = tempfile.mkdtemp(prefix="watch-ckpt-")
+def test_same_names_blanks_and_brackets(spark):
+    src, out = tempfile.mkdtemp(prefix="watch src-"), tempfile.mkdtemp(prefix="watch-out-")
+    names = ["dag_a/t/d/1.log", "dag_b/t/d/1.log", "x y/my job.log", "a[1]/a[1].log", "p+q/50%.log", "é/é.log"]
+    for n in names:
+        put(src, n, FAIL)
+    rows = run(spark, src, out, recipients="me").collect()
+    assert sorted(r.job_id for r in rows) == sorted(os.path.join(src, n) for n in names)
+    assert sorted(r.subject.split(" | ")[0].split(": ")[1] for r in rows) == sorted(["1", "1", "my job", "a[1]", "50%", "é"])
+
+
+def test_restart_without_a_checkpoint_argument(spark, data_dir):
+    src, out = tempfile.mkdtemp(prefix="watch-src-"), tempfile.mkdtemp(prefix="watch-out-")
     shutil.copy(os.path.join(data_dir, "oom_sample.log"), src)
-    watch_logs(spark, src, out, checkpoint=ckpt, available_now=True, as_of="T").awaitTermination()
+    assert {os.path.basename(r.job_id) for r in run(spark, src, out).collect()} == {"oom_sample.log"}
     shutil.copy(os.path.join(data_dir, "kafka_timeout.log"), src)
-    watch_logs(spark, src, out, checkpoint=ckpt, available_now=True, as_of="T").awaitTermination()
-    rows = spark.read.parquet(out).select("job_id", "batch_id").collect()
-    by_batch = {}
-    for r in rows:
-        by_batch.setdefault(r.batch_id, set()).add(r.job_id)
-    assert sorted(by_batch.values(), key=sorted) == [{"kafka_timeout"}, {"oom_sample"}]
+    os.remove(os.path.join(src, "oom_sample.log"))  # rotated out: its alert stays
+    rows = run(spark, src, out).collect()
+    assert Counter(os.path.basename(r.job_id) for r in rows) == {"oom_sample.log": 2, "kafka_timeout.log": 2}
+
+
+def test_another_checkpoint_does_not_overwrite(spark):
+    src, out = tempfile.mkdtemp(prefix="watch-src-"), tempfile.mkdtemp(prefix="watch-out-")
+    put(src, "first.log", FAIL)
+    run(spark, src, out, checkpoint=tempfile.mkdtemp(prefix="ckpt-"))
+    os.remove(os.path.join(src, "first.log"))
+    put(src, "second.log", FAIL)
+    rows = run(spark, src, out, checkpoint=tempfile.mkdtemp(prefix="ckpt-"))
+    assert {os.path.basename(r.job_id) for r in rows.collect()} == {"first.log", "second.log"}
 
 
 def test_watch_skips_tiny_logs(spark, data_dir):
-    import os
-    import shutil
-    src = tempfile.mkdtemp(prefix="watch-src-")
-    out = tempfile.mkdtemp(prefix="watch-out-")
+    src, out = tempfile.mkdtemp(prefix="watch-src-"), tempfile.mkdtemp(prefix="watch-out-")
     shutil.copy(os.path.join(data_dir, "kafka_timeout.log"), src)
-    with open(os.path.join(src, "tiny.log"), "w") as f:
-        f.write("\n  ERROR OutOfMemoryError  \n\n")        # 24 characters once stripped
-    watch_logs(spark, src, out, checkpoint=tempfile.mkdtemp(prefix="watch-ckpt-"),
-               available_now=True, as_of="T").awaitTermination()
-    assert {r.job_id for r in spark.read.parquet(out).select("job_id").collect()} == {"kafka_timeout"}
+    put(src, "tiny.log", "\n  ERROR OutOfMemoryError  \n\n")        # 24 characters once stripped
+    assert {os.path.basename(r.job_id) for r in run(spark, src, out).collect()} == {"kafka_timeout.log"}
+
+
+def test_a_bad_log_becomes_a_row(spark):
+    src, out = tempfile.mkdtemp(prefix="watch-src-"), tempfile.mkdtemp(prefix="watch-out-")
+    put(src, "good.log", FAIL)
+    put(src, "bad.log.gz", b"this is no gzip stream at all")
+    rows = run(spark, src, out, glob="*.log*").collect()
+    assert {os.path.basename(r.job_id) for r in rows} == {"good.log"}
+    errors = spark.read.option("recursiveFileLookup", "true").parquet(f"{out}/_errors").collect()
+    assert [os.path.basename(r.path) for r in errors] == ["bad.log.gz"] and errors[0].error
