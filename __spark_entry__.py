@@ -402,6 +402,10 @@ def q_tail_bytes_lines(spark, d):
     return FS.tail_bytes_lines(_lines(spark, d))
 
 
+def q_tail_bytes_lines_cut(spark, d):
+    return FS.tail_bytes_lines(lines_from_text(_t(spark, d, "documents"), "doc_id", "text"), CUT_BYTES, chunk_lines=3)
+
+
 def q_analyze_error_subset(spark, d):
     return flat_analysis(analyze(_lines(spark, d), as_of=AS_OF, scope="error_subset"))
 
@@ -483,6 +487,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "signals_user_rules": q_signals_user_rules,
     "classify_join_user_rules": q_classify_join_user_rules,
     "tail_bytes_cut": q_tail_bytes_cut,
+    "tail_bytes_lines_cut": q_tail_bytes_lines_cut,
     "job_from_task_path": q_job_from_task_path,
 }
 
@@ -529,13 +534,10 @@ FROM lines WHERE idx IS NOT NULL"""),
         "rescan_alerts": W("SELECT o.job_id, recipient, severity, subject, body FROM outbox o "
                            "WHERE CAST(substr(o.job_id, 5) AS BIGINT) % 2 = 1", _triage_sql_ctes()),
         "analyze_files": W(_FLAT_ANALYSIS_SELECT),
-        "tail_bytes_cut": f"""
-WITH s AS (SELECT doc_id, text, right(text, {CUT_BYTES}) AS r FROM documents WHERE octet_length(encode(text)) > {CUT_BYTES}),
-c AS (SELECT doc_id, unnest(range(1, length(r) + 1)) AS i, unnest(string_split(r, '')) AS ch FROM s),
-b AS (SELECT doc_id, i, ch, sum(octet_length(encode(ch))) OVER (PARTITION BY doc_id ORDER BY i DESC) AS after FROM c),
-t AS (SELECT doc_id, string_agg(ch, '' ORDER BY i) AS tail, max(after) AS n FROM b WHERE after <= {CUT_BYTES} GROUP BY doc_id)
-SELECT CAST(doc_id AS VARCHAR) AS job_id, repeat(chr(65533), CAST({CUT_BYTES} - n AS INTEGER)) || tail AS tail FROM t
-UNION ALL SELECT CAST(doc_id AS VARCHAR), text FROM documents WHERE octet_length(encode(text)) <= {CUT_BYTES}""",
+        "tail_bytes_cut": _cut_sql("SELECT CAST(doc_id AS VARCHAR) AS job_id, text FROM documents", "tail"),
+        "tail_bytes_lines_cut": _cut_sql("WITH " + D.text_lines_sql("documents", "doc_id", "text")
+                                         + "\nSELECT job_id, string_agg(value, chr(10) ORDER BY line_no) || chr(10) AS text "
+                                           "FROM text_lines GROUP BY job_id", "text"),
         "job_from_task_path": "WITH " + _failure_ctes() + """
 SELECT path, parts[-1][:-5] AS job_id, parts[-4] AS dag_id, parts[-3] AS task_id, parts[-2] AS execution_date,
        parts[-1][:-5] AS try_number, parts[-4] || '.' || parts[-3] AS airflow_job
@@ -676,6 +678,19 @@ FROM flocated l LEFT JOIN ffiles f ON f.path = l.log_path""",
     }
 
 
+def _cut_sql(source: str, name: str) -> str:
+    """The last CUT_BYTES bytes of each (job_id, text): the characters that fit, after a replacement
+    character for each byte of the one that is cut."""
+    return f"""
+WITH src AS ({source}),
+s AS (SELECT job_id, right(text, {CUT_BYTES}) AS r FROM src WHERE octet_length(encode(text)) > {CUT_BYTES}),
+c AS (SELECT job_id, unnest(range(1, length(r) + 1)) AS i, unnest(string_split(r, '')) AS ch FROM s),
+b AS (SELECT job_id, i, ch, sum(octet_length(encode(ch))) OVER (PARTITION BY job_id ORDER BY i DESC) AS after FROM c),
+t AS (SELECT job_id, string_agg(ch, '' ORDER BY i) AS tail, max(after) AS n FROM b WHERE after <= {CUT_BYTES} GROUP BY job_id)
+SELECT job_id, repeat(chr(65533), CAST({CUT_BYTES} - n AS INTEGER)) || tail AS {name} FROM t
+UNION ALL SELECT job_id, text FROM src WHERE octet_length(encode(text)) <= {CUT_BYTES}"""
+
+
 def _triage_sql_ctes() -> str:
     """rule triage, gate, alert texts over the ``analysis`` CTE."""
     q = D.q

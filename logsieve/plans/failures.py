@@ -8,13 +8,13 @@ notes enriched with the context (T6) -> alert flag (R14).
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import rules as R
 from ..operators import report as RP
 from ..sources import airflow as AF
-from ..sources.files import tail_bytes
+from ..sources.files import file_listing, read_logs, tail_bytes, tail_bytes_lines
 from ..sources.text import lines_from_text
 from .analyze import analyze, handing_on
 
@@ -28,18 +28,36 @@ def triage_failures(failures: DataFrame, files: DataFrame, base: str, as_of: str
     listing. The callback forces an alert when the severity is in ``notify``,
     so the gate is that set together with the default alert severities.
     """
-    # One row per failure, read by three steps below: persisted once.
-    ctx = AF.failure_context(failures, as_of, keep=[key]).persist(StorageLevel.MEMORY_AND_DISK)
+    ctx = _contexts(failures, as_of, key)
     located = AF.locate_logs(ctx, files, base, key=key)
-    f = files.select("path", tail_bytes(F.col("text")).alias("text"))
-    texts = AF.resolve_log_text(located, f)
-    lines = lines_from_text(texts, key, "log_text")
+    return _triaged(ctx, located, files.select("path", tail_bytes(F.col("text")).alias("text")), as_of, notify, rules, key)
+
+
+def triage_failures_in_folder(spark: SparkSession, failures: DataFrame, base: str, as_of: str, notify=("HIGH", "CRITICAL"),
+                              rules=None, key: str = "failure_id", glob: str = "*.log", max_bytes: int = R.TAIL_BYTES) -> DataFrame:
+    """``triage_failures`` over the task-log folder ``base`` itself: it is listed, the logs located for a
+    failure are read as lines, and the last ``max_bytes`` bytes of each are taken without holding a whole
+    log as one row."""
+    ctx = _contexts(failures, as_of, key)
+    located = AF.locate_logs(ctx, file_listing(spark, base, glob), base, key=key)
+    needed = located.where(F.col("log_path").isNotNull()).select(F.col("log_path").alias("job_id")).distinct()
+    tails = tail_bytes_lines(read_logs(spark, base, glob, only=needed), max_bytes)
+    return _triaged(ctx, located, tails.select(F.col("job_id").alias("path"), "text"), as_of, notify, rules, key)
+
+
+def _contexts(failures: DataFrame, as_of: str, key: str) -> DataFrame:
+    """One row per failure, read by three steps: persisted once."""
+    ctx = AF.failure_context(failures, as_of, keep=[key]).persist(StorageLevel.MEMORY_AND_DISK)
+    ctx._logsieve_cached = [ctx]
+    return ctx
+
+
+def _triaged(ctx: DataFrame, located: DataFrame, texts: DataFrame, as_of: str, notify, rules, key: str) -> DataFrame:
+    lines = lines_from_text(AF.resolve_log_text(located, texts), key, "log_text")
     a = analyze(lines, rules, as_of=as_of, evidence_cap=R.EVIDENCE_CAP)
-    tri = RP.rule_triage(a)
     ctx_k = ctx.withColumnRenamed(key, "job_id")
-    tri = RP.enrich_notes(tri, ctx_k, on="job_id")
+    tri = RP.enrich_notes(RP.rule_triage(a), ctx_k, on="job_id")
     names = ctx_k.select("job_id", F.concat_ws(".", "dag_id", "task_id").alias("job_name"))
     gate = list(dict.fromkeys(list(notify) + R.DEFAULT_ALERT_SEVERITIES))
     out = tri.join(names, "job_id", "left").withColumn("alert", F.col("severity").isin(gate))
-    ctx._logsieve_cached = [ctx]
     return handing_on(out, a, ctx)

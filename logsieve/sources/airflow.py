@@ -91,7 +91,9 @@ def resolve_log_text(located: DataFrame, files: DataFrame) -> DataFrame:
     fixed text with the exception, else a 'No log available' line.
     ``files`` is (path, text)."""
     f = files.select(F.col("path").alias("log_path"), F.col("text").alias("_text"))
-    j = located.join(f, "log_path", "left")
+    # Failures without a log share the key NULL: they pass by the join, which would put them in one task.
+    j = located.where(F.col("log_path").isNotNull()).join(f, "log_path", "left").unionByName(
+        located.where(F.col("log_path").isNull()).withColumn("_text", F.lit(None).cast("string")))
     with_exc = F.format_string(
         NO_LOG_WITH_EXCEPTION.replace("{dag}", "%1$s").replace("{task}", "%2$s")
         .replace("{run}", "%3$s").replace("{exc}", "%4$s"),

@@ -10,7 +10,7 @@ split, so one task, which is a property of the format.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import rules as R
@@ -206,37 +206,30 @@ def skip_tiny_lines(lines: DataFrame, min_chars: int = R.MIN_LOG_CHARS) -> DataF
 
 
 def tail_bytes_lines(lines: DataFrame, max_bytes: int = R.TAIL_BYTES,
-                     chunk_lines: int = 1 << 20) -> DataFrame:
+                     chunk_lines: int = 4096) -> DataFrame:
     """The last ``max_bytes`` bytes of each log held as a lines table (S8),
     as text per job: ``job_id, text``.
 
-    The file is taken to be the lines, each ended by one newline. Bytes after
-    each line are a suffix sum, computed in two levels (running sums inside
-    chunks of ``chunk_lines`` lines, plus per-chunk offsets) so a huge log is
-    spread over many tasks. Only lines that reach into the last ``max_bytes``
-    are kept; the first of them is cut to its last bytes and decoded again
-    (a cut character becomes U+FFFD). What is gathered per job is bounded by
-    ``max_bytes``.
+    The file is taken to be the lines, each ended by one newline. Bytes are summed per chunk of
+    ``chunk_lines`` lines (a map-side partial aggregate); the chunks that reach into the last
+    ``max_bytes`` are kept, and only their lines move on: inside them, the bytes after each line decide.
+    The first line kept is cut to its last bytes and decoded again (a cut character becomes
+    U+FFFD). What is gathered per job is bounded by ``max_bytes``.
     """
     b = (F.octet_length("value") + F.lit(1)).cast("long")
     df = lines.select("job_id", "line_no", "value", b.alias("_b"),
                       F.floor((F.col("line_no") - 1) / F.lit(chunk_lines)).alias("_chunk"))
-    from pyspark.sql import Window
-    w = Window.partitionBy("job_id", "_chunk").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    local = df.withColumn("_cum", F.sum("_b").over(w))
-    sizes = local.groupBy("job_id", "_chunk").agg(F.max("_cum").alias("_cb"))
-    before = Window.partitionBy("job_id").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        "job_id", "_chunk",
-        F.coalesce(F.sum("_cb").over(before), F.lit(0)).alias("_off"),
-        F.sum("_cb").over(Window.partitionBy("job_id")).alias("_total"),
-    )
-    j = local.join(offsets, ["job_id", "_chunk"])
-    after = F.col("_total") - F.col("_off") - F.col("_cum")        # bytes after this line
-    keep = F.lit(max_bytes) - after                                  # bytes of this line (+ newline) kept
+    sizes = df.groupBy("job_id", "_chunk").agg(F.sum("_b").alias("_cb"))
+    later = Window.partitionBy("job_id").orderBy(F.col("_chunk").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    last = sizes.select("job_id", "_chunk", F.coalesce(F.sum("_cb").over(later), F.lit(0)).alias("_after")) \
+        .filter(F.col("_after") < max_bytes)
+    inside = Window.partitionBy("job_id", "_chunk").orderBy(F.col("line_no").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    j = df.join(last, ["job_id", "_chunk"])
+    after = F.col("_after") + F.coalesce(F.sum("_b").over(inside), F.lit(0))  # bytes after this line
+    keep = F.lit(max_bytes) - F.col("_rest")                         # bytes of this line (+ newline) kept
     cut = F.when(keep - 1 <= 0, F.lit("")).otherwise(
         decode_cut(F.substring(F.encode("value", "UTF-8"), -(keep - 1), keep - 1)))
-    kept = j.filter(after < F.lit(max_bytes)).select(
+    kept = j.withColumn("_rest", after).filter(F.col("_rest") < F.lit(max_bytes)).select(
         "job_id", "line_no", F.when(keep >= F.col("_b"), F.col("value")).otherwise(cut).alias("value"))
     return kept.groupBy("job_id").agg(
         F.concat(
