@@ -20,6 +20,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from logsieve import rules as R  # noqa: E402
 from logsieve.checks import duckdb_sql as D  # noqa: E402
+from logsieve.checks.corpus import render_blocks, render_corpus, render_failures, render_log_files  # noqa: E402
 from logsieve.operators import classify as C  # noqa: E402
 from logsieve.operators import context as X  # noqa: E402
 from logsieve.operators import signals as S  # noqa: E402
@@ -29,7 +30,6 @@ from logsieve.plans.analyze import analyze, flat_analysis  # noqa: E402
 from logsieve.plans.triage import triage_report, triage_table  # noqa: E402
 from logsieve.sources import airflow as AF  # noqa: E402
 from logsieve.sources import files as FS  # noqa: E402
-from logsieve.sources.corpus import render_blocks, render_corpus  # noqa: E402
 from logsieve.sources.text import lines_from_text  # noqa: E402
 
 AS_OF = "2024-02-01T00:00:00"
@@ -268,7 +268,7 @@ def q_tail_bytes_cut(spark, d):
 
 
 def q_job_from_task_path(spark, d):
-    files = AF.render_log_files(_contexts(spark, d), LOG_BASE)
+    files = render_log_files(_contexts(spark, d), LOG_BASE)
     return FS.job_from_path(files.select("path"), "path").select(
         "path", "job_id", "dag_id", "task_id", "execution_date", "try_number", "airflow_job")
 
@@ -298,7 +298,7 @@ def q_manifest(spark, d):
 
 
 def _contexts(spark, d):
-    return AF.failure_context(AF.render_failures(_t(spark, d, "events")), AS_OF, keep=["failure_id"])
+    return AF.failure_context(render_failures(_t(spark, d, "events")), AS_OF, keep=["failure_id"])
 
 
 def q_failure_context(spark, d):
@@ -307,7 +307,7 @@ def q_failure_context(spark, d):
 
 def _located(spark, d):
     ctx = _contexts(spark, d)
-    files = AF.render_log_files(ctx, LOG_BASE)
+    files = render_log_files(ctx, LOG_BASE)
     return AF.locate_logs(ctx, files, LOG_BASE), files
 
 
@@ -327,9 +327,9 @@ def q_enrich_notes(spark, d):
 
 
 def _failure_inputs(spark, d):
-    failures = AF.render_failures(_t(spark, d, "events"))
+    failures = render_failures(_t(spark, d, "events"))
     ctx = AF.failure_context(failures, AS_OF, keep=["failure_id"])
-    files = AF.render_log_files(ctx, LOG_BASE)
+    files = render_log_files(ctx, LOG_BASE)
     return failures, files, LOG_BASE, AS_OF
 
 

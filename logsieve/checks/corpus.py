@@ -1,4 +1,6 @@
-"""Rendered log corpus: Spark logs derived from the ``events`` table.
+"""Test inputs derived from the given tables: a log corpus from ``events``, failure contexts and their logs.
+
+The registered queries and the tests use them; they are no sources for users.
 
 Each event becomes a block of one to four log lines chosen by
 ``event_id % 24``; the job is ``'job_' || user_id``; lines of a job are ordered
@@ -12,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.numbering import number_lines
+from ..sources.airflow import DAG_RUN_TYPE, TI_TYPE, candidate_paths
 
 # FIXED VALUES: block templates by event_id % 24 ('@' = timestamp, '#' = event_id % 7).
 BLOCK_TEMPLATES: list[str] = [
@@ -112,3 +115,51 @@ def render_corpus(events: DataFrame, rows_per_chunk: int = 1_000_000) -> DataFra
         order=[F.col("ts"), F.col("event_id"), F.col("pos")],
     )
     return numbered.select("job_id", "line_no", "idx", "value")
+
+
+def render_failures(events: DataFrame) -> DataFrame:
+    """Failure contexts derived from the ``events`` rows of type 'error'.
+
+    Every fifth failure carries its task instance under ``ti`` instead of
+    ``task_instance``; every seventh has no dag_run; every fourth has no
+    exception text. The exception is the event's rendered log block.
+    """
+    e = events.filter(F.col("event_type") == "error").withColumn("_exc", block_text())
+    eid = F.col("event_id")
+    date = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    ti = F.struct(
+        F.concat(F.lit("dag_"), (F.col("user_id") % 10).cast("string")).alias("dag_id"),
+        F.concat(F.lit("task_"), (eid % 3).cast("string")).alias("task_id"),
+        date.alias("execution_date"),
+        ((eid % 3) + 1).cast("int").alias("try_number"),
+        F.lit("SparkSubmitOperator").alias("operator"),
+        F.concat(F.lit("worker-"), (eid % 4).cast("string")).alias("hostname"),
+        F.concat(F.lit("http://logs/"), eid.cast("string")).alias("log_url"),
+    ).cast(TI_TYPE)
+    dag_run = F.struct(
+        F.concat(F.lit("dag_"), (F.col("user_id") % 10).cast("string")).alias("dag_id"),
+        F.concat(F.lit("run_"), eid.cast("string")).alias("run_id"),
+        date.alias("execution_date"),
+    ).cast(DAG_RUN_TYPE)
+    return e.select(
+        eid.cast("string").alias("failure_id"),
+        F.when(eid % 5 != 0, ti).alias("task_instance"),
+        F.when(eid % 5 == 0, ti).alias("ti"),
+        F.when(eid % 7 != 0, dag_run).alias("dag_run"),
+        F.when(eid % 4 != 0, F.col("_exc")).alias("exception"),
+    )
+
+
+def render_log_files(contexts: DataFrame, base: str) -> DataFrame:
+    """One log file (path, text) per context: a third at the first candidate
+    path, a third at the second, and a third under the next try number (a
+    later attempt's log, which the locator must not take); every eleventh
+    file is empty."""
+    k = F.col("failure_id").cast("bigint")
+    c = contexts.select("*", candidate_paths(base).alias("_c"),
+                        candidate_paths(base, F.col("try_number") + 1)[0]["path"].alias("_later"))
+    return c.select(
+        F.when(k % 3 == 0, F.col("_c")[0]["path"]).when(k % 3 == 1, F.col("_c")[1]["path"])
+        .otherwise(F.col("_later")).alias("path"),
+        F.when(k % 11 == 0, F.lit("")).otherwise(F.coalesce("exception", F.lit(""))).alias("text"),
+    )

@@ -9,7 +9,7 @@ parquet files (events, documents, ...).
 from __future__ import annotations
 
 from .. import rules as R
-from ..sources.corpus import BLOCK_TEMPLATES, OTHER_TEMPLATE
+from .corpus import BLOCK_TEMPLATES, OTHER_TEMPLATE
 
 
 def q(s: str) -> str:

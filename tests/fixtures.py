@@ -1,4 +1,7 @@
-"""Small log texts used as golden fixtures (see FIXTURES.md section 2)."""
+"""Small log texts used as golden fixtures (see FIXTURES.md section 2).
+
+FIXED VALUES: inputs that the golden results depend on, value for value.
+"""
 
 OOM_LOG = """\
 24/03/02 08:14:01 INFO SparkContext: Running Spark version 3.4.1

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from logsieve.sources.corpus import render_blocks, render_corpus, time_chunk
+from logsieve.checks.corpus import render_blocks, render_corpus, time_chunk
 
 EVENTS = "/root/testdata/sf0.01/events.parquet"
 pytestmark = pytest.mark.skipif(not os.path.exists(EVENTS), reason="test tables not present")
