@@ -14,6 +14,7 @@ tables are handled as each operator states.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,11 +27,19 @@ from logsieve.llm import simhash as SH
 from logsieve.llm.common import ensure_shared_dir
 
 
+def on_safe_names(docs: DataFrame, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``stage(docs)`` with the columns of ``docs``, whatever they are called: all but doc_id and text pass
+    the operator under names that it can't add itself."""
+    safe = {c: f"passing_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    out = stage(docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(n) for c, n in safe.items()]))
+    return out.select(*[F.col(safe.get(c, c)).alias(c) for c in docs.columns])
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps what the quality classifier, fitted on the labelled rows that aren't held out, accepts."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = QC.score(docs, QC.fit(QC.training_rows(docs, labels)))
-    return scored.where("predicted = 1").select(*docs.columns)
+    model = QC.fit(QC.training_rows(docs, labels))
+    return on_safe_names(docs, lambda d: QC.score(d, model).where("predicted = 1"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,17 +49,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents with a twentieth or more of their words inside benchmark windows."""
-    found = DC.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.where("NOT (n_hit > 0 AND 20 * n_hit >= n_words)").select(*docs.columns)
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return on_safe_names(docs, lambda d: DC.decontaminate(d, benchmark).where("NOT (n_hit > 0 AND 20 * n_hit >= n_words)"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces every span of personal data by its kind in brackets."""
-    clean = PI.redact(PI.find_pii(docs.withColumn("pii_old_text", F.col("text"))))
+    clean = on_safe_names(docs.withColumn("text before", F.col("text")), lambda d: PI.redact(PI.find_pii(d)))
     if "n_chars" in docs.columns:
         size = F.length("text").cast(docs.schema["n_chars"].dataType)
-        clean = clean.withColumn("n_chars", F.when(F.col("text") != F.col("pii_old_text"), size).otherwise(F.col("n_chars")))
-    return clean.select(*docs.columns)
+        clean = clean.withColumn("n_chars", F.when(F.col("text") != F.col("`text before`"), size).otherwise(F.col("n_chars")))
+    return clean.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

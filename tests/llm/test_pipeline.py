@@ -109,3 +109,15 @@ def test_stages_on_empty_documents(spark, stages, tmp_path):
         stage(spark, docs, SF).write.parquet(f"{tmp_path}/{name}")
         docs = spark.read.parquet(f"{tmp_path}/{name}")
         assert docs.count() == 0
+
+
+def test_stages_pass_clashing_columns(spark):
+    t = "the cat and the dog sat on a mat. Write to a@b.org about it, and to nobody else at all."
+    names = ["score", "predicted", "n_words", "n_hit", "items", "matches", "pii", "k", "head", "fp", "_key", "passing_0", "n chars", "id"]
+    df = spark.createDataFrame([(1, t, *["x"] * len(names)), (2, None, *[None] * len(names))], ["doc_id", "text", *names])
+    for name, stage in CP.STAGES[1:4]:
+        out = stage(spark, df, SF)
+        assert out.columns == df.columns and out.count() == 2, name
+        assert {r.score for r in out.collect()} == {"x", None}
+    assert CP.quality(spark, df, SF).columns == df.columns
+    assert "[EMAIL]" in [r.text for r in CP.personal_data(spark, df, SF).collect() if r.text][0]
