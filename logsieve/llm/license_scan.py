@@ -6,7 +6,8 @@ known texts, made canonical by the same expressions. Looked up are the whole doc
 its own (so that a notice line is found in a longer document); nothing is matched in part.
 
 The known texts are a table (spdx_id, text): any DataFrame of that shape; :func:`known_licenses` holds common
-short licences and notices. Its digests are broadcast only if small, by Spark's own size rule.
+short licences and notices. Its digests are broadcast up to :data:`MAX_BROADCAST` of them (they are counted
+first), and beyond that joined by a shuffle of digests.
 
 Defined results: null and empty texts, and texts that are nothing but copyright lines and punctuation, match
 nothing; repeated rows are scanned each on its own, null ids too; a digest that two licences share gives both; an empty table gives an
@@ -80,6 +81,8 @@ Permission is granted to anyone to use this software for any purpose, including
 
 3. This notice may not be removed or altered from any source distribution.""",
 }
+#: Digests broadcast at most: 100 bytes each, 10 MB.
+MAX_BROADCAST = 100_000
 #: Equivalent spellings, (pattern on lower-case text, replacement), applied in this order.
 SPELLINGS = (("licen[cs]e", "license"), ("sub-license", "sublicense"), ("non-commercial", "noncommercial"), ("organisation", "organization"),
              ("favour", "favor"), ("acknowledgement", "acknowledgment"), ("copyright owner", "copyright holder"), ("per cent", "percent"),
@@ -124,13 +127,14 @@ def scan(docs: DataFrame, known: DataFrame, text_col: str = "text", keep: list[s
     """The columns ``keep`` of ``docs`` (all but the text by default) with ``unit`` ("text" or "line"), ``line_no`` (0 for the
     text, else from 1) and ``spdx_id``: one row for each unit and licence whose digests are equal.
 
-    ``known``: (spdx_id, text). Documents aren't shuffled if the digest table is small (Spark's own size rule); else
-    digests are shuffled, not texts.
+    ``known``: (spdx_id, text). Texts are never shuffled; digests only if ``known`` is too large to broadcast.
     """
     added = ("unit", "line_no", "spdx_id")
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in added and (keep is not None or c != text_col)]
     digest, temp = free_names(["digest", "_u"], [*docs.columns, *added])
     table = _units(known, "text", ["spdx_id"], ["_a", "_b", digest, "_t"], False).select("spdx_id", digest).distinct()
+    if table.count() <= MAX_BROADCAST:
+        table = F.broadcast(table)
     units = _units(docs, text_col, keep, ["unit", "line_no", digest, temp], True)
     return units.join(table, digest).select(*[F.col(f"`{c}`") for c in keep], *added)
 
