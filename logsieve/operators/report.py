@@ -198,10 +198,27 @@ def alert_outbox(alerts: DataFrame, recipients: str | Column | None = None) -> D
 # prompt
 # --------------------------------------------------------------------------
 
+#: Instructions to go with a prompt, which ends by referring to them. The keys are those ``parse_response`` reads.
+MODEL_INSTRUCTIONS = """You are a reliability engineer who explains failed Spark jobs from the evidence in a report.
+Answer with one JSON object and nothing else. Its keys:
+  category                      string, the kind of failure
+  confidence                    string: High, Medium or Low
+  severity                      string: CRITICAL, HIGH, MEDIUM or LOW
+  failure_signature             string, the failure in one line
+  root_cause                    string, what went wrong and why
+  immediate_mitigation          list of strings, steps to take now
+  permanent_fix                 list of strings, changes that keep it from coming back
+  verify_steps                  list of strings, how to see that the fix works
+  spark_config_recommendations  object of strings, setting to value
+  incident_notes                object of strings with impact, resolution, preventive_actions, start_time
+Say nothing that the report does not support."""
+
+
 def build_prompt(analysis: DataFrame, evidence_n: int = R.PROMPT_EVIDENCE,
                  stack_chars: int = R.PROMPT_STACK_CHARS, excerpt_chars: int = R.PROMPT_EXCERPT_CHARS,
-                 tail_chars: int = R.PROMPT_TAIL_CHARS) -> DataFrame:
-    """The fixed-layout failure report sent to a model, one per job."""
+                 tail_chars: int = R.PROMPT_TAIL_CHARS, instructions: str | None = None) -> DataFrame:
+    """The fixed-layout failure report sent to a model, one per job (T2); with ``instructions``
+    (such as ``MODEL_INSTRUCTIONS``) they go along in a column ``system``."""
     c = F.col("job_context")
     p = F.col("primary_signal")
     stages = F.array_join(c["failed_stages"], ", ")
@@ -260,7 +277,8 @@ def build_prompt(analysis: DataFrame, evidence_n: int = R.PROMPT_EVIDENCE,
         F.lit(""),
         F.lit(PROMPT_CLOSE),
     )
-    return analysis.select("job_id", F.array_join(F.concat(head, primary, all_sigs, rest), "\n").alias("prompt"))
+    return analysis.select("job_id", F.array_join(F.concat(head, primary, all_sigs, rest), "\n").alias("prompt"),
+                           *([] if instructions is None else [F.lit(instructions).alias("system")]))
 
 
 # --------------------------------------------------------------------------

@@ -112,6 +112,10 @@ RULES_SCHEMA = T.StructType([
 ])
 
 
+#: Rules compiled into one CASE at most.
+MAX_RULES = 2000
+
+
 def rules_df(spark: SparkSession, rules: list[tuple] | None = None) -> DataFrame:
     """The rule table as a DataFrame (S11), so users can swap it."""
     return spark.createDataFrame(rules or DEFAULT_RULES, RULES_SCHEMA)
@@ -123,7 +127,9 @@ def rule_list(rules) -> list[tuple[int, str, str, str, str]]:
         return list(DEFAULT_RULES)
     if isinstance(rules, DataFrame):
         # The rule table is a job parameter (a few dozen rows), not data; a
-        # large user table belongs in classify_join, which never collects it.
-        rows = rules.orderBy("prio").collect()
+        # large user table belongs in classify_join, which takes it in blocks.
+        rows = rules.orderBy("prio").limit(MAX_RULES + 1).collect()
+        if len(rows) > MAX_RULES:
+            raise ValueError(f"over {MAX_RULES} rules: classify with classify_join")
         return [(r["prio"], r["pattern"], r["category"], r["severity"], r["label"]) for r in rows]
     return sorted(rules, key=lambda r: r[0])

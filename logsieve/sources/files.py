@@ -185,7 +185,20 @@ def skip_tiny(df: DataFrame, text_col: str = "text", min_chars: int = R.MIN_LOG_
 def skip_tiny_lines(lines: DataFrame, min_chars: int = R.MIN_LOG_CHARS) -> DataFrame:
     """``skip_tiny`` on a lines table: keep the jobs whose text, stripped of
     outer whitespace, is at least ``min_chars`` long (lines joined by one
-    newline). Reduced per job by aggregates, then a left-semi join."""
+    newline).
+
+    The sum of the stripped lines' lengths, one map-side aggregate, is a lower bound and decides nearly all
+    jobs; only jobs below it that hold any text at all are measured exactly.
+    """
+    least = lines.groupBy("job_id").agg(F.sum(stripped_length(F.col("value"))).alias("_least"))
+    sure = least.filter(F.col("_least") >= min_chars).select("job_id")
+    open_ = least.filter((F.col("_least") > 0) & (F.col("_least") < min_chars)).select("job_id")
+    exact = _stripped_sizes(lines.join(open_, "job_id", "left_semi")).filter(F.col("_len") >= min_chars).select("job_id")
+    return lines.join(sure.unionByName(exact), "job_id", "left_semi")
+
+
+def _stripped_sizes(lines: DataFrame) -> DataFrame:
+    """(job_id, _len): length of each job's text without its outer whitespace."""
     nb = F.col("idx").isNotNull()
     bounds = lines.groupBy("job_id").agg(
         F.min(F.when(nb, F.col("line_no"))).alias("_first"),
@@ -198,11 +211,9 @@ def skip_tiny_lines(lines: DataFrame, min_chars: int = R.MIN_LOG_CHARS) -> DataF
     inner = lines.join(bounds, "job_id").filter(
         (F.col("line_no") >= F.col("_first")) & (F.col("line_no") <= F.col("_last"))
     )
-    sizes = inner.groupBy("job_id").agg(
+    return inner.groupBy("job_id").agg(
         (F.sum(F.length("value")) + F.max(F.col("_last") - F.col("_first"))
-         - F.max("_lead") - F.max("_trail")).alias("_len")
-    ).filter(F.col("_len") >= min_chars)
-    return lines.join(sizes.select("job_id"), "job_id", "left_semi")
+         - F.max("_lead") - F.max("_trail")).alias("_len"))
 
 
 def tail_bytes_lines(lines: DataFrame, max_bytes: int = R.TAIL_BYTES,

@@ -217,7 +217,7 @@ def test_corpus_numbering_independent_of_chunking(spark):
     import os
 
     import pytest
-    from logsieve.sources.corpus import render_corpus
+    from logsieve.checks.corpus import render_corpus
     path = "/root/testdata/sf0.001/events.parquet"
     if not os.path.exists(path):
         pytest.skip("test tables not present")
@@ -322,3 +322,21 @@ def test_caches_are_handed_on(spark):
 def test_checkpoint_folder_does_not_nest(spark):
     from logsieve.session import ensure_checkpoint_dir
     assert ensure_checkpoint_dir(spark) == ensure_checkpoint_dir(spark)
+
+
+def test_instructions_name_the_keys_that_are_read(spark):
+    a = analyze(lines_from_text(spark.createDataFrame([("j", "ERROR x")], "job_id string, text string")), as_of="T")
+    row = RP.build_prompt(a, instructions=RP.MODEL_INSTRUCTIONS).first()
+    keys = [c for c in RP.TRIAGE_COLUMNS if c not in ("job_id", "model_used", "tokens_used", "timestamp")]
+    assert all(k in row.system for k in keys)
+
+
+def test_large_rule_tables_go_to_classify_join(spark):
+    import pytest
+    from logsieve.operators.classify import classify, classify_join
+    many = R.rules_df(spark, [(i, f"nothing{i}x", "c", "LOW", f"l{i}") for i in range(R.MAX_RULES)] + [(9999, "needle", "c", "LOW", "last")])
+    lines = lines_from_text(spark.createDataFrame([("j", "hay\nneedle")], "job_id string, text string"))
+    with pytest.raises(ValueError):
+        classify(lines, many)
+    few = many.where("prio > 1900")
+    assert [(r.line_no, r.label) for r in classify_join(lines, few, block=30).collect()] == [(2, "last")]
