@@ -48,6 +48,8 @@ MAX_SHARDS = 65_536
 HASH_SLICE = 65_536
 #: Local blocks at most this large are compared exactly.
 BLOCK = 512
+#: A fingerprint with over one HOT-th of the rows is joined by broadcast; there are fewer than HOT.
+HOT = 1000
 #: A split that leaves more than this share of its node on both sides together isn't worth it.
 WORST_GROWTH = 1.7
 
@@ -271,13 +273,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     bits: int = MAX_BITS, shard_size: int = SHARD_SIZE) -> DataFrame:
     """(id_col, fp, component_id) for every row: the smallest id its fingerprint reaches."""
     fps = cut(fingerprints(docs, id_col, text_col, shingle))
-    own = cut(fps.groupBy("fp").agg(F.min("id").alias("least")))
+    own = cut(fps.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")))
+    rows = own.agg(F.sum("n")).first()[0] or 0
     edges = cut(links(own.select("fp"), bits, shard_size))
     if not edges.isEmpty():
         labels = connected(edges)
         linked = own.join(labels.withColumnRenamed("node", "fp"), "fp")
         heads = linked.groupBy("label").agg(F.min("least").alias("head"))
         moved = linked.join(heads, "label").select("fp", "head")
-        own = own.join(moved, "fp", "left").select("fp", F.coalesce("head", "least").alias("least"))
-    return fps.join(own, "fp", "left").select(
+        own = cut(own.join(moved, "fp", "left").select("fp", F.coalesce("head", "least").alias("least"), "n"))
+    # Fewer than HOT fingerprints can each hold one HOT-th of the rows: their rows are joined by broadcast,
+    # and only the others, none of which is frequent, are shuffled.
+    hot = F.broadcast(own.where(F.col("n") * HOT > rows).select("fp", "least"))
+    rest = fps.join(hot.select("fp"), "fp", "left_anti").join(own.select("fp", "least"), "fp", "left")
+    return fps.join(hot, "fp").unionByName(rest).select(
         F.col("id").alias(id_col), "fp", F.col("least").alias("component_id"))
