@@ -29,6 +29,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logsieve.llm.common import cut
+
 MAX_ROWS = 8000
 MAX_FEATURES = 8192
 #: A feature is of use if its rates in the classes differ by so many standard errors, and by such a factor.
@@ -117,7 +119,9 @@ def toxic_share(labels: DataFrame, label: str = "toxic") -> float | None:
 
 
 def fit(train: DataFrame, share: float | None = 0.5, max_features: int = MAX_FEATURES) -> Ordinal | None:
-    """The model, or None unless both classes have rows. ``train`` is read three times; it's bounded."""
+    """The model, or None unless both classes have rows. ``train`` is bounded; it's cut, so that the three reads
+    here read it and not the documents."""
+    train = cut(train)
     def named(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = [(name, int(y)) for text, y in zip(f["text"], f["y"], strict=True) for name in {k for k, _ in features(text)}]
