@@ -97,6 +97,10 @@ def q_failed_stages(spark, d):
 
 
 def q_signals(spark, d):
+    return S.signals(_classified(spark, d)).withColumn("evidence", F.array_join("evidence", "\n"))
+
+
+def q_signals_all_evidence(spark, d):
     return S.signals(_classified(spark, d), evidence_cap=None).withColumn("evidence", F.array_join("evidence", "\n"))
 
 
@@ -485,6 +489,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rescan_alerts": q_rescan_alerts,
     "analyze_files": q_analyze_files,
     "signals_user_rules": q_signals_user_rules,
+    "signals_all_evidence": q_signals_all_evidence,
     "classify_join_user_rules": q_classify_join_user_rules,
     "tail_bytes_cut": q_tail_bytes_cut,
     "tail_bytes_lines_cut": q_tail_bytes_lines_cut,
@@ -523,8 +528,10 @@ FROM lines WHERE idx IS NOT NULL"""),
         "job_context": W("SELECT job_id, platform, spark_version, total_log_lines, error_count, warn_count, "
                          "failed_stages, executors_lost, oom_events, shuffle_failures, task_retries FROM ctx"),
         "failed_stages": W("SELECT job_id, failed_stages FROM stages"),
-        "signals": W("SELECT job_id, label, category, severity, sev_rank, n, first_idx, "
-                     "array_to_string(evidence_list, chr(10)) AS evidence, stack_trace FROM signals"),
+        "signals": W("SELECT job_id, label, category, severity, sev_rank, n, first_idx, evidence, stack_trace "
+                     "FROM signals"),
+        "signals_all_evidence": W("SELECT job_id, label, category, severity, sev_rank, n, first_idx, "
+                                  "array_to_string(evidence_list, chr(10)) AS evidence, stack_trace FROM signals"),
         "signals_user_rules": W("SELECT job_id, label, severity, sev_rank, signal_rank, n, "
                                 "array_to_string(evidence_list, chr(10)) AS evidence FROM ranked", rules=USER_RULES),
         "classify_join_user_rules": "WITH " + D.text_lines_sql("documents", "doc_id", "text")
