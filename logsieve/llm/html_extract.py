@@ -44,6 +44,8 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd"
         "td": ({"td", "th"}, {"tr"}), "th": ({"td", "th"}, {"tr"}), "option": ({"option"}, {"select"})}
 ENDS_P = BLOCKS - {"button", "option", "optgroup", "summary", "legend", "td", "th", "tr", "tbody", "thead", "tfoot", "body", "head", "html", "video",
                    "audio", "canvas", "object", "svg", "template", "select"}
+#: Start tags that may stand in a head; any other one, and text, ends an open head (its end tag may be left out).
+HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 #: Elements whose own words aren't page text at all.
 NEVER = frozenset("head script style title noscript iframe textarea select option button template svg object audio video canvas datalist".split())
 
@@ -80,6 +82,9 @@ def parse(page: str):
         m = TOKEN.search(page, at)
         lo = m.start() if m else n
         if lo > at:
+            if now and now[-1][0] == "head" and not page[at:lo].isspace():
+                stack.pop()
+                now = tuple(stack)
             yield "text", page[at:lo], now
         if not m:
             return
@@ -91,6 +96,8 @@ def parse(page: str):
             return  # the page ends inside a tag
         if m["end"] or m["end2"]:
             _close(stack, name)
+        elif name == "head" and any(e[0] != "html" for e in stack):
+            continue  # a head inside a body is none
         else:
             _make_room(stack, name)
             stack.append((name, *(w for v in NAMED.finditer(attrs) for w in PIECE.findall((v[1] or v[2] or v[3] or "").lower()))))
@@ -116,6 +123,10 @@ def _close(stack: list, name: str) -> None:
 
 def _make_room(stack: list, name: str) -> None:
     """Ends the open elements that a start tag ends without saying so."""
+    if name not in HEAD:
+        head = next((k for k, e in enumerate(stack[:2]) if e[0] == "head"), None)
+        if head is not None and not any(e[0] == "template" for e in stack[head:]):
+            del stack[head:]
     ends, wall = ENDS.get(name, (set(), set()))
     if name in ENDS_P:
         ends, wall = ends | {"p"}, wall | {"td", "th", "button", "caption"}

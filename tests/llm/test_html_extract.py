@@ -50,6 +50,18 @@ def test_weights_tell_apart():
     assert all(HX.WEIGHTS[k] > 0 for k in ("article", "main", "h1", "td", "content"))
 
 
+HEADLESS = [
+    ("<html><head><title>t</title><body><p>text</p>", "text"), ("<head><meta charset=utf-8><title>t</title><p>text</p>more", "text\nmore"),
+    ("<head><title>t</title>bare text", "bare text"), ("<html><head><template><p>no</p></template><style>p{}</style></head><body>yes", "yes"),
+    ("<head><title>t</title></head><body><div><head>one</div>two", "one\ntwo"),
+]
+
+
+@pytest.mark.parametrize("page,want", HEADLESS)
+def test_a_head_ends_where_the_body_begins(page, want):
+    assert HX.main_text(page) == want
+
+
 def test_operator(spark):
     df = spark.createDataFrame([(1, "u", "<p>a</p>", "old", 1), (1, "u", "<p>a</p>", "old", 1), (None, None, None, None, None),
                                 (3, "v", "<p>" + "w " * 300_000 + "</p>", "x", 2)], "page_id long, url string, html string, TEXT string, n_chars int")
