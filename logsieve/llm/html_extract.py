@@ -1,12 +1,14 @@
 """Main-text extraction from HTML by the maximum-scoring contiguous region.
 
-A page is read as a sequence of words and tags. A word's score is the weight of the place it stands in: of
-its open elements' names, classes and ids; a tag's score is negative. Weights are log-odds counted on
-labelled pages (:data:`LABELLED`: short pages whose main text is marked). One linear scan finds the
-contiguous region with the greatest sum. The text of the region is what remains of it without
-the elements that the weights know as menus, notices, adverts, comments and the like.
-
-Where a page names its main text (``article`` or ``main``), words outside it count as boilerplate.
+A page is read as a sequence of words and tags. A word's score is the sum of the log-odds of the place it stands in, held to
+-1 to 1: of its open blocks' names, classes, ids and roles; of the share of links in its block; of the size and links of
+the innermost element whose class no labelled page has; and, where the page names its main text (``article`` or
+``main`` elements that aren't boilerplate themselves), of being inside or outside it, by the share of the words that it
+holds. A tag's score is negative, by the log-odds of its name. All log-odds are counted on labelled pages
+(:data:`LABELLED`: short pages whose main text is marked). One linear scan finds the
+contiguous region with the greatest sum. The text of the region is what remains of it without the elements that the weights
+know as menus, notices, adverts, comments and the like, which count nothing in the scan, and without words outside
+the main text that the page names, if that holds more than a few of the page's words. A page without any word of positive score is scanned again with all words but those of known boilerplate at 1.
 
 Text: character references are decoded; block elements part blocks; white space inside a block becomes one
 space; blocks are trimmed and joined by a line end; nothing else is dropped. Unclosed tags end with their parent,
@@ -66,6 +68,13 @@ LABELLED = (
     <main-text><div class="entry story"><p>plain words in a plain page</p><p>which go on and on</p></div></main-text><div class="ads adsense advertisement sponsor"><p>an offer for you</p></div>
     <div class="consent gdpr cookies notification"><p>agree to all this</p></div><div role="complementary" class="toolbar pagination pager"><p>next page</p></div>
     <div class="login signin register"><p>log in here</p></div><div class="disclaimer"><p>no warranty at all</p></div></body>""",
+    """<body><div class="bar"><p>the line at the top of it all</p></div><main-text><div class="text"><h2>A long tale</h2><p>the tale is told in a plain part of the page and
+    has many more words than what stands next to it for it is what the reader came for</p><p>so the next part goes on with <a>one link</a> and with more words until the tale has been told</p><h3>What to take along</h3><ul><li>some bread and some milk for the long way home</li><li>a coat for the cold part of it</li></ul><ol><li>first go up the hill</li><li>then come down to the lake</li></ol></div></main-text><article><h3>next tale</h3><p>it starts like so</p></article><article class="card teaser"><p>one more to read</p></article>
+    <div class="trending"><ul><li><a>what all read</a></li><li><a>what some read</a></li></ul></div><section class="comments"><article><p>what a tale it was</p></article><article><p>not for me</p></article></section></body>""",
+    """<body><div class="breaking"><p>new on the site</p></div><p>go to the words</p><main-text><article class="single"><h1>How it went</h1><p>on the first day it went well and all the people that were there said so to each other</p><ul><li><a>one thing</a> to know of</li><li>and another one that took them all day long</li></ul><h3>Who was there</h3><ul><li>all of the old town</li><li>half of the new town</li></ul>
+    <p>on the last day it went as well as it had on the first</p></article></main-text><div class="readmore"><p>more from this town</p><ul><li><a>the town hall</a></li><li><a>the town well</a></li></ul></div><p>write to us</p><div class="tags"><a>town</a><a>day</a></div></body>""",
+    """<body><div class="tagline"><p>all that is new</p></div><main-text><div><p>a page may have no names at all for its parts and still has words in a row that make up its text</p><p>they stand in one long part of it and the rest is short</p></div></main-text>
+    <article><p>short one</p></article><div class="mostread"><ul><li><a>most read one</a></li><li><a>most read two</a></li></ul></div></body>""",
 )
 
 
@@ -138,73 +147,182 @@ def _make_room(stack: list, name: str) -> None:
             return
 
 
-def learn(pages: tuple[str, ...] = LABELLED, smooth: float = 0.5) -> dict[str, float]:
+MAIN = ("article", "main")
+
+
+def marked(page: str) -> tuple[list[tuple], list[bool]]:
+    """The tokens of a labelled page, and whether each is of its main text."""
+    before, rest = page.split("<main-text>")
+    inside, after = rest.split("</main-text>")
+    tokens, n, m = (list(parse(x)) for x in (before + inside + after, before, before + inside))
+    return tokens, [len(n) <= k < len(m) for k in range(len(tokens))]
+
+
+def keys(e: tuple) -> tuple[str, ...]:
+    """What an open element is looked up by; one of :data:`MAIN` also by each class with its name, as a class may make
+    a teaser of an article and not of other elements."""
+    return e + tuple(f"{e[0]}.{w}" for w in e[1:]) if e[0] in MAIN else e
+
+
+def log_odds(inside: Counter, outside: Counter, smooth: float = 0.5) -> dict[str, float]:
+    a, b = sum(inside.values()), sum(outside.values())
+    return {k: math.log((inside[k] + smooth) / (a + smooth)) - math.log((outside[k] + smooth) / (b + smooth)) for k in {*inside, *outside}}
+
+
+def learn(pages: tuple[str, ...] = LABELLED) -> dict[str, float]:
     """Log-odds of main text, by words, for every name, class, id and role that words of the labelled pages stand in."""
     inside, outside = Counter(), Counter()
     for page in pages:
-        before, rest = page.split("<main-text>")
-        main = len(before)
-        end = main + rest.index("</main-text>")
-        clean, seen = before + rest.replace("</main-text>", ""), 0
-        for kind, what, here in parse(clean):
-            seen = clean.index(what, seen) if kind == "text" else seen
+        for (kind, what, here), main in zip(*marked(page), strict=True):
             if kind == "text":
-                for key in {k for e in here for k in e}:
-                    (inside if main <= seen < end else outside)[key] += len(what.split())
-    a, b = sum(inside.values()), sum(outside.values())
-    return {k: math.log((inside[k] + smooth) / a) - math.log((outside[k] + smooth) / b) for k in {*inside, *outside}}
+                for key in {k for e in here for k in keys(e) if not (e[0] in MAIN and k in e[1:])}:
+                    (inside if main else outside)[key] += len(what.split())
+    return log_odds(inside, outside)
 
 
 WEIGHTS = learn()
-#: Words with a key below this are boilerplate.
+#: Words with a key below this are boilerplate (links tell by their share only). It counts nothing, so that a long advert inside an article doesn't part it.
 BOILERPLATE = -1.0
-MAIN = ("article", "main")
-#: Scores: a word of main text; one outside the main text that the page names; a tag (a heading of one word must
-#: outweigh the tags up to the next words). What is boilerplate anyway counts nothing, so that a long advert inside an article
-#: doesn't part it; its words aren't taken.
-WORD, OUTSIDE, TAG, SKIPPED = 1.0, -1.0, -0.02, 0.0
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: A tag of even odds (a heading of one word must outweigh the tags up to the next words), and the bounds of a word's score.
+TAG, BOUND = -0.02, 1.0
+#: Bins of a place: shares of links; words and share of the page below which an element is small; share of the main text
+#: that the page names.
+SOME_LINKS, ALL_LINKS = 1 / 3, 0.9
+SMALL_WORDS, SMALL_SHARE = 30, 0.25
+FEW = 0.2
 
 
-def place(open_: tuple, names_main: bool) -> float:
-    """The score of a word that stands in these open elements."""
+def is_boilerplate(open_: tuple, weights: dict[str, float]) -> bool:
     names = [e[0] for e in open_]
     within = next((k for k, n in enumerate(names) if n in MAIN), None)
     titled = within is not None and any(n in HEADINGS for n in names[within:])
-    for k, e in enumerate(open_):
-        if e[0] in NEVER:
-            return SKIPPED
-        for key in e:
-            if WEIGHTS.get(key, 0.0) < BOILERPLATE and not (key == "header" and titled and k > within):
-                return SKIPPED
-    return OUTSIDE if names_main and within is None else WORD
+    return any(e[0] in NEVER or any(
+        key != "a" and weights.get(key, 0.0) < BOILERPLATE and not (key == "header" and titled and k > within) for key in keys(e))
+               for k, e in enumerate(open_))
 
 
-def main_text(page: str | None) -> str:
-    """The main text of one page."""
-    if not page:
-        return ""
-    tokens = list(parse(page))
-    names_main = any(kind == "tag" and what in MAIN for kind, what, _ in tokens)
-    known: dict[tuple, float] = {}
+def _links(n: int, of: int) -> str:
+    return "all" if n >= ALL_LINKS * of else "some" if n >= SOME_LINKS * of else "few"
+
+
+def _blocks(open_: tuple) -> tuple:
+    """The open elements up to the innermost block."""
+    return open_[:next((k + 1 for k in range(len(open_) - 1, -1, -1) if open_[k][0] in BLOCKS), 0)]
+
+
+def _unlisted(blocks: tuple, weights: dict[str, float]) -> int | None:
+    """The number of open elements down to the innermost with a class, id or role of which none is listed."""
+    return next((k + 1 for k in range(len(blocks) - 1, -1, -1)
+                 if len(blocks[k]) > 1 and blocks[k][0] not in ("html", "body") and not any(key in weights for key in keys(blocks[k])[1:])), None)
+
+
+def contexts(tokens: list[tuple], weights: dict[str, float]) -> dict[tuple, tuple[str, ...] | None]:
+    """What else tells of the words in each of a page's places; None for boilerplate."""
+    at: Counter = Counter()
+    out: dict[tuple, tuple[str, ...] | None] = {}
+    plain: dict[tuple, tuple[tuple, int | None]] = {}
+    for kind, what, here in tokens:
+        if here not in out:
+            out[here] = None if is_boilerplate(here, weights) else ()
+            if out[here] is not None:
+                blocks = _blocks(here)
+                plain[here] = blocks, _unlisted(blocks, weights)
+        if kind == "text" and here in plain:
+            at[here] += len(what.split())
+    words, links, low, low_links, total, named = Counter(), Counter(), Counter(), Counter(), 0, 0
+    cuts = {plain[h][0][:plain[h][1]] for h in plain if plain[h][1]}
+    sizes = sorted({len(c) for c in cuts})
+    for here, n in at.items():
+        linked = n if any(e[0] == "a" for e in here) else 0
+        words[plain[here][0]] += n
+        links[plain[here][0]] += linked
+        total += n
+        named += n if any(e[0] in MAIN for e in here) else 0
+        for size in sizes:
+            if size <= len(here) and here[:size] in cuts:
+                low[here[:size]] += n
+                low_links[here[:size]] += linked
+    names_main = any(kind == "tag" and what in MAIN and here in plain for kind, what, here in tokens)
+    for here, (blocks, cut) in plain.items():
+        own = [f"links {_links(links[blocks], words[blocks])}"] if words[blocks] else []
+        if cut:
+            box = blocks[:cut]
+            small = low[box] < SMALL_WORDS and low[box] < SMALL_SHARE * total
+            own.append(f"unlisted {'small' if small else 'large'} links {_links(low_links[box], low[box])}")
+        if names_main and named:
+            own.append(f"{'inside' if any(e[0] in MAIN for e in here) else 'outside'} {'few' if named < FEW * total else 'most'}")
+        out[here] = tuple(own)
+    return out
+
+
+def learn_contexts(pages: tuple[str, ...] = LABELLED) -> tuple[float, dict[str, float]]:
+    """Log-odds of a word that isn't boilerplate, and of what else tells of it. A page is read with the weights of
+    the others, so that its own classes are listed or not as those of any page are."""
+    inside, outside, all_in, all_out = Counter(), Counter(), 0, 0
+    for k, page in enumerate(pages):
+        tokens, main = marked(page)
+        known = contexts(tokens, learn(pages[:k] + pages[k + 1:]))
+        for (kind, what, here), is_main in zip(tokens, main, strict=True):
+            if kind == "text" and known[here] is not None:
+                n = len(what.split())
+                all_in, all_out = all_in + n * is_main, all_out + n * (not is_main)
+                for key in known[here]:
+                    (inside if is_main else outside)[key] += n
+    # Of each key, against all words: a word has one key of a kind or none.
+    return math.log(all_in / all_out), {k: math.log((inside[k] + 0.5) / (all_in + 0.5)) - math.log((outside[k] + 0.5) / (all_out + 0.5))
+                                        for k in {*inside, *outside}}
+
+
+PRIOR, CONTEXTS = learn_contexts()
+
+
+def place(open_: tuple, context: tuple[str, ...] | None) -> float:
+    """The score of a word that stands in these open elements."""
+    if context is None:
+        return 0.0
+    own = {key for e in _blocks(open_) if e[0] not in ("html", "body") for key in keys(e)}
+    total = PRIOR + sum(WEIGHTS.get(key, 0.0) for key in own) + sum(CONTEXTS.get(key, 0.0) for key in context)
+    return max(-BOUND, min(BOUND, total))
+
+
+def tag(name: str) -> float:
+    """The score of a tag: the more, the likelier it is in main text."""
+    return TAG * math.exp(-max(-BOUND, min(BOUND, WEIGHTS.get(name, 0.0))))
+
+
+def best_region(tokens: list[tuple], scores: dict[tuple, float], known: dict[tuple, tuple[str, ...] | None]) -> tuple[int, int]:
+    """The tokens from and to which the sum of scores is greatest."""
     best, best_span, total, first = 0.0, (0, 0), 0.0, 0
-    for k, (kind, what, here) in enumerate(tokens):  # the greatest sum of a contiguous region
-        if here not in known:
-            known[here] = place(here, names_main)
-        score = known[here]
-        total += score * len(what.split()) if kind == "text" else TAG if score != SKIPPED else SKIPPED
+    for k, (kind, what, here) in enumerate(tokens):
+        if known[here] is not None:
+            total += scores[here] * len(what.split()) if kind == "text" else tag(what)
         if total <= 0:
             total, first = 0.0, k + 1
         elif total > best:
             best, best_span = total, (first, k + 1)
+    return best_span
+
+
+def main_text(page: str | None) -> str:
+    """The main text of one page."""
+    if not page:
+        return ""
+    tokens = list(parse(page))
+    known = contexts(tokens, WEIGHTS)
+    scores = {here: place(here, context) for here, context in known.items()}
+    if not any(kind == "text" and scores[here] > 0 and not what.isspace() for kind, what, here in tokens):
+        scores = {here: 0.0 if context is None else 1.0 for here, context in known.items()}
+    taken = {here for here, context in known.items() if context is not None and (scores[here] > 0 or "outside most" not in context)}
+    first, end = best_region(tokens, scores, known)
     blocks: list[list[str]] = [[]]
-    for kind, what, here in tokens[slice(*best_span)]:
+    for kind, what, here in tokens[first:end]:
         if kind == "tag":
             if what in BLOCKS:
                 blocks.append([])
             elif what == "br":
                 blocks[-1].append(" ")
-        elif known[here] == WORD:
+        elif here in taken:
             blocks[-1].append(what)
     lines = (" ".join(html.unescape("".join(b)).split()) for b in blocks)
     return "\n".join(x for x in lines if x)

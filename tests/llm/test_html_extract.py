@@ -62,6 +62,33 @@ def test_a_head_ends_where_the_body_begins(page, want):
     assert HX.main_text(page) == want
 
 
+LONG = " ".join(["word"] * 40)
+NAMED_ELSEWHERE = [
+    ('<div class="entry-content">body text</div><section class="comments"><article>first says</article><article>so do I</article></section>', "body text"),
+    ('<div class="post">body</div><article class="card">teaser</article>', "body"), (f"<div>{LONG}</div><article>short one</article>", LONG),
+    (f"<div><p>{LONG}</p></div><aside><main>not this</main></aside>", LONG), ("<p>skip it</p><main>short</main><p>more</p>", "short"),
+    (f"<article>{LONG}</article><p>between</p><article>{LONG}</article>", f"{LONG}\n{LONG}"),
+]
+
+
+@pytest.mark.parametrize("page,want", NAMED_ELSEWHERE)
+def test_main_text_named_in_boilerplate_or_a_teaser(page, want):
+    assert HX.main_text(page) == want
+
+
+def test_unlisted_boilerplate_is_left_out_by_learned_scores():
+    for box in ('<div class="trending"><p>hot now</p></div>', '<div class="top-bar">hot now</div>', '<div class="zq7"><p>hot now</p></div>',
+                '<ul><li><a>hot</a></li><li><a>now</a></li></ul>'):
+        assert HX.main_text(f"{box}<p>{LONG}</p>{box}") == LONG
+    assert HX.main_text(f'<div class="zq7"><p>{LONG}</p><div class="zq8"><pre>x = 1</pre></div><p>{LONG}</p></div>') == f"{LONG}\nx = 1\n{LONG}"
+    assert HX.main_text("<h1>T</h1><p>a b <a>c</a></p><ul><li>x</li><li><a>y</a></li></ul><dl><dt>k<dd>v</dl>") == "T\na b c\nx\ny\nk\nv"
+
+
+def test_no_page_of_plain_words_is_lost():
+    assert HX.main_text("<p><a>only a link</a></p>") == "only a link"
+    assert HX.main_text("".join(f'<div class="q{c}z"><p>{c} words</p></div>' for c in "abcdefgh")).count("words") == 8
+
+
 def test_operator(spark):
     df = spark.createDataFrame([(1, "u", "<p>a</p>", "old", 1), (1, "u", "<p>a</p>", "old", 1), (None, None, None, None, None),
                                 (3, "v", "<p>" + "w " * 300_000 + "</p>", "x", 2)], "page_id long, url string, html string, TEXT string, n_chars int")
