@@ -91,6 +91,17 @@ SPELLINGS = (("licen[cs]e", "license"), ("sub-license", "sublicense"), ("non-com
 PUNCTUATION = r"[^\p{L}\p{N}\n]+"
 #: Lines, after all that, that only say whose copyright it is.
 COPYRIGHT = "^(copyright (c |[0-9]{4})|c [0-9]{4})"
+#: Words that follow "copyright" in a licence's own sentences, at whose line ends these may be wrapped, and "(c)" in its lists.
+SENTENCE = r"""holder\w* notices? and law laws line lines disclaimers? owners? interests? on permission resulting license licenses also like those
+    treaty treaties are is if doctrines? ownership patent statements? or of in to as for by that which shall will may must rights? protection act
+    information management status material works? infringement claims? covering applies apply""".split()
+ITEM = """accompany a an any all by cause convey do each every for from give if in is it its may must no not of on or state such that the their they this to
+    under use when where which with you your prohibiting rename representations distribute affirmer licenses license""".split()
+#: Lines, in canonical form, that only say whose copyright it is, whoever that may be, or reserve rights. Besides those of
+#: :data:`COPYRIGHT` they are short.
+OWNER = (COPYRIGHT + r"|^(?=.{1,120}$)(?:c |portions (?:are )?)?copyright (?!(?:" + "|".join(SENTENCE) + r")\b|the(?: \S+){8,})\S|^(?=.{1,120}$)portions (?:are )?copyright "
+         r"|^c (?!(?:" + "|".join(ITEM) + r")\b)\S+(?: \S+){0,5}$|^c the(?: \S+){0,4} (?:authors?|contributors?|developers?|team|project|foundation)$"
+         r"|^(?:all|some) rights reserved(?: worldwide)?$")
 
 
 def canonical_lines(text: Column) -> Column:
@@ -98,7 +109,7 @@ def canonical_lines(text: Column) -> Column:
     out = F.lower(text)
     for pattern, by in (*SPELLINGS, (PUNCTUATION, " ")):
         out = F.regexp_replace(out, pattern, by)
-    return F.transform(F.split(out, "\n", -1), lambda x: let(F.trim(x), lambda x: F.when(x.rlike(COPYRIGHT), "").otherwise(x)))
+    return F.transform(F.split(out, "\n", -1), lambda x: let(F.trim(x), lambda x: F.when(x.rlike(OWNER), "").otherwise(x)))
 
 
 def known_licenses(spark: SparkSession) -> DataFrame:

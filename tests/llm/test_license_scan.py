@@ -33,3 +33,22 @@ def test_own_table_and_shared_digest(spark):
     rows = sorted((str(r.doc_id), r.spdx_id) for r in LS.scan(docs, known).collect())
     assert rows == [("1", "A"), ("1", "A"), ("1", "B"), ("1", "B"), ("None", "A"), ("None", "B")]
     assert LS.scan(docs.limit(0), known).collect() == []
+
+
+def wholes(spark, texts):
+    return [{i for unit, _, i in v if unit == "text"} for v in found(spark, texts)]
+
+
+def test_owner_lines_of_any_form_are_dropped(spark):
+    mit, zlib = LS.TEXTS["MIT"].split("\n\n", 2)[2], LS.TEXTS["Zlib"].split("\n\n", 1)[1]
+    heads = ["Copyright Jane Doe", "Copyright The Foo Authors", "(c) Jane Doe", "Portions copyright 2001 Foo Inc.", "© The Foo Contributors\nAll rights reserved.",
+             "Copyright: Foo, Bar and others. All Rights Reserved", "(c) Copyright Foo GmbH"]
+    assert wholes(spark, [f"MIT License\n\n{h}\n\n{mit}" for h in heads]) == [{"MIT"}] * len(heads)
+    assert wholes(spark, [f"{h}\n\n{zlib}" for h in heads]) == [{"Zlib"}] * len(heads)
+
+
+def test_sentences_of_licences_are_no_owner_lines(spark):
+    lines = ["copyright notice and this permission notice shall be included", "COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM", "copyright law. That is to say", "(c) You must retain, in the Source form",
+             "copyright license to reproduce", "No rights reserved.", "All rights reserved by others are granted"]
+    df = spark.createDataFrame([(x,) for x in lines], "t string")
+    assert all(r.c[0] for r in df.select(LS.canonical_lines("t").alias("c")).collect())
