@@ -5,8 +5,9 @@ unified, punctuation and white space reduced to single spaces. Its SHA-256 is lo
 known texts, made canonical by the same expressions. Looked up are the whole document, and each of its lines as a text of
 its own (so that a notice line is found in a longer document); nothing is matched in part.
 
-The known texts are a table (spdx_id, text): any DataFrame of that shape; :func:`known_licenses` holds common
-short licences and notices. Its digests are broadcast up to :data:`MAX_BROADCAST` of them (they are counted
+The known texts are a table (spdx_id, text): any DataFrame of that shape; :func:`known_licenses` holds the full texts in the
+folder ``licenses`` and in :data:`TEXTS`, each with and without its usual titles and its appendix, and one-line
+notices. AGPL-3.0 and the CC-BY family have notices only. Its digests are broadcast up to :data:`MAX_BROADCAST` of them (they are counted
 first), and beyond that joined by a shuffle of digests.
 
 Defined results: null and empty texts, and texts that are nothing but copyright lines and punctuation, match
@@ -16,6 +17,9 @@ empty result; columns of the input named like an added one, in any case, are rep
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,6 +85,22 @@ Permission is granted to anyone to use this software for any purpose, including
 
 3. This notice may not be removed or altered from any source distribution.""",
 }
+#: Full texts, one file for each SPDX id; and the title lines that a file begins with.
+FOLDER = Path(__file__).with_name("licenses")
+TITLE_LINES = {"Apache-2.0": 3, "CC0-1.0": 2, "MPL-1.1": 2, "MPL-2.0": 1, "GPL-1.0": 2, "GPL-2.0": 2, "GPL-3.0": 2, "LGPL-2.0": 2,
+               "LGPL-2.1": 2, "LGPL-3.0": 2, "GFDL-1.2": 2, "GFDL-1.3": 2}
+#: Usual titles of texts that circulate under several.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "MIT"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)", "ISC"),
+    "Zlib": ("zlib License", "The zlib License", "zlib/libpng License", "The zlib/libpng License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", "The 2-Clause BSD License", "Simplified BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", "The 3-Clause BSD License", "New BSD License", "BSD License"),
+    "Unlicense": ("The Unlicense", "Unlicense"),
+    "Apache-2.0": ("Apache License, Version 2.0",),
+}
+#: The line after which licences say how to apply them.
+END_OF_TERMS = re.compile(r"^\s*END OF TERMS AND CONDITIONS\s*$", re.M)
 #: Digests broadcast at most: 100 bytes each, 10 MB.
 MAX_BROADCAST = 100_000
 #: Equivalent spellings, (pattern on lower-case text, replacement), applied in this order.
@@ -113,8 +133,28 @@ def canonical_lines(text: Column) -> Column:
 
 
 def known_licenses(spark: SparkSession) -> DataFrame:
-    """(spdx_id, text): full texts, and notices made from every form and name."""
-    return spark.createDataFrame(_known(), "spdx_id string, text string")
+    """(spdx_id, text): full texts in their usual variants, and notices made from every form and name."""
+    return spark.createDataFrame([*_known(), *full_texts()], "spdx_id string, text string")
+
+
+def full_texts() -> list[tuple[str, str]]:
+    """Every full text with and without title, with points or numbers, and whole, up to the end of its terms, and without the line that marks this."""
+    out = []
+    files = {f.stem: f.read_text(encoding="utf-8") for f in sorted(FOLDER.glob("*.txt"))}
+    for spdx_id, text in [*((i, t) for i, t in TEXTS.items() if i not in files), *files.items()]:
+        lines = text.strip().splitlines()
+        if spdx_id in TITLES and lines[0] in TITLES[spdx_id]:
+            lines = lines[1:]
+        filled = [k for k, line in enumerate(lines) if re.search(r"\w", line)]
+        skip = TITLE_LINES.get(spdx_id, 0)
+        bare = "\n".join(lines[filled[skip]:])
+        for body in [x for x in ("\n".join(lines) if skip else None, bare, *(f"{t}\n{bare}" for t in TITLES.get(spdx_id, ()))) if x]:
+            if "\n* " in body:
+                count = iter(range(1, 100))
+                out.append((spdx_id, re.sub(r"^\* ", lambda _: f"{next(count)}. ", body, flags=re.M)))
+            ends = list(END_OF_TERMS.finditer(body))
+            out += [(spdx_id, body), *((spdx_id, body[:at]) for m in ends[-1:] for at in m.span())]
+    return out
 
 
 def _known() -> list[tuple[str, str]]:

@@ -1,5 +1,7 @@
 """Licence digests: variants of a text have its digest, other texts have not."""
 
+import textwrap
+
 from logsieve.llm import license_scan as LS
 
 DOCS = "doc_id long, text string, unit int, Digest string"
@@ -39,6 +41,19 @@ def wholes(spark, texts):
     return [{i for unit, _, i in v if unit == "text"} for v in found(spark, texts)]
 
 
+def test_full_texts_with_and_without_title(spark):
+    files = {f.stem: f.read_text() for f in LS.FOLDER.glob("*.txt")}
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "Unlicense"} <= set(files)
+    assert wholes(spark, list(files.values())) == [{i} for i in files]
+    mit, apache, bsd = LS.TEXTS["MIT"].split("\n", 1)[1], files["Apache-2.0"], files["BSD-3-Clause"]
+    numbered = bsd.replace("* Redistributions of", "1. Redistributions of").replace("* Redistributions in", "2. Redistributions in").replace("* Neither", "3. Neither")
+    terms = apache[:apache.index("APPENDIX")]
+    cases = [("MIT", mit), ("MIT", "The MIT License (MIT)\n" + mit), ("MIT", "MIT License\n" + mit), ("Apache-2.0", terms), ("Apache-2.0", apache.replace("[yyyy] [name of copyright owner]", "Jane Doe")),
+             ("BSD-3-Clause", "BSD 3-Clause License\n\nCopyright (c) 2019, Foo\nAll rights reserved.\n\n" + numbered), ("MPL-2.0", files["MPL-2.0"].split("\n", 2)[2]),
+             ("GPL-3.0", files["GPL-3.0"][:files["GPL-3.0"].index("How to Apply")])]
+    assert wholes(spark, [t for _, t in cases]) == [{i} for i, _ in cases]
+
+
 def test_owner_lines_of_any_form_are_dropped(spark):
     mit, zlib = LS.TEXTS["MIT"].split("\n\n", 2)[2], LS.TEXTS["Zlib"].split("\n\n", 1)[1]
     heads = ["Copyright Jane Doe", "Copyright The Foo Authors", "(c) Jane Doe", "Portions copyright 2001 Foo Inc.", "© The Foo Contributors\nAll rights reserved.",
@@ -52,3 +67,6 @@ def test_sentences_of_licences_are_no_owner_lines(spark):
              "copyright license to reproduce", "No rights reserved.", "All rights reserved by others are granted"]
     df = spark.createDataFrame([(x,) for x in lines], "t string")
     assert all(r.c[0] for r in df.select(LS.canonical_lines("t").alias("c")).collect())
+    files = {f.stem: f.read_text() for f in LS.FOLDER.glob("*.txt") if f.stem in ("BSD-2-Clause", "BSD-3-Clause", "Unlicense")} | {i: LS.TEXTS[i].split("\n\n", 2)[2] for i in ("MIT", "ISC")}
+    wrapped = [(i, "\n\n".join(textwrap.fill(x, w, break_on_hyphens=False, break_long_words=False) for x in t.split("\n\n"))) for i, t in files.items() for w in range(35, 100, 6)]
+    assert wholes(spark, [t for _, t in wrapped]) == [{i} for i, _ in wrapped]
