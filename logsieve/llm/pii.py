@@ -56,6 +56,16 @@ def mod97(m: Column) -> Column:
     return let(F.regexp_replace(m, "[^A-Z0-9]", ""), add)
 
 
+#: Lengths of account numbers by country, so that capitals and digits that follow one are no part of it.
+IBAN_LENGTHS = {15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+                22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST",
+                26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD", 28: "AL AZ BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG",
+                29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}
+_LISTED = "(?:" + "|".join(c for v in IBAN_LENGTHS.values() for c in v.split()) + ")[0-9]{2}"
+#: Other countries: any length, up to a listed one's number.
+IBAN = (r"(?<![A-Za-z0-9])(?=[A-Z]{2}[0-9]{2})(?:"
+        + "|".join(f"(?:{'|'.join(v.split())})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, v in IBAN_LENGTHS.items())
+        + rf"|(?!{_LISTED})[A-Z]{{2}}[0-9]{{2}}(?:[A-Z0-9]| (?!{_LISTED})[A-Z0-9]){{11,30}})(?![A-Za-z0-9])")
 #: kind: (pattern, a string or class the text must have for a match, validator, base kind, score before context, context words)
 KINDS = {
     "email": (r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", None, True, 0.9,
@@ -66,7 +76,7 @@ KINDS = {
              "card credit debit visa mastercard amex carte tarjeta kreditkarte"),
     "phone": (r"\+[0-9][ ().0-9-]+[0-9]", r"\+[0-9]", lambda m: _between(m, 9, 15), True, 0.7,
               "phone tel call mobile fax telefon téléphone teléfono"),
-    "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}", mod97, False, 0.8,
+    "iban": (IBAN, r"[A-Z]{2}[0-9]{2}", mod97, False, 0.8,
              "iban account bank konto compte cuenta"),
     "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "[0-9]-[0-9]", lambda m: ~m.rlike("^(?:000|666|9)|-00-|0000$"), False, 0.3,
             "ssn social security"),

@@ -77,6 +77,14 @@ def test_added_kinds(spark):
     assert got == [["iban"], [], ["ssn"], [], [], ["phone_local"], [], ["iban"]]
 
 
+def test_iban_ends_at_its_length(spark):
+    texts = ["GB82WEST12345698765432 EUR 500", "DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX", "IBAN DE89370400440532013000 12 MAI, DE89 3704 0044 0532 0130 00 GB82 WEST 1234 5698 7654 32",
+             "NO93 8601 1117 947 KID 12345", "XX00 AAAA BBBB CCCC DE89 3704 0044 0532 0130 00 X", "DE89 3704 0044 0532 0130 01 BIC", "DE893704004405320130001"]
+    got = [[s.text.replace(" ", "") for s in v if s.kind == "iban"] for _, v in sorted(check(spark, texts).items())]
+    de, gb = "DE89370400440532013000", "GB82WEST12345698765432"
+    assert got == [[gb], [de], [de, de, gb], ["NO9386011117947"], [de], [], []]
+
+
 @pytest.mark.parametrize("text,want", [("a@b.c and 1.2.3.4", "[EMAIL] and [IP]"), ("", ""), (None, None), ("none", "none"),
                                        ("12.34.56.78 4111 1111 1111 1111!", "[IP] 4111 1111 1111 1111!"), ("é a@b.cz@q.rs x", "é [EMAIL]@q.rs x"),
                                        ("+4111 1111 1111 111 1x", "+4111 1111 1111 111 1x"), ("é\n+4917612345678\n", "é\n[PHONE]\n")])
