@@ -1,4 +1,4 @@
-"""Training-data operators: ten document-level jobs over ``documents``, ``pages`` and ``conversations``.
+"""Training-data operators: thirteen jobs over ``documents``, ``pages``, ``conversations`` and ``embeddings``.
 
 Nothing else in the library imports this subpackage; its registered queries are in
 :mod:`logsieve.llm.queries`, the staged corpus pipeline is ``corpus_pipeline.py`` at the top.

@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 from logsieve.llm import chat_format as CF
 from logsieve.llm import decontaminate as DC
 from logsieve.llm import html_extract as HX
+from logsieve.llm import jaccard_join as JJ
 from logsieve.llm import license_scan as LS
 from logsieve.llm import packing as PK
 from logsieve.llm import pii as PI
 from logsieve.llm import quality_classifier as QC
 from logsieve.llm import quality_rules as QR
+from logsieve.llm import ranked_search as RS
 from logsieve.llm import simhash as SH
 from logsieve.llm import toxicity as TX
+from logsieve.llm import vector_codes as VC
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -95,6 +98,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None)
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
+def op11_ranked_search(spark, d):
+    return RS.search(_t(spark, d, "documents"), _t(spark, d, "benchmark"))
+
+
+def op12_jaccard_join(spark, d):
+    return JJ.jaccard_join(_t(spark, d, "documents"))
+
+
+def op13_vector_codes(spark, d):
+    return VC.compress(_t(spark, d, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 def pipeline(spark, d):
     import corpus_pipeline
 
@@ -103,5 +118,6 @@ def pipeline(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     op1_license_scan, op2_packing, op3_chat_format, op4_html_extraction, op5_quality_classifier, op6_pii, op7_toxicity, op8_quality_rules, op9_simhash_dedup, op10_decontamination,
-    pipeline)}
-ORACLES: dict[str, str] = {"op1_license_scan": LS.duckdb_sql(), "op3_chat_format": CF.duckdb_sql(), "op8_quality_rules": QR.duckdb_sql()}
+    op11_ranked_search, op12_jaccard_join, op13_vector_codes, pipeline)}
+ORACLES: dict[str, str] = {"op1_license_scan": LS.duckdb_sql(), "op3_chat_format": CF.duckdb_sql(), "op8_quality_rules": QR.duckdb_sql(),
+                           "op11_ranked_search": RS.duckdb_sql(), "op12_jaccard_join": JJ.duckdb_sql(), "op13_vector_codes": VC.duckdb_sql()}
