@@ -100,31 +100,30 @@ def test_empty_table_and_no_links(spark):
 
 def test_filters_lose_no_link():
     texts = [t.encode() for _, t in corpus()]
-    sketch = np.zeros(1 << 10, dtype=np.uint16)
-    for t in texts:
-        np.add.at(sketch, JJ.hashed(t, 3) & np.uint64(1023), 1)
-    a, b = JJ.group_links(texts, sketch)
     sets = [plain_set(t.decode()) for t in texts]
     want = {(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i]) >= 9 and sets[i] and sets[j]
             and 100 * len(sets[i] & sets[j]) >= 90 * len(sets[i] | sets[j])}
+    a, b = JJ.group_links(texts)
     assert {(max(x), min(x)) for x in zip(a.tolist(), b.tolist())} == want
     assert len(a) == len(want)  # once a pair
+    side = np.arange(len(texts)) % 2
+    a, b = JJ.group_links(texts, side=side, before=[[i % 3] for i in range(len(texts))])
+    assert {(max(x), min(x)) for x in zip(a.tolist(), b.tolist())} == {(i, j) for i, j in want if side[i] != side[j] and i % 3 != j % 3}
 
 
-def test_arrays_are_added_up_in_steps(spark):
+def test_bitmaps_are_united_in_steps(spark):
     def run(batches):
         import pyarrow as pa
         for b in batches:
             for p in b.column(0).to_pylist():
-                x = np.zeros(64, dtype=np.uint16)
-                x[p % 64] = 60_000
+                x = np.zeros(64, dtype=np.uint8)
+                x[p % 64] = 1 + p % 2
                 rows = list(JJ.blobs(x, p))
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()),
                                                   pa.array([r[2] for r in rows], pa.binary())], names=["blob", "part", "data"])
     df = spark.range(130).mapInArrow(run, JJ.BLOB)
-    out = JJ.added_up(df, "uint16")
-    assert out.tolist() == [65535] * 64  # held to the largest number
-    assert JJ.added_up(df.where("part < 3"), "uint8", union=True).view(np.uint16).tolist() == [60_000] * 3 + [0] * 61
+    assert JJ.united(df).tolist() == [1, 2] * 32
+    assert JJ.united(df.where("part < 3")).tolist() == [1, 2, 1] + [0] * 61
 
 
 def test_query_on_table(spark):
