@@ -20,7 +20,8 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from logsieve import rules as R  # noqa: E402
 from logsieve.checks import duckdb_sql as D  # noqa: E402
-from logsieve.checks.corpus import render_blocks, render_corpus, render_failures, render_log_files  # noqa: E402
+from logsieve.checks.corpus import (  # noqa: E402
+    FILLER, FILLER_TIMES, render_blocks, render_corpus, render_failures, render_log_files, render_task_logs, write_text_files)
 from logsieve.operators import classify as C  # noqa: E402
 from logsieve.operators import context as X  # noqa: E402
 from logsieve.operators import signals as S  # noqa: E402
@@ -243,6 +244,12 @@ def q_analysis_json(spark, d):
     return RP.analysis_json(_analysis(spark, d, None))
 
 
+def q_analysis_pieces(spark, d):
+    """The analysis records with every evidence line, in pieces."""
+    lines = _lines(spark, d)
+    return RP.analysis_pieces(analyze(lines, as_of=AS_OF, evidence_cap=R.EVIDENCE_CAP), S.evidence(C.classify(lines)))
+
+
 def q_triage_json(spark, d):
     a = _analysis(spark, d)
     return RP.triage_json(RP.rule_triage(a), a)
@@ -343,6 +350,29 @@ def q_triage_failures(spark, d):
     return t.filter("alert").select("job_id", "job_name", "category", "severity", "failure_signature")
 
 
+def q_triage_failures_in_folder(spark, d):
+    """The failures of the task logs in a folder: the last CUT_BYTES bytes of each log are read, half of them with CRLF."""
+    from logsieve.plans.failures import triage_failures_in_folder
+    base = _local(_scratch(spark, "airflow_logs"))
+    write_text_files(render_task_logs(_contexts(spark, d), base))
+    failures = render_failures(_t(spark, d, "events"))
+    t = triage_failures_in_folder(spark, failures, base, AS_OF, max_bytes=CUT_BYTES)
+    return t.select("job_id", "job_name", "category", "severity", "failure_signature", "alert")
+
+
+def q_tail_files(spark, d):
+    """The last CUT_BYTES bytes of every document, written as a file of its own."""
+    base = _local(_scratch(spark, "documents"))
+    name = F.concat(F.lit(base + "/"), F.col("doc_id").cast("string"), F.lit(".log"))
+    files = _t(spark, d, "documents").select(name.alias("path"), "text")
+    write_text_files(files)
+    return FS.tail_files(files, CUT_BYTES).select(FS.file_stem(F.col("path")).alias("job_id"), F.col("text").alias("tail"))
+
+
+def _local(path):
+    return FS.plain_name(path)
+
+
 def _scratch(spark, name):
     import uuid
 
@@ -363,6 +393,12 @@ def q_read_logs(spark, d):
         "job_id", "line_no", "idx", "value")
 
 
+def q_read_logs_cut(spark, d):
+    """The same from ranges of 1000 bytes: most jobs are read by many tasks."""
+    return FS.read_logs(spark, _corpus_files(spark, d), glob="*.txt", job="dir", range_bytes=1000, task_bytes=50_000).select(
+        "job_id", "line_no", "idx", "value")
+
+
 def q_analyze_files(spark, d):
     """Every file is a log of its own: the corpus as one file per job, in folders with blanks and
     brackets in their names; one task writes several jobs, so file names repeat across folders."""
@@ -390,16 +426,32 @@ def q_rescan_logs(spark, d):
     return scan.lines.select("job_id", "line_no", "idx", "value")
 
 
+def _growing(spark, d, base):
+    """The corpus in two steps below ``base``: the events before MANIFEST_DATE, then the others as further files of the same jobs."""
+    events = _t(spark, d, "events")
+    before = F.col("ts") < F.expr(f"TIMESTAMP_NTZ'{MANIFEST_DATE}'")
+    for part, some in enumerate((before, ~before)):
+        FS.write_log_files(render_corpus(events.where(some)), f"{base}/part={part}")
+        yield part
+
+
 def q_rescan_alerts(spark, d):
-    """Two scheduled runs over a folder that grows: the first finds the logs of users with even ids, the
-    second only what came after it; its alerts are returned."""
+    """Two scheduled runs over a folder that grows: the first triages all there is, the second the jobs that
+    have grown since, whole. The alerts of both are returned."""
     from logsieve.streaming.rescan import rescan_to_outbox
     base, manifest, out = (_scratch(spark, x) for x in ("grown_logs", "manifest", "rescan_out"))
-    events = _t(spark, d, "events")
-    for part in (0, 1):
-        FS.write_log_files(render_corpus(events.where(F.col("user_id") % 2 == part)), base, mode="append")
-        version = rescan_to_outbox(spark, base, manifest, out, glob="*.txt", job="dir", as_of=AS_OF)
-    return spark.read.parquet(f"{out}/scan={version}").select("job_id", "recipient", "severity", "subject", "body")
+    for _ in _growing(spark, d, base):
+        rescan_to_outbox(spark, base, manifest, out, glob="*.txt", job="dir", as_of=AS_OF)
+    return spark.read.parquet(out).select(F.col("scan").cast("int").alias("scan"), "job_id", "recipient", "severity", "subject", "body")
+
+
+def q_watch_changes(spark, d):
+    """The watch over the same growing folder, stopped and started in between: jobs that have grown are triaged again."""
+    from logsieve.streaming.watch import read_outbox, watch_logs
+    base, out = (_scratch(spark, x) for x in ("watched_logs", "watch_out"))
+    for _ in _growing(spark, d, base):
+        watch_logs(spark, base, out, glob="*.txt", available_now=True, as_of=AS_OF, job="dir").awaitTermination()
+    return read_outbox(spark, out)
 
 
 def q_tail_bytes_lines(spark, d):
@@ -433,7 +485,7 @@ def q_stream_signal_counts(spark, d):
     from logsieve.streaming import watch as WT
     src, out = _corpus_files(spark, d), _scratch(spark, "signal_counts")
     stream = WT.stream_logs(spark, src, glob="*.txt").withColumn("job_id", FS.job_column(FS.file_path(F.col("path")), "dir"))
-    WT.write_signal_counts(WT.running_signal_counts(stream), out, available_now=True).awaitTermination()
+    WT.write_signal_counts(stream.select("job_id", "value"), out, available_now=True).awaitTermination()
     return WT.latest_signal_counts(spark, out)
 
 
@@ -466,6 +518,7 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "parse_response": q_parse_response,
     "triage_defaults": q_triage_defaults,
     "analysis_json": q_analysis_json,
+    "analysis_pieces": q_analysis_pieces,
     "triage_json": q_triage_json,
     "lines_from_text": q_lines_from_text,
     "skip_tiny": q_skip_tiny,
@@ -479,6 +532,10 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "enrich_notes": q_enrich_notes,
     "triage_failures": q_triage_failures,
     "read_logs": q_read_logs,
+    "read_logs_cut": q_read_logs_cut,
+    "triage_failures_in_folder": q_triage_failures_in_folder,
+    "tail_files": q_tail_files,
+    "watch_changes": q_watch_changes,
     "watch_logs": q_watch_logs,
     "analyze_error_subset": q_analyze_error_subset,
     "classify_documents": q_classify_documents,
@@ -505,6 +562,10 @@ def _level_anywhere_sql(c="value"):
     return f"coalesce(nullif(regexp_extract({c}, {D.q(R.LEVEL_ANYWHERE_PATTERN)}, 1), ''), 'INFO')"
 
 
+_SIGNAL_HEAD = """'{"category":"' || p.category || '","pattern_matched":"' || p.label || '","severity":"' || p.severity || '","evidence_lines":['"""
+_SIGNAL_END = """'],"stack_trace":' || coalesce(CAST(to_json(p.stack_trace) AS VARCHAR), 'null') || '}'"""
+
+
 def _oracles() -> dict[str, str]:
     lp = R.LOG_LINE_PATTERN
     W = D.with_corpus
@@ -538,8 +599,8 @@ FROM lines WHERE idx IS NOT NULL"""),
                                     + ",\nlines AS (SELECT job_id, line_no, idx, value FROM text_lines),"
                                     + D.analysis_ctes(USER_RULES)
                                     + "\nSELECT job_id, line_no, label, category, severity FROM hits",
-        "rescan_alerts": W("SELECT o.job_id, recipient, severity, subject, body FROM outbox o "
-                           "WHERE CAST(substr(o.job_id, 5) AS BIGINT) % 2 = 1", _triage_sql_ctes()),
+        "rescan_alerts": _grown_sql("scan, "),
+        "watch_changes": _grown_sql(""),
         "analyze_files": W(_FLAT_ANALYSIS_SELECT),
         "tail_bytes_cut": _cut_sql("SELECT CAST(doc_id AS VARCHAR) AS job_id, text FROM documents", "tail"),
         "tail_bytes_lines_cut": _cut_sql("WITH " + D.text_lines_sql("documents", "doc_id", "text")
@@ -574,6 +635,8 @@ WHERE r <= {R.ERROR_SUBSET_LINES}"""),
         "triage_report": W("SELECT job_id, recipient, severity, subject, body FROM outbox", _triage_sql_ctes()),
         "watch_logs": W("SELECT job_id, recipient, severity, subject, body FROM outbox", _triage_sql_ctes()),
         "read_logs": W("SELECT job_id, line_no, idx, value FROM lines"),
+        "read_logs_cut": W("SELECT job_id, line_no, idx, value FROM lines"),
+        "tail_files": _cut_sql("SELECT CAST(doc_id AS VARCHAR) AS job_id, text FROM documents", "tail"),
         "rescan_logs": W("SELECT job_id, line_no, idx, value FROM lines"),
         "stream_signal_counts": W("SELECT job_id, label, count(*) AS n, any_value(severity) AS severity "
                                   "FROM hits GROUP BY job_id, label"),
@@ -590,6 +653,23 @@ SELECT job_id, to_json({{
   'all_signals': coalesce(signal_dicts, []),
   'raw_error_snippet': raw_error_snippet,
   'timestamp': {D.q(AS_OF)}}})::VARCHAR AS json
+FROM analysis"""),
+        "analysis_pieces": W(f"""
+SELECT job_id, 0 AS section, 0 AS rank, CAST(0 AS BIGINT) AS idx, '{{"job_context":' || CAST(to_json({{
+  'job_name': job_id, 'platform': platform, 'spark_version': spark_version, 'total_log_lines': total_log_lines, 'error_count': error_count,
+  'warn_count': warn_count, 'failed_stages': stage_list, 'executors_lost': executors_lost, 'oom_events': oom_events,
+  'shuffle_failures': shuffle_failures, 'task_retries': task_retries, 'duration_seconds': CAST(NULL AS DOUBLE),
+  'start_time': CAST(NULL AS VARCHAR), 'end_time': CAST(NULL AS VARCHAR)}}) AS VARCHAR) || ',"primary_signal":'
+  || CASE WHEN p.label IS NULL THEN 'null' ELSE {_SIGNAL_HEAD} END AS piece
+FROM analysis LEFT JOIN (SELECT * FROM ranked WHERE signal_rank = 1) p USING (job_id)
+UNION ALL SELECT job_id, section, CAST(signal_rank - 1 AS INTEGER), h.idx,
+  CASE WHEN h.idx > first_idx THEN ',' ELSE '' END || CAST(to_json({D.strip('value')}) AS VARCHAR)
+FROM hits h JOIN ranked USING (job_id, label), (SELECT unnest([1, 3]) AS section) WHERE section = 3 OR signal_rank = 1
+UNION ALL SELECT job_id, 2, 0, 0, CASE WHEN p.label IS NULL THEN '' ELSE {_SIGNAL_END} END || ',"all_signals":['
+FROM analysis LEFT JOIN (SELECT * FROM ranked WHERE signal_rank = 1) p USING (job_id)
+UNION ALL SELECT job_id, 3, CAST(signal_rank - 1 AS INTEGER), 0, CASE WHEN signal_rank > 1 THEN ',' ELSE '' END || {_SIGNAL_HEAD} FROM ranked p
+UNION ALL SELECT job_id, 3, CAST(signal_rank - 1 AS INTEGER), 9223372036854775807, {_SIGNAL_END} FROM ranked p
+UNION ALL SELECT job_id, 4, 0, 0, '],"raw_error_snippet":' || CAST(to_json(raw_error_snippet) AS VARCHAR) || ',"timestamp":"{AS_OF}"}}'
 FROM analysis"""),
         "triage_json": W(f"""
 SELECT t.job_id, to_json({{
@@ -666,6 +746,10 @@ SELECT failure_id, dag_id, task_id, run_id, execution_date, try_number, operator
 SELECT t.job_id, r.dag_id || '.' || r.task_id AS job_name, t.category, t.severity, t.failure_signature
 FROM triage t JOIN resolved r ON r.failure_id = t.job_id
 WHERE t.severity IN ('HIGH', 'CRITICAL')"""),
+        "triage_failures_in_folder": _failure_triage_sql("""
+SELECT t.job_id, r.dag_id || '.' || r.task_id AS job_name, t.category, t.severity, t.failure_signature,
+       t.severity IN ('HIGH', 'CRITICAL') AS alert
+FROM triage t JOIN resolved r ON r.failure_id = t.job_id""", folder=True),
         "enrich_notes": _failure_triage_sql("""
 SELECT t.job_id, t.category, t.confidence, t.severity, t.failure_signature, t.root_cause,
        t.immediate_mitigation, t.permanent_fix, t.verify_steps, t.spark_config_recommendations,
@@ -685,6 +769,16 @@ FROM flocated l LEFT JOIN ffiles f ON f.path = l.log_path""",
     }
 
 
+def _grown_sql(scan: str) -> str:
+    """The alerts over the events before MANIFEST_DATE, and then those of the jobs with later events, over all events."""
+    date = f"TIMESTAMP {D.q(MANIFEST_DATE)}"
+    later = f"(SELECT 'job_' || CAST(user_id AS VARCHAR) FROM events WHERE ts >= {date})"
+    cols = "job_id, recipient, severity, subject, body"
+    first = D.with_corpus(f"SELECT {cols} FROM outbox", _triage_sql_ctes()).replace("FROM events)", f"FROM events WHERE ts < {date})", 1)
+    second = D.with_corpus(f"SELECT {cols} FROM outbox WHERE job_id IN {later}", _triage_sql_ctes())
+    return f"SELECT {scan}{cols} FROM (SELECT 0 AS scan, * FROM ({first}) UNION ALL SELECT 1 AS scan, * FROM ({second}))"
+
+
 def _cut_sql(source: str, name: str) -> str:
     """The last CUT_BYTES bytes of each (job_id, text): the characters that fit, after a replacement
     character for each byte of the one that is cut."""
@@ -938,9 +1032,14 @@ reply_triage AS (
     return D.with_corpus(body, _triage_sql_ctes() + "," + ctes)
 
 
-def _failure_triage_sql(body: str) -> str:
-    """Analysis and rule triage over the resolved failure texts."""
-    resolved = """
+def _failure_triage_sql(body: str, folder: bool = False) -> str:
+    """Analysis and rule triage over the resolved failure texts; ``folder``: of the long logs that are cut to their last bytes."""
+    crlf = "CAST(regexp_extract(path, '([0-9]+)[.]log$', 1) AS BIGINT) % 2 = 0"
+    long = f"repeat({D.q(FILLER.rstrip())} || chr(10), {FILLER_TIMES}) || max(text)"
+    logs = f""",
+ftails AS (SELECT path, CASE WHEN max(text) = '' THEN '' WHEN {crlf} THEN right(replace({long}, chr(10), chr(13) || chr(10)), {CUT_BYTES})
+                             ELSE right({long}, {CUT_BYTES}) END AS text FROM ffiles GROUP BY path)""" if folder else ""
+    resolved = logs + """,
 resolved AS (
   SELECT l.failure_id, l.dag_id, l.task_id, l.run_id, l.execution_date, l.try_number, l.operator,
          l.log_url,
@@ -949,8 +1048,8 @@ resolved AS (
                        || 'DAG: ' || l.dag_id || ' | Task: ' || l.task_id || ' | Run: ' || l.run_id || chr(10)
                        || 'Exception:' || chr(10) || l.exception END,
                   'Airflow task ' || l.dag_id || '.' || l.task_id || ' failed. No log available.') AS log_text
-  FROM flocated l LEFT JOIN ffiles f ON f.path = l.log_path)"""
-    ctes = (_failure_ctes() + "," + resolved + "," + D.text_lines_sql("resolved", "failure_id", "log_text")
+  FROM flocated l LEFT JOIN """ + ("ftails" if folder else "ffiles") + """ f ON f.path = l.log_path)"""
+    ctes = (_failure_ctes() + resolved + "," + D.text_lines_sql("resolved", "failure_id", "log_text")
             + ",\nlines AS (SELECT job_id, line_no, idx, value FROM text_lines)," + D.analysis_ctes()
             + "," + _triage_sql_ctes())
     return "WITH " + ctes + "\n" + body
@@ -969,7 +1068,9 @@ def _training_data() -> tuple[dict, dict]:
     """Queries and statements of the training-data operators, if that subpackage is there."""
     try:
         from logsieve.llm import queries as L
-    except ImportError:
+    except ModuleNotFoundError as e:
+        if e.name != "logsieve.llm":  # the subpackage is there, something in it is not
+            raise
         return {}, {}
     return L.QUERIES, L.ORACLES
 

@@ -102,7 +102,7 @@ def time_chunk(events: DataFrame, rows_per_chunk: int = 1_000_000, ts: str = "ts
 
 
 def render_corpus(events: DataFrame, rows_per_chunk: int = 1_000_000) -> DataFrame:
-    """``lines``: job_id, line_no, idx, value - numbered exactly per job.
+    """``lines``: job_id, line_no, idx, value, n_text - numbered exactly per job.
 
     Numbering is chunked by time slices (``time_chunk``) so a job with a huge
     share of the events is spread over many tasks (see ``number_lines``).
@@ -114,7 +114,7 @@ def render_corpus(events: DataFrame, rows_per_chunk: int = 1_000_000) -> DataFra
         chunk=time_chunk(events, rows_per_chunk),
         order=[F.col("ts"), F.col("event_id"), F.col("pos")],
     )
-    return numbered.select("job_id", "line_no", "idx", "value")
+    return numbered.select("job_id", "line_no", "idx", "value", "n_text")
 
 
 def render_failures(events: DataFrame) -> DataFrame:
@@ -163,3 +163,33 @@ def render_log_files(contexts: DataFrame, base: str) -> DataFrame:
         .otherwise(F.col("_later")).alias("path"),
         F.when(k % 11 == 0, F.lit("")).otherwise(F.coalesce("exception", F.lit(""))).alias("text"),
     )
+
+
+# FIXED VALUES: what fills a rendered task log up, so that its last bytes are cut.
+FILLER, FILLER_TIMES = "filler INFO line of a long log\n", 50
+
+
+def render_task_logs(contexts: DataFrame, base: str) -> DataFrame:
+    """(path, text): ``render_log_files``, one text a path, each that isn't empty longer than a short tail: after many lines
+    that say nothing. Every second has \\r\\n line ends; none ends its last line."""
+    files = render_log_files(contexts, base).groupBy("path").agg(F.max("text").alias("text"))
+    long = F.concat(F.repeat(F.lit(FILLER), FILLER_TIMES), "text")
+    crlf = F.regexp_extract("path", r"(\d+)\.log$", 1).cast("int") % 2 == 0
+    return files.select("path", F.when(F.col("text") == "", "").when(crlf, F.replace(long, F.lit("\n"), F.lit("\r\n"))).otherwise(long).alias("text"))
+
+
+def write_text_files(files: DataFrame) -> None:
+    """The files (path, text), byte for byte, in folders that the executors share."""
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for b in batches:
+            for r in b.to_pylist():
+                system, name = fs.LocalFileSystem(), r["path"]
+                system.create_dir(name.rpartition("/")[0], recursive=True)
+                with system.open_output_stream(name, compression=None) as f:
+                    f.write(r["text"].encode())
+        yield pa.RecordBatch.from_pylist([], schema=pa.schema([("n", pa.int64())]))
+
+    files.mapInArrow(run, "n bigint").count()

@@ -77,20 +77,22 @@ def job_context(lines: DataFrame) -> DataFrame:
     ``total_log_lines`` counts non-blank lines, as the analysis reports it.
     Jobs with no failed stage get an empty list. The lines are read once: a first
     aggregate by (job, stage named on the line) gives one row per stage, a second
-    sums them up per job. Lines with a ``job_name`` column keep it.
+    sums them up per job. Lines with a ``job_name`` column keep it. Lines that carry their job's total (``n_text``) need not
+    all be there: those without any feature count nothing else.
     """
+    total = "n_text" in lines.columns
     per_line = with_context_flags(lines)
     named = "job_name" in lines.columns
     first = lambda c: F.min(F.when(F.col(c).isNotNull(), F.struct("line_no", c))).alias(c)
     flags = ["_err", "_warn", "_lost", "_oom", "_shuffle", "_retry"]
     by_stage = per_line.groupBy("job_id", "_stage").agg(
-        first("_platform"), first("_version"), F.count("idx").alias("_n"), F.min("line_no").alias("_first"),
+        first("_platform"), first("_version"), (F.max("n_text") if total else F.count("idx")).alias("_n"), F.min("line_no").alias("_first"),
         *[F.count_if(c).alias(c) for c in flags], *([F.min("job_name").alias("job_name")] if named else []))
     stages = F.array_sort(F.collect_list(F.when(F.col("_stage").isNotNull(), F.struct("_first", "_stage"))))
     return by_stage.groupBy("job_id").agg(
         F.coalesce(F.min("_platform")["_platform"], F.lit("unknown")).alias("platform"),
         F.coalesce(F.min("_version")["_version"], F.lit("unknown")).alias("spark_version"),
-        F.sum("_n").alias("total_log_lines"),
+        (F.max("_n") if total else F.sum("_n")).alias("total_log_lines"),
         F.sum("_err").alias("error_count"),
         F.sum("_warn").alias("warn_count"),
         F.transform(stages, lambda s: s["_stage"]).alias("failed_stages"),

@@ -30,8 +30,8 @@ def number_lines(
     order: list[Column],
     value_col: str = "value",
 ) -> DataFrame:
-    """Add ``line_no`` (1-based over all rows of a key, blanks included) and
-    ``idx`` (1-based over non-blank rows; NULL on blank rows).
+    """Add ``line_no`` (1-based over all rows of a key, blanks included),
+    ``idx`` (1-based over non-blank rows; NULL on blank rows) and ``n_text`` (the key's non-blank rows).
 
     ``chunk`` must be non-decreasing along ``order`` within each key.
     """
@@ -56,6 +56,7 @@ def number_lines(
         "_chunk",
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
         F.coalesce(F.sum("_nnb").over(before), F.lit(0)).alias("_offnb"),
+        F.sum("_nnb").over(Window.partitionBy(*keys)).alias("n_text"),
     )
     out = local.join(offsets, on=[*keys, "_chunk"], how="inner")
     return (

@@ -292,6 +292,17 @@ def _cleaned(raw: Column) -> Column:
     return py_strip(s)
 
 
+# FIXED VALUES: the numbers that Python's JSON reader takes beyond JSON's, where they stand alone.
+_PYTHON_NUMBERS = r"(?<![\w.+-])(NaN|-?Infinity)(?![\w.])"
+
+
+def _with_python_numbers(c: Column) -> Column:
+    """``c`` with NaN and the infinities as strings, wherever they stand outside of strings."""
+    parts = F.regexp_extract_all(c, F.lit(r'(?s)"(?:[^"\\]++|\\.)*+"|[^"]++|"'), F.lit(0))
+    fixed = F.transform(parts, lambda x: F.when(x.startswith('"'), x).otherwise(F.regexp_replace(x, _PYTHON_NUMBERS, '"$1"')))
+    return F.when(c.rlike(_PYTHON_NUMBERS), F.array_join(fixed, "")).otherwise(c)
+
+
 def _is_object(v: Column) -> Column:
     return F.schema_of_variant(v).startswith("OBJECT")
 
@@ -302,18 +313,20 @@ def parse_response(replies: DataFrame, as_of: str) -> DataFrame:
     Parse the cleaned reply as a JSON object; else the span from the first
     '{' to the last '}'; else a fallback row (confidence Low, signature and
     root cause = the first 200 / 500 characters of the cleaned text). Keys
-    that are missing take their defaults; a JSON null stays NULL.
+    that are missing take their defaults; a JSON null stays NULL. As for Python's reader, the last of
+    equal keys counts (the session's ``spark.sql.variant.allowDuplicateKeys`` is set for it), NaN and the infinities are
+    numbers (here: their names), and maps keep the order of their keys (one that comes twice stands where it came last).
     """
-    cleaned = _cleaned(F.col("raw"))
-    df = replies.select("*", cleaned.alias("_c"))
-    v1 = F.try_parse_json(F.col("_c"))
-    span = F.regexp_extract(F.col("_c"), r"(?s)(\{.*\})", 1)
+    replies.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    df = replies.select("*", _cleaned(F.col("raw")).alias("_c")).withColumn("_j", _with_python_numbers(F.col("_c")))
+    v1 = F.try_parse_json(F.col("_j"))
+    span = F.regexp_extract(F.col("_j"), r"(?s)(\{.*\})", 1)
     v2 = F.try_parse_json(span)
     df = df.select(
         "*",
         F.when(v1.isNotNull(), F.when(_is_object(v1), v1))
         .otherwise(F.when(_is_object(v2), v2)).alias("_v"),
-        F.when(v1.isNotNull(), F.when(_is_object(v1), F.col("_c")))
+        F.when(v1.isNotNull(), F.when(_is_object(v1), F.col("_j")))
         .otherwise(F.when(_is_object(v2), span)).alias("_json"),
     )
     v = F.col("_v")
@@ -445,3 +458,63 @@ def analysis_json(analysis: DataFrame) -> DataFrame:
             _KEEP_NULLS,
         ).alias("json"),
     )
+
+
+# --------------------------------------------------------------------------
+# K1 for analyses of any size: the record in pieces
+# --------------------------------------------------------------------------
+
+_LAST = (1 << 63) - 1
+
+
+def _json(value: Column) -> Column:
+    """A scalar as JSON text."""
+    one = F.to_json(F.array(value))
+    return F.substring(one, F.lit(2), F.length(one) - 2)
+
+
+def _signal_head(s: Column) -> Column:
+    return F.concat(F.lit('{"category":'), _json(s["category"]), F.lit(',"pattern_matched":'), _json(s["label"]), F.lit(',"severity":'),
+                    _json(s["severity"]), F.lit(',"evidence_lines":['))
+
+
+def _signal_end(s: Column) -> Column:
+    return F.concat(F.lit('],"stack_trace":'), _json(s["stack_trace"]), F.lit("}"))
+
+
+def analysis_pieces(analysis: DataFrame, evidence: DataFrame) -> DataFrame:
+    """The records of ``analysis_json`` with every evidence line, in pieces: (job_id, section, rank, idx, piece).
+
+    A job's pieces, in the order of (section, rank, idx), are its record; white space may stand between them. Each evidence line is a
+    piece of its own, taken from the long table ``evidence`` (job_id, label, idx, line), so no row and no task holds a job's
+    evidence, however many hits it has. The evidence arrays of ``analysis`` are not read.
+    """
+    p, none = F.col("primary_signal"), F.lit(0).cast("bigint")
+    order = lambda section, rank=F.lit(0), idx=none: [F.lit(section).alias("section"), rank.cast("int").alias("rank"), idx.alias("idx")]
+    head = analysis.select("job_id", *order(0), F.concat(
+        F.lit('{"job_context":'), F.to_json(_context_dict(F.col("job_context")), _KEEP_NULLS), F.lit(',"primary_signal":'),
+        F.when(p.isNull(), F.lit("null")).otherwise(_signal_head(p))).alias("piece"))
+    between = analysis.select("job_id", *order(2), F.concat(
+        F.when(p.isNull(), F.lit("")).otherwise(_signal_end(p)), F.lit(',"all_signals":[')).alias("piece"))
+    sigs = analysis.select("job_id", F.posexplode("all_signals").alias("r", "s"))
+    heads = sigs.select("job_id", *order(3, F.col("r")), F.concat(F.when(F.col("r") > 0, F.lit(",")).otherwise(F.lit("")), _signal_head(F.col("s"))).alias("piece"))
+    ends = sigs.select("job_id", *order(3, F.col("r"), F.lit(_LAST)), _signal_end(F.col("s")).alias("piece"))
+    ranked = sigs.select("job_id", "s.label", "r", "s.first_idx")
+    lines = evidence.join(ranked, ["job_id", "label"]).withColumn(
+        "piece", F.concat(F.when(F.col("idx") > F.col("first_idx"), F.lit(",")).otherwise(F.lit("")), _json(F.col("line"))))
+    # A primary signal's evidence stands in the record twice.
+    lines = lines.withColumn("section", F.explode(F.when(F.col("r") == 0, F.array(F.lit(1), F.lit(3))).otherwise(F.array(F.lit(3))))).select(
+        "job_id", "section", F.col("r").cast("int").alias("rank"), "idx", "piece")
+    end = analysis.select("job_id", *order(4), F.concat(
+        F.lit('],"raw_error_snippet":'), _json(F.col("raw_error_snippet")), F.lit(',"timestamp":'), _json(F.col("timestamp")), F.lit("}")).alias("piece"))
+    out = head
+    for part in (lines, between, heads, ends, end):
+        out = out.unionByName(part)
+    return out
+
+
+def write_analysis_records(pieces: DataFrame, out: str, mode: str = "overwrite") -> None:
+    """One folder ``job_id=<job>`` a job, whose files, in the order of their names, are its JSON record. Range partitioning on a piece's
+    place lets a large record span tasks and files."""
+    at = ["job_id", "section", "rank", "idx"]
+    (pieces.repartitionByRange(*at).sortWithinPartitions(*at).select("job_id", "piece").write.mode(mode).partitionBy("job_id").text(out))

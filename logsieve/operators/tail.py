@@ -1,6 +1,7 @@
 """Group-limited per-job line selections: log tail and error subset.
 
-Both are ``row_number() <= n`` per job; Spark plans a partial group limit
+Lines that know how many there are (``n_text``) say themselves whether they are among the last. Else both are
+``row_number() <= n`` per job; Spark plans a partial group limit
 before the shuffle, so a huge job ships at most ``n`` rows per task.
 """
 
@@ -16,6 +17,8 @@ from ..functions.lines import is_error_line
 def tail_lines(lines: DataFrame, n: int = R.TAIL_LINES, blank: bool = False) -> DataFrame:
     """The last ``n`` lines of each job as rows (non-blank only unless ``blank``)."""
     pos = "line_no" if blank else "idx"
+    if "n_text" in lines.columns and not blank:
+        return lines.filter(F.col("idx") > F.col("n_text") - n).select("job_id", F.col("idx").alias("pos"), "value")
     src = lines if blank else lines.filter(F.col("idx").isNotNull())
     w = Window.partitionBy("job_id").orderBy(F.col("pos").desc())
     return (

@@ -8,6 +8,8 @@ job by their aggregates.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 from .. import rules as R
 from ..operators.classify import classify, with_level_anywhere
 from ..functions.lines import is_stack_line
-from ..operators.context import job_context, with_context_flags
+from ..operators.context import CONTEXT_FLAGS, job_context, with_context_flags
 from ..operators.signals import signal_rollup, signals
 from ..operators.tail import error_subset, log_tail
 from ..session import ensure_checkpoint_dir
@@ -66,13 +68,15 @@ def analyze_parts(lines: DataFrame, rules=None, materialize: str = "persist", ev
                   snippet_evidence: int = R.SNIPPET_EVIDENCE, snippet_stack_chars: int = R.SNIPPET_STACK_CHARS) -> dict[str, DataFrame]:
     """The per-job pieces of an analysis, for reuse by other plans.
 
-    The annotated lines feed several aggregates, so they are materialised once:
-    ``"persist"`` caches them (memory, then local disk; lost blocks are
-    recomputed from lineage), ``"checkpoint"`` writes them to the shared
+    The lines are read once. Only those that some piece is made of are kept, and of these only the texts that
+    come back (``telling_lines``); lines that don't carry their job's total (``n_text``) are read twice more, for totals and tails.
+    What is kept feeds several aggregates, so it is materialised once:
+    ``"persist"`` caches it (memory, then local disk; lost blocks are
+    recomputed from lineage), ``"checkpoint"`` writes it to the shared
     checkpoint folder of the session (cuts lineage: executor loss costs a
     re-read, not a recomputation), ``"none"`` recomputes per aggregate.
     """
-    classified = annotate(lines, rules)
+    classified = telling_lines(annotate(lines, rules), tail_lines)
     if materialize == "persist":
         classified = classified.persist(StorageLevel.MEMORY_AND_DISK)
     elif materialize == "checkpoint":
@@ -81,15 +85,35 @@ def analyze_parts(lines: DataFrame, rules=None, materialize: str = "persist", ev
     elif materialize != "none":
         raise ValueError(f"unknown materialize {materialize!r}")
     sigs = signals(classified, evidence_cap, stack_window, persist=materialize == "none")
+    context = job_context(classified)
+    if "n_text" not in lines.columns:
+        totals = lines.groupBy("job_id").agg(F.count("idx").alias("_total"))
+        context = context.join(totals, "job_id").withColumn("total_log_lines", F.col("_total")).drop("_total")
     return {
         "classified": classified,
-        "context": job_context(classified),
+        "context": context,
         "signals": sigs,
         "rollup": signal_rollup(sigs, snippet_signals, snippet_evidence, snippet_stack_chars),
-        "tail": log_tail(classified, tail_lines),
+        "tail": log_tail(classified if "n_text" in lines.columns else lines, tail_lines),
     }
 
 
+def telling_lines(annotated: DataFrame, tail_lines: int = R.TAIL_LINES) -> DataFrame:
+    """The lines that an analysis is made of: classified, stack and tail lines with their text, lines with a context feature
+    without it, and each job's first line, which stands for the job. All others go.
+
+    The filter reads a column that is computed beside the features and isn't deterministic: so Spark can't push it
+    below them, where every pattern would run twice."""
+    quoted = F.col("label").isNotNull() | F.col("_stack")
+    if "n_text" in annotated.columns:
+        quoted = quoted | (F.col("idx") > F.col("n_text") - tail_lines)
+    quoted = F.coalesce(quoted, F.lit(False))
+    counted = [F.col(c) if c not in ("_version", "_platform", "_stage") else F.col(c).isNotNull() for c in CONTEXT_FLAGS]
+    keep = functools.reduce(lambda a, b: a | b, counted, quoted | (F.col("line_no") == 1))
+    once = annotated.withColumns({"value": F.when(quoted, F.col("value")), "_keep": keep, "_once": F.monotonically_increasing_id()})
+    return once.filter(F.col("_keep") & (F.col("_once") >= 0)).drop("_keep", "_once")
+
+
 def _with_all_jobs(ctx: DataFrame, jobs: DataFrame) -> DataFrame:
     """Context rows for every listed job; a job without lines (an empty log)
     gets zero counters, 'unknown' version and platform, no failed stages."""

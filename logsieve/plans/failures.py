@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from .. import rules as R
 from ..operators import report as RP
 from ..sources import airflow as AF
-from ..sources.files import file_listing, read_logs, tail_bytes, tail_bytes_lines
+from ..sources.files import file_listing, read_logs, tail_bytes, tail_bytes_lines, tail_files
+from ..sources.ranges import can_open
 from ..sources.text import lines_from_text
 from .analyze import analyze, handing_on
 
@@ -35,14 +36,18 @@ def triage_failures(failures: DataFrame, files: DataFrame, base: str, as_of: str
 
 def triage_failures_in_folder(spark: SparkSession, failures: DataFrame, base: str, as_of: str, notify=("HIGH", "CRITICAL"),
                               rules=None, key: str = "failure_id", glob: str = "*.log", max_bytes: int = R.TAIL_BYTES) -> DataFrame:
-    """``triage_failures`` over the task-log folder ``base`` itself: it is listed, the logs located for a
-    failure are read as lines, and the last ``max_bytes`` bytes of each are taken without holding a whole
-    log as one row."""
+    """``triage_failures`` over the task-log folder ``base`` itself: it is listed, and of the logs located for a
+    failure the last ``max_bytes`` bytes are read, whatever their size. (In a store that only Spark opens, those
+    logs are read whole as lines and their ends are put together again.)"""
     ctx = _contexts(failures, as_of, key)
     located = AF.locate_logs(ctx, file_listing(spark, base, glob), base, key=key)
-    needed = located.where(F.col("log_path").isNotNull()).select(F.col("log_path").alias("job_id")).distinct()
-    tails = tail_bytes_lines(read_logs(spark, base, glob, only=needed), max_bytes)
-    return _triaged(ctx, located, tails.select(F.col("job_id").alias("path"), "text"), as_of, notify, rules, key)
+    needed = located.where(F.col("log_path").isNotNull()).select(F.col("log_path").alias("path")).distinct()
+    if can_open(base):
+        tails = tail_files(needed, max_bytes)
+    else:
+        lines = read_logs(spark, base, glob, only=needed.withColumnRenamed("path", "job_id"))
+        tails = tail_bytes_lines(lines, max_bytes).select(F.col("job_id").alias("path"), "text")
+    return _triaged(ctx, located, tails, as_of, notify, rules, key)
 
 
 def _contexts(failures: DataFrame, as_of: str, key: str) -> DataFrame:

@@ -1,21 +1,26 @@
 """Log files and their metadata.
 
-``read_logs`` numbers lines exactly without a window over a whole file:
-each input split is numbered where it is read (``monotonically_increasing_id``
-taken directly above the scan is position-in-split + a per-split offset),
-and per-file offsets come from the per-split counts (see ``number_lines``).
-Large plain-text logs are therefore read by many tasks; a gzip log is one
-split, so one task, which is a property of the format.
+``read_logs`` moves no line. The listing is cut into byte ranges of fixed size, one row each. Only jobs of more than
+one range need to know how many lines come before a range: theirs are counted, and prefix sums over the range rows
+say where each range's numbers begin. The ranges, dealt to tasks by bytes, are then read and numbered where they are read. Large
+logs are so read by many tasks, small ones once; a compressed log is one range, so one task.
+
+Files of a store that only Spark opens go the older way (``number_files``): Spark's text reader, whose lines are
+shuffled by split to be numbered.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import rules as R
 from ..functions.regex import WS, py_strip
 from ..operators.numbering import number_lines
+from ..session import ensure_checkpoint_dir
+from . import ranges as BR
 
 # Airflow task log layout: {base}/{dag_id}/{task_id}/{execution_date}/{try_number}.log
 _AIRFLOW_LAYOUT = r"/([^/]+)/([^/]+)/([^/]+)/([^/]+)\.log$"
@@ -39,6 +44,11 @@ def plain_path(path: Column) -> Column:
     return F.regexp_replace(path, "^file:/+", "/")
 
 
+def plain_name(path: str) -> str:
+    """``plain_path`` of one path."""
+    return re.sub("^file:/+", "/", path)
+
+
 def job_from_path(df: DataFrame, path_col: str = "path") -> DataFrame:
     """Add job_id (file stem) and the Airflow layout fields (S6): dag_id,
     task_id, execution_date, try_number (NULL when the path does not follow
@@ -78,8 +88,8 @@ def job_name(job_id: Column, path: Column, job: str) -> Column:
     return file_stem(path) if job == "path" else job_id
 
 
-LINE_COLUMNS = ["job_id", "job_name", "path", "line_no", "idx", "value"]
-LINE_SCHEMA = "job_id string, job_name string, path string, line_no bigint, idx bigint, value string"
+LINE_COLUMNS = ["job_id", "job_name", "path", "line_no", "idx", "value", "n_text", "n_chars"]
+LINE_SCHEMA = "job_id string, job_name string, path string, line_no bigint, idx bigint, value string, n_text bigint, n_chars bigint"
 
 
 def number_files(raw: DataFrame, job: str = "path", only: DataFrame | None = None) -> DataFrame:
@@ -89,22 +99,33 @@ def number_files(raw: DataFrame, job: str = "path", only: DataFrame | None = Non
     if only is not None:
         raw = raw.join(only, "job_id", "left_semi")
     numbered = number_lines(raw, keys=["job_id"], chunk=F.struct("path", "blk"), order=[F.col("mid")])
-    return numbered.withColumn("job_name", job_name(F.col("job_id"), F.col("path"), job)).select(*LINE_COLUMNS)
+    return numbered.withColumn("job_name", job_name(F.col("job_id"), F.col("path"), job)).select(*[c for c in LINE_COLUMNS if c != "n_chars"])
 
 
-def read_logs(spark: SparkSession, path: str | list[str], glob: str = "*.log",
-              job: str = "path", modified_after: str | None = None, only: DataFrame | None = None) -> DataFrame:
+#: Bytes of a range, and of the ranges that one task reads.
+RANGE_BYTES = 32 << 20
+TASK_BYTES = 64 << 20
+
+
+def read_logs(spark: SparkSession, path: str | list[str], glob: str = "*.log", job: str = "path", modified_after: str | None = None,
+              only: DataFrame | None = None, reader: str | None = None, **how) -> DataFrame:
     """All log files below ``path`` matching ``glob`` as a lines table (S1):
-    job_id, job_name, path, line_no, idx, value (see ``job_column`` for ``job``). Paths
+    job_id, job_name, path, line_no, idx, value (see ``job_column`` for ``job``), n_text (the job's non-blank lines), n_chars (the length of its stripped text; not from Spark's reader). Paths
     and names are plain, not URI-escaped. ``modified_after`` prunes older files at listing;
     ``only`` (job_id) keeps the jobs named there.
 
     Lines are numbered per job in (file path, position) order; with one file
-    per job that is the file's own line order."""
+    per job that is the file's own line order. ``reader``: "ranges" (``read_files``, which takes ``how``) or "spark"
+    (Spark's text reader); by default ranges wherever they can be opened."""
+    paths = [path] if isinstance(path, str) else list(path)
+    if reader not in (None, "ranges", "spark"):
+        raise ValueError(f"unknown reader {reader!r}")
+    if reader == "ranges" or reader is None and all(map(BR.can_open, paths)):
+        return read_files(file_listing(spark, paths, glob, modified_after), job, only, **how)
     r = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
     if modified_after:
         r = r.option("modifiedAfter", modified_after)
-    return number_files(r.text(path if isinstance(path, str) else list(path)).select(
+    return number_files(r.text(paths).select(
         file_path(F.col("_metadata.file_path")).alias("path"),
         F.col("_metadata.file_block_start").alias("blk"),
         F.monotonically_increasing_id().alias("mid"),
@@ -112,6 +133,59 @@ def read_logs(spark: SparkSession, path: str | list[str], glob: str = "*.log",
     ), job, only)
 
 
+def file_ranges(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """(job_id, job_name, path, start, end) for every byte range of ``files`` (job_id, job_name, path, size)."""
+    cut = F.when(F.col("path").rlike(BR.PACKED_PATTERN), F.col("size")).otherwise(F.lit(range_bytes))
+    return files.where(F.col("size") > 0).select(
+        "job_id", "job_name", "path", "size", cut.alias("_cut"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, cut)).alias("start")
+    ).select("job_id", "job_name", "path", "start", F.least(F.col("start") + F.col("_cut"), "size").alias("end"))
+
+
+def read_files(listing: DataFrame, job: str = "path", only: DataFrame | None = None, range_bytes: int = RANGE_BYTES,
+               task_bytes: int = TASK_BYTES, errors: bool = False) -> DataFrame:
+    """The lines table of the files of ``listing`` (path, size): ``read_logs`` by byte ranges.
+
+    The listing is kept in the shared checkpoint folder, so that lines are counted and read of the same ranges. With ``errors``
+    a file that can't be read is a row without a line, whose column ``error`` says why, and the others are read as ever.
+    """
+    p = F.col("path")
+    files = listing.select("path", F.col("size").cast("long").alias("size")).withColumn("job_id", job_column(p, job))
+    if only is not None:
+        files = files.join(only.select("job_id").distinct(), "job_id", "left_semi")
+    files = files.withColumn("job_name", job_name(F.col("job_id"), p, job))
+    ensure_checkpoint_dir(listing.sparkSession)
+    ranges = file_ranges(files, range_bytes).checkpoint()
+    size, n = ranges.agg(F.sum(F.col("end") - F.col("start")), F.count(F.lit(1))).first()
+    tasks = max(1, -(-(size or 0) // task_bytes), min(n, listing.sparkSession.sparkContext.defaultParallelism))
+    # A range that is its whole job counts itself; packed ones, of unknown length, don't.
+    many = ranges.groupBy("job_id").agg(F.count(F.lit(1)).alias("_n"), F.bool_or(F.col("path").rlike(BR.PACKED_PATTERN)).alias("_p")).where(
+        "_n > 1 OR _p").select("job_id")
+    of_many = ranges.join(many, "job_id", "left_semi")
+    # A job's ranges meet to be summed up: one narrow row for each, no line.
+    counts = of_many.select("path", "start", "end").repartition(tasks, "path", "start").mapInArrow(
+        BR.count_lines(errors), BR.COUNTED)
+    whole = Window.partitionBy("job_id")
+    before = whole.orderBy("path", "start").rowsBetween(Window.unboundedPreceding, -1)
+    starts = of_many.select("job_id", "path", "start").join(counts, ["path", "start"]).withColumn(
+        "_at", F.coalesce(F.sum("size").over(before), F.lit(0))).select(
+        "path", "start", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("lines"), F.coalesce(F.sum("n_text").over(before), F.lit(0)).alias("texts"),
+        F.sum("n_text").over(whole).alias("n_text"),
+        F.coalesce(F.max(F.col("_at") + F.col("last")).over(whole) - F.min(F.col("_at") + F.col("first")).over(whole), F.lit(0)).alias("n_chars"))
+    dealt = ranges.join(starts, ["path", "start"], "left").select(
+        "job_id", "job_name", "path", "start", "end", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("lines", "texts")], "n_text", "n_chars")
+    return dealt.repartition(tasks, "path", "start").mapInArrow(
+        BR.number_lines_of(errors), LINE_SCHEMA + (", error string" if errors else ""))
+
+
+def tail_files(files: DataFrame, max_bytes: int = R.TAIL_BYTES) -> DataFrame:
+    """(path, text): the last ``max_bytes`` bytes of every file of ``files`` (path), decoded as UTF-8 with U+FFFD for what isn't.
+
+    Each file is opened where its row is, and only its last bytes are read; one that can't be read gives ''.
+    """
+    n = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return files.select("path").distinct().repartition(n, "path").mapInArrow(BR.read_tails(max_bytes), "path string, text string")
+
+
 def write_log_files(lines: DataFrame, out: str, mode: str = "overwrite") -> None:
     """Write a lines table as text log files: one folder per job
     (``job_id=<job>``), lines in order. Range partitioning on (job, line)
@@ -123,12 +197,14 @@ def write_log_files(lines: DataFrame, out: str, mode: str = "overwrite") -> None
      .write.mode(mode).partitionBy("job_id").text(out))
 
 
-def file_listing(spark: SparkSession, path: str, glob: str = "*.log") -> DataFrame:
+def file_listing(spark: SparkSession, path: str | list[str], glob: str = "*.log", modified_after: str | None = None) -> DataFrame:
     """(path, mtime, size) of the files below ``path``; file content is not
     read (it is pruned from the binaryFile scan)."""
+    r = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
+    if modified_after:
+        r = r.option("modifiedAfter", modified_after)
     return (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", glob).load(path)
+        r.load(path)
         .select(plain_path(F.col("path")).alias("path"), F.col("modificationTime").alias("mtime"),
                 F.col("length").alias("size"))
     )
@@ -187,9 +263,12 @@ def skip_tiny_lines(lines: DataFrame, min_chars: int = R.MIN_LOG_CHARS) -> DataF
     outer whitespace, is at least ``min_chars`` long (lines joined by one
     newline).
 
-    The sum of the stripped lines' lengths, one map-side aggregate, is a lower bound and decides nearly all
+    Lines that carry that length (``n_chars``) need nothing else. Of the others,
+    the sum of the stripped lines' lengths, one map-side aggregate, is a lower bound and decides nearly all
     jobs; only jobs below it that hold any text at all are measured exactly.
     """
+    if "n_chars" in lines.columns:
+        return lines.filter(F.col("n_chars") >= min_chars)
     least = lines.groupBy("job_id").agg(F.sum(stripped_length(F.col("value"))).alias("_least"))
     sure = least.filter(F.col("_least") >= min_chars).select("job_id")
     open_ = least.filter((F.col("_least") > 0) & (F.col("_least") < min_chars)).select("job_id")

@@ -33,7 +33,7 @@ def _trim_pieces(text: Column, parts: Column) -> Column:
 
 def lines_from_text(df: DataFrame, job_col: str = "job_id", text_col: str = "text",
                     keep: list[str] | None = None) -> DataFrame:
-    """One row per line: ``job_id, line_no, idx, value`` (+ ``keep`` columns).
+    """One row per line: ``job_id, line_no, idx, value, n_text`` (+ ``keep`` columns); ``n_text``: the text's non-blank lines.
 
     Each text is split and numbered inside the task that reads it: line_no is
     the position, idx the position among non-blank lines. No shuffle.
@@ -59,7 +59,9 @@ def lines_from_text(df: DataFrame, job_col: str = "job_id", text_col: str = "tex
         lambda s: F.struct(s["line_no"].alias("line_no"), s["value"].alias("value"),
                            F.lit(None).cast("bigint").alias("idx")),
     )
+    # Counted below the explode: above it, it would be counted for every line.
+    df = df.withColumn("n_text", F.size(F.filter(z, lambda s: s["nb"])).cast("bigint"))
     return (
-        df.select("job_id", *keep, F.explode(F.concat(nonblank, blank)).alias("l"))
-        .select("job_id", *keep, "l.line_no", "l.idx", "l.value")
+        df.select("job_id", *keep, "n_text", F.explode(F.concat(nonblank, blank)).alias("l"))
+        .select("job_id", *keep, "l.line_no", "l.idx", "l.value", "n_text")
     )

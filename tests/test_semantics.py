@@ -340,3 +340,37 @@ def test_large_rule_tables_go_to_classify_join(spark):
         classify(lines, many)
     few = many.where("prio > 1900")
     assert [(r.line_no, r.label) for r in classify_join(lines, few, block=30).collect()] == [(2, "last")]
+
+
+def test_replies_are_read_as_python_reads_json(spark):
+    """Equal keys, NaN, order of keys: what json.loads takes, and what it doesn't."""
+    import json
+
+    from logsieve.operators import report as RP
+    replies = {
+        "last": '{"category": "A", "severity": "LOW", "category": "B"}', "nan": '{"category": "B", "x": NaN, "y": [Infinity, -Infinity], "severity": "LOW"}',
+        "in text": '{"category": "B", "severity": "LOW", "root_cause": "is NaN, not \\"Infinity\\" or \\\\"}', "named": '{"category": NaN, "severity": "LOW"}',
+        "fenced": '```json\n{"severity": "LOW", "severity": "HIGH", "category": "B", "n": -Infinity}\n```', "span": 'so: {"severity": "LOW", "category": "B", "z": NaN} there',
+        "maps": '{"severity": "LOW", "category": "B", "incident_notes": {"z": "1", "a": "2", "z": "3", "k": "4"}}',
+        "order": '{"severity": "LOW", "category": "B", "x": 1, "x": NaN, "incident_notes": {"z": "1", "b": "2", "a": "3"}}',
+        "bad": '{"severity": NaNs}', "bad2": '{"severity": "LOW"} {"category": "B"}', "bad3": "{'severity': 'LOW'}", "bad4": '{"severity": nan}',
+    }
+    df = spark.createDataFrame(list(replies.items()), "job_id string, raw string").selectExpr("*", "'m' AS model", "1 AS tokens")
+    got = {r.job_id: r for r in RP.parse_response(df, "T").collect()}
+    for name, raw in replies.items():
+        c = raw.strip().replace("```json", "").replace("```", "").strip()
+        try:
+            want = json.loads(c)
+        except ValueError:
+            try:
+                want = json.loads(c[c.index("{"):c.rindex("}") + 1])
+            except ValueError:
+                want = None
+        r = got[name]
+        assert r.parsed == (want is not None), name
+        if want:
+            assert r.severity == want.get("severity", "HIGH") and r.category.lower() == str(want.get("category", "Spark")).lower(), name
+            assert r.root_cause == want.get("root_cause", "")
+            assert r.incident_notes == want.get("incident_notes", {}), name
+            if name == "order":
+                assert list(r.incident_notes) == ["z", "b", "a"]
