@@ -303,6 +303,13 @@ def _with_python_numbers(c: Column) -> Column:
     return F.when(c.rlike(_PYTHON_NUMBERS), F.array_join(fixed, "")).otherwise(c)
 
 
+def _last_wins(m: Column) -> Column:
+    """A map each of whose keys keeps its first place and its last value, as JSON's maps may repeat keys."""
+    keys = F.array_distinct(F.map_keys(m))
+    last = F.transform(keys, lambda k: F.element_at(F.filter(F.map_entries(m), lambda e: e["key"] == k), -1)["value"])
+    return F.when(F.size(keys) < F.size(F.map_keys(m)), F.map_from_arrays(keys, last)).otherwise(m)
+
+
 def _is_object(v: Column) -> Column:
     return F.schema_of_variant(v).startswith("OBJECT")
 
@@ -315,7 +322,7 @@ def parse_response(replies: DataFrame, as_of: str) -> DataFrame:
     root cause = the first 200 / 500 characters of the cleaned text). Keys
     that are missing take their defaults; a JSON null stays NULL. As for Python's reader, the last of
     equal keys counts (the session's ``spark.sql.variant.allowDuplicateKeys`` is set for it), NaN and the infinities are
-    numbers (here: their names), and maps keep the order of their keys (one that comes twice stands where it came last).
+    numbers (here: their names), and maps keep the order of their keys.
     """
     replies.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     df = replies.select("*", _cleaned(F.col("raw")).alias("_c")).withColumn("_j", _with_python_numbers(F.col("_c")))
@@ -345,7 +352,7 @@ def parse_response(replies: DataFrame, as_of: str) -> DataFrame:
                                        "incident_notes map<string,string>")
 
     def mp(key):
-        return F.when(present(key), maps[key]).otherwise(F.create_map().cast("map<string,string>"))
+        return F.when(present(key), _last_wins(maps[key])).otherwise(F.create_map().cast("map<string,string>"))
 
     ok = v.isNotNull()
     c = F.col("_c")
