@@ -303,6 +303,19 @@ def _with_python_numbers(c: Column) -> Column:
     return F.when(c.rlike(_PYTHON_NUMBERS), F.array_join(fixed, "")).otherwise(c)
 
 
+def _objects(c: Column) -> Column:
+    """How many objects stand side by side in a text: braces, outside of strings, that close the outermost one."""
+    plain = F.regexp_replace(c, r'(?s)"(?:[^"\\]++|\\.)*+"', "")
+    braces = F.split(F.regexp_replace(plain, "[^{}]", ""), "")
+    zero = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n"))
+
+    def step(a: Column, b: Column) -> Column:
+        depth = a["depth"] + F.when(b == "{", 1).when(b == "}", -1).otherwise(0)
+        return F.struct(depth.alias("depth"), (a["n"] + F.when((b == "}") & (depth == 0), 1).otherwise(0)).alias("n"))
+
+    return F.aggregate(braces, zero, step, lambda a: a["n"])
+
+
 def _last_wins(m: Column) -> Column:
     """A map each of whose keys keeps its first place and its last value, as JSON's maps may repeat keys."""
     keys = F.array_distinct(F.map_keys(m))
@@ -326,6 +339,8 @@ def parse_response(replies: DataFrame, as_of: str) -> DataFrame:
     """
     replies.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     df = replies.select("*", _cleaned(F.col("raw")).alias("_c")).withColumn("_j", _with_python_numbers(F.col("_c")))
+    # Spark's parser stops after one value; of several side by side Python's takes none.
+    df = df.withColumn("_j", F.when(_objects(F.col("_j")) <= 1, F.col("_j")))
     v1 = F.try_parse_json(F.col("_j"))
     span = F.regexp_extract(F.col("_j"), r"(?s)(\{.*\})", 1)
     v2 = F.try_parse_json(span)
