@@ -16,11 +16,12 @@ from logsieve.llm import queries as Q
 SF = "/root/testdata/sf0.01"
 FILES = Q.tokenizer_files()
 REF = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-REF.encode_special_tokens = True
+TEXT_ONLY = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+TEXT_ONLY.encode_special_tokens = True
 
 
-def ref(text):
-    return [*(REF.encode(text, add_special_tokens=False).ids if text else ()), 1]
+def ref(text, tokenizer=REF):
+    return [*(tokenizer.encode(text, add_special_tokens=False).ids if text else ()), 1]
 
 
 def unpack(rows):
@@ -54,19 +55,66 @@ def test_round_trip(spark):
     assert all(n & (n - 1) == 0 for n in sizes.values())
 
 
+def filled(lengths, capacity=2048, **how):
+    """The sequences of documents of these lengths: lists of (document, start, length)."""
+    bins, seqs = PK.Bins(0, capacity, **how), {}
+    ids = [np.arange(n, dtype="<u4") + 1000 * d for d, n in enumerate(lengths)]
+
+    def take(pieces):
+        for d, start, k, data, tokens, seq, off in pieces:
+            assert np.frombuffer(data, "<u4").tolist() == ids[d][start:start + k].tolist() and tokens == len(ids[d])
+            seqs.setdefault(seq, []).append((d, start, k, off))
+
+    for d, x in enumerate(ids):
+        take(bins.put(d, x))
+    settled = len(seqs)
+    take(bins.end())
+    got = {}
+    for pieces in seqs.values():
+        assert [p[3] for p in pieces] == np.cumsum([0, *[p[2] for p in pieces]])[:-1].tolist()
+        for d, start, k, _ in pieces:
+            got.setdefault(d, []).append((start, k))
+    for d, n in enumerate(lengths):
+        at = 0
+        for start, k in sorted(got.get(d, [])):
+            assert start == at and k > 0
+            at += k
+        assert at == n
+    return list(seqs.values()), settled
+
+
+def test_classes_take_a_fixed_count_uncut():
+    seqs, settled = filled([300] * 6 + [248, 2048] + [30] * 69, classes=64)
+    assert settled == 3
+    assert [p[:3] for p in seqs[0]] == [(d, 0, 300) for d in range(6)] + [(6, 0, 248)]  # class 6: six rests, then what it lacks
+    assert [p[:3] for p in seqs[1]] == [(7, 0, 2048)]
+    assert [p[:3] for p in seqs[2]] == [(d, 0, 30) for d in range(8, 76)] + [(76, 0, 8)]  # the last class takes the shorter ones too
+
+
 @pytest.mark.parametrize("smallest", [1, 16, 64])
-def test_smallest_slot_cuts_less(smallest):
-    for n in (1, 15, 16, 17, 1000, 2047, 2048, 2049, 5000):
-        pieces = list(PK.cuts(n, 2048, smallest))
-        assert sum(p for p, _ in pieces) == n and all(0 < p <= s and s >= smallest for p, s in pieces)
-
-
-def test_bins_take_a_fixed_count():
-    bins = PK.Bins(0, 8)
-    out = [x for i in range(11) for x in bins.put(2, (i, 0, 2))]
-    assert [x[3] for x in out] == [0, 0, 0, 0, 1, 1, 1, 1]
-    rest = list(bins.end())
-    assert [(x[0], x[3], x[4]) for x in rest] == [(8, 2, 0), (9, 2, 2), (10, 3, 0)]
+def test_little_padding_and_few_cuts(smallest):
+    rng = np.random.default_rng(smallest)
+    lengths = np.concatenate([rng.integers(1, 3000, 3000), rng.integers(1, 40, 1000), [1] * 500])
+    rng.shuffle(lengths)
+    seqs, _ = filled(lengths.tolist(), smallest=smallest)
+    sizes = [sum(p[2] for p in s) for s in seqs]
+    assert max(sizes) <= 2048
+    padding = sum(2048 - n for n in sizes if n & (n - 1))
+    assert padding == 0 if smallest == 1 else padding < 0.01 * sum(sizes)
+    pieces = sum(map(len, seqs))
+    assert pieces < len(lengths) + 2.2 * len(seqs)
+    assert not any(len(s) > 32 and all(p[2] == 1 for p in s) for s in seqs)
+    assert sum(n < 2048 and n & (n - 1) == 0 for n in sizes) <= 11
+
+
+def test_control_strings_are_a_choice(spark):
+    text = "a <|endoftext|> b"
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    for how, tokenizer in ((False, REF), (True, TEXT_ONLY)):
+        rows = PK.pack(df, control_as_text=how, **FILES).collect()
+        ids = [x for r in sorted(rows, key=lambda r: r.start) for x in np.frombuffer(bytes(r.ids), "<u4").tolist()]
+        assert ids == ref(text, tokenizer)
+    assert len(ref(text)) < len(ref(text, TEXT_ONLY))
 
 
 def test_repeated_and_null_ids(spark):
