@@ -12,15 +12,19 @@ A window is ``window`` consecutive words of an item; an item with fewer words, b
 one window. A document word inside any occurrence of a window is hit. Words: A-Z lower-cased,
 then runs of characters other than ASCII ones that are neither digits nor letters.
 
-The benchmark is broadcast in blocks of at most ``block_words`` words (32 MB or so in a worker);
-a larger benchmark passes over the documents block by block within one stage, each adding its
-hits, so no block is skipped and results don't depend on the block size. An item longer than a block is
+Windows that several items share are one window, so a place of the text has at most one match of each length up to
+``window``, however often the benchmark repeats itself.
+
+The benchmark is broadcast in blocks of at most ``block_words`` words (32 MB or so in a worker). If one block holds it, the documents pass
+once and nothing is stored. Else they are written with a key to the shared folder; each block passes over their texts, and gives rows for
+the documents that it hits only; its broadcast is removed before the next one. No block is skipped and results don't depend on
+the block size. An item longer than a block is
 cut into overlapping parts, so that each of its windows lies whole in one part.
 
 Defined results: null or empty text has no words, no hits and isn't contaminated; null or empty
 items, and items without words, have no window; items of equal id count once; a null item id is
 written as the empty string. Repeated documents are judged each on its own. Other columns pass
-through; the added columns are ``n_words``, ``n_hit``, ``items``, ``matches``.
+through; the added columns are ``n_words``, ``n_hit``, ``items`` and, if asked for, ``matches``.
 """
 
 from __future__ import annotations
@@ -34,6 +38,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from logsieve.llm.common import cut, free_names
+
 WINDOW = 13
 HEAD = 3
 ADDED = ("n_words", "n_hit", "items", "matches")
@@ -46,8 +52,9 @@ FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or c >= 97 and c <=
 MATCH = T.StructType([T.StructField("item_id", T.StringType()), T.StructField("doc_word", T.LongType()),
                       T.StructField("item_word", T.LongType()), T.StructField("n_words", T.LongType())])
 SPAN = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
-STATE = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("hits", T.ArrayType(SPAN)),
-                      T.StructField("matches", T.ArrayType(MATCH))])
+FOUND = [T.StructField("hits", T.ArrayType(SPAN)), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("matches", T.ArrayType(MATCH))]
+#: Texts whose results go to Spark at a time.
+BATCH = 256
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -80,6 +87,11 @@ class Index:
             at, took = at + n + window, took + n
         cat = lambda xs: np.concatenate(xs) if xs else np.zeros(0, dtype=np.int64)
         self.starts, self.item_of, self.length = cat(starts), cat(self.item_of), cat(self.length)
+        # Equal windows are one: the first of them. Its items are holders[holds[w]:holds[w + 1]].
+        _, first, same = np.unique(self.rows(self.text, self.starts), return_index=True, return_inverse=True)
+        pairs = np.unique(np.stack([same.reshape(-1), self.item_of], axis=1), axis=0) if len(first) else np.zeros((0, 2), dtype=np.int64)
+        self.holders, self.holds = pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(first) + 1))
+        self.starts, self.item_of, self.length = self.starts[first], self.item_of[first], self.length[first]
         self.heads = {int(k): np.unique(self.hashed(self.text, self.starts[np.minimum(self.length, HEAD) == k], int(k)))
                       for k in np.unique(np.minimum(self.length, HEAD))}
 
@@ -142,18 +154,15 @@ class Index:
         return n
 
 
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The union of (start, end) spans, in order."""
-    out: list[tuple[int, int]] = []
-    for start, end in sorted(spans):
-        if out and start <= out[-1][1]:
-            out[-1] = (out[-1][0], max(end, out[-1][1]))
-        else:
-            out.append((start, end))
-    return out
+def spans_of(hit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the runs of True."""
+    edge = np.diff(hit.astype(np.int8), prepend=0, append=0)
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def scan_shard(index: Index, texts: list[bytes | None], olds: list) -> list[dict]:
+def scan_shard(index: Index, texts: list[bytes | None], matches: bool) -> list[tuple[int, list, list, list]]:
+    """(words, hit spans, items, longest matches) of every text. From each place the longest match is given, at its first place in the
+    benchmark; a match that goes on from the place before is part of that one."""
     per_doc = [words(t) for t in texts]
     counts = np.array([len(w) for w in per_doc], dtype=np.int64)
     gap = index.window
@@ -163,31 +172,46 @@ def scan_shard(index: Index, texts: list[bytes | None], olds: list) -> list[dict
     for b, n, ws in zip(begin, counts, per_doc, strict=True):
         text[b:b + n] = np.fromiter(map(get, ws, repeat(0)), dtype=np.int32, count=n)
     at, which = index.search(text)
-    longest = index.extend(text, at, which)
-    doc = np.searchsorted(begin, at, side="right") - 1
-    order = np.lexsort((which, at, doc))
-    at, which, longest, doc = at[order], which[order], longest[order], doc[order]
-    local = at - begin[doc]
-    item = index.item_of[which]
-    item_word = index.starts[which] - index.begin[item] + index.first[item]
-    # A match that continues the one before it (same item, one word on in both) is part of it.
-    key = at * np.int64(len(index.starts) + 1) + which
-    later = np.isin(key - len(index.starts) - 2, key) & (item == index.item_of[np.maximum(which - 1, 0)])
-    bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
+    edge = np.zeros(len(text) + 1, dtype=np.int64)
+    np.add.at(edge, at, 1)
+    np.add.at(edge, at + index.length[which], -1)
+    low, high = spans_of(np.cumsum(edge[:-1]) > 0)
+    span_doc = np.searchsorted(begin, low, side="right") - 1  # a span lies whole in its text: gaps part them
+    spans = np.searchsorted(span_doc, np.arange(len(texts) + 1))
+    # Windows of each text, once; then their items.
+    pairs = np.unique((np.searchsorted(begin, at, side="right") - 1) * np.int64(len(index.starts) + 1) + which)
+    doc, window = pairs // (len(index.starts) + 1), pairs % (len(index.starts) + 1)
+    windows = np.searchsorted(doc, np.arange(len(texts) + 1))
+    longest = _longest(index, text, at, which) if matches else None
     out = []
-    for k, old in enumerate(olds):
-        here = range(bounds[k], bounds[k + 1])
-        hits = [(int(local[i]), int(local[i] + index.length[which[i]])) for i in here]
-        found = [{"item_id": index.ids[item[i]], "doc_word": int(local[i]), "item_word": int(item_word[i]),
-                  "n_words": int(longest[i])} for i in here if not later[i]]
-        if old is not None:
-            hits += [(h["start"], h["end"]) for h in old["hits"]]
-            found = old["matches"] + found
-        out.append({"n_words": int(counts[k]), "hits": [{"start": a, "end": b} for a, b in merged(hits)],
-                    "matches": found})
+    for k in range(len(texts)):
+        hits = [{"start": int(a - begin[k]), "end": int(b - begin[k])} for a, b in zip(low[spans[k]:spans[k + 1]], high[spans[k]:spans[k + 1]], strict=True)]
+        mine = window[windows[k]:windows[k + 1]]
+        items = np.unique(np.concatenate([index.holders[index.holds[w]:index.holds[w + 1]] for w in mine])) if len(mine) else ()
+        found = []
+        if longest is not None:
+            place, n, item, item_word = longest
+            for i in range(*np.searchsorted(place, (begin[k], begin[k] + counts[k]))):
+                found.append({"item_id": index.ids[item[i]], "doc_word": int(place[i] - begin[k]), "item_word": int(item_word[i]), "n_words": int(n[i])})
+        out.append((int(counts[k]), hits, sorted({index.ids[i] for i in items}), found))
     return out
 
 
+def _longest(index: Index, text: np.ndarray, at: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(place, words, item, item word): the longest match from every place, without those that lie in the one from the place before."""
+    n = index.extend(text, at, which)
+    order = np.lexsort((index.starts[which], -n, at))
+    at, which, n = at[order], which[order], n[order]
+    first = np.flatnonzero(np.diff(at, prepend=-1))
+    at, which, n = at[first], which[first], n[first]
+    before = np.zeros(len(text) + 1, dtype=np.int64)
+    before[at + 1] = n
+    own = n >= before[at]
+    at, which, n = at[own], which[own], n[own]
+    item = index.item_of[which]
+    return at, n, item, index.starts[which] - index.begin[item] + index.first[item]
+
+
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, block_words: int) -> Iterator[list]:
     """The items in blocks of about ``block_words`` words, one block on the driver at a time."""
     rows = benchmark.where(F.col(text_col).isNotNull()).select(
@@ -209,46 +233,74 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, block
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id",
                   item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS,
-                  keep: list[str] | None = None) -> DataFrame:
+                  keep: list[str] | None = None, matches: bool = True) -> DataFrame:
     """``docs`` (its columns ``keep``; all by default) with ``n_words``, ``n_hit``, ``items`` (item ids
-    as strings, sorted) and ``matches`` (item_id, doc_word, item_word, n_words: longest verbatim
+    as strings, sorted) and, with ``matches``, ``matches`` (item_id, doc_word, item_word, n_words: longest verbatim
     matches and their places). A column of ``docs`` with one of these four names, in any case, is replaced."""
     sc = docs.sparkSession.sparkContext
     keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ADDED]
-    out = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text_col])])
-    state = "_state"
-    while state.lower() in {c.lower() for c in out.columns}:
-        state += "_"
-    out = out.withColumn(state, F.lit(None).cast(STATE))
+    src = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*keep, text_col])])
+    words_, found, key = free_names(["_words", "_found", "_key"], src.columns)
+    state = T.StructType([T.StructField(words_, T.LongType()), T.StructField(found, T.StructType(FOUND))])
     blocks = _blocks(benchmark, item_id, item_text, window, block_words)
     block, more = next(blocks, []), next(blocks, None)
-    while True:
-        schema = out.schema if more is not None else T.StructType([f for f in out.schema if f.name in {*keep, state}])
-        out = out.mapInArrow(_scanner(sc.broadcast((block, window)), text_col, state, schema.names), schema)
-        if more is None:
-            break
-        block, more = more, next(blocks, None)
-    s = F.col(state)
-    n_hit = F.aggregate(s["hits"], F.lit(0).cast("long"), lambda n, h: n + h["end"] - h["start"])
-    return out.select(*[F.col(f"`{c}`") for c in keep], s["n_words"].alias("n_words"), n_hit.alias("n_hit"),
-                      F.array_sort(F.array_distinct(s["matches"]["item_id"])).alias("items"),
-                      s["matches"].alias("matches"))
-
-
-def _scanner(shared, text_col: str, state: str, names: list[str]):
+    if more is None:
+        schema = T.StructType([f for f in src.schema if f.name in keep] + state.fields)
+        out = src.mapInArrow(_scanner(sc.broadcast((block, window)), text_col, schema.names, words_, found, matches, False), schema)
+    else:
+        counted = T.StructType(src.schema.fields + state.fields[:1])
+        base = cut(src.mapInArrow(_scanner(sc.broadcast(([], window)), text_col, counted.names, words_, None, False, False), counted).withColumn(
+            key, F.monotonically_increasing_id()))
+        narrow = base.select(key, F.col(f"`{text_col}`"))
+        parts = None
+        while block:
+            shared = sc.broadcast((block, window))
+            schema = T.StructType([narrow.schema[key], *state.fields[1:]])
+            part = cut(narrow.mapInArrow(_scanner(shared, text_col, schema.names, words_, found, matches, True), schema))
+            shared.destroy()
+            parts = part if parts is None else parts.unionByName(part)
+            block, more = more, next(blocks, None)
+        s = F.col(found)
+        whole = parts.groupBy(key).agg(F.struct(
+            F.array_sort(F.flatten(F.collect_list(s["hits"]))).alias("hits"), F.flatten(F.collect_list(s["items"])).alias("items"),
+            F.flatten(F.collect_list(s["matches"])).alias("matches")).alias(found))
+        out = base.join(whole, key, "left").drop(key)
+    s = F.col(found)
+    # Spans in order: each adds what reaches beyond the ones before it.
+    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("upto"))
+    n_hit = F.aggregate(F.coalesce(s["hits"], F.array().cast(FOUND[0].dataType)), zero, lambda a, h: F.struct(
+        (a["n"] + F.greatest(h["end"] - F.greatest(h["start"], a["upto"]), F.lit(0))).alias("n"), F.greatest(a["upto"], h["end"]).alias("upto")))
+    items = F.array_sort(F.array_distinct(F.coalesce(s["items"], F.array().cast("array<string>"))))
+    return out.select(*[F.col(f"`{c}`") for c in keep], F.col(words_).alias("n_words"), n_hit["n"].alias("n_hit"), items.alias("items"),
+                      *([F.coalesce(s["matches"], F.array().cast(FOUND[2].dataType)).alias("matches")] if matches else []))
+
+
+def _scanner(shared, text_col: str, names: list[str], words_: str, found: str | None, matches: bool, hit_only: bool):
+    """Batches with the columns ``names``: those of the documents, their number of words, and what was found in them; ``hit_only``: only of those in
+    which something was."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(*shared.value)
+        index, kind = Index(*shared.value), None
         for b in batches:
-            texts = b.column(text_col).cast(pa.large_binary()).to_pylist()
-            olds, states, lo = b.column(state).to_pylist(), [], 0
+            kind = kind or found_type()
+            texts, lo = b.column(text_col).cast(pa.large_binary()).to_pylist(), 0
             while lo < len(texts):
                 hi, size = lo, 0
-                while hi < len(texts) and (hi == lo or size < SHARD_BYTES):
+                while hi < len(texts) and hi < lo + BATCH and (hi == lo or size < SHARD_BYTES):
                     size += len(texts[hi] or b"")
                     hi += 1
-                states += scan_shard(index, texts[lo:hi], olds[lo:hi])
+                got = scan_shard(index, texts[lo:hi], matches)
+                part = b.slice(lo, hi - lo)
+                if hit_only:
+                    some = [i for i, g in enumerate(got) if g[1]]
+                    got, part = [got[i] for i in some], part.take(pa.array(some, pa.int64()))
+                added = {words_: pa.array([g[0] for g in got], pa.int64()),
+                         found: pa.array([{"hits": g[1], "items": g[2], "matches": g[3]} for g in got], kind)}
+                yield pa.RecordBatch.from_arrays([added[c] if c in added else part.column(c) for c in names], names=names)
                 lo = hi
-            kind = b.schema.field(state).type
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(states, type=kind) if c == state else b.column(c) for c in names], names=names)
     return run
+
+
+def found_type() -> pa.DataType:
+    span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+    match = pa.struct([("item_id", pa.string()), ("doc_word", pa.int64()), ("item_word", pa.int64()), ("n_words", pa.int64())])
+    return pa.struct([("hits", pa.list_(span)), ("items", pa.list_(pa.string())), ("matches", pa.list_(match))])

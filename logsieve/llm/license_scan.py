@@ -190,19 +190,40 @@ def scan(docs: DataFrame, known: DataFrame, text_col: str = "text", keep: list[s
     return units.join(table, digest).select(*[F.col(f"`{c}`") for c in keep], *added)
 
 
+def probes() -> list[tuple[int, str]]:
+    """(-1, -2, ...; a whole licence text as it circulates, with an owner): one of each licence whose full text is known."""
+    last = {i: t for i, t in full_texts()}
+    return [(-k, f"Copyright (c) 2021 Jane Doe and others\n\n{last[i]}\n") for k, i in enumerate(sorted(last), 1)]
+
+
 def duckdb_sql() -> str:
+    """The scan of ``documents`` and the :func:`probes`, by the same table and the same rules; :data:`OWNER` is said without looking ahead."""
+    q = lambda t: "'" + t.replace("'", "''") + "'"
+    start = "^(?:c |portions (?:are )?)?copyright "
+
+    def owner(x: str) -> str:
+        short = f"length({x}) BETWEEN 1 AND 120"
+        named = (f"regexp_matches({x}, '{start}\\S') AND NOT regexp_matches({x}, '{start}(?:{'|'.join(SENTENCE)})\\b') "
+                 f"AND NOT regexp_matches({x}, '{start}the(?: \\S+){{8,}}')")
+        item = f"regexp_matches({x}, '^c \\S+(?: \\S+){{0,5}}$') AND NOT regexp_matches({x}, '^c (?:{'|'.join(ITEM)})\\b')"
+        plain = "|".join((COPYRIGHT, r"^c the(?: \S+){0,4} (?:authors?|contributors?|developers?|team|project|foundation)$",
+                          r"^(?:all|some) rights reserved(?: worldwide)?$"))
+        return f"(regexp_matches({x}, '{plain}') OR ({short} AND ({named} OR regexp_matches({x}, '^portions (?:are )?copyright '))) OR ({item}))"
+
     def lines(c: str) -> str:
         out = f"lower({c})"
         for pattern, by in (*SPELLINGS, (PUNCTUATION, " ")):
             by = by.replace("$", chr(92))
             out = f"regexp_replace({out}, '{pattern}', '{by}', 'g')"
-        return f"[CASE WHEN regexp_matches(trim(x), '{COPYRIGHT}') THEN '' ELSE trim(x) END for x in string_split({out}, chr(10))]"
+        return f"[CASE WHEN {owner('trim(x)')} THEN '' ELSE trim(x) END for x in string_split({out}, chr(10))]"
 
-    known = ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in _known())
+    known = ", ".join(f"({q(i)}, {q(t)})" for i, t in dict.fromkeys([*_known(), *full_texts()]))
+    planted = ", ".join(f"({i}, {q(t)})" for i, t in probes())
     return f"""
 WITH k AS (SELECT spdx_id, {lines("text")} AS l FROM (VALUES {known}) AS v(spdx_id, text)),
 known AS (SELECT DISTINCT spdx_id, sha256(array_to_string([x for x in l if x <> ''], ' ')) AS digest FROM k),
-d AS (SELECT doc_id, {lines("coalesce(text, '')")} AS l FROM documents),
+texts AS (SELECT doc_id, text FROM documents UNION ALL SELECT * FROM (VALUES {planted}) AS p(doc_id, text)),
+d AS (SELECT doc_id, {lines("coalesce(text, '')")} AS l FROM texts),
 u AS (SELECT doc_id, 'text' AS unit, 0 AS line_no, array_to_string([x for x in l if x <> ''], ' ') AS c FROM d
       UNION ALL SELECT doc_id, 'line', i, l[i] FROM (SELECT doc_id, l, unnest(generate_series(1, len(l))) AS i FROM d
                                                      WHERE len([x for x in l if x <> '']) > 1))

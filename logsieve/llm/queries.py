@@ -32,7 +32,9 @@ def tokenizer_files() -> dict[str, str]:
 
 
 def op1_license_scan(spark, d):
-    return LS.scan(_t(spark, d, "documents").select("doc_id", "text"), LS.known_licenses(spark))
+    """All documents, and one whole text of each licence known in full, under negative ids."""
+    probes = spark.createDataFrame(LS.probes(), "doc_id long, text string")
+    return LS.scan(_t(spark, d, "documents").select("doc_id", "text").unionByName(probes), LS.known_licenses(spark))
 
 
 def op2_packing(spark, d):
@@ -90,9 +92,9 @@ def op10_decontamination(spark, d):
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None) -> DataFrame:
-    found = DC.decontaminate(docs, benchmark, keep=keep)
+    found = DC.decontaminate(docs, benchmark, keep=keep, matches=False)
     return found.select(
-        *[F.col(c) for c in found.columns if c not in ("items", "matches")],
+        *[F.col(c) for c in found.columns if c != "items"],
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))

@@ -91,6 +91,38 @@ def test_empty_tables(spark):
     assert (r.n_words, r.n_hit, r["items"], r.matches) == (3, 0, [], [])
 
 
+def test_repeated_windows_and_items_cost_no_pairs(spark):
+    """20,000 equal words against 200 equal short items, and a long text of one window that 200 items share."""
+    import time
+    import tracemalloc
+
+    shared = " ".join(f"s{k}" for k in range(15))
+    items = [(str(i), w, 0) for i, w in enumerate([[b"yes"]] * 200 + [shared.encode().split()] * 200)]
+    index = DC.Index(items, 13)
+    texts = [b"yes " * 20_000, ((shared + " x ") * 1500).encode(), b"no"]
+    DC.scan_shard(index, texts[2:], False)
+    tracemalloc.start()
+    began = time.time()
+    got = DC.scan_shard(index, texts, False)
+    took, peak = time.time() - began, tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [(n, sum(h["end"] - h["start"] for h in hits), len(ids)) for n, hits, ids, _ in got] == [(20_000, 20_000, 200), (24_000, 22_500, 200), (1, 0, 0)]
+    assert took < 5 and peak < 100 << 20
+    found = DC.scan_shard(index, texts, True)
+    assert len(found[0][3]) == 20_000 and [tuple(m.values()) for m in found[1][3][:2]] == [("200", 0, 0, 15), ("200", 16, 0, 15)]
+
+
+def test_shared_and_short_items_in_blocks(spark):
+    rng = random.Random(8)
+    vocab = ["a", "b", "c"]
+    items = [(i % 7, made_up(rng, vocab, n)) for i, n in enumerate([1, 1, 2, 2, 3, 3, 5, 8, 13, 13, 16, 20])]
+    items += [(50 + i, items[-1][1]) for i in range(5)] + [(60, None), (None, "a b")]
+    texts = [made_up(rng, vocab, n) for n in (0, 1, 5, 50, 400)] + [items[-6][1], None]
+    for block in (1_000_000, 30, 1):
+        check(spark, texts, items, block_words=block)
+    assert "matches" not in rows_of(spark, [(1, "a b", "x", 1, "s")], [(1, "a")], matches=False)[2][0].asDict()
+
+
 def test_very_long_text(spark):
     item = " ".join(f"q{k}" for k in range(20))
     check(spark, ["filler " * 300_000 + item, "x" * 500_000], [(9, item)])
