@@ -1,16 +1,20 @@
 """Toxicity by cumulative-link ordinal regression on sparse text features.
 
-Features of a text are its lower-cased words and their prefixes of four and five letters, each with
-its count. The model is P(grade <= k) = logistic(threshold_k - w . x): one weight vector for
+Features of a text are its lower-cased words and their prefixes of four to six letters, each with
+its count, and whether a prefix occurs twice, four or eight times. The model is P(grade <= k) = logistic(threshold_k - w . x): one weight vector for
 all grades, and ordered thresholds (each is the one before plus an exponential). The output is the expected severity,
 the sum over k of P(grade > k), with the probability of any toxicity and the likeliest grade.
 
+A feature is taken up if toxic rows hold it at ``FACTOR`` times the rate of the others, and so much more often that by chance
+(Fisher's exact test) fewer than ``BY_CHANCE`` of all features tested would. So the bound falls with the rows at hand: five of eleven toxic
+rows are enough in a small table, nine of thousands in a large one.
+
 The labels say only toxic or not. Grade 0 is not toxic; toxic rows get grades 1 to 3 by how much evidence they
-hold: occurrences of features that toxic rows have far more often, cut at the thirds of the toxic
-training rows.
+hold: occurrences of the features, cut at the thirds of the toxic
+training rows that hold any.
 
-Fitting reads at most ``max_rows`` labelled rows, half of each class, first in hash order, and keeps the ``max_features``
-features with the strongest difference between the classes; only such counts come to the driver. Scoring is one narrow
+Fitting reads at most ``max_rows`` labelled rows, a quarter of them toxic, first in hash order; of the features, only those taken up
+come to the driver, ``max_features`` at most, the surest first. Scoring is one narrow
 pass over every whole text.
 
 Defined results: null and empty texts have no features and get the score of no evidence; repeated rows get equal scores;
@@ -20,6 +24,7 @@ other columns pass through, and those named like an added one, in any case, are
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -31,11 +36,15 @@ from pyspark.sql import functions as F
 
 from logsieve.llm.common import cut
 
-MAX_ROWS = 8000
-MAX_FEATURES = 8192
-#: A feature is of use if its rates in the classes differ by so many standard errors, and by such a factor.
-#: (The factor keeps out words that only tell a language or a source with more toxic rows than others.)
-STRONG, FACTOR = 4.0, 8.0
+MAX_ROWS = 12_000
+MAX_FEATURES = 1 << 16
+#: Of the labelled rows, the share that may be toxic: many others make chance findings rare.
+TOXIC_PART = 4
+#: How many times the others' rate (this keeps out words that only tell a language or a source with more toxic rows than
+#: others), findings by chance among all features, and rows that hold a feature for it to be tested.
+FACTOR, BY_CHANCE, TESTED = 8.0, 1.0, 3
+#: Lengths of prefixes, and counts from which a prefix is a feature of its own.
+PREFIXES, TIMES = (4, 5, 6), (2, 4, 8)
 GRADES = 3
 WORD = re.compile(r"\w+")
 ADDED = ("toxic_probability", "expected_severity", "grade", "toxic")
@@ -48,12 +57,31 @@ def words(text: str | None) -> Counter:
 
 
 def features(text: str | None) -> Iterator[tuple[str, int]]:
+    starts: Counter = Counter()
     for w, n in words(text).items():
         yield w, n
-        if len(w) > 4:
-            yield "^" + w[:4], n
-        if len(w) > 5:
-            yield "^" + w[:5], n
+        for k in PREFIXES:
+            if len(w) > k:
+                starts["^" + w[:k]] += n
+    for p, n in starts.items():
+        yield p, n
+        for k in TIMES:
+            if n >= k:
+                yield f"{p} {k}", 1
+
+
+def by_chance(a: int, b: int, pos: int, neg: int) -> float:
+    """The probability that of the a + b rows that hold a feature, dealt at random, a or more are among the ``pos`` toxic ones."""
+    def log_choose(n: int, k: int) -> float:
+        return math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+
+    n, total = a + b, 0.0
+    for k in range(max(a, n - neg), min(n, pos) + 1):
+        p = math.exp(log_choose(pos, k) + log_choose(neg, n - k) - log_choose(pos + neg, n))
+        total += p
+        if p < 1e-9 * total:
+            break
+    return total
 
 
 class Ordinal:
@@ -107,7 +135,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_c
     marked = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label).alias("y"))
     chosen = None
     for y in (0, 1):
-        part = marked.where((F.col("y") > 0) == bool(y)).orderBy(F.xxhash64("id"), "id").limit(max_rows // 2)
+        most = max_rows // TOXIC_PART if y else max_rows - max_rows // TOXIC_PART
+        part = marked.where((F.col("y") > 0) == bool(y)).orderBy(F.xxhash64("id"), "id").limit(most)
         chosen = part if chosen is None else chosen.unionByName(part)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return texts.join(F.broadcast(chosen), "id").dropDuplicates(["id"]).select("id", "text", (F.col("y") > 0).alias("y"))
@@ -133,14 +162,17 @@ def fit(train: DataFrame, share: float | None = 0.5, max_features: int = MAX_FEA
     pos, neg = sizes[True], sizes[False]
     counts = train.select("text", "y").mapInPandas(named, "f string, y int").groupBy("f").agg(
         F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
+    counts = cut(counts.where(F.col("a") + F.col("b") >= TESTED))
+    tested = counts.count()
+
+    def taken(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            f["chance"] = [by_chance(a, b, pos, neg) for a, b in zip(f["a"].tolist(), f["b"].tolist(), strict=True)]
+            yield f.loc[f["chance"] * tested <= BY_CHANCE, ["f", "chance"]]
+
     p, q = (F.col("a") + 0.5) / (pos + 1), (F.col("b") + 0.5) / (neg + 1)
-    z = (p - q) / F.sqrt(p * (1 - p) / pos + q * (1 - q) / neg)
-    low, high = (F.col("a") + 0.5) / (pos + 1) * FACTOR, (F.col("b") + 0.5) / (neg + 1) * FACTOR
-    apart = (p >= high) | (q >= low)
-    kept = counts.select("f", z.alias("z"), apart.alias("apart")).where((F.abs("z") >= STRONG) & F.col("apart")).orderBy(
-        F.abs("z").desc(), "f").limit(max_features).collect()
+    kept = counts.where(p >= q * FACTOR).mapInPandas(taken, "f string, chance double").orderBy("chance", "f").limit(max_features).collect()
     model = Ordinal([r.f for r in kept])
-    telling = np.array([r.z > 0 for r in kept], dtype=bool)
 
     def vectors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -151,14 +183,22 @@ def fit(train: DataFrame, share: float | None = 0.5, max_features: int = MAX_FEA
         vectors, "id string, y boolean, c array<bigint>, v array<double>")
     data = sorted(got.collect(), key=lambda r: r.id)  # max_rows rows at most
     rows = [(np.array(r.c, dtype=np.int64), np.array(r.v)) for r in data]
-    evidence = np.array([v[telling[c]].sum() if len(c) else 0.0 for c, v in rows])
+    evidence = np.array([v.sum() for _, v in rows])
     toxic = np.array([r.y for r in data])
-    cuts = np.quantile(evidence[toxic], [1 / 3, 2 / 3])
+    cuts = thirds(evidence[toxic & (evidence > 0)])
     y = np.where(toxic, 1 + (evidence[:, None] > cuts[None, :]).sum(axis=1), 0)
     model.fit(rows, y, min(max(share or 0.5, 0.01), 0.99))
     return model
 
 
+def thirds(evidence: np.ndarray) -> np.ndarray:
+    """Two cuts of the evidence, each with rows below and above it where there are enough different values."""
+    if not len(evidence):
+        return np.zeros(2)
+    cuts = np.quantile(evidence, [1 / 3, 2 / 3])
+    return cuts if evidence.min() <= cuts[0] < cuts[1] < evidence.max() else np.quantile(np.unique(evidence), [1 / 3, 2 / 3])
+
+
 def severity(docs: DataFrame, model: Ordinal | None, text_col: str = "text") -> DataFrame:
     """``docs`` with toxic_probability, expected_severity (0 to 3), grade (the likeliest) and toxic (0 or 1)."""
     own = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ADDED]

@@ -74,6 +74,43 @@ def test_toxicity_on_table(spark):
     assert all(0 <= r.expected_severity <= TX.GRADES and r.grade in range(4) for r in rows)
 
 
+FAMILIES = "loser moron scum trash clown idiot worthless disgusting pathetic stupid".split()
+
+
+def test_toxic_rows_with_a_family_are_found(spark):
+    y, texts = labels_of(spark, "toxic"), {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = [r for r in Q.op7_toxicity(spark, SF).collect() if y.get(r.doc_id)]
+    held = [r for r in rows if set(FAMILIES) & set(TX.words(texts[r.doc_id]))]
+    assert len(held) > 20 and np.mean([r.toxic for r in held]) >= 0.95
+    assert {r.grade for r in rows} == {0, 1, 2, 3}  # 0: no family at all
+
+
+def test_a_small_table_has_features_too(spark):
+    small = "/root/testdata/sf0.001"
+    y = {r.doc_id: r.toxic for r in spark.read.parquet(f"{small}/labels.parquet").collect()}
+    rows = [(r.toxic, y[r.doc_id]) for r in Q.op7_toxicity(spark, small).collect() if r.doc_id in y]
+    assert sum(a and b for a, b in rows) >= 5 and not any(a and not b for a, b in rows)
+
+
+def test_a_rare_term_is_found(spark):
+    rows = spark.range(8000).select(F.col("id").alias("doc_id"), (F.col("id") % 8 == 0).cast("int").alias("toxic"), F.concat(
+        F.lit("so it goes on and on "), F.when(F.col("id") % 8 == 0, F.when(F.col("id") < 6400, "you zzyx").when(F.col("id") < 6480, "you rareword"))
+        .otherwise("you there"), F.lit(" w"), (F.col("id") % 97).cast("string")).alias("text"))
+    model = TX.fit(TX.training_rows(rows, rows.select("doc_id", "toxic")), 0.125)
+    assert {"zzyx", "rareword"} <= set(model.names) and "you" not in model.names  # 800 and 10 of 1000 toxic rows
+    judged = TX.severity(spark.createDataFrame([("a rareword here",), ("a word here",)], "text string"), model).collect()
+    assert [r.toxic for r in judged] == [1, 0]
+
+
+def test_chance_and_thirds():
+    assert math.isclose(TX.by_chance(5, 0, 11, 76), math.comb(11, 5) / math.comb(87, 5))
+    assert math.isclose(TX.by_chance(2, 3, 4, 6), sum(math.comb(4, k) * math.comb(6, 5 - k) for k in (2, 3, 4)) / math.comb(10, 5))
+    assert TX.by_chance(0, 3, 4, 6) == 1 or math.isclose(TX.by_chance(0, 3, 4, 6), 1)
+    for e in ([1, 1, 1, 1, 1, 2, 3], [1, 2, 3], [5] * 9 + [6, 7], list(range(30))):
+        e = np.array(e, dtype=float)
+        assert set((e[:, None] > TX.thirds(e)[None]).sum(axis=1)) == {0, 1, 2}
+
+
 def test_ordinal_gradient_and_order():
     rng = np.random.default_rng(1)
     z = rng.normal(0, 2, 600)
