@@ -136,25 +136,17 @@ def redact(found: DataFrame, text_col: str = "text") -> DataFrame:
     text = F.col(f"`{text_col}`").cast("string")
     by_start = F.array_sort(F.transform("pii", lambda s: F.struct(
         s["start"].alias("start"), (-s["end"]).alias("neg_end"), s["kind"].alias("kind"))))
-    union = "array<struct<start:bigint,end:bigint,kind:string>>"
-
-    def add(out: Column, s: Column) -> Column:
-        last, end = F.get(out, F.size(out) - 1), -s["neg_end"]
-        grown = F.struct(last["start"].alias("start"), F.greatest(last["end"], end).alias("end"), last["kind"].alias("kind"))
-        new = F.struct(s["start"].alias("start"), end.alias("end"), s["kind"].alias("kind"))
-        return F.when((F.size(out) > 0) & (s["start"] < last["end"]), F.concat(F.slice(out, 1, F.size(out) - 1), F.array(grown))) \
-            .otherwise(F.concat(out, F.array(new)))
-
-    def rebuilt(spans: Column) -> Column:
-        def piece(s: Column, i: Column) -> Column:
-            from_ = F.coalesce(F.get(spans, i - 1)["end"], F.lit(0).cast("long"))
-            return F.concat(F.substr(text, (from_ + 1).cast("int"), (s["start"] - from_).cast("int")),
-                            F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        rest = F.substr(text, (F.get(spans, F.size(spans) - 1)["end"] + 1).cast("int"))
-        return F.concat(F.array_join(F.transform(spans, piece), ""), rest)
-
-    merged = F.aggregate(by_start, F.array().cast(union), add)
-    clean = F.when(text.isNull() | (F.size("pii") == 0), text).otherwise(let(merged, rebuilt))
+    # Each span moves the text before it to ``out``; ``rest`` is what comes after the spans so far, from ``at`` on.
+    zero = F.struct(F.lit("").alias("out"), text.alias("rest"), F.lit(0).cast("long").alias("at"))
+
+    def add(a: Column, s: Column) -> Column:
+        gap, end, overlaps = (s["start"] - a["at"]).cast("int"), F.greatest(-s["neg_end"], a["at"]), s["start"] < a["at"]
+        return F.struct(
+            F.when(overlaps, a["out"]).otherwise(F.concat(a["out"], F.substr(a["rest"], F.lit(1), gap), F.lit("["), F.upper(s["kind"]), F.lit("]"))).alias("out"),
+            F.substr(a["rest"], (end - a["at"] + 1).cast("int")).alias("rest"), end.alias("at"))
+
+    rebuilt = F.aggregate(by_start, zero, add, lambda a: F.concat(a["out"], a["rest"]))
+    clean = F.when(text.isNull() | (F.size("pii") == 0), text).otherwise(rebuilt)
     return found.select(*[clean.alias(c) if c == text_col else F.col(f"`{c}`") for c in found.columns if c != "pii"])
 
 
