@@ -50,6 +50,8 @@ HASH_SLICE = 65_536
 BLOCK = 512
 #: A fingerprint with over one HOT-th of the rows is joined by broadcast; there are fewer than HOT.
 HOT = 1000
+#: Keys (16 bytes and little more each) that are broadcast at most.
+MOST_KEYS = 1_000_000
 #: A split that leaves more than this share of its node on both sides together isn't worth it.
 WORST_GROWTH = 1.7
 
@@ -255,17 +257,25 @@ def connected(edges: DataFrame, a: str = "fp", b: str = "to") -> DataFrame:
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: the one of the smallest id, then of the smallest text hash.
 
-    Rows are told apart by (id, 64-bit text hash); only if some are equal in both are whole rows compared by
-    that key. The keys of the rows that go are anti-joined; texts are shuffled only if these keys are too many to broadcast.
+    Rows are told apart by (id, 64-bit text hash). The keys of the rows that go are anti-joined, and only the rows of keys that repeat are
+    compared; keys are broadcast up to ``MOST_KEYS`` of them, so that texts are shuffled beyond that only.
     """
     key, h = free_names(["_key", "_h"], docs.columns)
     keyed = docs.withColumn(key, F.struct(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("h")))
     found = cut(near_duplicates(keyed, key, text_col, **how).select(F.col(key).alias("k"), F.col("component_id").alias("head")))
-    gone = found.where("k <> head").select(F.col("k.id").alias("gone_id"), F.col("k.h").alias("gone_h")).distinct()
     named = docs.withColumn(h, F.xxhash64(F.col(f"`{text_col}`")))
-    left = named.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("gone_id")) & (F.col(h) == F.col("gone_h")), "left_anti")
-    if not found.where("k = head").groupBy("k").count().where("count > 1").isEmpty():
-        left = left.dropDuplicates([id_col, h])
+
+    def keys(some: DataFrame) -> tuple[DataFrame, int]:
+        some = cut(some.select(F.col("k.id").alias("key_id"), F.col("k.h").alias("key_h")))
+        n = some.count()
+        return F.broadcast(some) if n <= MOST_KEYS else some, n
+
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col("key_id")) & (F.col(h) == F.col("key_h"))
+    gone, _ = keys(found.where("k <> head").distinct())
+    left = named.join(gone, same, "left_anti")
+    repeated, n = keys(found.where("k = head").groupBy("k").count().where("count > 1"))
+    if n:
+        left = left.join(repeated, same, "left_anti").unionByName(left.join(repeated, same, "left_semi").dropDuplicates([id_col, h]))
     return left.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
