@@ -8,7 +8,13 @@ holds. A tag's score is negative, by the log-odds of its name. All log-odds are
 (:data:`LABELLED`: short pages whose main text is marked). One linear scan finds the
 contiguous region with the greatest sum. The text of the region is what remains of it without the elements that the weights
 know as menus, notices, adverts, comments and the like, which count nothing in the scan, and without words outside
-the main text that the page names, if that holds more than a few of the page's words. A page without any word of positive score is scanned again with all words but those of known boilerplate at 1.
+the main text that the page names, if that holds more than a few of the page's words.
+
+What an element's class says, it says of words that stand in that element only. So ``html`` and ``body`` are never boilerplate; nor are inline
+elements, nor the paragraphs, list items, cells and code of a named main text; a header that is nothing but the page's only title is none; and an
+element that holds the page's content (an element named as such with most of its words, without much else on the page)
+is a wrapper, whatever its class. Small boxes of unlisted classes score low, unless they hold a whole sentence. A page without any word of positive score
+is scanned again with all words but those of known boilerplate at 1, and one that gave no text at all with every word that is page text.
 
 Text: character references are decoded; block elements part blocks; white space inside a block becomes one
 space; blocks are trimmed and joined by a line end; nothing else is dropped. Unclosed tags end with their parent,
@@ -52,6 +58,10 @@ HEAD = frozenset("base basefont bgsound head html link meta noframes noscript sc
 NEVER = frozenset("head script style title noscript iframe textarea select option button template svg object audio video canvas datalist".split())
 
 #: Labelled pages: the main text stands between <main-text> and </main-text>, which are no part of the page.
+MAIN = ("article", "main")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Parts of a text, whose class does not make them boilerplate inside a named main text.
+PARTS = frozenset("p li dt dd h1 h2 h3 h4 h5 h6 td th tr pre blockquote".split())
 LABELLED = (
     """<body><header class="masthead"><h1>Site name</h1><p>our motto here</p></header><nav><ul><li><a>home page</a></li><li><a>news today</a></li></ul></nav>
     <div class="ad">buy this thing now</div><main-text><article><h1>The title of it</h1><p>many words of the text stand here in a row</p><p><b>more</b> words of
@@ -78,90 +88,124 @@ LABELLED = (
 )
 
 
-def parse(page: str):
-    """The page in order: ("text", str, open) and ("tag", name, open).
+class Node:
+    """An open element: what it is, and what it inherits from the elements around it."""
+
+    __slots__ = ("parent", "name", "words", "block", "main", "linked", "heading", "never", "keys", "unlisted", "count", "links", "sentence", "hard", "header", "boiler")
+
+    def __init__(self, parent: Node | None, name: str, words: tuple = ()):
+        self.parent, self.name, self.words = parent, name, words
+        is_block = name in BLOCKS
+        self.block = self if is_block or parent is None else parent.block
+        self.main = self if name in MAIN else parent and parent.main
+        self.linked = name == "a" or bool(parent and parent.linked)
+        self.heading = name in HEADINGS or bool(parent and parent.heading)
+        self.never = name in NEVER or bool(parent and parent.never)
+        self.keys, self.unlisted = (parent.keys, parent.unlisted) if parent else (frozenset(), None)
+        if is_block and name not in ("html", "body"):
+            own = keys(self)
+            if not self.keys.issuperset(own):
+                self.keys = self.keys.union(own)
+        self.count = self.links = 0
+        self.sentence = self.hard = self.header = self.boiler = False
+
+
+def parse(page: str) -> tuple[list[tuple], list[Node]]:
+    """The page in order, ("text", str, node) and ("tag", name, node), and its nodes, parents first.
 
-    ``open`` is a tuple of the open elements, each (name, *words of its class, id and role); for a start tag
-    it has the element itself, for an end tag not any more.
+    A node is the innermost open element: for a start tag the element itself, for an end tag what it leaves open.
     """
-    stack: list[tuple] = []
-    now: tuple = ()
+    root = Node(None, "")
+    stack, open_, nodes, tokens = [root], Counter(), [root], []
     at, n = 0, len(page)
+
+    def cut(k: int) -> None:
+        for e in stack[k:]:
+            open_[e.name] -= 1
+        del stack[k:]
+
     while at < n:
         m = TOKEN.search(page, at)
         lo = m.start() if m else n
         if lo > at:
-            if now and now[-1][0] == "head" and not page[at:lo].isspace():
-                stack.pop()
-                now = tuple(stack)
-            yield "text", page[at:lo], now
+            if stack[-1].name == "head" and not page[at:lo].isspace():
+                cut(len(stack) - 1)
+            tokens.append(("text", page[at:lo], stack[-1]))
         if not m:
-            return
+            break
         at = m.end()
         name, attrs = (m["name"] or m["name2"] or "").lower(), m["attrs"] or m["attrs2"] or ""
         if not name:
             continue
         if page[at - 1] != ">":
-            return  # the page ends inside a tag
-        if m["end"] or m["end2"]:
-            _close(stack, name)
-        elif name == "head" and any(e[0] != "html" for e in stack):
+            break  # the page ends inside a tag
+        ends = m["end"] or m["end2"]
+        if ends:
+            if open_[name]:
+                _close(stack, name, cut)
+        elif name == "head" and any(e.name != "html" for e in stack[1:]):
             continue  # a head inside a body is none
         else:
-            _make_room(stack, name)
-            stack.append((name, *(w for v in NAMED.finditer(attrs) for w in PIECE.findall((v[1] or v[2] or v[3] or "").lower()))))
-        now = tuple(stack)
-        yield "tag", name, now
-        if not (m["end"] or m["end2"]) and (name in VOID or name in RAW):
+            _make_room(stack, open_, name, cut)
+            node = Node(stack[-1], name, tuple(w for v in NAMED.finditer(attrs) for w in PIECE.findall((v[1] or v[2] or v[3] or "").lower())))
+            nodes.append(node)
+            stack.append(node)
+            open_[name] += 1
+        tokens.append(("tag", name, stack[-1]))
+        if not ends and (name in VOID or name in RAW):
             if name in RAW:
                 last = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
                 at = last.end() if last else n
-            stack.pop()
-            now = tuple(stack)
+            cut(len(stack) - 1)
+    return tokens, nodes
 
 
-def _close(stack: list, name: str) -> None:
+def _close(stack: list[Node], name: str, cut) -> None:
     """An end tag ends its nearest open element; one of an inline element none beyond a block."""
-    for k in range(len(stack) - 1, -1, -1):
-        if stack[k][0] == name:
-            del stack[k:]
-            return
-        if name not in BLOCKS and stack[k][0] in BLOCKS:
-            return
+    for k in range(len(stack) - 1, 0, -1):
+        if stack[k].name == name:
+            return cut(k)
+        if name not in BLOCKS and stack[k].name in BLOCKS:
+            return None
+    return None
 
 
-def _make_room(stack: list, name: str) -> None:
+def _make_room(stack: list[Node], open_: Counter, name: str, cut) -> None:
     """Ends the open elements that a start tag ends without saying so."""
-    if name not in HEAD:
-        head = next((k for k, e in enumerate(stack[:2]) if e[0] == "head"), None)
-        if head is not None and not any(e[0] == "template" for e in stack[head:]):
-            del stack[head:]
+    if name not in HEAD and open_["head"]:
+        head = next((k for k, e in enumerate(stack[1:3], 1) if e.name == "head"), None)
+        if head is not None and not any(e.name == "template" for e in stack[head:]):
+            cut(head)
     ends, wall = ENDS.get(name, (set(), set()))
     if name in ENDS_P:
         ends, wall = ends | {"p"}, wall | {"td", "th", "button", "caption"}
-    for k in range(len(stack) - 1, -1, -1) if ends else ():
-        if stack[k][0] in ends:
-            del stack[k:]
-            return
-        if stack[k][0] in wall:
+    if not any(open_[e] for e in ends):
+        return
+    for k in range(len(stack) - 1, 0, -1):
+        if stack[k].name in ends:
+            return cut(k)
+        if stack[k].name in wall:
             return
 
 
-MAIN = ("article", "main")
-
-
-def marked(page: str) -> tuple[list[tuple], list[bool]]:
-    """The tokens of a labelled page, and whether each is of its main text."""
+def marked(page: str) -> tuple[list[tuple], list[Node], list[bool]]:
+    """The tokens and nodes of a labelled page, and whether each token is of its main text."""
     before, rest = page.split("<main-text>")
     inside, after = rest.split("</main-text>")
-    tokens, n, m = (list(parse(x)) for x in (before + inside + after, before, before + inside))
-    return tokens, [len(n) <= k < len(m) for k in range(len(tokens))]
+    (tokens, nodes), n, m = parse(before + inside + after), len(parse(before)[0]), len(parse(before + inside)[0])
+    return tokens, nodes, [n <= k < m for k in range(len(tokens))]
 
 
-def keys(e: tuple) -> tuple[str, ...]:
+def keys(e: Node) -> tuple[str, ...]:
     """What an open element is looked up by; one of :data:`MAIN` also by each class with its name, as a class may make
     a teaser of an article and not of other elements."""
-    return e + tuple(f"{e[0]}.{w}" for w in e[1:]) if e[0] in MAIN else e
+    return (e.name, *e.words, *(f"{e.name}.{w}" for w in e.words)) if e.name in MAIN else (e.name, *e.words)
+
+
+def above(e: Node | None):
+    while e is not None and e.parent is not None:
+        yield e
+        e = e.parent
 
 
 def log_odds(inside: Counter, outside: Counter, smooth: float = 0.5) -> dict[str, float]:
@@ -173,9 +217,10 @@ def learn(pages: tuple[str, ...] = LABELLED) -> dict[str, float]:
     """Log-odds of main text, by words, for every name, class, id and role that words of the labelled pages stand in."""
     inside, outside = Counter(), Counter()
     for page in pages:
-        for (kind, what, here), main in zip(*marked(page), strict=True):
+        tokens, _, is_main = marked(page)
+        for (kind, what, here), main in zip(tokens, is_main, strict=True):
             if kind == "text":
-                for key in {k for e in here for k in keys(e) if not (e[0] in MAIN and k in e[1:])}:
+                for key in {k for e in above(here) for k in keys(e) if not (e.name in MAIN and k in e.words)}:
                     (inside if main else outside)[key] += len(what.split())
     return log_odds(inside, outside)
 
@@ -183,7 +228,6 @@ def learn(pages: tuple[str, ...] = LABELLED) -> dict[str, float]:
 WEIGHTS = learn()
 #: Words with a key below this are boilerplate (links tell by their share only). It counts nothing, so that a long advert inside an article doesn't part it.
 BOILERPLATE = -1.0
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 #: A tag of even odds (a heading of one word must outweigh the tags up to the next words), and the bounds of a word's score.
 TAG, BOUND = -0.02, 1.0
 #: Bins of a place: shares of links; words and share of the page below which an element is small; share of the main text
@@ -193,66 +237,115 @@ SMALL_WORDS, SMALL_SHARE = 30, 0.25
 FEW = 0.2
 
 
-def is_boilerplate(open_: tuple, weights: dict[str, float]) -> bool:
-    names = [e[0] for e in open_]
-    within = next((k for k, n in enumerate(names) if n in MAIN), None)
-    titled = within is not None and any(n in HEADINGS for n in names[within:])
-    return any(e[0] in NEVER or any(
-        key != "a" and weights.get(key, 0.0) < BOILERPLATE and not (key == "header" and titled and k > within) for key in keys(e))
-               for k, e in enumerate(open_))
+#: A wrapper's content holds more than this share of its words, and what is else on the page less than this share of the wrapper's.
+CONTENT_SHARE, ELSE_SHARE = 0.5, 0.25
+#: The end of a sentence.
+SENTENCE = re.compile(r"[.!?\u2026\u3002\uff01\uff1f][\"'\u201d\u2019\u00bb)\]]*\s*$")
 
 
-def _links(n: int, of: int) -> str:
-    return "all" if n >= ALL_LINKS * of else "some" if n >= SOME_LINKS * of else "few"
+def says_boilerplate(e: Node, weights: dict[str, float]) -> bool:
+    """Whether an element's own name, class, id or role says that its words are boilerplate."""
+    if e.name in ("html", "body") or e.name not in BLOCKS or e.main is not None and e.main is not e and e.name in PARTS:
+        return False
+    return any(weights.get(key, 0.0) < BOILERPLATE for key in keys(e) if key != "a")
+
 
+def is_head(e: Node, weights: dict[str, float]) -> bool:
+    """Whether it is the header of a named main text: its headings are text."""
+    return e.main is not None and e.main is not e and all(key in ("a", "header") or weights.get(key, 0.0) >= BOILERPLATE for key in keys(e))
 
-def _blocks(open_: tuple) -> tuple:
-    """The open elements up to the innermost block."""
-    return open_[:next((k + 1 for k in range(len(open_) - 1, -1, -1) if open_[k][0] in BLOCKS), 0)]
+
+def mark(tokens: list[tuple], nodes: list[Node], weights: dict[str, float]) -> int:
+    """Sets what is known of the nodes once the page is read; the page's words that aren't boilerplate."""
+    titles = sum(e.name == "h1" for e in nodes)
+    for e in nodes:
+        if e.parent is not None:
+            own = e.words and e.name in BLOCKS and e.name not in ("html", "body") and not any(key in weights for key in keys(e)[1:])
+            e.unlisted = e if own else e.parent.unlisted
+    titled: Counter = Counter()  # words in the headings of a node
+    in_header: set[Node] = set()
+    for kind, what, here in tokens:
+        if kind == "text" and not here.never:
+            n = len(what.split())
+            here.count += n
+            here.links += n if here.linked else 0
+            here.sentence = here.sentence or bool(n and SENTENCE.search(what))
+            if here.heading:
+                titled[here] += n
+                up = next((e for e in above(here) if e.name in HEADINGS), None)
+                if up is not None and up.name == "h1":
+                    in_header.add(here)
+    content: dict[Node, int] = {}  # words of the largest content element in a node
+    heads: set[Node] = set(in_header)
+    for e in reversed(nodes):
+        p = e.parent
+        if p is None:
+            continue
+        named = e.name == "main" or any(weights.get(k, 0.0) > 0 for k in (keys(e) if e.name in MAIN else e.words)) if e.name in BLOCKS else False
+        largest = max(content.get(e, 0), e.count if named and not says_boilerplate(e, weights) else 0)
+        content[p] = max(content.get(p, 0), largest)
+        p.count, p.links, p.sentence = p.count + e.count, p.links + e.links, p.sentence or e.sentence
+        titled[p] += titled[e]
+        if e in heads:
+            heads.add(p)
+    wrappers: set[Node] = set()
+
+    def flag() -> int:
+        left = 0
+        for e in nodes:
+            own = e not in wrappers and says_boilerplate(e, weights)
+            if own and titles == 1 and e in heads and titled[e] == e.count and e.name in ("header", "div", "section"):
+                own = False  # the page's only title
+            head = own and is_head(e, weights)
+            up = e.parent
+            e.header = head or bool(up and up.header)
+            e.hard = e.never or own and not head or bool(up and up.hard)
+            e.boiler = e.hard or e.header and not e.heading
+        for kind, what, here in tokens:
+            if kind == "text" and not here.boiler:
+                left += len(what.split())
+        return left
+
+    left = flag()
+    for e in nodes:  # outermost first
+        if e.boiler and not e.never and not (e.parent and e.parent.boiler) and content.get(e, 0) > CONTENT_SHARE * e.count and left < ELSE_SHARE * e.count:
+            wrappers.add(e)
+            left = flag()
+    return left
 
 
-def _unlisted(blocks: tuple, weights: dict[str, float]) -> int | None:
-    """The number of open elements down to the innermost with a class, id or role of which none is listed."""
-    return next((k + 1 for k in range(len(blocks) - 1, -1, -1)
-                 if len(blocks[k]) > 1 and blocks[k][0] not in ("html", "body") and not any(key in weights for key in keys(blocks[k])[1:])), None)
+def _links(n: int, of: int) -> str:
+    return "all" if n >= ALL_LINKS * of else "some" if n >= SOME_LINKS * of else "few"
 
 
-def contexts(tokens: list[tuple], weights: dict[str, float]) -> dict[tuple, tuple[str, ...] | None]:
+def contexts(tokens: list[tuple], nodes: list[Node], weights: dict[str, float]) -> dict[Node, tuple[str, ...] | None]:
     """What else tells of the words in each of a page's places; None for boilerplate."""
-    at: Counter = Counter()
-    out: dict[tuple, tuple[str, ...] | None] = {}
-    plain: dict[tuple, tuple[tuple, int | None]] = {}
+    total = mark(tokens, nodes, weights)
+    words, links, named, names_main = Counter(), Counter(), 0, False
     for kind, what, here in tokens:
-        if here not in out:
-            out[here] = None if is_boilerplate(here, weights) else ()
-            if out[here] is not None:
-                blocks = _blocks(here)
-                plain[here] = blocks, _unlisted(blocks, weights)
-        if kind == "text" and here in plain:
-            at[here] += len(what.split())
-    words, links, low, low_links, total, named = Counter(), Counter(), Counter(), Counter(), 0, 0
-    cuts = {plain[h][0][:plain[h][1]] for h in plain if plain[h][1]}
-    sizes = sorted({len(c) for c in cuts})
-    for here, n in at.items():
-        linked = n if any(e[0] == "a" for e in here) else 0
-        words[plain[here][0]] += n
-        links[plain[here][0]] += linked
-        total += n
-        named += n if any(e[0] in MAIN for e in here) else 0
-        for size in sizes:
-            if size <= len(here) and here[:size] in cuts:
-                low[here[:size]] += n
-                low_links[here[:size]] += linked
-    names_main = any(kind == "tag" and what in MAIN and here in plain for kind, what, here in tokens)
-    for here, (blocks, cut) in plain.items():
-        own = [f"links {_links(links[blocks], words[blocks])}"] if words[blocks] else []
-        if cut:
-            box = blocks[:cut]
-            small = low[box] < SMALL_WORDS and low[box] < SMALL_SHARE * total
-            own.append(f"unlisted {'small' if small else 'large'} links {_links(low_links[box], low[box])}")
+        if here.boiler:
+            continue
+        if kind == "text":
+            n = len(what.split())
+            words[here.block] += n
+            links[here.block] += n if here.linked else 0
+            named += n if here.main is not None else 0
+        elif what in MAIN:
+            names_main = True
+    out: dict[Node, tuple[str, ...] | None] = {}
+    for e in nodes:
+        if e.boiler:
+            out[e] = None
+            continue
+        own = [f"links {_links(links[e.block], words[e.block])}"] if words[e.block] else []
+        box = e.unlisted
+        if box is not None:
+            size = "small" if box.count < SMALL_WORDS and box.count < SMALL_SHARE * total else "large"
+            if size == "large" or not box.sentence or box.links >= SOME_LINKS * box.count:
+                own.append(f"unlisted {size} links {_links(box.links, box.count)}")
         if names_main and named:
-            own.append(f"{'inside' if any(e[0] in MAIN for e in here) else 'outside'} {'few' if named < FEW * total else 'most'}")
-        out[here] = tuple(own)
+            own.append(f"{'inside' if e.main is not None else 'outside'} {'few' if named < FEW * total else 'most'}")
+        out[e] = tuple(own)
     return out
 
 
@@ -261,8 +354,8 @@ def learn_contexts(pages: tuple[str, ...] = LABELLED) -> tuple[float, dict[str,
     the others, so that its own classes are listed or not as those of any page are."""
     inside, outside, all_in, all_out = Counter(), Counter(), 0, 0
     for k, page in enumerate(pages):
-        tokens, main = marked(page)
-        known = contexts(tokens, learn(pages[:k] + pages[k + 1:]))
+        tokens, nodes, main = marked(page)
+        known = contexts(tokens, nodes, learn(pages[:k] + pages[k + 1:]))
         for (kind, what, here), is_main in zip(tokens, main, strict=True):
             if kind == "text" and known[here] is not None:
                 n = len(what.split())
@@ -277,12 +370,12 @@ def learn_contexts(pages: tuple[str, ...] = LABELLED) -> tuple[float, dict[str,
 PRIOR, CONTEXTS = learn_contexts()
 
 
-def place(open_: tuple, context: tuple[str, ...] | None) -> float:
-    """The score of a word that stands in these open elements."""
+def place(here: Node, context: tuple[str, ...] | None) -> float:
+    """The score of a word that stands in this element."""
     if context is None:
         return 0.0
-    own = {key for e in _blocks(open_) if e[0] not in ("html", "body") for key in keys(e)}
-    total = PRIOR + sum(WEIGHTS.get(key, 0.0) for key in own) + sum(CONTEXTS.get(key, 0.0) for key in context)
+    own = (WEIGHTS.get(key, 0.0) for key in here.block.keys)  # what would be boilerplate was judged not to be, for this page
+    total = PRIOR + sum(w for w in own if w >= BOILERPLATE) + sum(CONTEXTS.get(key, 0.0) for key in context)
     return max(-BOUND, min(BOUND, total))
 
 
@@ -291,7 +384,7 @@ def tag(name: str) -> float:
     return TAG * math.exp(-max(-BOUND, min(BOUND, WEIGHTS.get(name, 0.0))))
 
 
-def best_region(tokens: list[tuple], scores: dict[tuple, float], known: dict[tuple, tuple[str, ...] | None]) -> tuple[int, int]:
+def best_region(tokens: list[tuple], scores: dict[Node, float], known: dict[Node, tuple[str, ...] | None]) -> tuple[int, int]:
     """The tokens from and to which the sum of scores is greatest."""
     best, best_span, total, first = 0.0, (0, 0), 0.0, 0
     for k, (kind, what, here) in enumerate(tokens):
@@ -304,19 +397,9 @@ def best_region(tokens: list[tuple], scores: dict[tuple, float], known: dict[tup
     return best_span
 
 
-def main_text(page: str | None) -> str:
-    """The main text of one page."""
-    if not page:
-        return ""
-    tokens = list(parse(page))
-    known = contexts(tokens, WEIGHTS)
-    scores = {here: place(here, context) for here, context in known.items()}
-    if not any(kind == "text" and scores[here] > 0 and not what.isspace() for kind, what, here in tokens):
-        scores = {here: 0.0 if context is None else 1.0 for here, context in known.items()}
-    taken = {here for here, context in known.items() if context is not None and (scores[here] > 0 or "outside most" not in context)}
-    first, end = best_region(tokens, scores, known)
+def _text(tokens: list[tuple], taken: set[Node]) -> str:
     blocks: list[list[str]] = [[]]
-    for kind, what, here in tokens[first:end]:
+    for kind, what, here in tokens:
         if kind == "tag":
             if what in BLOCKS:
                 blocks.append([])
@@ -328,6 +411,20 @@ def main_text(page: str | None) -> str:
     return "\n".join(x for x in lines if x)
 
 
+def main_text(page: str | None) -> str:
+    """The main text of one page."""
+    if not page:
+        return ""
+    tokens, nodes = parse(page)
+    known = contexts(tokens, nodes, WEIGHTS)
+    scores = {here: place(here, context) for here, context in known.items()}
+    if not any(kind == "text" and scores[here] > 0 and not what.isspace() for kind, what, here in tokens):
+        scores = {here: 0.0 if context is None else 1.0 for here, context in known.items()}
+    taken = {here for here, context in known.items() if context is not None and (scores[here] > 0 or "outside most" not in context)}
+    first, end = best_region(tokens, scores, known)
+    return _text(tokens[first:end], taken) or _text(tokens, {e for e in nodes if not e.never})
+
+
 def extract(pages: DataFrame, html_col: str = "html", out_col: str = "text") -> DataFrame:
     """``pages`` without the html, with ``out_col``: the main text of every page."""
     @F.pandas_udf("string")

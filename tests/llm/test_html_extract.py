@@ -2,6 +2,7 @@
 
 import html
 import re
+from collections import Counter
 
 import pytest
 
@@ -89,6 +90,76 @@ def test_no_page_of_plain_words_is_lost():
     assert HX.main_text("".join(f'<div class="q{c}z"><p>{c} words</p></div>' for c in "abcdefgh")).count("words") == 8
 
 
+PROSE = " ".join(["Plain words of an article stand here in a row and go on."] * 6)
+WRAPPED = [
+    (f'<body class="single post right-sidebar"><article><p>{PROSE}</p></article></body>', PROSE),
+    (f'<body class="post comments-open"><div class="entry-content"><p>{PROSE}</p></div></body>', PROSE),
+    (f'<div class="content-sidebar-wrap"><main><p>{PROSE}</p></main></div>', PROSE), (f'<form id="aspnetForm"><div class="content"><p>{PROSE}</p></div></form>', PROSE),
+    (f'<div class="entry"><p>{PROSE}</p></div><div class="wp-block-group"><p>The last paragraph of it.</p></div>', f"{PROSE}\nThe last paragraph of it."),
+    (f'<div class="lede"><p>It was the best of times.</p></div><div class="body"><p>{PROSE}</p></div>', f"It was the best of times.\n{PROSE}"),
+    (f'<div class="page-header"><h1>The Title</h1></div><div class="content"><p>{PROSE}</p></div>', f"The Title\n{PROSE}"),
+    (f'<article><p>{PROSE}</p><pre>x = 1 <span class="hljs-comment"># why</span></pre><p class="notice">Mind the gap.</p><p>end</p></article>',
+     f"{PROSE}\nx = 1 # why\nMind the gap.\nend"),
+    (f'<article><header><h1>T</h1><nav><h2>Menu</h2></nav><p>by me</p></header><p>{PROSE}</p></article>', f"T\n{PROSE}"),
+    ("<nav><a>only</a> <a>a menu</a></nav>", "only a menu"),
+]
+
+
+@pytest.mark.parametrize("page,want", WRAPPED)
+def test_wrappers_titles_and_small_parts(page, want):
+    assert HX.main_text(page) == want
+
+
+@pytest.mark.parametrize("page", ["<p>x" + "<b>" * 40_000 + " words", "<div>" * 40_000 + "words", "<b>x " * 40_000 + "</i>" * 40_000, "<p>a<b>b" * 30_000,
+                                  "<b>w " * 200_000, "<ul>" + "<li>x<b>" * 30_000])
+def test_broken_pages_take_linear_time(page):
+    import time
+    began = time.time()
+    assert HX.main_text(page)
+    assert time.time() - began < 8
+
+
+def story(n, start=0):
+    return [" ".join(f"w{start + 50 * k + i}" for i in range(30)) + f". So it was on day {k}." for k in range(n)]
+
+
+def held_out():
+    """Whole pages of other structures than the labelled ones: (page, its main text's words)."""
+    s = story(8)
+    ps = "".join(f"<p>{x}</p>" for x in s)
+    menu = "<ul>" + "".join(f'<li><a href="/{x}">{x}</a></li>' for x in "one two three four five six".split()) + "</ul>"
+    foot = '<footer id="colophon" class="site-footer"><p>Copyright 2020 by the site, all rights reserved</p></footer>'
+    side = f'<aside id="secondary" class="widget-area"><section class="widget"><h2>Recent posts</h2>{menu}</section></aside>'
+    com = '<div id="comments" class="comments-area"><ol class="comment-list">' + "".join(
+        f'<li class="comment"><article class="comment-body"><p>I think so too number {k}.</p></article></li>' for k in range(5)) + "</ol></div>"
+    share = '<div class="sharedaddy social-share"><span>Share this</span><a>Mail</a><a>Post</a></div>'
+    cookie = '<div id="cookie-law-info-bar" class="cookie-notice"><p>This site uses cookies to be better.</p><button>ok</button></div>'
+    title = "<h1>A title of some words</h1>"
+    want = ["A title of some words", *s]
+    head = f'<header id="masthead" class="site-header"><div class="site-branding"><p>The Site</p></div><nav class="main-navigation">{menu}</nav></header>'
+    code = '<pre><code>def f(x): <span class="hljs-comment"># adds</span> return x</code></pre>'
+    return [
+        (f'<body class="post-template single sidebar-right comments-open">{cookie}<div id="page" class="site">{head}<div id="content"><main id="main"><article class="post"><div class="entry-header">{title}</div><div class="entry-content">{ps}{share}</div></article>{com}</main></div>{side}{foot}</div></body>', want),
+        (f'<body>{head}<div class="content-sidebar-wrap"><main class="content">{title}{ps}</main>{side}</div>{foot}</body>', want),
+        (f'<body><form id="aspnetForm"><div id="header">{menu}</div><div id="mainContent" class="content">{title}{ps}</div><div id="footer">by us</div></form></body>', want),
+        (f'<body><table><tr><td class="nav">{menu}</td><td class="text">{title}{ps}</td></tr></table></body>', want),
+        (f'<body><div class="navbar">{menu}</div><div class="container"><div class="row"><div class="post-body">{title}{ps}{code}</div></div></div>{foot}</body>', [*want, "def f(x): # adds return x"]),
+        (f'<html><head><title>t</title><body>{menu}{title}{ps}<hr><p><a>back</a> <a>home</a></p>', want),
+        (f'<body>{head}<div class="entry">{title}{ps}</div><div class="related-posts"><h3>Related</h3>{menu}</div>{com}{foot}</body>', want),
+        (f'<body><div id="wrapper">{head}<section class="story">{title}{"".join(f"<div class=para>{x}</div>" for x in s)}</section>{share}{foot}</div></body>', want),
+        (f'<body>{head}<article>{title}{ps}</article><article class="teaser card"><h2>More</h2><p>Read on here</p></article>{side}{foot}</body>', want),
+        (f'<body>{cookie}<div role="main">{title}<blockquote>{s[0]}</blockquote><ol>{"".join(f"<li>{x}</li>" for x in s[1:])}</ol></div><div role="contentinfo">us</div></body>', want),
+    ]
+
+
+def test_held_out_pages():
+    hit = got = there = 0
+    for page, want in held_out():
+        a, b = Counter(HX.main_text(page).split()), Counter(" ".join(want).split())
+        hit, got, there = hit + (a & b).total(), got + a.total(), there + b.total()
+    assert hit / got >= 0.95 and hit / there >= 0.95, (hit / got, hit / there)
+
+
 def test_operator(spark):
     df = spark.createDataFrame([(1, "u", "<p>a</p>", "old", 1), (1, "u", "<p>a</p>", "old", 1), (None, None, None, None, None),
                                 (3, "v", "<p>" + "w " * 300_000 + "</p>", "x", 2)], "page_id long, url string, html string, TEXT string, n_chars int")
