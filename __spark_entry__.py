@@ -1068,8 +1068,8 @@ def _training_data() -> tuple[dict, dict]:
     """Queries and statements of the training-data operators, if that subpackage is there."""
     try:
         from logsieve.llm import queries as L
-    except ModuleNotFoundError as e:
-        if e.name != "logsieve.llm":  # the subpackage is there, something in it is not
+    except ImportError as e:
+        if e.name != "logsieve.llm":  # the subpackage is there, something that it needs is not
             raise
         return {}, {}
     return L.QUERIES, L.ORACLES

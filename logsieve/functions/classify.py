@@ -15,14 +15,24 @@ from .. import rules as R
 from .regex import ci
 
 
-def classify_prio(value: Column, rules=None) -> Column:
-    """Position (0-based, in priority order) of the first matching rule, or NULL."""
+#: Rules of one CASE.
+BLOCK = 500
+
+
+def classify_prio(value: Column, rules=None, block: int = BLOCK) -> Column:
+    """Position (0-based, in priority order) of the first matching rule, or NULL.
+
+    A large table is a chain of CASEs of ``block`` rules; a line goes on to the next only if none before it matched.
+    """
     rl = R.rule_list(rules)
-    expr = None
-    for pos, (_prio, pattern, _cat, _sev, _label) in enumerate(rl):
-        cond = value.rlike(ci(pattern))
-        expr = F.when(cond, F.lit(pos)) if expr is None else expr.when(cond, F.lit(pos))
-    return expr
+    parts = []
+    for lo in range(0, len(rl), block):
+        expr = None
+        for pos, (_prio, pattern, _cat, _sev, _label) in enumerate(rl[lo:lo + block], lo):
+            cond = value.rlike(ci(pattern))
+            expr = F.when(cond, F.lit(pos)) if expr is None else expr.when(cond, F.lit(pos))
+        parts.append(expr)
+    return parts[0] if len(parts) == 1 else F.coalesce(*parts, F.lit(None).cast("int"))
 
 
 def classify_columns(pos: Column, rules=None) -> dict[str, Column]:

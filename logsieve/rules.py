@@ -112,8 +112,8 @@ RULES_SCHEMA = T.StructType([
 ])
 
 
-#: Rules compiled into one CASE at most.
-MAX_RULES = 2000
+#: Rules that a job's table may have in `classify`: it is collected, and compiled in blocks.
+MAX_RULES = 5000
 
 
 def rules_df(spark: SparkSession, rules: list[tuple] | None = None) -> DataFrame:
@@ -126,8 +126,8 @@ def rule_list(rules) -> list[tuple[int, str, str, str, str]]:
     if rules is None:
         return list(DEFAULT_RULES)
     if isinstance(rules, DataFrame):
-        # The rule table is a job parameter (a few dozen rows), not data; a
-        # large user table belongs in classify_join, which takes it in blocks.
+        # The rule table is a job parameter (a few dozen rows), not data; one
+        # beyond all use in a plan belongs in classify_join, which takes it block by block.
         rows = rules.orderBy("prio").limit(MAX_RULES + 1).collect()
         if len(rows) > MAX_RULES:
             raise ValueError(f"over {MAX_RULES} rules: classify with classify_join")

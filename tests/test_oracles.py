@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as E
 
 SF = "/root/testdata/sf0.001"
-TABLES = ["events", "documents", "pages", "conversations", "benchmark", "labels"]
+TABLES = ["events", "documents", "pages", "conversations", "benchmark", "labels", "embeddings"]
 pytestmark = pytest.mark.skipif(not os.path.exists(SF), reason="test tables not present")
 
 

@@ -372,3 +372,13 @@ def test_replies_are_read_as_python_reads_json(spark):
             assert r.severity == want.get("severity", "HIGH") and r.category.lower() == str(want.get("category", "Spark")).lower(), name
             assert r.root_cause == want.get("root_cause", "")
             assert list(zip(r.ks, r.vs)) == list(want.get("incident_notes", {}).items()), name
+
+
+def test_large_rule_tables_are_classified_in_blocks(spark):
+    from logsieve import rules as R
+    from logsieve.operators.classify import classify
+    rules = [(i, f"marker{i}z", "C", "LOW", f"L{i}") for i in range(1203)] + [(1203, "marker", "C", "LOW", "any")]
+    lines = spark.createDataFrame([("j", k, k, v) for k, v in enumerate(["marker700z marker3z", "a marker1202z b", "marker9999", "none"], 1)],
+                                  "job_id string, line_no long, idx long, value string")
+    got = [r.label for r in classify(lines, R.rules_df(spark, rules)).orderBy("line_no").collect()]
+    assert got == ["L3", "L1202", "any", None]
