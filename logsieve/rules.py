@@ -113,7 +113,7 @@ RULES_SCHEMA = T.StructType([
 
 
 #: Rules that a job's table may have in `classify`: it is collected, and compiled in blocks.
-MAX_RULES = 5000
+MAX_RULES = 2000
 
 
 def rules_df(spark: SparkSession, rules: list[tuple] | None = None) -> DataFrame:
