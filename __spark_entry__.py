@@ -404,8 +404,7 @@ def q_analyze_files(spark, d):
     brackets in their names; one task writes several jobs, so file names repeat across folders."""
     base, keys = _scratch(spark, "task_logs"), ["dag", "job_id"]
     lines = _lines(spark, d).withColumn("dag", F.concat(F.lit("dag [x] "), F.length("job_id").cast("string")))
-    (lines.repartition(4, "job_id").sortWithinPartitions(*keys, "line_no").select(*keys, "value")
-     .write.partitionBy(*keys).text(base))
+    FS.write_folders(lines.repartition("job_id").sortWithinPartitions(*keys, "line_no"), base, keys)
     a = flat_analysis(analyze(FS.read_logs(spark, base, glob="*.txt"), as_of=AS_OF, evidence_cap=R.EVIDENCE_CAP))
     return a.withColumn("job_id", F.regexp_extract("job_id", "/dag=dag [^/]*/job_id=([^/]+)/[^/]+$", 1))
 

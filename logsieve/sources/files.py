@@ -12,6 +12,7 @@ shuffled by split to be numbered.
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -190,16 +191,65 @@ def write_log_files(lines: DataFrame, out: str, mode: str = "overwrite") -> None
     """Write a lines table as text log files: one folder per job
     (``job_id=<job>``), lines in order. Range partitioning on (job, line)
     lets a large job span several files, named in line order."""
-    (lines.select("job_id", "line_no", "value")
-     .repartitionByRange("job_id", "line_no")
-     .sortWithinPartitions("job_id", "line_no")
-     .select("job_id", "value")
-     .write.mode(mode).partitionBy("job_id").text(out))
+    write_folders(lines.select("job_id", "line_no", "value")
+                  .repartitionByRange("job_id", "line_no")
+                  .sortWithinPartitions("job_id", "line_no"), out, ["job_id"], mode)
+
+
+def write_folders(lines: DataFrame, out: str, keys: list[str], mode: str = "overwrite") -> None:
+    """Lines (keys, value), sorted by their keys, as text files in folders ``key=value/...`` as ``partitionBy`` names them.
+
+    Each task writes its files and names them when they are whole; ``_SUCCESS`` says that all are. Spark's committer would move every
+    folder from the driver, one after the other; it is used only in stores that only Spark opens."""
+    spark, lines = lines.sparkSession, lines.select(*[F.col(k).cast("string").alias(k) for k in keys], "value")
+    if not BR.can_open(out):
+        lines.write.mode(mode).partitionBy(*keys).text(out)
+        return
+    folder = spark._jvm.org.apache.hadoop.fs.Path(out)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if mode not in ("overwrite", "append", "ignore", "error", "errorifexists"):
+        raise ValueError(f"unknown mode {mode!r}")
+    if fs.exists(folder):
+        if mode == "ignore":
+            return
+        if mode.startswith("error"):
+            raise ValueError(f"{out} exists")
+        if mode == "overwrite":
+            fs.delete(folder, True)
+    fs.mkdirs(folder)
+    lines.mapInArrow(BR.write_folders(out, keys, uuid.uuid4().hex), "n bigint").count()
+    fs.create(spark._jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS"), True).close()
+
+
+#: Folders that one task lists.
+TASK_FOLDERS = 200
 
 
 def file_listing(spark: SparkSession, path: str | list[str], glob: str = "*.log", modified_after: str | None = None) -> DataFrame:
-    """(path, mtime, size) of the files below ``path``; file content is not
-    read (it is pruned from the binaryFile scan)."""
+    """(path, mtime, size) of the files below ``path`` that aren't empty; file content is not read.
+
+    Folders are listed level by level, by tasks, and what is found is kept in the shared checkpoint folder: the driver holds no list,
+    however many files there are. Paths with wildcards, and stores that only Spark opens, go by Spark's own listing.
+    """
+    paths = list(dict.fromkeys([path] if isinstance(path, str) else path))
+    if not all(BR.can_open(p) and not re.search(r"[{}\[\]*?\\]", p) and BR.exists(p) for p in paths):
+        return _listing_by_spark(spark, path, glob, modified_after)
+    ensure_checkpoint_dir(spark)
+    level, n, out = spark.createDataFrame([(plain_name(p),) for p in paths], "path string"), len(paths), None
+    while n:
+        tasks = min(-(-n // TASK_FOLDERS), 64 * spark.sparkContext.defaultParallelism)
+        found = level.repartition(tasks, "path").mapInArrow(BR.list_folders(glob), BR.LISTED).checkpoint()
+        files = found.where(~F.col("folder")).select("path", "mtime", "size")
+        out = files if out is None else out.unionByName(files)
+        level = found.where("folder").select("path")
+        n = level.count()
+    if len(paths) > 1:  # one may be below another
+        out = out.dropDuplicates(["path"])
+    return out if modified_after is None else out.where(F.col("mtime") > F.lit(modified_after).cast("timestamp"))
+
+
+def _listing_by_spark(spark: SparkSession, path: str | list[str], glob: str, modified_after: str | None = None) -> DataFrame:
+    """``file_listing`` by Spark's binaryFile reader, whose content column is pruned from the scan."""
     r = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
     if modified_after:
         r = r.option("modifiedAfter", modified_after)

@@ -12,6 +12,7 @@ blank if ``str.strip`` leaves nothing. Files are opened by Arrow's file systems
 
 from __future__ import annotations
 
+import os
 import re
 import sys
 from collections.abc import Callable, Iterator
@@ -51,6 +52,148 @@ def file_system(path: str) -> tuple[pa.fs.FileSystem, str]:
     return system, f"{root.rstrip('/')}/{url[3]}"
 
 
+def exists(path: str) -> bool:
+    """Whether a folder or file ``path`` is there."""
+    from pyarrow import fs
+
+    system, name = file_system(path)
+    return system.get_file_info(name).type != fs.FileType.NotFound
+
+
+LISTED = "path string, folder boolean, mtime timestamp, size bigint"
+
+
+def glob_pattern(glob: str) -> re.Pattern:
+    """The names that a Hadoop glob stands for: ``*``, ``?``, ``[abc]``, ``[^abc]``, ``{a,b}`` and ``\\`` before a plain character."""
+    out, inside, i = [], 0, 0
+    while i < len(glob):
+        c = glob[i]
+        if c == "\\" and i + 1 < len(glob):
+            i += 1
+            out.append(re.escape(glob[i]))
+        elif c == "[" and (end := glob.find("]", i + 2 + (glob[i + 1:i + 2] in ("^", "!")))) > 0:
+            kept = glob[i + 1:end]
+            negated = kept[:1] in ("^", "!")
+            out.append(f"[{'^' * negated}{re.sub(r'([\\[&~|^])', r'\\\1', kept[negated:])}]")
+            i = end
+        elif c in "*?":
+            out.append(".*" if c == "*" else ".")
+        elif c == "{":
+            inside += 1
+            out.append("(?:")
+        elif c == "}" and inside:
+            inside -= 1
+            out.append(")")
+        else:
+            out.append("|" if c == "," and inside else re.escape(c))
+        i += 1
+    return re.compile("".join(out), re.DOTALL)
+
+
+def _hidden(name: str) -> bool:
+    """Names that Spark's readers pass over."""
+    return name[0] == "." or name[0] == "_" and "=" not in name or name.endswith("._COPYING_")
+
+
+def _entries(path: str) -> Iterator[tuple[str, bool, float, int]]:
+    """(path, whether a folder, mtime in ns, size) of what is in a folder, or of the file ``path`` itself; nothing if it is gone."""
+    from pyarrow import fs
+
+    system, name = file_system(path)
+    try:
+        if isinstance(system, fs.LocalFileSystem):
+            if not os.path.isdir(name):
+                at = os.stat(name)
+                yield path, False, at.st_mtime_ns, at.st_size
+                return
+            with os.scandir(name) as found:
+                for x in found:
+                    try:
+                        at = x.stat()
+                    except FileNotFoundError:
+                        continue
+                    yield f"{path.rstrip('/')}/{x.name}", x.is_dir(), at.st_mtime_ns, at.st_size
+            return
+        own = system.get_file_info(name)
+        for f in [own] if own.is_file else system.get_file_info(fs.FileSelector(name, allow_not_found=True)):
+            yield path if own.is_file else f"{path.rstrip('/')}/{f.base_name}", f.type == fs.FileType.Directory, f.mtime_ns or 0, f.size or 0
+    except FileNotFoundError:
+        return
+
+
+def list_folders(glob: str):
+    """``LISTED`` of what is in folders (path), or of files themselves: folders, and files whose names match; neither hidden nor empty ones.
+    Times are cut to milliseconds, as Spark's listings have them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, rows = glob_pattern(glob), []
+        for b in batches:
+            for path in b.column(0).to_pylist():
+                for at, folder, mtime, size in _entries(path):
+                    name = at[at.rfind("/") + 1:]
+                    if (at == path or not _hidden(name)) and (folder or size > 0 and names.fullmatch(name)):
+                        rows.append((at, folder, mtime // 10**6 * 1000, size))
+                    if len(rows) == BATCH_LINES:
+                        yield listed(rows)
+                        rows = []
+        yield listed(rows)
+
+    def listed(rows: list) -> pa.RecordBatch:
+        types = [pa.string(), pa.bool_(), pa.timestamp("us", "UTC"), pa.int64()]
+        columns = list(zip(*rows)) or [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["path", "folder", "mtime", "size"])
+
+    return run
+
+
+#: What Spark escapes in the names of partition folders.
+_ESCAPED = re.compile(r"[\x01-\x1f\x7f\"#%'*/:=?\\{\[\]^]")
+
+
+def folder_name(key: str, value: str | None) -> str:
+    """``key=value`` as Spark's ``partitionBy`` names a folder."""
+    return f"{key}=" + (_ESCAPED.sub(lambda m: f"%{ord(m[0]):02X}", value) if value else "__HIVE_DEFAULT_PARTITION__")
+
+
+def write_folders(base: str, keys: list[str], write: str):
+    """Lines (keys, value), those of a key together, as a text file for each key and task, in the folder ``key=value/...`` in ``base``. A file appears whole
+    or not at all; a task that is run again writes the same names."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task, (system, root) = TaskContext.get(), file_system(base)
+        name = f"part-{task.partitionId():05d}-{write}.txt"
+        now, out, hidden, final = None, None, "", ""
+        try:
+            for b in batches:
+                ids = list(zip(*([x or None for x in b.column(k).to_pylist()] for k in keys)))  # null and '' share a folder
+                values = b.column("value").to_pylist()
+                lo = 0
+                while lo < len(ids):
+                    key, hi = ids[lo], lo + 1
+                    while hi < len(ids) and ids[hi] == key:
+                        hi += 1
+                    if out is None or key != now:
+                        if out is not None:
+                            out.close()
+                            system.move(hidden, final)
+                        folder = "/".join([root.rstrip("/"), *(folder_name(k, v) for k, v in zip(keys, key))])
+                        system.create_dir(folder, recursive=True)
+                        hidden, final = f"{folder}/.{name}.{task.taskAttemptId()}", f"{folder}/{name}"
+                        out, now = system.open_output_stream(hidden, compression=None), key
+                    out.write("".join([f"{x or ''}\n" for x in values[lo:hi]]).encode())
+                    lo = hi
+            if out is not None:
+                out.close()
+                system.move(hidden, final)
+                out = None
+        finally:
+            if out is not None:
+                out.close()
+        yield pa.RecordBatch.from_arrays([pa.array([], pa.int64())], names=["n"])
+
+    return run
+
+
 def blocks(path: str, start: int, end: int) -> Iterator[bytes]:
     """The bytes of the lines that start in [start, end), in blocks of whole lines."""
     system, name = file_system(path)
