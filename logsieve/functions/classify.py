@@ -12,24 +12,25 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import rules as R
-from .regex import ci
+from .regex import rlike_ci
 
 
 #: Rules of one CASE.
 BLOCK = 500
 
 
-def classify_prio(value: Column, rules=None, block: int = BLOCK) -> Column:
+def classify_prio(value: Column, rules=None, block: int = BLOCK, low: Column | None = None) -> Column:
     """Position (0-based, in priority order) of the first matching rule, or NULL.
 
     A large table is a chain of CASEs of ``block`` rules; a line goes on to the next only if none before it matched.
+    With ``low``, the column of ``lowered`` lines, a rule's pattern only runs on lines that hold a word it needs.
     """
     rl = R.rule_list(rules)
     parts = []
     for lo in range(0, len(rl), block):
         expr = None
         for pos, (_prio, pattern, _cat, _sev, _label) in enumerate(rl[lo:lo + block], lo):
-            cond = value.rlike(ci(pattern))
+            cond = rlike_ci(value, pattern, low)
             expr = F.when(cond, F.lit(pos)) if expr is None else expr.when(cond, F.lit(pos))
         parts.append(expr)
     return parts[0] if len(parts) == 1 else F.coalesce(*parts, F.lit(None).cast("int"))

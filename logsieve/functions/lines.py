@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import rules as R
-from .regex import ci, cs, first_group
+from .regex import cs, first_group, rlike_ci
 
 _LINE = cs(R.LOG_LINE_PATTERN)
 
@@ -53,39 +53,39 @@ def is_warn(value: Column) -> Column:
     return value.contains("WARN")
 
 
-def spark_version(value: Column) -> Column:
+def spark_version(value: Column, low: Column | None = None) -> Column:
     """Version from the first match of the three forms, or NULL.
 
     Every form contains the word 'spark', so the three extractions only run
     on lines where a case-insensitive search for it succeeds."""
     p = R.SPARK_VERSION_PATTERN
-    return F.when(value.rlike(ci("spark")), F.coalesce(*[first_group(value, p, k) for k in (1, 2, 3)]))
+    return F.when(rlike_ci(value, "spark", low), F.coalesce(*[first_group(value, p, k) for k in (1, 2, 3)]))
 
 
-def platform(value: Column) -> Column:
+def platform(value: Column, low: Column | None = None) -> Column:
     """First platform word, lower-cased, or NULL (R9). Substring match."""
-    return F.lower(first_group(value, R.PLATFORM_PATTERN, 1))
+    return F.lower(first_group(value, R.PLATFORM_PATTERN, 1, low=low))
 
 
-def failed_stage(value: Column) -> Column:
+def failed_stage(value: Column, low: Column | None = None) -> Column:
     """Stage id of the first ``Stage <n> failed|aborted`` on the line."""
-    return first_group(value, R.STAGE_FAIL_PATTERN, 1)
+    return first_group(value, R.STAGE_FAIL_PATTERN, 1, low=low)
 
 
-def executor_lost(value: Column) -> Column:
-    return value.rlike(ci(R.EXECUTOR_LOST_PATTERN))
+def executor_lost(value: Column, low: Column | None = None) -> Column:
+    return rlike_ci(value, R.EXECUTOR_LOST_PATTERN, low)
 
 
-def oom(value: Column) -> Column:
-    return value.rlike(ci(R.OOM_PATTERN))
+def oom(value: Column, low: Column | None = None) -> Column:
+    return rlike_ci(value, R.OOM_PATTERN, low)
 
 
-def shuffle_failure(value: Column) -> Column:
-    return value.rlike(ci(R.SHUFFLE_FAIL_PATTERN))
+def shuffle_failure(value: Column, low: Column | None = None) -> Column:
+    return rlike_ci(value, R.SHUFFLE_FAIL_PATTERN, low)
 
 
-def task_retry(value: Column) -> Column:
-    return value.rlike(ci(R.TASK_RETRY_PATTERN))
+def task_retry(value: Column, low: Column | None = None) -> Column:
+    return rlike_ci(value, R.TASK_RETRY_PATTERN, low)
 
 
 def is_error_line(level: Column, label: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .. import rules as R
 from ..functions.classify import classify_columns, classify_prio
 from ..functions.lines import level_anywhere, parsed_fields
+from ..functions.regex import lowered
 
 #: Rules compiled into one CASE.
 RULE_BLOCK = 500
@@ -39,8 +40,9 @@ def classify(lines: DataFrame, rules=None) -> DataFrame:
     Only non-blank lines are classified; no match gives NULLs.
     """
     rl = R.rule_list(rules)  # a rule DataFrame is collected once, here
-    pos = F.when(F.col("idx").isNotNull(), classify_prio(F.col("value"), rl))
-    return lines.withColumn("_rule", pos).withColumns(classify_columns(F.col("_rule"), rl)).drop("_rule")
+    pos = F.when(F.col("idx").isNotNull(), classify_prio(F.col("value"), rl, low=F.col("_low")))
+    return lines.withColumn("_low", lowered(F.col("value"))).withColumn("_rule", pos).withColumns(
+        classify_columns(F.col("_rule"), rl)).drop("_rule", "_low")
 
 
 def classify_join(lines: DataFrame, rules: DataFrame, block: int = RULE_BLOCK) -> DataFrame:
@@ -50,9 +52,9 @@ def classify_join(lines: DataFrame, rules: DataFrame, block: int = RULE_BLOCK) -
     compiled once per task), and a line that no block before matched goes on to the next. Nothing is
     joined, broadcast or shuffled. Only matched lines come back, with label, category, severity.
     """
-    out = drop_blank(lines).withColumn("_r", F.lit(None).cast("struct<label:string,category:string,severity:string>"))
+    out = drop_blank(lines).withColumn("_low", lowered(F.col("value"))).withColumn("_r", F.lit(None).cast("struct<label:string,category:string,severity:string>"))
     for rl in _rule_blocks(rules, block):
-        pos = classify_prio(F.col("value"), rl)
+        pos = classify_prio(F.col("value"), rl, low=F.col("_low"))
         found = F.get(F.transform(F.array(pos), _rule_struct(rl)), F.lit(0))
         out = out.withColumn("_r", F.coalesce("_r", found))
     return out.where(F.col("_r").isNotNull()).select(

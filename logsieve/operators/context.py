@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lines as L
-from ..functions.regex import is_blank
+from ..functions.regex import is_blank, lowered
 
 
 CONTEXT_FLAGS = ["_err", "_warn", "_version", "_platform", "_stage", "_lost", "_oom", "_shuffle", "_retry"]
@@ -21,18 +21,18 @@ def with_context_flags(lines: DataFrame) -> DataFrame:
     when already present (annotated lines)."""
     if "_err" in lines.columns:
         return lines
-    v = F.col("value")
-    return lines.withColumns({
+    v, low = F.col("value"), F.col("_low")
+    return lines.withColumn("_low", lowered(v)).withColumns({
         "_err": L.is_error(v),
         "_warn": L.is_warn(v),
-        "_version": L.spark_version(v),
-        "_platform": L.platform(v),
-        "_stage": L.failed_stage(v),
-        "_lost": L.executor_lost(v),
-        "_oom": L.oom(v),
-        "_shuffle": L.shuffle_failure(v),
-        "_retry": L.task_retry(v),
-    })
+        "_version": L.spark_version(v, low),
+        "_platform": L.platform(v, low),
+        "_stage": L.failed_stage(v, low),
+        "_lost": L.executor_lost(v, low),
+        "_oom": L.oom(v, low),
+        "_shuffle": L.shuffle_failure(v, low),
+        "_retry": L.task_retry(v, low),
+    }).drop("_low")
 
 
 def level_stats(lines: DataFrame) -> DataFrame:
