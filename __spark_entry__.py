@@ -483,7 +483,8 @@ def q_analyze_conversations(spark, d):
 def q_stream_signal_counts(spark, d):
     from logsieve.streaming import watch as WT
     src, out = _corpus_files(spark, d), _scratch(spark, "signal_counts")
-    stream = WT.stream_logs(spark, src, glob="*.txt").withColumn("job_id", FS.job_column(FS.file_path(F.col("path")), "dir"))
+    stream = WT.stream_logs(spark, src, glob="*.txt", state=f"{out}/_checkpoint/files")
+    stream = stream.withColumn("job_id", FS.job_column(F.col("path") if FS.BR.can_open(src) else FS.file_path(F.col("path")), "dir"))
     WT.write_signal_counts(stream.select("job_id", "value"), out, available_now=True).awaitTermination()
     return WT.latest_signal_counts(spark, out)
 

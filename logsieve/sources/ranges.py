@@ -283,7 +283,13 @@ def count_lines(errors: bool):
     """``COUNTED`` of ranges (path, start, end): their lines, those that aren't blank, their characters, and where among these
     the first and the last are that aren't white space. ``errors``: a range
     that can't be read counts nothing (reading it will say why); else it fails the task."""
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        paths, *numbers = zip(*rows)
+        return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), *(pa.array(x, pa.int64()) for x in numbers)],
+                                          names=["path", "start", "n", "n_text", "size", "first", "last"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
         for b in batches:
             for r in b.to_pylist():
                 n, text, extent = 0, 0, Extent()
@@ -295,9 +301,12 @@ def count_lines(errors: bool):
                 except FAULTS:
                     if not errors:
                         raise
-                numbers = {"start": r["start"], "n": n, "n_text": text, "size": extent.size, "first": extent.first, "last": extent.last}
-                yield pa.RecordBatch.from_arrays([pa.array([r["path"]], pa.string()), *(pa.array([x], pa.int64()) for x in numbers.values())],
-                                                 names=["path", *numbers])
+                rows.append((r["path"], r["start"], n, text, extent.size, extent.first, extent.last))
+                if len(rows) == BATCH_LINES:
+                    yield batch_of(rows)
+                    rows = []
+        if rows:
+            yield batch_of(rows)
 
     return run
 
@@ -308,17 +317,20 @@ def number_lines_of(errors: bool):
 
     ``errors``: a range that can't be read gives one row more, without a line, whose ``error`` says why; else it fails the task.
     """
-    def batch_of(r: dict, at: int, idx: list, values: list, totals: tuple, error: str | None) -> pa.RecordBatch:
-        n = len(values)
-        named = [pa.array([r[c]], pa.string()).take(pa.array([0] * n, pa.int32())) for c in ("job_id", "job_name", "path")]
-        numbers = pa.array(range(at + 1, at + 1 + n), pa.int64()) if error is None else pa.nulls(n, pa.int64())
-        out = [*named, numbers, pa.array(idx, pa.int64()), pa.array(values, pa.string()), *(pa.array([x] * n, pa.int64()) for x in totals)]
+    def batch_of(held: list[tuple]) -> pa.RecordBatch:
+        """Parts (range, line numbers, idx, values, totals, error), of one range or of several small ones, as one batch."""
+        rs, numbers, idx, values, totals, faults = zip(*held)
+        of = pa.array([k for k, v in enumerate(values) for _ in v], pa.int32())
+        flat = lambda parts, kind: pa.array([x for p in parts for x in p], kind)
+        out = [*(pa.array([r[c] for r in rs], pa.string()).take(of) for c in ("job_id", "job_name", "path")),
+               flat(numbers, pa.int64()), flat(idx, pa.int64()), flat(values, pa.string()),
+               *(pa.array(x, pa.int64()).take(of) for x in zip(*totals))]
         names = ["job_id", "job_name", "path", "line_no", "idx", "value", "n_text", "n_chars"]
         if errors:
-            out, names = [*out, pa.array([error] * n, pa.string())], [*names, "error"]
+            out, names = [*out, pa.array(faults, pa.string()).take(of)], [*names, "error"]
         return pa.RecordBatch.from_arrays(out, names=names)
 
-    def one(r: dict) -> Iterator[pa.RecordBatch]:
+    def one(r: dict) -> Iterator[tuple]:
         at, text, totals = r["lines"], r["texts"], (r["n_text"], r["n_chars"])
         parts = lines_of(r["path"], r["start"], r["end"])
         if r["n_text"] is None:
@@ -335,22 +347,56 @@ def number_lines_of(errors: bool):
                         idx.append(text)
                     else:
                         idx.append(None)
-                yield batch_of(r, at, idx, part, totals, None)
+                yield r, range(at + 1, at + 1 + len(part)), idx, part, totals, None
                 at += len(part)
 
+    def parts_of(r: dict) -> Iterator[tuple]:
+        try:
+            yield from one(r)
+        except FAULTS as e:
+            if not errors:
+                raise
+            yield r, [None], [None], [None], (None, None), f"{type(e).__name__}: {e}"[:2000]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, size = [], 0, 0
         for b in batches:
             for r in b.to_pylist():
-                try:
-                    yield from one(r)
-                except FAULTS as e:
-                    if not errors:
-                        raise
-                    yield batch_of(r, 0, [None], [None], (None, None), f"{type(e).__name__}: {e}"[:2000])
+                for part in parts_of(r):
+                    held.append(part)
+                    n, size = n + len(part[3]), size + sum(len(x or "") for x in part[3])
+                    if n >= BATCH_LINES or size >= BATCH_BYTES:
+                        yield batch_of(held)
+                        held, n, size = [], 0, 0
+        if held:
+            yield batch_of(held)
 
     return run
 
 
+def raw_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, blk, value) of ranges (path, start, end): their lines, as they are."""
+    def batch_of(held: list[tuple]) -> pa.RecordBatch:
+        of = pa.array([k for k, (_, _, v) in enumerate(held) for _ in v], pa.int32())
+        out = [pa.array([p for p, _, _ in held], pa.string()).take(of), pa.array([s for _, s, _ in held], pa.int64()).take(of),
+               pa.array([x for _, _, v in held for x in v], pa.string())]
+        return pa.RecordBatch.from_arrays(out, names=["path", "blk", "value"])
+
+    held, n, size = [], 0, 0
+    for b in batches:
+        for r in b.to_pylist():
+            for lines in lines_of(r["path"], r["start"], r["end"]):
+                for lo in range(0, len(lines), BATCH_LINES):
+                    part = lines[lo:lo + BATCH_LINES]
+                    held.append((r["path"], r["start"], part))
+                    n, size = n + len(part), size + sum(map(len, part))
+                    if n >= BATCH_LINES or size >= BATCH_BYTES:
+                        yield batch_of(held)
+                        held, n, size = [], 0, 0
+    if held:
+        yield batch_of(held)
+
+
 def read_tails(max_bytes: int):
     """(path, text): the last ``max_bytes`` bytes of every file of (path); '' of one that can't be read."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,7 +2,8 @@
 
 A Python data source for ``spark.readStream.format("log_versions")``. A row is (path, mtime, size, attempt). Options:
 ``path`` (folder), ``glob`` (of names), ``state`` (a folder of its own, shared like a checkpoint) and ``again`` (optional: a folder of Parquet
-rows (path, attempt, again), as the watch's ledger writes them; files named there are given once more, with that attempt).
+rows (path, attempt, again), as the watch's ledger writes them; files named there are given once more, with that attempt) and ``once``
+("true": a file is given when it is new, and not when it changes).
 
 An offset is the number of the last version batch. A batch is a file ``v=N.json`` in the state folder, written whole before its
 offset is given to Spark; so a restart finds the same batches, and gives the ones that no one committed again. The state says what was
@@ -118,7 +119,9 @@ class VersionReader(DataSourceStreamReader):
     def latestOffset(self) -> dict:
         listed = self._listed()
         again, ledgers = self._again()
-        files = [[p, *v, again.get(p, 0)] for p, v in sorted(listed.items()) if p in again or self.seen.get(p, [-1])[0] < v[0]]
+        once = self.options.get("once") == "true"
+        files = [[p, *v, again.get(p, 0)] for p, v in sorted(listed.items())
+                 if p in again or (p not in self.seen if once else self.seen.get(p, [-1])[0] < v[0])]
         if files or ledgers:
             batch = {"files": files, "ledgers": ledgers}
             self._write(f"v={self.version + 1}.json", batch)
@@ -165,8 +168,8 @@ class LogVersions(DataSource):
         return VersionReader(self.options)
 
 
-def stream_versions(spark: SparkSession, path: str, state: str, glob: str = "*.log", again: str | None = None):
-    """New and changed files below ``path`` as a stream of (path, mtime, size, attempt)."""
+def stream_versions(spark: SparkSession, path: str, state: str, glob: str = "*.log", again: str | None = None, once: bool = False):
+    """New and changed files below ``path`` as a stream of (path, mtime, size, attempt); with ``once`` only new ones."""
     spark.dataSource.register(LogVersions)
-    r = spark.readStream.format("log_versions").option("path", path).option("glob", glob).option("state", state)
+    r = spark.readStream.format("log_versions").option("path", path).option("glob", glob).option("state", state).option("once", str(once).lower())
     return (r.option("again", again) if again else r).load()
