@@ -103,9 +103,10 @@ def number_files(raw: DataFrame, job: str = "path", only: DataFrame | None = Non
     return numbered.withColumn("job_name", job_name(F.col("job_id"), F.col("path"), job)).select(*[c for c in LINE_COLUMNS if c != "n_chars"])
 
 
-#: Bytes of a range, and of the ranges that one task reads.
+#: Bytes of a range, and of the ranges that one task reads; tasks of a core that may read less than these.
 RANGE_BYTES = 32 << 20
 TASK_BYTES = 64 << 20
+SMALL_TASKS = 64
 
 
 def read_logs(spark: SparkSession, path: str | list[str], glob: str = "*.log", job: str = "path", modified_after: str | None = None,
@@ -148,6 +149,9 @@ def read_files(listing: DataFrame, job: str = "path", only: DataFrame | None = N
 
     The listing is kept in the shared checkpoint folder, so that lines are counted and read of the same ranges. With ``errors``
     a file that can't be read is a row without a line, whose column ``error`` says why, and the others are read as ever.
+
+    Tasks read ``task_bytes`` each; where that is less than TASK_BYTES, there are no more than SMALL_TASKS a core of them, as starting
+    them would take longer than reading, and they read more.
     """
     p = F.col("path")
     files = listing.select("path", F.col("size").cast("long").alias("size")).withColumn("job_id", job_column(p, job))
@@ -157,7 +161,7 @@ def read_files(listing: DataFrame, job: str = "path", only: DataFrame | None = N
     ensure_checkpoint_dir(listing.sparkSession)
     ranges = file_ranges(files, range_bytes).checkpoint()
     size, n = ranges.agg(F.sum(F.col("end") - F.col("start")), F.count(F.lit(1))).first()
-    tasks = max(1, -(-(size or 0) // task_bytes), min(n, listing.sparkSession.sparkContext.defaultParallelism))
+    tasks = _tasks(size or 0, n, task_bytes, listing.sparkSession.sparkContext.defaultParallelism)
     # A range that is its whole job counts itself; packed ones, of unknown length, don't.
     many = ranges.groupBy("job_id").agg(F.count(F.lit(1)).alias("_n"), F.bool_or(F.col("path").rlike(BR.PACKED_PATTERN)).alias("_p")).where(
         "_n > 1 OR _p").select("job_id")
@@ -178,6 +182,11 @@ def read_files(listing: DataFrame, job: str = "path", only: DataFrame | None = N
         BR.number_lines_of(errors), LINE_SCHEMA + (", error string" if errors else ""))
 
 
+def _tasks(size: int, n: int, task_bytes: int, cores: int) -> int:
+    """Tasks that read ``n`` ranges of ``size`` bytes in all."""
+    return max(1, min(-(-size // task_bytes), max(-(-size // TASK_BYTES), SMALL_TASKS * cores)), min(n, cores))
+
+
 def tail_files(files: DataFrame, max_bytes: int = R.TAIL_BYTES) -> DataFrame:
     """(path, text): the last ``max_bytes`` bytes of every file of ``files`` (path), decoded as UTF-8 with U+FFFD for what isn't.
 

@@ -23,8 +23,9 @@ from pyspark import cloudpickle
 # The functions travel to the executors with the tasks that call them.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Bytes read at a time, and lines handed on at a time.
+#: Bytes read at a time, bytes read on for the end of a line, and lines handed on at a time.
 BLOCK = 4 << 20
+BEYOND = 1 << 12
 BATCH_LINES = 8192
 BATCH_BYTES = 8 << 20
 #: Names of compressed logs, and Arrow's names of their codecs.
@@ -208,7 +209,7 @@ def blocks(path: str, start: int, end: int) -> Iterator[bytes]:
             f.seek(start - 1)
             at = start - 1
             while True:
-                data = f.read(1 << 16)
+                data = f.read(BEYOND)
                 if not data:
                     return
                 cut = data.find(b"\n")
@@ -226,7 +227,7 @@ def blocks(path: str, start: int, end: int) -> Iterator[bytes]:
 def _whole_lines(read: Callable[[int], bytes], size: int | None) -> Iterator[bytes]:
     """Blocks that end at line ends; with ``size``, up to the first line end from byte ``size`` - 1 on."""
     kept, seen = [], 0
-    while data := read(BLOCK):
+    while data := read(BLOCK if size is None else min(BLOCK, max(size - seen, seen // 2) + BEYOND)):
         last = data.find(b"\n", max(0, size - 1 - seen)) if size is not None and seen + len(data) >= size else -1
         if last >= 0:
             yield b"".join([*kept, data[:last + 1]])

@@ -7,6 +7,7 @@ import time
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from logsieve.sources import files as FS
 from logsieve.sources import ranges as BR
 from logsieve.streaming import watch as W
 
@@ -54,6 +55,26 @@ def test_no_task_for_each_folder(spark):
     assert sorted(r.path for r in rows) == sorted(f"{src}/{i}/1.log" for i in range(60)) and {(r.blk, r.value) for r in rows} == {(0, FAIL[:-1])}
 
 
+def test_small_ranges_read_little_beyond(monkeypatch):
+    """A range reads its own bytes and a little for the end of its last line, not a block of a large file; long lines come whole."""
+    src, read = tempfile.mkdtemp(prefix="lines-src-"), []
+    text = "".join(f"line {i}\n" for i in range(300_000)) + "x" * 300_000 + "\nend\n"
+    put(src, "big.log", text)
+    whole = BR._whole_lines
+    monkeypatch.setattr(BR, "_whole_lines", lambda f, size: whole(lambda n: (read.append(n), f(n))[1], size))
+    lines = [x for s in range(0, len(text), 50_000) for part in BR.lines_of(f"{src}/big.log", s, min(s + 50_000, len(text))) for x in part]
+    assert lines == text.splitlines()
+    assert sum(read) < 2 * len(text)
+
+
+def test_no_swarm_of_small_tasks():
+    """Small tasks are bounded by the cores, so that 6 GB in ranges of 1000 bytes isn't 120,000 tasks; large ones grow with the bytes."""
+    assert FS._tasks(10**6, 1000, 50_000, 8) == 20
+    assert FS._tasks(6 * 10**9, 6 * 10**6, 50_000, 12) == FS.SMALL_TASKS * 12
+    assert FS._tasks(10**13, 10**6, FS.TASK_BYTES, 12) == -(-10**13 // FS.TASK_BYTES)
+    assert FS._tasks(100, 3, 50_000, 8) == 3 and FS._tasks(0, 0, 50_000, 8) == 1
+
+
 def test_small_ranges_share_batches():
     """Ranges of a few lines come back in few batches, in their order, with the rows that say what can't be read."""
     src = tempfile.mkdtemp(prefix="lines-src-")
