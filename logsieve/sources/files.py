@@ -29,7 +29,7 @@ _AIRFLOW_LAYOUT = r"/([^/]+)/([^/]+)/([^/]+)/([^/]+)\.log$"
 
 def file_stem(path: Column) -> Column:
     """``Path(p).stem``: last component without its last suffix."""
-    name = F.regexp_extract(path, r"([^/]*)$", 1)
+    name = F.substring_index(path, "/", -1)
     stem = F.regexp_extract(name, r"^(.+)\.[^.]+$", 1)
     return F.when(stem == "", name).otherwise(stem)
 
@@ -79,7 +79,7 @@ def job_column(path: Column, job: str = "path") -> Column:
     if job == "path":
         return path
     if job == "dir":
-        d = F.regexp_extract(path, r"([^/]+)/[^/]*$", 1)
+        d = F.regexp_extract(F.substring_index(path, "/", -2), r"^([^/]+)/", 1)  # a search from the path's start tries every character
         return F.regexp_replace(d, r"^[^=]*=", "")
     raise ValueError(f"unknown job key {job!r}")
 
