@@ -19,6 +19,7 @@ CASE_SENSITIVE = "(?Ud)"
 # Python's str.isspace(): Unicode White_Space plus the separators \x1c-\x1f.
 WS = r"[\s\x1c-\x1f]"
 NON_WS = r"[^\s\x1c-\x1f]"
+WS_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200b))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def ci(pattern: str) -> str:
@@ -110,9 +111,9 @@ def first_group(col: Column, pattern: str, group: int = 1, *, ignore_case: bool
 def py_strip(col: Column) -> Column:
     """``str.strip()``: drop leading and trailing Unicode whitespace.
 
-    Spark's ``trim`` removes only spaces, so it is not used for log text.
+    Spark's ``trim`` removes only spaces unless the characters are named. A pattern would be tried at every character.
     """
-    return F.regexp_replace(col, f"(?U)^{WS}+|{WS}+\\z", "")
+    return F.btrim(col, F.lit(WS_CHARS))
 
 
 def is_blank(col: Column) -> Column:

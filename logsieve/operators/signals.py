@@ -46,23 +46,32 @@ def _ordered(col_struct_list, field: str):
     return F.transform(F.array_sort(col_struct_list), lambda s: s[field])
 
 
+def _span(at, window: int):
+    """First position of the span of ``window`` positions that ``at`` lies in."""
+    return at - at % max(window, 1)
+
+
+def _probes(firsts: DataFrame, window: int) -> DataFrame:
+    """(job_id, label, first_idx, _span): the spans, two at most, that the ``window`` positions after a first hit lie in."""
+    first, size = F.col("first_idx"), max(window, 1)
+    spans = F.sequence(_span(first + 1, window), _span(first + size, window), F.lit(size).cast("long"))
+    return firsts.select("job_id", "label", "first_idx", F.explode(spans).alias("_span"))
+
+
 def stack_traces(classified: DataFrame, firsts: DataFrame, window: int = R.STACK_WINDOW) -> DataFrame:
     """Stack trace after the first hit of each signal.
 
     Within the ``window`` non-blank lines after the hit: skip to the first
     stack line, take the contiguous run of stack lines, strip and join them
-    with newlines. Only the <= ``window`` positions after each first hit are
-    probed (an equi-join on (job, idx)); no window spans a whole log.
+    with newlines. Positions are cut into spans of ``window``; only the one or two spans that the
+    positions after a first hit lie in are probed (an equi-join on (job, span)); no window spans a whole log.
     Signals with no stack line in reach get no row.
     """
-    probes = firsts.select(
-        "job_id", "label",
-        F.explode(F.sequence(F.col("first_idx") + 1, F.col("first_idx") + window)).alias("idx"),
-    )
     flag = F.col("_stack") if "_stack" in classified.columns else is_stack_line(F.col("value"))
     stack_lines = classified.filter(F.col("idx").isNotNull() & flag).select(
-        "job_id", "idx", py_strip(F.col("value")).alias("frame"))
-    m = probes.join(stack_lines, ["job_id", "idx"], "inner")
+        "job_id", _span(F.col("idx"), window).alias("_span"), "idx", py_strip(F.col("value")).alias("frame"))
+    m = _probes(firsts, window).join(stack_lines, ["job_id", "_span"], "inner").where(
+        (F.col("idx") > F.col("first_idx")) & (F.col("idx") <= F.col("first_idx") + window))
     # At most `window` matches per signal: collect them in position order and
     # keep the first run of consecutive positions. Positions strictly increase,
     # so idx == first + i holds exactly up to the first gap.

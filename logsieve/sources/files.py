@@ -230,8 +230,9 @@ def write_folders(lines: DataFrame, out: str, keys: list[str], mode: str = "over
     fs.create(spark._jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS"), True).close()
 
 
-#: Folders that one task lists.
+#: Folders that one task lists, and tasks of a core that list many: starting one takes as long as listing thousands of folders of a disk.
 TASK_FOLDERS = 200
+LISTING_TASKS = 4
 
 
 def file_listing(spark: SparkSession, path: str | list[str], glob: str = "*.log", modified_after: str | None = None) -> DataFrame:
@@ -246,7 +247,7 @@ def file_listing(spark: SparkSession, path: str | list[str], glob: str = "*.log"
     ensure_checkpoint_dir(spark)
     level, n, out = spark.createDataFrame([(plain_name(p),) for p in paths], "path string"), len(paths), None
     while n:
-        tasks = min(-(-n // TASK_FOLDERS), 64 * spark.sparkContext.defaultParallelism)
+        tasks = min(-(-n // TASK_FOLDERS), LISTING_TASKS * spark.sparkContext.defaultParallelism)
         found = level.repartition(tasks, "path").mapInArrow(BR.list_folders(glob), BR.LISTED).checkpoint()
         files = found.where(~F.col("folder")).select("path", "mtime", "size")
         out = files if out is None else out.unionByName(files)

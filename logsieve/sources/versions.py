@@ -30,7 +30,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 SCHEMA = "path string, mtime timestamp, size bigint, attempt int"
 #: Files of one task, batches between two full states, and seconds after which a file that is gone is forgotten.
-TASK_FILES = 1000
+TASK_FILES = 10_000
 FULL_STATE = 50
 FORGET = 7 * 86_400
 
